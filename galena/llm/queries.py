@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from galena.llm import license_scan, pairwise_quality, phrase_automata, quality_rules, source_mix, suffix_dedup
+from galena.llm import jaccard_join, license_scan, pairwise_quality, phrase_automata, quality_rules, source_mix, suffix_dedup, template_leaks
 from galena.llm.common import read
 
 
@@ -27,6 +27,14 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(read(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op8_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_leaks.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op9_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairwise_quality.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -35,5 +43,5 @@ def op10_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_automata.phrase_digests(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_source_mix, op5_license_scan, op9_pairwise_quality, op10_phrase_automata)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_source_mix, op5_license_scan, op7_jaccard_join, op8_template_leaks, op9_pairwise_quality, op10_phrase_automata)}
 ORACLES: dict[str, str] = {}
