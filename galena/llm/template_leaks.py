@@ -87,7 +87,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     words = docs.select("doc_id", words_of(docs["text"]).alias("words"))
     told = words.select("doc_id", "words", F.posexplode("words").alias("at", "word")).withColumn("anchor", bare(F.col("word")))
     hits = told.join(windows, "anchor").where((F.col("at") >= F.col("offset")) & (F.col("at") - F.col("offset") + F.col("width") <= F.size("words")))
-    hits = hits.withColumn("span", F.slice("words", F.col("at") - F.col("offset") + 1, F.col("width")))
+    hits = hits.withColumn("span", F.slice("words", F.greatest(F.col("at") - F.col("offset") + 1, F.lit(1)), F.col("width")))
     hits = hits.withColumn("doc_shape", template(F.col("span"))).where((F.xxhash64("doc_shape") == F.col("key")) & (F.array_join("doc_shape", " ") == F.col("shape")))
     pairs = F.zip_with("item_slots", slots(F.col("span"), F.col("doc_shape")), lambda a, b: F.struct(a.alias("item"), b.alias("doc")))
     found = hits.groupBy("doc_id", "item_id", "window").agg(F.first("n_windows").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
