@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 WINDOW = 8
 MIN_SHARE = 0.5
 BROADCAST_ROWS = 500_000
+BLOCK = 64
 # Marks around words, units, placeholders.
 MARKS = ".,;:!?\"'()[]{}"
 UNITS = ["%", "kg", "g", "mg", "km", "m", "cm", "mm", "mi", "ft", "in", "lb", "oz", "l", "ml", "s", "sec", "min", "h", "hr", "hours", "minutes", "seconds", "days", "usd", "eur", "dollars", "euros", "miles", "meters", "metres", "feet", "inches", "pounds", "kilograms", "grams", "liters", "litres", "degrees"]
@@ -37,7 +38,8 @@ STOP_RE = "[.!?:][\"')\\]]*$"
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    """Words of a text; one empty word if there is none."""
+    return F.split(F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r")), "[\\x20\\x09-\\x0D]+")
 
 
 def bare(word: Column) -> Column:
@@ -70,7 +72,7 @@ def slots(window: Column, shape: Column) -> Column:
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
     """item_id, window, n_windows, anchor, offset, width, key, item_slots: a row for each window of the benchmark."""
-    items = benchmark.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
+    items = benchmark.select("item_id", words_of(F.col("text")).alias("words")).where(F.element_at("words", 1) != "")
     items = items.withColumn("width", F.least(F.size("words"), F.lit(WINDOW))).withColumn("n_windows", F.size("words") - F.col("width") + 1)
     rows = items.select("item_id", "n_windows", "width", "words", F.explode(F.sequence(F.lit(1), F.col("n_windows"))).alias("window"))
     rows = rows.withColumn("span", F.slice("words", F.col("window"), F.col("width"))).withColumn("shape", template(F.col("span")))
@@ -79,15 +81,30 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     return rows.select("item_id", "window", "n_windows", "width", F.col("best.word").alias("anchor"), F.col("best.at").alias("offset"), F.xxhash64("shape").alias("key"), F.array_join("shape", " ").alias("shape"), slots(F.col("span"), F.col("shape")).alias("item_slots"))
 
 
+def document_words(docs: DataFrame) -> DataFrame:
+    """doc_id, block, at, word: every word once, with the block of words around it.
+
+    A block is ``BLOCK`` words and the WINDOW - 1 words on either side, so a row for a word carries a
+    few hundred bytes and not its document. The outer forms keep Spark from splitting texts twice.
+    """
+    context = WINDOW - 1
+    words = docs.select("doc_id", words_of(docs["text"]).alias("words"))
+    starts = F.sequence(F.lit(0), F.size("words") - 1, F.lit(BLOCK))
+    blocks = F.transform(starts, lambda i: F.struct(F.least(i, F.lit(context)).alias("lead"), F.slice("words", F.greatest(i - context, F.lit(0)) + 1, BLOCK + context + F.least(i, F.lit(context))).alias("words")))
+    rows = words.select("doc_id", F.explode_outer(blocks).alias("b")).select("doc_id", F.col("b.lead").alias("lead"), F.col("b.words").alias("block"))
+    told = rows.select("doc_id", "lead", "block", F.posexplode_outer("block").alias("at", "word"))
+    return told.where((F.col("at") >= F.col("lead")) & (F.col("at") < F.col("lead") + BLOCK)).drop("lead")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id) of each leak, with the item's share of windows found and whether slots changed."""
     windows = item_windows(benchmark)
+    anchors = windows.select("anchor").distinct()
     if windows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        windows = F.broadcast(windows)
-    words = docs.select("doc_id", words_of(docs["text"]).alias("words"))
-    told = words.select("doc_id", "words", F.posexplode("words").alias("at", "word")).withColumn("anchor", bare(F.col("word")))
-    hits = told.join(windows, "anchor").where((F.col("at") >= F.col("offset")) & (F.col("at") - F.col("offset") + F.col("width") <= F.size("words")))
-    hits = hits.withColumn("span", F.slice("words", F.greatest(F.col("at") - F.col("offset") + 1, F.lit(1)), F.col("width")))
+        windows, anchors = F.broadcast(windows), F.broadcast(anchors)
+    hits = document_words(docs).withColumn("anchor", bare(F.col("word"))).join(anchors, "anchor", "left_semi").join(windows, "anchor")
+    hits = hits.where((F.col("at") >= F.col("offset")) & (F.col("at") - F.col("offset") + F.col("width") <= F.size("block")))
+    hits = hits.withColumn("span", F.slice("block", F.greatest(F.col("at") - F.col("offset") + 1, F.lit(1)), F.col("width")))
     hits = hits.withColumn("doc_shape", template(F.col("span"))).where((F.xxhash64("doc_shape") == F.col("key")) & (F.array_join("doc_shape", " ") == F.col("shape")))
     pairs = F.zip_with("item_slots", slots(F.col("span"), F.col("doc_shape")), lambda a, b: F.struct(a.alias("item"), b.alias("doc")))
     found = hits.groupBy("doc_id", "item_id", "window").agg(F.first("n_windows").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
