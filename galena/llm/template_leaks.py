@@ -8,8 +8,8 @@ to the anchors; around each hit the document's own window is canonicalised and i
 all windows are checked while only few are built.
 
 A document leaks an item if at least ``MIN_SHARE`` of the item's windows occur in it as templates and
-the slots are consistent: a number or name of the item stands for the same value of the document
-wherever it occurs. This finds copies and re-parameterised questions.
+the slots are consistent: in one place of the document, a number or name of the item stands for the
+same value wherever it occurs. This finds copies and re-parameterised questions.
 
 The benchmark is the stated query set. Its windows are broadcast only if they are at most
 ``BROADCAST_ROWS`` rows (about 100 bytes each); beyond that the same join shuffles by anchor.
@@ -82,7 +82,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
 
 
 def document_words(docs: DataFrame) -> DataFrame:
-    """doc_id, block, at, word: every word once, with the block of words around it.
+    """doc_id, begin (place of the block), block, at, word: every word once, with the block of words around it.
 
     A block is ``BLOCK`` words and the WINDOW - 1 words on either side, so a row for a word carries a
     few hundred bytes and not its document. The outer forms keep Spark from splitting texts twice.
@@ -90,9 +90,9 @@ def document_words(docs: DataFrame) -> DataFrame:
     context = WINDOW - 1
     words = docs.select("doc_id", words_of(docs["text"]).alias("words"))
     starts = F.sequence(F.lit(0), F.size("words") - 1, F.lit(BLOCK))
-    blocks = F.transform(starts, lambda i: F.struct(F.least(i, F.lit(context)).alias("lead"), F.slice("words", F.greatest(i - context, F.lit(0)) + 1, BLOCK + context + F.least(i, F.lit(context))).alias("words")))
-    rows = words.select("doc_id", F.explode_outer(blocks).alias("b")).select("doc_id", F.col("b.lead").alias("lead"), F.col("b.words").alias("block"))
-    told = rows.select("doc_id", "lead", "block", F.posexplode_outer("block").alias("at", "word"))
+    blocks = F.transform(starts, lambda i: F.struct((i - F.least(i, F.lit(context))).alias("begin"), F.least(i, F.lit(context)).alias("lead"), F.slice("words", F.greatest(i - context, F.lit(0)) + 1, BLOCK + context + F.least(i, F.lit(context))).alias("words")))
+    rows = words.select("doc_id", F.explode_outer(blocks).alias("b")).select("doc_id", F.col("b.begin").alias("begin"), F.col("b.lead").alias("lead"), F.col("b.words").alias("block"))
+    told = rows.select("doc_id", "begin", "lead", "block", F.posexplode_outer("block").alias("at", "word"))
     return told.where((F.col("at") >= F.col("lead")) & (F.col("at") < F.col("lead") + BLOCK)).drop("lead")
 
 
@@ -107,11 +107,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = hits.withColumn("span", F.slice("block", F.greatest(F.col("at") - F.col("offset") + 1, F.lit(1)), F.col("width")))
     hits = hits.withColumn("doc_shape", template(F.col("span"))).where((F.xxhash64("doc_shape") == F.col("key")) & (F.array_join("doc_shape", " ") == F.col("shape")))
     pairs = F.zip_with("item_slots", slots(F.col("span"), F.col("doc_shape")), lambda a, b: F.struct(a.alias("item"), b.alias("doc")))
-    found = hits.groupBy("doc_id", "item_id", "window").agg(F.first("n_windows").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
-    joint = found.groupBy("doc_id", "item_id").agg(F.count("*").alias("found"), F.first("n_windows").alias("n_windows"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
-    consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"])))
+    shift = (F.col("begin") + F.col("at") - F.col("offset") - F.col("window")).alias("shift")
+    place = hits.select("doc_id", "item_id", shift, "window", "n_windows", pairs.alias("pairs"))
+    # One place of an item in a document: its windows follow each other, and its slots have to agree.
+    places = place.groupBy("doc_id", "item_id", "shift").agg(F.first("n_windows").alias("n_windows"), F.collect_set("window").alias("windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    places = places.where(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"]))))
     changed = F.exists("pairs", lambda p: p["item"] != p["doc"])
-    return joint.where((F.col("found") >= MIN_SHARE * F.col("n_windows")) & consistent).select("doc_id", "item_id", (F.col("found") / F.col("n_windows")).alias("share"), changed.alias("changed"))
+    joint = places.groupBy("doc_id", "item_id").agg(F.first("n_windows").alias("n_windows"), F.size(F.array_distinct(F.flatten(F.collect_set("windows")))).alias("found"), F.bool_and(changed).alias("changed"))
+    return joint.where(F.col("found") >= MIN_SHARE * F.col("n_windows")).select("doc_id", "item_id", (F.col("found") / F.col("n_windows")).alias("share"), "changed")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
