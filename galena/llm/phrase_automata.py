@@ -30,6 +30,7 @@ from galena.llm.segments import Search, Shard, distinct_segments, expand, in_chu
 LENGTH = 13
 GRAM = 4
 CHUNK_BYTES = 4 << 20
+SHARDS = 4  # for each chunk
 
 
 def confirm(texts: list[list[str]], low_id: list[int], high_id: list[int], length: int) -> dict[str, int]:
@@ -85,7 +86,7 @@ def answers_of(segments: DataFrame, length: int) -> DataFrame:
 def _search_phrases(docs: DataFrame, length: int, chunk_bytes: int):
     search = Search(length, min(GRAM, length), word_items, distinct_docs=True)
     chunks, n = in_chunks(docs, chunk_bytes)
-    answers = answers_of(segments_of(chunks, recurring(chunks, search), search, n), length)
+    answers = answers_of(segments_of(chunks, recurring(chunks, search), search, SHARDS * n), length)
     return search, chunks.groupBy("__chunk").cogroup(answers.groupBy("__chunk"))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from galena.llm import jaccard_join, license_scan, pairwise_quality, phrase_automata, quality_rules, source_mix, suffix_dedup, template_leaks
+from galena.llm import class_lm, jaccard_join, license_scan, pairwise_quality, phrase_automata, quality_rules, source_mix, suffix_dedup, template_leaks, warc_zip
 from galena.llm.common import read
 
 
@@ -23,10 +23,19 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.sampled(read(spark, sf_dir, "documents"))
 
 
+def op4_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc_zip.round_trip(read(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(read(spark, sf_dir, "documents"))
 
 
+def op6_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.score_texts(read(spark, sf_dir, "documents"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -43,5 +52,15 @@ def op10_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_automata.phrase_digests(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_source_mix, op5_license_scan, op7_jaccard_join, op8_template_leaks, op9_pairwise_quality, op10_phrase_automata)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_source_mix, op4_warc_zip, op5_license_scan, op6_class_lm, op7_jaccard_join, op8_template_leaks, op9_pairwise_quality, op10_phrase_automata)}
+ORACLES: dict[str, str] = {
+    "op4_warc_zip": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS html, url, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest FROM pages
+        ), f AS (SELECT digest, max(page_id) AS first FROM p WHERE n >= 1000 GROUP BY digest)
+        SELECT p.page_id, p.n AS payload_bytes, p.digest AS payload_digest,
+               CASE WHEN f.first <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN f.first <> p.page_id THEN f.first END AS refers_to
+        FROM p LEFT JOIN f ON p.digest = f.digest AND p.n >= 1000
+    """,
+}

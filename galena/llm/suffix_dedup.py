@@ -28,6 +28,7 @@ from galena.llm.segments import Search, Shard, byte_items, distinct_segments, ex
 LENGTH = 200
 GRAM = 32
 CHUNK_BYTES = 4 << 20
+SHARDS = 4  # for each chunk
 
 
 def dense_ranks(keys: np.ndarray) -> np.ndarray:
@@ -166,7 +167,7 @@ def whole_code_points(gone: np.ndarray, data: np.ndarray) -> np.ndarray:
 def _search_repeats(docs: DataFrame, length: int, chunk_bytes: int):
     search = Search(length, min(GRAM, max(1, length // 2)), byte_items, distinct_docs=False)
     chunks, n = in_chunks(docs, chunk_bytes)
-    answers = answers_of(segments_of(chunks, recurring(chunks, search), search, n), length)
+    answers = answers_of(segments_of(chunks, recurring(chunks, search), search, SHARDS * n), length)
     return search, chunks.groupBy("__chunk").cogroup(answers.groupBy("__chunk"))
 
 
