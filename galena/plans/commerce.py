@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from galena.operators import commerce as ops
 from galena.operators.windows import latest_per_key
 from galena.plans.base import AS_OF, query
-from galena.plans.windows import LATEST, LATEST_SQL
+from galena.plans.windows import LATEST_SQL, latest_first
 from galena.sources.views import Tables, with_views
 
 HOURS = 24 * 400
 
 
 def latest(t: Tables) -> DataFrame:
-    return latest_per_key(t.observations(), ["offer_id"], LATEST)
+    return latest_per_key(t.observations(), ["offer_id"], latest_first())
 
 
 _LATEST = f", latest AS (SELECT * FROM obs QUALIFY row_number() OVER (PARTITION BY offer_id ORDER BY {LATEST_SQL}) = 1)"

@@ -74,3 +74,17 @@ def reclassify_references(t: Tables) -> DataFrame:
     members = nodes(t).groupBy("grp").agg(F.count("*").alias("members"))
     every = (F.col("pairs") == F.col("d")) & (F.col("pairs") == F.col("members") * (F.col("members") - 1) / 2)
     return members.join(pairs, "grp", "left").select("grp", F.when(F.col("members") == 1, "ASSIGNED").when(every, "REUSED").otherwise("AMBIGUOUS").alias("class"))
+
+
+@query("compare_records", """
+    WITH r AS (SELECT p_brand || '/' || CAST(p_size AS VARCHAR) AS grp, p_partkey AS id, split_part(p_name, ' ', 1) AS colour, split_part(p_name, ' ', 2) AS noun, p_type FROM part)
+    SELECT a.grp, a.id AS "left", b.id AS "right", CASE WHEN a.noun <> b.noun THEN 'DISTINCT' WHEN a.colour <> b.colour THEN 'DISTINCT' WHEN a.p_type = b.p_type THEN 'MATCH' ELSE 'AMBIGUOUS' END AS relation,
+        CASE WHEN a.noun <> b.noun THEN 'name' WHEN a.colour <> b.colour THEN 'colour' WHEN a.p_type = b.p_type THEN 'same facts' ELSE 'kind' END AS reason FROM r a JOIN r b ON a.grp = b.grp AND a.id < b.id""")
+def compare_records(t: Tables) -> DataFrame:
+    """Descriptors of a name, then the rest, as one ordered chain with its reason."""
+    rows = t.part.select(F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("grp"), F.col("p_partkey").alias("id"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("colour"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("noun"), "p_type")
+    pairs, _ = pairs_within_group(rows, "grp", "id", 1000)
+    chain = F.when(F.col("left_noun") != F.col("right_noun"), F.struct(F.lit("DISTINCT").alias("relation"), F.lit("name").alias("reason")))
+    chain = chain.when(F.col("left_colour") != F.col("right_colour"), F.struct(F.lit("DISTINCT").alias("relation"), F.lit("colour").alias("reason")))
+    chain = chain.when(F.col("left_p_type") == F.col("right_p_type"), F.struct(F.lit("MATCH").alias("relation"), F.lit("same facts").alias("reason")))
+    return pairs.select("grp", F.col("left_id").alias("left"), F.col("right_id").alias("right"), chain.otherwise(F.struct(F.lit("AMBIGUOUS").alias("relation"), F.lit("kind").alias("reason"))).alias("c")).select("grp", "left", "right", "c.*")

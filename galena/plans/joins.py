@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from galena.operators import filters, joins
 from galena.operators.windows import latest_per_key
 from galena.plans.base import AS_OF, query
-from galena.plans.windows import LATEST, LATEST_SQL
+from galena.plans.windows import LATEST_SQL, latest_first
 from galena.sources.tables import append_new
 from galena.sources.tables import upsert_latest as upsert
 from galena.sources.views import Tables, with_views
@@ -207,7 +207,7 @@ def join_value_list(t: Tables) -> DataFrame:
     SELECT count(*) AS comparable, count(*) FILTER (WHERE item_cents < list_cents) AS promotions FROM o JOIN l USING (variant_id, market_id)""").replace("\n\n    , l", ", l"))
 def promotion_join(t: Tables) -> DataFrame:
     listed = latest_per_key(t.list_prices(), ["variant_id", "market_id"], [F.desc("observed_at"), F.desc("obs_id"), F.desc("list_cents")]).select("variant_id", "market_id", "list_cents")
-    offers = latest_per_key(t.observations(), ["offer_id"], LATEST).select("variant_id", "market_id", "item_cents")
+    offers = latest_per_key(t.observations(), ["offer_id"], latest_first()).select("variant_id", "market_id", "item_cents")
     return offers.join(listed, ["variant_id", "market_id"]).agg(F.count("*").alias("comparable"), F.count_if(F.col("item_cents") < F.col("list_cents")).alias("promotions"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from galena.plans.base import query
 from galena.sources import pages as jobs
-from galena.sources.tables import normalize_payload, sitemap
+from galena.sources.tables import normalize_payload, scratch, sitemap, snapshot, snapshot_sweep
 from galena.sources.views import Tables
 
 
@@ -102,3 +102,27 @@ def json_identifier_walk(t: Tables) -> DataFrame:
         WITH one AS (SELECT event_id, e.key AS key, e.value AS value FROM galena_walk, LATERAL variant_explode(v) AS e),
         two AS (SELECT event_id, one.key || '.' || e.key AS path, e.key AS key, e.value AS value FROM one, LATERAL variant_explode(one.value) AS e)
         SELECT event_id, '$.' || key AS path, CAST(value AS STRING) AS value FROM one WHERE key = 'k' UNION ALL SELECT event_id, '$.' || path, CAST(value AS STRING) FROM two WHERE key = 'k'""")
+
+
+def _snapshots(t: Tables) -> DataFrame:
+    """One JSON snapshot for each brand, made from the part table."""
+    entries = F.array_sort(F.collect_list(F.struct(F.col("p_partkey").cast("string").alias("reference"), F.col("p_name").alias("name"))))
+    envelope = F.struct(F.col("p_brand").alias("sourceRole"), F.lit("2024-01-01").alias("observedAt"), "entries")
+    return t.part.groupBy("p_brand").agg(entries.alias("entries")).select("p_brand", F.to_json(envelope).alias("value"))
+
+
+@query("snapshot_entries", "SELECT p_brand AS \"sourceRole\", '2024-01-01' AS \"observedAt\", CAST(p_partkey AS VARCHAR) AS reference, p_name AS name FROM part")
+def snapshot_entries(t: Tables) -> DataFrame:
+    at = scratch(t.spark)
+    _snapshots(t).select("value").write.text(at)
+    return snapshot(t.spark, at, schema="sourceRole string, observedAt string, entries array<struct<reference: string, name: string>>", lines=True)
+
+
+@query("snapshot_sweep", "SELECT p_brand AS role, count(*) AS entries FROM part WHERE p_brand NOT LIKE '%7' GROUP BY 1")
+def snapshot_sweep_query(t: Tables) -> DataFrame:
+    """A folder of snapshots of which some are cut off."""
+    at = scratch(t.spark)
+    value = F.when(F.endswith("p_brand", F.lit("7")), F.substring("value", 1, 20)).otherwise(F.col("value"))
+    _snapshots(t).select("p_brand", value.alias("value")).repartition("p_brand").write.partitionBy("p_brand").text(at)
+    found = snapshot_sweep(t.spark, at, "*.txt")
+    return found.select(F.try_variant_get("payload", "$.sourceRole", "string").alias("role"), F.size(F.try_variant_get("payload", "$.entries", "array<variant>")).cast("long").alias("entries"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from galena.operators import resolution as ops
@@ -102,8 +102,6 @@ def rekey_plan(t: Tables) -> DataFrame:
 @query("consolidate_reviews", """
     SELECT o_custkey, o_orderkey, CASE WHEN row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderstatus = 'P' THEN 0 ELSE 1 END, o_orderdate, o_orderkey) = 1 THEN 'ACTIVE' ELSE 'CLOSED' END AS state FROM orders WHERE o_orderstatus <> 'F'""")
 def consolidate_reviews(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
     w = Window.partitionBy("o_custkey").orderBy((F.col("o_orderstatus") != "P").asc(), "o_orderdate", "o_orderkey")
     return t.orders.where("o_orderstatus <> 'F'").select("o_custkey", "o_orderkey", F.when(F.row_number().over(w) == 1, "ACTIVE").otherwise("CLOSED").alias("state"))
 
@@ -133,8 +131,6 @@ def plan_violations(t: Tables) -> DataFrame:
     SELECT l_orderkey, l_partkey, CASE WHEN row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) = 1 THEN 'KEEP' WHEN p_size > 40 THEN 'REUSE' ELSE 'CREATE' END AS action, count(*) OVER (PARTITION BY l_orderkey, p_name) > 1 AS collision
     FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_quantity > 40) JOIN part ON p_partkey = l_partkey""")
 def product_plan(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
     rows = t.lineitem.where("l_quantity > 40").select("l_orderkey", "l_partkey").distinct().join(t.part, F.col("p_partkey") == F.col("l_partkey"))
     first = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey")) == 1
     same = F.count("*").over(Window.partitionBy("l_orderkey", "p_name"))
@@ -163,3 +159,14 @@ def apply_split(t: Tables) -> DataFrame:
     plan = t.lineitem.where("l_discount = 0").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct().withColumn("owner", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
     moved = t.lineitem.join(plan, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "left")
     return moved.select(F.coalesce("owner", "l_orderkey").alias("owner"), "l_linenumber", "l_partkey", F.col("owner").isNotNull().alias("split"))
+
+
+@query("record_evidence", """
+    WITH l AS (SELECT user_id, event_type, max_by(value, (ts, event_id)) AS v FROM events GROUP BY 1, 2)
+    SELECT user_id, count(*) AS fields, coalesce(max(v) FILTER (WHERE event_type = 'purchase'), max(v) FILTER (WHERE event_type = 'click'), max(v) FILTER (WHERE event_type = 'view'), max(v)) AS preferred FROM l GROUP BY 1""")
+def record_evidence(t: Tables) -> DataFrame:
+    """The latest value of each field of a record as a map, and the preferred one of several names."""
+    latest = t.events.groupBy("user_id", "event_type").agg(F.max_by("value", F.struct("ts", "event_id")).alias("v"))
+    facts = latest.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "v"))).alias("facts"))
+    named = [F.try_element_at("facts", F.lit(n)) for n in ("purchase", "click", "view")]
+    return facts.select("user_id", F.size("facts").cast("long").alias("fields"), F.coalesce(*named, F.array_max(F.map_values("facts"))).alias("preferred"))

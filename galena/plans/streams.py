@@ -2,24 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from galena.operators.windows import latest_per_key
 from galena.plans.base import query
+from galena.sources.tables import scratch
 from galena.sources.views import Tables
 from galena.streaming import jobs
 
 
-def _folder(t: Tables) -> str:
-    """A fresh folder in the shared place that the session names, or a local one in tests."""
-    shared = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="galena-")
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _stream(t: Tables) -> DataFrame:
     return jobs.read_stream(t.spark, f"{t.folder}/events.parquet")
 
@@ -33,7 +25,7 @@ def _text(c: str):
     SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, event_type, n, cents FROM w WHERE start + INTERVAL 6 HOURS <= (SELECT max(ts) - INTERVAL 10 MINUTES FROM events)""")
 def stream_tumbling(t: Tables) -> DataFrame:
     """Windows that the watermark has closed."""
-    at = _folder(t)
+    at = scratch(t.spark)
     out = jobs.run_once(jobs.tumbling(_stream(t)), f"{at}/out", f"{at}/state")
     return out.select(_text("start").alias("start"), "event_type", "n", "cents")
 
@@ -42,7 +34,7 @@ def stream_tumbling(t: Tables) -> DataFrame:
     WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOURS THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
     SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 2 HOURS <= (SELECT max(ts) - INTERVAL 10 MINUTES FROM events)""")
 def stream_session(t: Tables) -> DataFrame:
-    at = _folder(t)
+    at = scratch(t.spark)
     out = jobs.run_once(jobs.sessions(_stream(t)), f"{at}/out", f"{at}/state")
     return out.select("user_id", _text("start").alias("start"), "n")
 
@@ -51,7 +43,7 @@ def stream_session(t: Tables) -> DataFrame:
 def stream_dedupe(t: Tables) -> DataFrame:
     """Every event twice in, once out."""
     twice = _stream(t).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
-    at = _folder(t)
+    at = scratch(t.spark)
     out = jobs.run_once(jobs.dedupe(twice, ["event_id"]).select("event_id"), f"{at}/out", f"{at}/state")
     return out.agg(F.count("*").alias("rows"), F.count_distinct("event_id").alias("ids"), F.sum("event_id").alias("total"))
 
@@ -60,7 +52,7 @@ def stream_dedupe(t: Tables) -> DataFrame:
     WITH e AS (SELECT user_id, event_id, ts, event_type, CAST(json_extract(props, '$.k') AS INT) % 20 AS copy FROM events) SELECT user_id, copy, event_id, event_type FROM e QUALIFY row_number() OVER (PARTITION BY user_id, copy ORDER BY ts DESC, event_id DESC) = 1 AND event_type <> 'error'""")
 def stream_edits(t: Tables) -> DataFrame:
     """The last edit of each copy, kept up to date batch by batch; a new version of the state replaces the old one."""
-    at = _folder(t)
+    at = scratch(t.spark)
     versions: list[str] = []
 
     def merge(batch: DataFrame, number: int) -> None:
@@ -77,7 +69,7 @@ def stream_edits(t: Tables) -> DataFrame:
 @query("stream_change_detect", "SELECT 'created' AS status, count(*) AS n FROM pages")
 def stream_change_detect(t: Tables) -> DataFrame:
     """Pages taken in by content hash: the first intake creates all of them, and a second run takes in nothing."""
-    at = _folder(t)
+    at = scratch(t.spark)
     pages = t.pages.select("page_id", F.sha2("html", 256).alias("digest"))
     pages.write.parquet(f"{at}/in")
     stream = t.spark.readStream.schema(pages.schema).parquet(f"{at}/in")

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from galena.operators import windows as ops
 from galena.plans.base import query
 from galena.sources.views import Tables, with_views
 
-LATEST = [F.desc("observed_at"), F.desc("obs_id"), F.desc("item_cents"), F.desc("line")]
+
+def latest_first() -> list[Column]:
+    """A total order of observations; a function, as columns need a session."""
+    return [F.desc("observed_at"), F.desc("obs_id"), F.desc("item_cents"), F.desc("line")]
+
+
 LATEST_SQL = "observed_at DESC, obs_id DESC, item_cents DESC, line DESC"
 
 
@@ -56,7 +61,7 @@ def stratified_sample(t: Tables) -> DataFrame:
     SELECT offer_id, item_cents AS current, previous FROM (SELECT *, row_number() OVER w AS r, lead(item_cents) OVER w AS previous FROM obs WINDOW w AS (PARTITION BY offer_id ORDER BY {LATEST_SQL}))
     WHERE r = 1 AND previous > 0 AND item_cents < previous"""))
 def price_drop(t: Tables) -> DataFrame:
-    return ops.price_drop(t.observations(), ["offer_id"], LATEST, "item_cents")
+    return ops.price_drop(t.observations(), ["offer_id"], latest_first(), "item_cents")
 
 
 @query("ranked_per_theme", """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,17 +14,20 @@ def load(spark: SparkSession, directory: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{table}.parquet")
 
 
-def snapshot(spark: SparkSession, path: str, entries: str = "entries", schema: str | None = None) -> DataFrame:
-    """A JSON snapshot ``{..envelope, entries: [..]}`` as one row for each entry with the envelope's columns."""
-    reader = spark.read.option("multiLine", True)
+def snapshot(spark: SparkSession, path: str, entries: str = "entries", schema: str | None = None, lines: bool = False) -> DataFrame:
+    """JSON snapshots ``{..envelope, entries: [..]}`` as one row for each entry with the envelope's columns.
+
+    One snapshot for each file, or for each line with ``lines``.
+    """
+    reader = spark.read.option("multiLine", not lines)
     whole = (reader.schema(schema) if schema else reader).json(path)
     rest = [c for c in whole.columns if c != entries]
     return whole.select(*rest, F.explode(entries).alias("__e")).select(*rest, "__e.*")
 
 
-def snapshot_sweep(spark: SparkSession, folder: str) -> DataFrame:
-    """Every JSON file of a folder as (file, payload variant); malformed files are skipped."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(folder)
+def snapshot_sweep(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
+    """Every file of a folder and its subfolders as (file, payload variant); malformed files are skipped."""
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder)
     return files.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.try_parse_json("value").alias("payload")).where(F.col("payload").isNotNull())
 
 
@@ -43,6 +48,12 @@ def normalize_payload(df: DataFrame, json: str, spec: dict[str, tuple[list[str],
     return out.where(reduce(Column.__and__, [F.col(c).isNotNull() for c in required]))
 
 
+def scratch(spark: SparkSession) -> str:
+    """A fresh folder in the shared place that the session names, or a local one where it names none."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="galena-")
+    return f"{shared.rstrip('/')}/galena-{uuid.uuid4().hex}"
+
+
 def upsert_latest(current: DataFrame, incoming: DataFrame, keys: list[str], version: str, ties: list[str]) -> DataFrame:
     """Current state after an upsert by natural key: the row with the latest version wins, later input over earlier."""
     both = current.withColumn("__new", F.lit(0)).unionByName(incoming.withColumn("__new", F.lit(1)))
