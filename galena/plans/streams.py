@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from galena.operators.windows import latest_per_key
@@ -79,19 +79,15 @@ def stream_change_detect(t: Tables) -> DataFrame:
 
 
 @query("stream_price_drop", """
-    SELECT user_id, event_id, floor(value * 100) AS current, floor(p * 100) AS previous FROM (SELECT *, lag(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS p FROM events WHERE event_type = 'purchase') WHERE p > 0 AND floor(value * 100) < floor(p * 100)""")
+    SELECT user_id, event_id, CAST(c AS BIGINT) AS current, CAST(p AS BIGINT) AS previous FROM (SELECT user_id, event_id, floor(value * 100) AS c, lag(floor(value * 100)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events WHERE event_type = 'purchase') WHERE p > 0 AND c < p""")
 def stream_price_drop(t: Tables) -> DataFrame:
-    """The batch twin of the keyed alert: each purchase cheaper than the one before."""
-    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    rows = t.events.where("event_type = 'purchase'").withColumn("p", F.lag("value").over(w))
-    now, before = F.floor(F.col("value") * 100), F.floor(F.col("p") * 100)
-    return rows.where((F.col("p") > 0) & (now < before)).select("user_id", "event_id", now.cast("double").alias("current"), before.cast("double").alias("previous"))
+    at = scratch(t.spark)
+    return jobs.run_once(jobs.price_drops(_stream(t)), f"{at}/out", f"{at}/state")
 
 
 @query("stream_latest_ttl", """
-    SELECT user_id, event_type, event_id, ts < TIMESTAMP '2024-01-30' - INTERVAL 24 HOURS AS ended FROM events WHERE ts <= TIMESTAMP '2024-01-30' QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1""")
+    SELECT user_id, event_type, max_by(event_id, (epoch_ms(ts), event_id)) AS event_id FROM events GROUP BY 1, 2 HAVING epoch_ms(max(ts)) + 24 * 3600000 < (SELECT epoch_ms(max(ts)) - 600000 FROM events)""")
 def stream_latest_ttl(t: Tables) -> DataFrame:
-    """The batch twin of the state with a timer: the last event of each key, ended if not seen for 24 hours."""
-    as_of = F.lit("2024-01-30").cast("timestamp_ntz")
-    last = latest_per_key(t.events.where(F.col("ts") <= as_of), ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")])
-    return last.select("user_id", "event_type", "event_id", (F.col("ts") < as_of - F.make_interval(hours=F.lit(24))).alias("ended"))
+    """Keys whose last event was more than 24 hours before the final watermark."""
+    at = scratch(t.spark)
+    return jobs.run_once(jobs.ended_keys(_stream(t)), f"{at}/out", f"{at}/state").select("user_id", "event_type", "event_id")
