@@ -28,10 +28,14 @@ def tokens(c: Column) -> Column:
 
 def token_jaccard(a: Column, b: Column) -> Column:
     """Jaccard similarity of tokens; equality of the folded texts if one side has none."""
-    x, y = tokens(a), tokens(b)
-    either = (F.size(x) == 0) | (F.size(y) == 0)
-    same = F.coalesce(fold_text(a).eqNullSafe(fold_text(b)), F.lit(False)).cast("double")
-    return F.when(either, same).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
+    same = F.coalesce(fold_text(a).eqNullSafe(fold_text(b)), F.lit(False))
+    return jaccard_of(tokens(a), tokens(b), same)
+
+
+def jaccard_of(x: Column, y: Column, same: Column) -> Column:
+    """The same for token sets made before, so that pairs don't fold their texts again."""
+    both = F.size(F.array_intersect(x, y))
+    return F.when((F.size(x) == 0) | (F.size(y) == 0), same.cast("double")).otherwise(both / (F.size(x) + F.size(y) - both))
 
 
 def display_name(*choices: Column) -> Column:

@@ -31,14 +31,15 @@ def cluster_records(nodes: DataFrame, pairs: DataFrame, group: str, id: str, rel
     member of a clique sees the same smallest id. Groups where that fails are not accepted.
     ``pairs``: group, left, right, relation for all pairs of the group.
     """
-    match = pairs.where(F.col(relation) == "MATCH")
-    near = match.select(group, F.col("left").alias(id), F.col("right").alias("__o")).union(match.select(group, F.col("right"), F.col("left")))
-    low = near.groupBy(group, id).agg(F.min("__o").alias("__low"), F.count("*").alias("__degree"))
-    labelled = nodes.select(group, id).join(low, [group, id], "left").select(group, id, F.least(F.col(id), F.coalesce("__low", id)).alias("cluster"), F.coalesce("__degree", F.lit(0)).alias("__degree"))
-    size = labelled.groupBy(group, "cluster").agg(F.count("*").alias("__size"), F.min("__degree").alias("__least"), F.max("__degree").alias("__most"))
-    cliques = size.groupBy(group).agg(F.bool_and((F.col("__least") == F.col("__size") - 1) & (F.col("__most") == F.col("__size") - 1)).alias("__cliques"))
-    open_ = pairs.groupBy(group).agg(F.count_if(F.col(relation) == "AMBIGUOUS").alias("__open"))
-    ok = cliques.join(open_, group, "left").select(group, (F.col("__cliques") & (F.coalesce("__open", F.lit(0)) == 0)).alias("accepted"))
+    sides = F.explode(F.array(F.struct(F.col("left").alias("me"), F.col("right").alias("other")), F.struct(F.col("right").alias("me"), F.col("left").alias("other"))))
+    near = pairs.select(group, relation, sides.alias("s")).select(group, relation, F.col("s.me").alias(id), F.col("s.other").alias("__o"))
+    match = F.col(relation) == "MATCH"
+    # One pass over the pairs: smallest match, number of matches and open pairs of each node.
+    per = near.groupBy(group, id).agg(F.min(F.when(match, F.col("__o"))).alias("__low"), F.count_if(match).alias("__degree"), F.count_if(F.col(relation) == "AMBIGUOUS").alias("__open"))
+    labelled = nodes.select(group, id).join(per, [group, id], "left").select(group, id, F.least(F.col(id), F.coalesce("__low", id)).alias("cluster"), F.coalesce("__degree", F.lit(0)).alias("__degree"), F.coalesce("__open", F.lit(0)).alias("__open"))
+    size = labelled.groupBy(group, "cluster").agg(F.count("*").alias("__size"), F.min("__degree").alias("__least"), F.max("__degree").alias("__most"), F.sum("__open").alias("__open"))
+    clique = (F.col("__least") == F.col("__size") - 1) & (F.col("__most") == F.col("__size") - 1) & (F.col("__open") == 0)
+    ok = size.groupBy(group).agg(F.bool_and(clique).alias("accepted"))
     return labelled.join(ok, group).select(group, id, "cluster", "accepted")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galena.functions.text import token_jaccard
+from galena.functions.text import fold_text, jaccard_of, tokens
 from galena.operators import identity as ops
 from galena.operators.joins import pairs_within_group
 from galena.plans.base import query
@@ -26,8 +26,10 @@ _NODES = """n AS (SELECT p_name || '/' || p_type AS grp, p_partkey AS id, string
 
 
 def related(t: Tables) -> DataFrame:
-    pairs, _ = pairs_within_group(nodes(t), "grp", "id", MAX_GROUP)
-    relation = ops.compare_identity(token_jaccard(F.col("left_name"), F.col("right_name")), F.col("left_year") == F.col("right_year"), F.lit(True), F.col("left_special") != F.col("right_special"))
+    told = nodes(t).select("grp", "id", fold_text(F.col("name")).alias("name"), tokens(F.col("name")).alias("tokens"), "year", "special")
+    pairs, _ = pairs_within_group(told, "grp", "id", MAX_GROUP)
+    similarity = jaccard_of(F.col("left_tokens"), F.col("right_tokens"), F.col("left_name").eqNullSafe(F.col("right_name")))
+    relation = ops.compare_identity(similarity, F.col("left_year") == F.col("right_year"), F.lit(True), F.col("left_special") != F.col("right_special"))
     return pairs.select("grp", F.col("left_id").alias("left"), F.col("right_id").alias("right"), relation.alias("relation"))
 
 
