@@ -30,10 +30,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where the session names none."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("galena.shared.dir", None)
     if not at:
         at = "file://" + tempfile.mkdtemp(prefix="galena-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        spark.conf.set("galena.shared.dir", at)
     return at.rstrip("/")
 
 

@@ -52,8 +52,85 @@ def op10_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_automata.phrase_digests(read(spark, sf_dir, "documents"))
 
 
+def _template_leaks_sql() -> str:
+    """All windows of all documents as templates, joined to the windows of the benchmark."""
+    marks = "'" + template_leaks.MARKS.replace("'", "''") + "'"
+    units = ", ".join(f"'{u}'" for u in template_leaks.UNITS)
+
+    def inner(x: str) -> str:
+        return f"trim({x}, {marks})"
+
+    def bare(x: str) -> str:
+        return f"CASE WHEN lower({inner(x)}) = '' THEN {x} ELSE lower({inner(x)}) END"
+
+    def number(x: str) -> str:
+        return f"regexp_matches({inner(x)}, '{template_leaks.NUMBER_RE}')"
+
+    stop = template_leaks.STOP_RE.replace("'", "''")
+    name = template_leaks.NAME_RE.replace("'", "''")
+    shape = f"""list_transform(span, lambda x, i: CASE WHEN {number('x')} THEN '<number>' WHEN {bare('x')} IN ({units}) AND i > 1 AND coalesce({number('span[i - 1]')}, FALSE) THEN '<unit>'
+        WHEN i > 1 AND regexp_matches({inner('x')}, '{name}') AND NOT coalesce(regexp_matches(span[i - 1], '{stop}'), TRUE) THEN '<name>' ELSE {bare('x')} END)"""
+    slot = "('<number>', '<unit>', '<name>')"
+    words = "regexp_split_to_array(trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\\x20\\x09-\\x0D]+')"
+    return f"""
+        WITH iw AS (SELECT item_id, words, least(len(words), {template_leaks.WINDOW}) AS width, len(words) - least(len(words), {template_leaks.WINDOW}) + 1 AS n_windows FROM (SELECT item_id, {words} AS words FROM benchmark) WHERE words[1] <> ''),
+        ispan AS (SELECT item_id, n_windows, width, win, words[win:win + width - 1] AS span FROM (SELECT *, unnest(range(1, n_windows + 1)) AS win FROM iw)),
+        ishape AS (SELECT * FROM (SELECT *, {shape} AS shape FROM ispan) WHERE len(list_filter(shape, lambda x: x NOT IN {slot} AND x <> '')) > 0),
+        dw AS (SELECT doc_id, {words} AS words FROM documents),
+        dspan AS (SELECT doc_id, width, p, words[p:p + width - 1] AS span FROM (SELECT doc_id, words, width, unnest(range(1, len(words) - width + 2)) AS p FROM dw, (SELECT DISTINCT width FROM iw))),
+        dshape AS (SELECT doc_id, p, span, {shape} AS shape FROM dspan),
+        hit AS (SELECT d.doc_id, i.item_id, i.win, i.n_windows, d.p - i.win AS shift, i.span AS a, d.span AS b, i.shape FROM dshape d JOIN ishape i ON d.shape = i.shape),
+        pair AS (SELECT doc_id, item_id, shift, {bare('a[k]')} AS a, {bare('b[k]')} AS b FROM (SELECT *, unnest(range(1, len(shape) + 1)) AS k FROM hit) WHERE shape[k] IN {slot}),
+        pc AS (SELECT doc_id, item_id, shift, count(DISTINCT (a, b)) AS np, count(DISTINCT a) AS na, bool_or(a <> b) AS changed FROM pair GROUP BY ALL),
+        place AS (SELECT h.doc_id, h.item_id, h.win, h.n_windows, coalesce(pc.changed, FALSE) AS changed FROM hit h LEFT JOIN pc ON h.doc_id IS NOT DISTINCT FROM pc.doc_id AND h.item_id = pc.item_id AND h.shift = pc.shift WHERE coalesce(np, 0) = coalesce(na, 0)),
+        leak AS (SELECT doc_id, item_id, bool_and(changed) AS changed FROM place GROUP BY doc_id, item_id HAVING count(DISTINCT win) >= {template_leaks.MIN_SHARE} * any_value(n_windows)),
+        per AS (SELECT doc_id, count(*) AS n_items, array_to_string(list_sort(list(item_id)), ',') AS items, count(*) FILTER (WHERE changed) AS n_changed FROM leak GROUP BY doc_id)
+        SELECT d.doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, coalesce(items, '') AS items, coalesce(n_changed, 0) AS n_changed FROM documents d LEFT JOIN per ON d.doc_id IS NOT DISTINCT FROM per.doc_id"""
+
+
+_WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+_SUFFIX_SQL = f"""
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    win AS (SELECT rid, p, md5_number(substr(h, 2 * p + 1, {2 * suffix_dedup.LENGTH})) AS g FROM (SELECT rid, h, unnest(range(0, length(h) // 2 - {suffix_dedup.LENGTH - 1})) AS p FROM d)),
+    dup AS (SELECT g FROM win GROUP BY g HAVING count(*) > 1),
+    hit AS (SELECT rid, p, CASE WHEN p > lag(p) OVER (PARTITION BY rid ORDER BY p) + {suffix_dedup.LENGTH} THEN 1 ELSE 0 END AS fresh FROM win SEMI JOIN dup USING (g)),
+    island AS (SELECT rid, p, sum(fresh) OVER (PARTITION BY rid ORDER BY p ROWS UNBOUNDED PRECEDING) AS k FROM hit),
+    span AS (SELECT rid, min(p) AS a, max(p) + {suffix_dedup.LENGTH} AS b FROM island GROUP BY rid, k),
+    piece AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS prior FROM span),
+    per AS (SELECT rid, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(h, 2 * prior + 1, 2 * (a - prior)), '' ORDER BY a) AS kept FROM piece JOIN d USING (rid) GROUP BY rid)
+    SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN per USING (rid)"""
+
+_PHRASES_SQL = f"""
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+    win AS (SELECT rid, doc_id, p, md5_number(array_to_string(w[p:p + {phrase_automata.LENGTH - 1}], ' ')) AS g FROM (SELECT *, unnest(range(1, len(w) - {phrase_automata.LENGTH - 2})) AS p FROM d)),
+    low AS (SELECT g, min(doc_id) AS m FROM win GROUP BY g HAVING min(doc_id) < max(doc_id)),
+    hit AS (SELECT DISTINCT rid, p + k AS pos FROM win JOIN low USING (g), (SELECT unnest(range(0, {phrase_automata.LENGTH})) AS k) WHERE m < doc_id),
+    word AS (SELECT rid, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word FROM d),
+    kept AS (SELECT rid, string_agg(word, ' ' ORDER BY pos) AS kept FROM word ANTI JOIN hit USING (rid, pos) GROUP BY rid),
+    gone AS (SELECT rid, count(*) AS n FROM hit GROUP BY rid)
+    SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rid) LEFT JOIN gone USING (rid)"""
+
+_JACCARD_SQL = f"""
+    WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, md5_number(array_to_string(w[p:p + {jaccard_join.SHINGLE - 1}], ' ')) AS g FROM (SELECT *, unnest(range(1, greatest(len(w) - {jaccard_join.SHINGLE - 1}, CASE WHEN len(w) > 0 THEN 1 ELSE 0 END) + 1)) AS p FROM d)),
+    n AS (SELECT doc_id, count(*) AS n, md5(CAST(list_sort(list(g)) AS VARCHAR)) AS k FROM s GROUP BY doc_id),
+    copies AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY k) AS set_id, count(*) OVER (PARTITION BY k) AS n_copies FROM n),
+    common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+    pair AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= {jaccard_join.SIMILARITY} * (x.n + y.n - c) - 1e-6),
+    link AS (SELECT a, b FROM pair UNION ALL SELECT b, a FROM pair),
+    reach AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+    low AS (SELECT a, min(b) AS m FROM reach GROUP BY a), deg AS (SELECT a, count(*) AS n_links FROM link GROUP BY a)
+    SELECT d.doc_id, least(d.doc_id, coalesce(m, d.doc_id)) AS class_id, coalesce(n_links, 0) AS n_links, coalesce(n_copies, 1) AS n_copies, coalesce(set_id, d.doc_id) AS set_id
+    FROM d LEFT JOIN copies ON copies.doc_id = d.doc_id LEFT JOIN low ON low.a = d.doc_id LEFT JOIN deg ON deg.a = d.doc_id"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_source_mix, op4_warc_zip, op5_license_scan, op6_class_lm, op7_jaccard_join, op8_template_leaks, op9_pairwise_quality, op10_phrase_automata)}
 ORACLES: dict[str, str] = {
+    "op2_suffix_dedup": _SUFFIX_SQL,
+    "op7_jaccard_join": _JACCARD_SQL,
+    "op10_phrase_automata": _PHRASES_SQL,
+    "op8_template_leaks": _template_leaks_sql(),
     "op4_warc_zip": """
         WITH p AS (
             SELECT page_id, coalesce(html, '') AS html, url, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest FROM pages
