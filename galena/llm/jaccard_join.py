@@ -175,7 +175,7 @@ def candidate_links(rows: DataFrame, n_shards: int) -> DataFrame:
 
     def job(table: pa.Table) -> pa.Table:
         columns = [table.column(c).to_numpy() for c in ("bucket", "class", "low", "high")]
-        order = np.argsort(columns[0], kind="stable")
+        order = np.lexsort((columns[1], columns[0]))  # so that buckets with the same classes link them to the same one
         bucket, node, low, high = (c[order] for c in columns)
         low, high = low.view(np.uint64), high.view(np.uint64)
         label = np.arange(len(bucket))
