@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
-from galena.llm.segments import Search, Shard, distinct_segments, expand, in_chunks, look_up, recurring, segments_of, sliced, spread, word_items
+from galena.llm.segments import NO_ID, Search, Shard, distinct_segments, expand, in_chunks, look_up, recurring, segments_of, sliced, spread, word_items
 
 LENGTH = 13
 GRAM = 4
@@ -33,40 +33,43 @@ CHUNK_BYTES = 4 << 20
 SHARDS = 4  # for each chunk
 
 
-def confirm(texts: list[list[str]], low_id: list[int], high_id: list[int], length: int) -> dict[str, int]:
+Phrase = tuple[int, ...]
+
+
+def confirm(texts: list[Phrase], low_id: list[int], high_id: list[int], length: int) -> dict[Phrase, int]:
     """Phrases in two or more documents, and the smallest id of each."""
-    low: dict[str, int] = {}
-    high: dict[str, int] = {}
+    low: dict[Phrase, int] = {}
+    high: dict[Phrase, int] = {}
     for words, a, b in zip(texts, low_id, high_id, strict=True):
         for i in range(len(words) - length + 1):
-            phrase = " ".join(words[i : i + length])
+            phrase = words[i : i + length]
             low[phrase] = min(a, low.get(phrase, a))
             high[phrase] = max(b, high.get(phrase, b))
     return {p: a for p, a in low.items() if a < high[p]}
 
 
 def locate(shard: Shard, length: int) -> list[np.ndarray | None]:
-    """For each distinct segment, the smallest id of each window's phrase; None if no phrase occurs."""
-    whole = shard.body.tobytes().decode("latin-1")  # a character for each byte
-    lines = [whole[a:b] for a, b in zip(shard.off[:-1].tolist(), shard.off[1:].tolist(), strict=True)]
-    texts = [line.split(" ") for line in lines]
+    """For each distinct segment, the smallest id of each window's phrase; None if no phrase occurs.
+
+    The words of a shard are numbered, and the automaton runs over numbers: it has a node for each
+    word of a phrase and not for each character.
+    """
+    whole = shard.body.tobytes()
+    number: dict[bytes, int] = {}
+    texts = [tuple(number.setdefault(w, len(number) + 1) for w in whole[a:b].split(b" ")) for a, b in zip(shard.off[:-1].tolist(), shard.off[1:].tolist(), strict=True)]
     phrases = confirm(texts, shard.low_id.tolist(), shard.high_id.tolist(), length)
-    out: list[np.ndarray | None] = [None] * len(lines)
+    out: list[np.ndarray | None] = [None] * len(texts)
     if not phrases:
         return out
-    automaton = ahocorasick.Automaton()
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
     for phrase, low in phrases.items():
-        automaton.add_word(f" {phrase} ", low)
+        automaton.add_word(phrase, low)
     automaton.make_automaton()
-    none = np.iinfo(np.int64).max
-    for k, (line, words) in enumerate(zip(lines, texts, strict=True)):
-        ends = None
-        for end, low in automaton.iter(f" {line} "):
-            if ends is None:
-                # The separator after word w stands at the sum of the lengths to w, plus w + 1.
-                ends = {int(e): w for w, e in enumerate(np.cumsum([len(x) + 1 for x in words]))}
-                out[k] = np.full(len(words) - length + 1, none, np.int64)
-            out[k][ends[end] - length + 1] = low
+    for k, words in enumerate(texts):
+        for end, low in automaton.iter(words):
+            if out[k] is None:
+                out[k] = np.full(len(words) - length + 1, NO_ID, np.int64)
+            out[k][end - length + 1] = low
     return out
 
 
