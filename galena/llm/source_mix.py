@@ -81,11 +81,13 @@ def mix_sources(docs: DataFrame, size: Column | None = None, seed: int = 17, buc
     sizes = base if narrow else cut(base.select("__source", "__key", "size", "__hash"))
     per_source = sizes.groupBy("__source", "__key").agg(F.sum("size").alias("source_size"))
     targets = with_targets(per_source)
-    # Buckets of about bucket_rows documents of one source, in the order of (size class, hash).
-    per_class = sizes.groupBy("__key", "size").agg(F.count("*").alias("__n")).withColumn("__parts", F.ceil(F.col("__n") / bucket_rows))
+    # Buckets of about bucket_rows documents of one source, in the order of (size class, hash). Only
+    # classes above that are cut, and there are at most documents / bucket_rows of them to broadcast.
+    large = sizes.groupBy("__key", "size").agg(F.count("*").alias("__n")).where(F.col("__n") > bucket_rows)
+    large = F.broadcast(large.select("__key", "size", F.ceil(F.col("__n") / bucket_rows).alias("__parts")))
 
     def in_buckets(rows: DataFrame) -> DataFrame:
-        return rows.join(per_class.select("__key", "size", "__parts"), ["__key", "size"]).withColumn("__bucket", F.pmod(F.col("__hash"), F.col("__parts")))
+        return rows.join(large, ["__key", "size"], "left").withColumn("__bucket", F.pmod(F.col("__hash"), F.coalesce("__parts", F.lit(1))))
 
     placed = in_buckets(base)
     counted = in_buckets(sizes).groupBy("__key", "size", "__bucket").agg(F.count("*").alias("__rows"))
