@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a group that are paired under one join key.
+PAIR_BLOCK = 500
+
 
 def lateral_top1(left: DataFrame, right: DataFrame, on: str, order_by: list[Column]) -> DataFrame:
     """Each left row with the first right row of its key, or nulls."""
@@ -25,15 +28,26 @@ def inherit_with_override(own: DataFrame, inherited: DataFrame, keys: list[str])
     return own.unionByName(inherited.join(own.select(*keys).distinct(), keys, "left_anti"))
 
 
-def pairs_within_group(df: DataFrame, group: str, id: str, max_group: int = 200) -> tuple[DataFrame, DataFrame]:
+def pairs_within_group(df: DataFrame, group: str, id: str, max_group: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Pairs (left < right) of ids in a group, and the groups that are too large to be paired.
 
-    Pairs grow with the square of a group, so a group above ``max_group`` is reported instead.
+    Every group is paired unless ``max_group`` is given. A group above ``PAIR_BLOCK`` rows is dealt into
+    blocks by the hash of the id, and each pair of blocks is a join key of its own, so that no task holds
+    a whole group. The broadcast table lists only such groups: at most rows / ``PAIR_BLOCK``.
     """
     sizes = df.groupBy(group).agg(F.count("*").alias("__n"))
-    small = df.join(sizes.where(F.col("__n") <= max_group), group).drop("__n")
-    a, b = small.select(*[F.col(c).alias(f"left_{c}" if c != group else c) for c in df.columns]), small.select(*[F.col(c).alias(f"right_{c}" if c != group else c) for c in df.columns])
-    return a.join(b, group).where(F.col(f"left_{id}") < F.col(f"right_{id}")), sizes.where(F.col("__n") > max_group).withColumnRenamed("__n", "size")
+    fits = F.lit(True) if max_group is None else F.col("__n") <= max_group
+    kept = df if max_group is None else df.join(sizes.where(fits).select(group), group)
+    split = sizes.where(fits & (F.col("__n") > PAIR_BLOCK)).select(group, F.ceil(F.col("__n") / PAIR_BLOCK).cast("int").alias("__parts"))
+    parts = F.coalesce("__parts", F.lit(1))
+    dealt = kept.join(F.broadcast(split), group, "left").withColumn("__parts", parts).withColumn("__own", F.pmod(F.xxhash64(id), F.col("__parts")).cast("int"))
+    each = F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))
+
+    def side(name: str, own: str, other: str) -> DataFrame:
+        return dealt.select(*[F.col(c).alias(f"{name}_{c}" if c != group else c) for c in df.columns], F.col("__own").alias(own), each.alias(other))
+
+    pairs = side("left", "__a", "__b").join(side("right", "__b", "__a"), [group, "__a", "__b"]).drop("__a", "__b")
+    return pairs.where(F.col(f"left_{id}") < F.col(f"right_{id}")), sizes.where(~fits).withColumnRenamed("__n", "size")
 
 
 def expand_quantity(df: DataFrame, quantity: str, first_only: list[str]) -> DataFrame:

@@ -215,7 +215,7 @@ def promotion_join(t: Tables) -> DataFrame:
     WITH n AS (SELECT c_nationkey FROM customer GROUP BY 1 HAVING count(*) <= 60)
     SELECT a.c_nationkey, a.c_custkey AS left_id, b.c_custkey AS right_id FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey WHERE a.c_nationkey IN (SELECT * FROM n)""")
 def pairs_within_group(t: Tables) -> DataFrame:
-    pairs, _ = joins.pairs_within_group(t.customer.select("c_nationkey", "c_custkey"), "c_nationkey", "c_custkey", max_group=60)
+    pairs, _ = joins.pairs_within_group(t.customer.select("c_nationkey", "c_custkey"), "c_nationkey", "c_custkey")
     return pairs.select("c_nationkey", F.col("left_c_custkey").alias("left_id"), F.col("right_c_custkey").alias("right_id"))
 
 
