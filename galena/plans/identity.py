@@ -11,8 +11,6 @@ from galena.operators.joins import pairs_within_group
 from galena.plans.base import query
 from galena.sources.views import Tables
 
-MAX_GROUP = 120
-
 
 def nodes(t: Tables) -> DataFrame:
     """Parts of one name and type are a group; a name of two words, a brand as qualifier, a size as year."""
@@ -27,7 +25,7 @@ _NODES = """n AS (SELECT p_name || '/' || p_type AS grp, p_partkey AS id, string
 
 def related(t: Tables) -> DataFrame:
     told = nodes(t).select("grp", "id", fold_text(F.col("name")).alias("name"), tokens(F.col("name")).alias("tokens"), "year", "special")
-    pairs, _ = pairs_within_group(told, "grp", "id", MAX_GROUP)
+    pairs, _ = pairs_within_group(told, "grp", "id")
     similarity = jaccard_of(F.col("left_tokens"), F.col("right_tokens"), F.col("left_name").eqNullSafe(F.col("right_name")))
     relation = ops.compare_identity(similarity, F.col("left_year") == F.col("right_year"), F.lit(True), F.col("left_special") != F.col("right_special"))
     return pairs.select("grp", F.col("left_id").alias("left"), F.col("right_id").alias("right"), relation.alias("relation"))
@@ -85,7 +83,7 @@ def reclassify_references(t: Tables) -> DataFrame:
 def compare_records(t: Tables) -> DataFrame:
     """Descriptors of a name, then the rest, as one ordered chain with its reason."""
     rows = t.part.select(F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("grp"), F.col("p_partkey").alias("id"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("colour"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("noun"), "p_type")
-    pairs, _ = pairs_within_group(rows, "grp", "id", 1000)
+    pairs, _ = pairs_within_group(rows, "grp", "id")
     chain = F.when(F.col("left_noun") != F.col("right_noun"), F.struct(F.lit("DISTINCT").alias("relation"), F.lit("name").alias("reason")))
     chain = chain.when(F.col("left_colour") != F.col("right_colour"), F.struct(F.lit("DISTINCT").alias("relation"), F.lit("colour").alias("reason")))
     chain = chain.when(F.col("left_p_type") == F.col("right_p_type"), F.struct(F.lit("MATCH").alias("relation"), F.lit("same facts").alias("reason")))
