@@ -12,7 +12,8 @@ carries a licence: ``1 - product of (1 - weight)`` over its distinct kinds of ev
 
 Defined results: a null or empty text has no words, no labels and score 0; an expression that doesn't
 parse gives no label but counts as weak evidence; repeated rows are scanned one by one; other columns
-are not read. Work is linear in the text and matches are found in whole texts, never in prefixes.
+are not read. Matches are found in whole texts, never in prefixes, and expressions have no longest length.
+Work is linear in the text, but an expression that has tags in itself is read again from each of them.
 """
 
 from __future__ import annotations
@@ -53,6 +54,8 @@ ALIASES = {"cc-by-nc-nd": "cc-by-nc-nd", "cc-by-nc-sa": "cc-by-nc-sa", "cc-by-nc
 TAG = "spdx-license-identifier:"
 WEIGHTS = {"phrase": 0.6, "notice": 0.5, "tag": 0.9, "bad tag": 0.2}
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
+#: Ends of an expression, spaces, parentheses, identifiers, other characters.
+TOKEN = re.compile(r"(?P<end>[\r\n\"',;]|\*/|-->)|(?P<space>[^\S\r\n]+)|[()]|[a-z0-9](?:(?!-->)[a-z0-9.+_:-])*|\S")
 
 TO_WORDS = bytes(c if c >= 0x80 or chr(c).isalnum() and not chr(c).isupper() else c + 32 if chr(c).isupper() and c < 0x80 else 32 for c in range(256))
 TO_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -63,64 +66,69 @@ def family(identifier: str) -> str:
     return max((v for k, v in ALIASES.items() if identifier == k or identifier.startswith((f"{k}-", f"{k}_"))), key=len, default=identifier)
 
 
-def parse(text: str) -> list[str] | None:
-    """Postfix form of an expression by the shunting-yard algorithm; None if it isn't one."""
-    out: list[str] = []
-    stack: list[str] = []
-    operand = True  # an operand comes next
-    for token in re.findall(r"[()]|[a-z0-9][a-z0-9.+_:-]*|\S", text):
-        if token == "(":
-            if not operand:
-                return None
-            stack.append(token)
-        elif token == ")":
-            while stack and stack[-1] != "(":
-                out.append(stack.pop())
-            if operand or not stack:
-                return None
-            stack.pop()
-        elif token in PRECEDENCE:
-            if operand:
-                return None
-            while stack and stack[-1] != "(" and PRECEDENCE[stack[-1]] >= PRECEDENCE[token]:
-                out.append(stack.pop())
-            stack.append(token)
+def expression(text: str, at: int = 0) -> tuple[set[str], float] | None:
+    """Labels and permissiveness of the expression that a line starts with at ``at``.
+
+    What follows the longest part that parses is comment. One shunting-yard pass keeps the state at the
+    last space where the expression was complete; a part that doesn't parse ends it, as no longer one does.
+    """
+    values: list[tuple[float, bool]] = []  # permissiveness, and whether it is a single licence
+    operators: list[str] = []
+    labels: list[str] = []
+    depth, operand = 0, True  # open parentheses; an operand comes next
+    best: tuple[int, float] | None = None
+
+    def joined(operator: str, a: float, b: float) -> float:
+        return (max if operator == "or" else min)(a, b)
+
+    def reduce_to(precedence: int) -> None:
+        while operators and operators[-1] != "(" and PRECEDENCE[operators[-1]] >= precedence:
+            b, a = values.pop(), values.pop()
+            values.append((joined(operators.pop(), a[0], b[0]), False))
+
+    def complete() -> tuple[int, float] | None:
+        if operand or depth:
+            return best
+        value = values[-1][0]  # at most an OR and an AND are pending
+        for k in range(len(operators) - 1, -1, -1):
+            value = joined(operators[k], values[k][0], value)
+        return len(labels), value
+
+    for found in TOKEN.finditer(text, at):
+        token = found[0]
+        if found.lastgroup:
+            best = complete()
+            if found.lastgroup == "end":
+                break
+        elif token == "(" and operand:
+            operators.append(token)
+            depth += 1
+        elif token in PRECEDENCE and not operand:
+            reduce_to(PRECEDENCE[token])
+            operators.append(token)
             operand = True
-        elif operand and token[0].isalnum():
-            out.append(token)
-            operand = False
+        elif token == ")" and depth and not operand or token not in PRECEDENCE and operand and token[0].isalnum():
+            if token == ")":
+                reduce_to(0)
+                operators.pop()
+                depth -= 1
+            else:
+                label = family(token.rstrip("+"))
+                labels.append(label)
+                values.append((PERMISSIVE.get(label, 0.5), True))
+                operand = False
+            if operators and operators[-1] == "with":
+                b, a = values.pop(), values.pop()
+                if not (a[1] and b[1]):  # an exception belongs to one licence
+                    break
+                operators.pop()
+                labels.pop()
+                values.append(((a[0] + 1) / 2, False))
         else:
-            return None
-    if operand or "(" in stack:
-        return None
-    return out + stack[::-1]
-
-
-def evaluate(postfix: list[str]) -> tuple[set[str], float] | None:
-    """Labels and permissiveness of a parsed expression."""
-    stack: list[tuple[set[str], float, bool]] = []
-    for token in postfix:
-        if token not in PRECEDENCE:
-            label = family(token.rstrip("+"))
-            stack.append(({label}, PERMISSIVE.get(label, 0.5), True))
-            continue
-        b, a = stack.pop(), stack.pop()
-        if token == "with":
-            if not (a[2] and b[2]):  # an exception belongs to one licence
-                return None
-            stack.append((a[0], (a[1] + 1) / 2, False))
-        else:
-            stack.append((a[0] | b[0], (max if token == "or" else min)(a[1], b[1]), False))
-    return stack[0][:2]
-
-
-def expression(text: str) -> tuple[set[str], float] | None:
-    """The expression that a line starts with: what follows the longest part that parses is comment."""
-    tokens = re.sub(r"\*/.*|-->.*|[\"',;].*", "", text).split()
-    for n in range(len(tokens), 0, -1):
-        if (got := parse(" ".join(tokens[:n]))) is not None and (value := evaluate(got)) is not None:
-            return value
-    return None
+            break
+    else:
+        best = complete()
+    return best and (set(labels[: best[0]]), best[1])
 
 
 @lru_cache(1)
@@ -156,7 +164,7 @@ def scan(raw: bytes) -> tuple[int, int, int | None, int | None, str, str, float,
     if b"pdx" in raw or b"PDX" in raw:
         low = raw.translate(TO_LOWER).decode("latin-1")
         for end, _ in tags_of.iter(low):
-            got = expression(re.split(r"[\r\n]", low[end + 1 : end + 2000], maxsplit=1)[0])
+            got = expression(low, end + 1)
             kinds.add("tag" if got else "bad tag")
             if got:
                 labels |= got[0]

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from galena.llm import license_scan
 from galena.operators import joins
 from galena.plans import ORACLES, QUERIES
 
@@ -53,3 +54,17 @@ def test_identity_of_large_groups(spark, large_parts, key):
     expected = c.sql(ORACLES[key].replace("HAVING count(*) <= 120", ""))
     order = [df.columns.index(x) for x in expected.columns]
     assert sorted(tuple(r[i] for i in order) for r in df.collect()) == sorted(expected.fetchall())
+
+
+def test_long_licence_expressions_are_read_to_the_end_of_their_line():
+    names = [f"licence-{i}" for i in range(1000)]
+    for text, labels, permissive in (
+        (" OR ".join([*names, "MIT"]), {*names, "mit"}, 1.0),
+        (" AND ".join([*names, "AGPL-3.0"]), {*names, "agpl"}, 0.2),
+        ("(" + " AND ".join(names) + ") OR MIT", {*names, "mit"}, 1.0),
+        ("MIT" + " " * 3000 + "AND GPL-2.0", {"mit", "gpl"}, 0.3),
+        (" OR ".join(names) + "\nOR MIT", {*names}, 0.5),
+        ("(" * 5000 + "MIT" + ")" * 5000 + " AND GPL-2.0 -- a comment", {"mit", "gpl"}, 0.3),
+    ):
+        got = license_scan.scan(f"# SPDX-License-Identifier: {text}\n{{}}".encode())
+        assert set(got[5].split(",")) == labels and got[7] == permissive and got[6] == 0.9
