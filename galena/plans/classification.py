@@ -152,14 +152,27 @@ def url_profile(t: Tables) -> DataFrame:
     return t.pages.groupBy(F.split_part(host, F.lit("."), F.lit(-1)).alias("tld"), F.startswith("url", F.lit("https://")).alias("secure")).agg(F.count("*").alias("n"))
 
 
+def materialized(lines: DataFrame, copies: DataFrame) -> DataFrame:
+    """The distinct variants of each wave with their places, and whether a copy is owned."""
+    waves = lines.groupBy(F.col("l_orderkey").alias("wave")).agg(F.array_sort(F.collect_set("l_partkey")).alias("refs"))
+    items = waves.select("wave", F.posexplode("refs").alias("at", "variant_id"))
+    owned = copies.select("variant_id").distinct().withColumn("owned", F.lit(True))
+    return items.join(owned, "variant_id", "left").select("wave", "variant_id", (F.col("at") + 1).cast("long").alias("place"), F.coalesce("owned", F.lit(False)).alias("owned"))
+
+
 @query("manifest_materialize", with_views("copies", """
     , w AS (SELECT DISTINCT l_orderkey AS wave, l_partkey AS variant_id FROM lineitem WHERE l_orderkey < 500)
     SELECT wave, variant_id, row_number() OVER (PARTITION BY wave ORDER BY variant_id) AS place, variant_id IN (SELECT variant_id FROM copies) AS owned FROM w"""))
 def manifest_materialize(t: Tables) -> DataFrame:
-    waves = t.lineitem.where("l_orderkey < 500").groupBy(F.col("l_orderkey").alias("wave")).agg(F.array_sort(F.collect_set("l_partkey")).alias("refs"))
-    items = waves.select("wave", F.posexplode("refs").alias("at", "variant_id"))
-    owned = t.copies().select("variant_id").distinct().withColumn("owned", F.lit(True))
-    return items.join(owned, "variant_id", "left").select("wave", "variant_id", (F.col("at") + 1).cast("long").alias("place"), F.coalesce("owned", F.lit(False)).alias("owned"))
+    return materialized(t.lineitem.where("l_orderkey < 500"), t.copies())
+
+
+@query("manifest_materialize_all", with_views("copies", """
+    , w AS (SELECT DISTINCT l_orderkey AS wave, l_partkey AS variant_id FROM lineitem)
+    SELECT wave, variant_id, row_number() OVER (PARTITION BY wave ORDER BY variant_id) AS place, variant_id IN (SELECT variant_id FROM copies) AS owned FROM w"""))
+def manifest_materialize_all(t: Tables) -> DataFrame:
+    """Every order is a wave; ``manifest_materialize`` has those of the id range in its SQL."""
+    return materialized(t.lineitem, t.copies())
 
 
 @query("import_apply", """

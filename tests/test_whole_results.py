@@ -89,3 +89,9 @@ def test_recall_of_pairs_whose_buckets_are_split_at_every_level():
             pair, node = pair[at], mix(mix(node[at] + jaccard_join.ROW) + value[pair[at], c.astype(np.int64)] + c)
         found[pair] = True
     assert (~found).mean() < 1 - jaccard_join.RECALL
+
+
+@has_data
+def test_manifest_of_every_order(spark):
+    expected = spark.read.parquet(f"{DATA}/lineitem.parquet").select("l_orderkey", "l_partkey").distinct().count()
+    assert QUERIES["manifest_materialize_all"](spark, DATA).count() == expected
