@@ -66,16 +66,33 @@ def stream_edits(t: Tables) -> DataFrame:
     return t.spark.read.parquet(versions[-1]).where("event_type <> 'error'").select("user_id", "copy", "event_id", "event_type")
 
 
+def _versions(pages: DataFrame, number: int) -> DataFrame:
+    return pages.select("page_id", F.lit(number).alias("version"), F.sha2("html", 256).alias("digest"))
+
+
 @query("stream_change_detect", "SELECT 'created' AS status, count(*) AS n FROM pages")
 def stream_change_detect(t: Tables) -> DataFrame:
     """Pages taken in by content hash: the first intake creates all of them, and a second run takes in nothing."""
     at = scratch(t.spark)
-    pages = t.pages.select("page_id", F.sha2("html", 256).alias("digest"))
-    pages.write.parquet(f"{at}/in")
-    stream = t.spark.readStream.schema(pages.schema).parquet(f"{at}/in")
+    _versions(t.pages, 0).write.parquet(f"{at}/in")
+    stream = t.spark.readStream.schema(_versions(t.pages, 0).schema).parquet(f"{at}/in")
     for _ in range(2):
-        out = jobs.run_once(stream, f"{at}/out", f"{at}/state")
-    return out.groupBy(F.lit("created").alias("status")).agg(F.count("*").alias("n"))
+        out = jobs.page_intake(stream, at)
+    return out.groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("stream_page_changes", """
+    SELECT 0 AS round, page_id, 'created' AS status FROM pages UNION ALL SELECT 1, page_id, CASE WHEN page_id % 3 = 0 THEN 'updated' ELSE 'unchanged' END FROM pages WHERE page_id % 2 = 0""")
+def stream_page_changes(t: Tables) -> DataFrame:
+    """All pages, and then half of them again, a third of those with other html."""
+    at = scratch(t.spark)
+    html = F.when(F.col("page_id") % 3 == 0, F.concat("html", F.lit("<!-- 2 -->"))).otherwise(F.col("html"))
+    again = t.pages.where("page_id % 2 = 0").withColumn("html", html)
+    for number, pages in enumerate((t.pages, again)):
+        rows = _versions(pages, number)
+        rows.write.mode("append").parquet(f"{at}/in")
+        out = jobs.page_intake(t.spark.readStream.schema(rows.schema).parquet(f"{at}/in"), at)
+    return out.select("round", "page_id", "status")
 
 
 @query("stream_price_drop", """

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
+from galena.operators.resolution import change_detect
+from galena.operators.windows import latest_per_key
+
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
     """A table's folder or file as a stream, with event time as a timestamp."""
@@ -96,3 +99,20 @@ def run_once(stream: DataFrame, out: str, checkpoint: str, mode: str = "append")
 def upsert_each(stream: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Hand each micro batch to ``merge``, which must be idempotent for a batch id."""
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def page_intake(stream: DataFrame, at: str) -> DataFrame:
+    """(round, page_id, status) of the pages of each micro batch so far: created, updated or unchanged.
+
+    ``stream``: page_id, version, digest. The latest version of a page in a batch is compared with the
+    digest stored before, and each batch writes a new version of the stored digests.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        new = latest_per_key(batch, ["page_id"], [F.desc("version"), F.desc("digest")]).select("page_id", "digest", F.lit(None).cast("timestamp").alias("lastmod"))
+        stored = batch.sparkSession.read.schema(new.schema).parquet(f"{at}/digests-{number - 1}") if number else new.where(F.lit(False))
+        change_detect(stored, new, "page_id", "lastmod", "digest").write.mode("overwrite").parquet(f"{at}/status/round={number}")
+        stored.join(new, "page_id", "left_anti").unionByName(new).write.mode("overwrite").parquet(f"{at}/digests-{number}")
+
+    upsert_each(stream, merge, f"{at}/state")
+    return stream.sparkSession.read.parquet(f"{at}/status")

@@ -14,6 +14,7 @@ from galena.llm import jaccard_join, license_scan
 from galena.llm.common import mix
 from galena.operators import joins
 from galena.plans import ORACLES, QUERIES
+from galena.streaming import jobs
 
 DATA = "/root/testdata/sf0.01"
 has_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
@@ -95,3 +96,12 @@ def test_recall_of_pairs_whose_buckets_are_split_at_every_level():
 def test_manifest_of_every_order(spark):
     expected = spark.read.parquet(f"{DATA}/lineitem.parquet").select("l_orderkey", "l_partkey").distinct().count()
     assert QUERIES["manifest_materialize_all"](spark, DATA).count() == expected
+
+
+def test_page_intake_tells_what_has_changed(spark, tmp_path):
+    at = str(tmp_path)
+    for rows in ([(1, 0, "a"), (2, 0, "b"), (3, 0, "c")], [(1, 1, "a"), (2, 1, "x"), (2, 2, "y"), (4, 1, "d")], [(2, 3, "y"), (3, 3, "z"), (1, 3, "a")]):
+        spark.createDataFrame(rows, "page_id int, version int, digest string").write.mode("append").parquet(f"{at}/in")
+        out = jobs.page_intake(spark.readStream.schema("page_id int, version int, digest string").parquet(f"{at}/in"), at)
+    got = {(r.round, r.page_id): r.status for r in out.collect()}
+    assert got == {(0, 1): "created", (0, 2): "created", (0, 3): "created", (1, 1): "unchanged", (1, 2): "updated", (1, 4): "created", (2, 1): "unchanged", (2, 2): "unchanged", (2, 3): "updated"}
