@@ -161,14 +161,13 @@ def scan(raw: bytes) -> tuple[int, int, int | None, int | None, str, str, float,
         kinds.add("phrase" if is_base else "notice")
         labels.add(label)
         free.append(PERMISSIVE.get(label, 0.5))
-    if b"pdx" in raw or b"PDX" in raw:
-        low = raw.translate(TO_LOWER).decode("latin-1")
-        for end, _ in tags_of.iter(low):
-            got = expression(low, end + 1)
-            kinds.add("tag" if got else "bad tag")
-            if got:
-                labels |= got[0]
-                free.append(got[1])
+    low = raw.translate(TO_LOWER).decode("latin-1")
+    for end, _ in tags_of.iter(low):
+        got = expression(low, end + 1)
+        kinds.add("tag" if got else "bad tag")
+        if got:
+            labels |= got[0]
+            free.append(got[1])
     miss = 1.0
     for kind in sorted(kinds):
         miss *= 1 - WEIGHTS[kind]
