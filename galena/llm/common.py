@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 MASK64 = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -29,9 +30,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share. A local session that names none gets one of its own."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("galena.shared.dir", None)
     if not at:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="galena-")
         spark.conf.set("galena.shared.dir", at)
     return at.rstrip("/")
@@ -41,7 +44,33 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back, so that no lineage is left."""
     path = f"{shared_dir(df.sparkSession)}/galena-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_at = path  # type: ignore[attr-defined]
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete what ``cut`` wrote; nothing may read ``df`` any more."""
+    at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._cut_at)  # type: ignore[attr-defined]
+    at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def bounded_sample(df: DataFrame, rows: int, by: list[str], seed: int) -> DataFrame:
+    """At most ``rows`` rows, the same in each run: those with the smallest hash of ``by``.
+
+    A threshold on the hash goes first, so the partitions send about ``rows`` rows in all to be sorted,
+    however many partitions there are.
+    """
+    draw = F.pmod(F.xxhash64(F.lit(seed), *by), F.lit(1 << 30))
+    share = 1.2 * rows / max(df.count(), 1)
+    return df.where(draw <= int(min(share, 1.0) * (1 << 30))).orderBy(draw, *by).limit(rows)
+
+
+def check_ids(docs: DataFrame, column: str = "doc_id") -> None:
+    """Operators that compare ids need whole numbers."""
+    kind = docs.schema[column].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"{column} has to be a whole number, not {kind.simpleString()}")
 
 
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
