@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galena.llm.common import cut, flat, slices
+from galena.llm.common import bounded_sample, cut, flat, slices
 from galena.llm.text_stats import COUNTS, RATIOS, ratios, stats_of, with_stats
 
 MIN_WORDS = 50
@@ -119,7 +119,7 @@ def fit(stats: DataFrame, labels: DataFrame, fit_rows: int = 8192, max_good_lost
     good = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("__good"))
     passing = stats.where((F.col("n_words") >= MIN_WORDS) & (100 * F.col("n_repeat_words") <= MAX_REPEAT_PERCENT * F.col("n_words")))
     labelled = passing.join(good, "doc_id")
-    sample = labelled.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(fit_rows).select(*COUNTS, "__good").toPandas()
+    sample = bounded_sample(labelled, fit_rows, ["doc_id", *COUNTS], seed).select(*COUNTS, "__good").toPandas()
     forest = fit_forest(ratios({c: sample[c].to_numpy() for c in COUNTS}), sample["__good"].to_numpy() > 0, seed=seed)
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
