@@ -1,9 +1,10 @@
 """Quality classifier: Bradley-Terry ranking from preference pairs.
 
 A good document beats a bad one with probability ``sigmoid(w . (x_good - x_bad))``; ``w`` minimises
-the logistic loss over such pairs, so ``w . x`` ranks documents. The cut is a quantile of the scores
-of all labelled training rows, at the share of bad rows among them, and scores are mapped to 0..1
-with the cut at ``CUT``.
+the logistic loss over such pairs, so ``w . x`` ranks documents. The cut comes from quantiles of the
+scores of all labelled training rows: the middle between the quantile just below and the one just above
+the share of bad rows among them, so that it lies in the gap between the two kinds if there is one.
+Scores are mapped to 0..1 with the cut at ``CUT``.
 
 The weights are fitted on a bounded sample: ``fit_rows`` labelled training rows go to the driver
 (about 1.5 MB) and make ``n_pairs`` pairs. The quantile covers all labelled training rows.
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galena.llm.common import cut
+from galena.llm.common import bounded_sample, cut
 from galena.llm.text_stats import COUNTS, RATIOS, ratios, with_stats
 
 CUT = 0.3
@@ -75,7 +76,7 @@ def remainder(doc_id: Column) -> Column:
 def fit(stats: DataFrame, labels: DataFrame, fit_rows: int = 12_000, seed: int = 11) -> Ranking:
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (remainder(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.min("quality").alias("__good"))
     training = stats.join(known, "doc_id")
-    sample = training.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(fit_rows).select(*COUNTS, "__good").toPandas()
+    sample = bounded_sample(training, fit_rows, ["doc_id", *COUNTS], seed).select(*COUNTS, "__good").toPandas()
     good = sample["__good"].to_numpy() > 0
     if not good.any() or good.all():
         k = len(features({c: np.zeros(1) for c in COUNTS})[0])
