@@ -16,7 +16,7 @@ largest page_id is the response, the others are revisits that refer to it.
 Defined results: a null html is an empty payload; smaller payloads are all responses; repeated rows
 with the largest page_id are all responses; a null page_id counts as smaller than all others, and if a group has
 only null ids they are all responses; an empty table writes no archive and gives an empty result;
-other columns are not read.
+ids that are no whole numbers are an error; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,10 +34,13 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galena.llm.common import cut, shared_dir
+from galena.llm.common import check_ids, cut, shared_dir
 
 MIN_REVISIT = 1000
 ARCHIVE_BYTES = 256 << 20
+BROADCAST_ROWS = 500_000
+SALTS = 32
+MAX_TASKS = 50_000
 MEMBER, INDEX, PACKAGE = "archive/data.warc.gz", "indexes/index.cdxj", "datapackage.json"
 LIMIT32 = 0xFFFFFFFF
 # Signatures of the ZIP format.
@@ -193,14 +196,26 @@ def parse_record(packed: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
 
 
 def with_revisits(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """page_id, url, html, digest, refers_to, revisit."""
+    """page_id, url, html, digest, refers_to, revisit.
+
+    Payloads are not shuffled: what is joined to them is a row for each payload that recurs, broadcast if
+    there are at most ``BROADCAST_ROWS`` of them (about 30 bytes each). Beyond that the rows of large
+    payloads are joined by digest, a payload's rows in ``SALTS`` parts, so no payload meets in one task.
+    """
+    check_ids(pages, "page_id")
     rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("large", F.octet_length("html") >= min_revisit)
-    # Only payloads that occur again are joined back, and one row stands for each of them.
-    again = rows.where("large").groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first", F.lit(True).alias("large"))
-    joined = rows.join(again, ["digest", "large"], "left")
+    rows = rows.withColumn("digest", F.unhex(F.sha1(F.col("html").cast("binary")))).withColumn("large", F.octet_length("html") >= min_revisit)
+    again = rows.where("large").groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
+    again = cut(again.select("digest", "first"))
+    if again.count() <= BROADCAST_ROWS:
+        joined = rows.join(F.broadcast(again.withColumn("large", F.lit(True))), ["digest", "large"], "left")
+    else:
+        salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
+        parts = again.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        told = rows.where("large").withColumn("salt", salt).join(parts, ["digest", "salt"], "left").drop("salt")
+        joined = told.unionByName(rows.where("not large"), allowMissingColumns=True)
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return joined.select("page_id", "url", "html", "digest", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
+    return joined.select("page_id", "url", "html", F.lower(F.hex("digest")).alias("digest"), F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
 
 
 def write_archives(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -289,7 +304,9 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
-    """Write all pages and read every record back."""
+    """Write all pages and read every record back: at most one archive for each task, as far as there are slots."""
     folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     archives = write_archives(pages, folder)
-    return read_records(index_of(archives.repartition("path"), folder), folder)
+    # A number given here is kept: rows of paths are too small for adaptive execution to keep them apart.
+    tasks = min(max(archives.count(), 1), MAX_TASKS)
+    return read_records(index_of(archives.select("path").repartition(tasks), folder), folder)
