@@ -12,12 +12,14 @@ alike, so the words taken stay close to the target.
 The prefix sum needs no task that holds a source: sources are cut into buckets (by size, then by
 hash, as many as ``bucket_rows`` asks for), buckets are counted and summed up, and positions within a
 bucket are added to the bucket's start. Equal expectations make the prefix sum ``position * rate``,
-which stays exact at any length.
+which stays exact at any length. What is broadcast is a row for each (source, size) that is cut into
+buckets, at most ``MAX_BROADCAST`` rows: buckets grow with the table beyond that.
 
 Defined results: a null text has size 0 and may be taken any number of times up to the cap; a source
 of size 0 has target 0; a null source is a source of its own; repeated rows are documents of their
-own; an empty table gives an empty result; columns keep their names. Reruns agree: offsets and order
-come from hashes.
+own; an empty table gives an empty result; columns keep their names, and the number of a copy is called
+``copy``, with underscores after it if the table has such a column. Reruns agree: offsets and order come
+from hashes of the id, the source and the text, so rows with one id, or none, are spread too.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MAX_COPIES = 2
 OFFSET_BITS = 20
+MAX_BROADCAST = 500_000
 
 
 def word_count(text: Column) -> Column:
@@ -61,10 +64,11 @@ def with_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: fl
     return ranked.withColumn("target", target).select("__key", "source_size", "target")
 
 
-def mix_sources(docs: DataFrame, size: Column | None = None, seed: int = 17, bucket_rows: int = 20_000) -> DataFrame:
+def mix_sources(docs: DataFrame, size: Column | None = None, order: Column | None = None, seed: int = 17, bucket_rows: int = 20_000) -> DataFrame:
     """All columns of ``docs`` and size, source_size, target, copies. One row for each document.
 
-    Without ``size``, words are counted once into a narrow table that all the counting reads.
+    Without ``size`` (and ``order``, a hash of the row), words are counted once into a narrow table that
+    all the counting reads.
     """
     names = docs.columns
     narrow = size is not None
@@ -75,14 +79,17 @@ def mix_sources(docs: DataFrame, size: Column | None = None, seed: int = 17, buc
         docs["source"].alias("__source"),
         F.coalesce(F.concat(F.lit("s"), docs["source"]), F.lit("n")).alias("__key"),
         size.alias("size"),
-        F.xxhash64(docs["doc_id"], F.lit(seed)).alias("__hash"),
+        (order if narrow else row_hash(docs, seed)).alias("__hash"),
         docs["doc_id"].alias("__id"),
     )
-    sizes = base if narrow else cut(base.select("__source", "__key", "size", "__hash"))
-    per_source = sizes.groupBy("__source", "__key").agg(F.sum("size").alias("source_size"))
+    sizes = base.select("__source", "__key", "size", "__hash")
+    sizes = sizes if narrow else cut(sizes)
+    per_source = sizes.groupBy("__source", "__key").agg(F.sum("size").alias("source_size"), F.count("*").alias("__docs"))
     targets = with_targets(per_source)
     # Buckets of about bucket_rows documents of one source, in the order of (size class, hash). Only
     # classes above that are cut, and there are at most documents / bucket_rows of them to broadcast.
+    total = per_source.agg(F.sum("__docs")).first()[0] or 0
+    bucket_rows = max(bucket_rows, total // MAX_BROADCAST)
     large = sizes.groupBy("__key", "size").agg(F.count("*").alias("__n")).where(F.col("__n") > bucket_rows)
     large = F.broadcast(large.select("__key", "size", F.ceil(F.col("__n") / bucket_rows).alias("__parts")))
 
@@ -102,14 +109,22 @@ def mix_sources(docs: DataFrame, size: Column | None = None, seed: int = 17, buc
     return out.select(F.col("__doc"), "size", "source_size", "target", F.least(crossed, F.lit(MAX_COPIES)).cast("long").alias("copies"))
 
 
+def row_hash(docs: DataFrame, seed: int = 17) -> Column:
+    return F.xxhash64(docs["doc_id"], F.lit(seed), docs["source"], docs["text"])
+
+
 def sampled(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken of each document; texts are not shuffled."""
-    narrow = cut(docs.select("doc_id", "source", word_count(docs["text"]).alias("__size")))
-    mixed = mix_sources(narrow, size=narrow["__size"])
+    narrow = cut(docs.select("doc_id", "source", word_count(docs["text"]).alias("__size"), row_hash(docs).alias("__order")))
+    mixed = mix_sources(narrow, size=narrow["__size"], order=narrow["__order"])
     return mixed.select("__doc.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def emit(docs: DataFrame) -> DataFrame:
     """The mixed documents: a row for each copy, with the columns of ``docs`` and ``copy`` (from 1)."""
+    name = "copy"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
     mixed = mix_sources(docs).where("copies > 0")
-    return mixed.select("__doc.*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy")).withColumnRenamed("__copy", "copy")
+    copy = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy")
+    return mixed.select("__doc", copy).select("__doc.*", F.col("__copy").alias(name))
