@@ -141,6 +141,41 @@ def unigrams(rows: list[tuple]) -> dict:
     return {i: (held(i), len(tokens(t)), sum(c[x] > 0 for x in tokens(t)), n, sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in tokens(t))) for i, t, *_ in rows}
 
 
+def class_scores(rows: list[tuple], held: dict, kinds: dict, classes: int, mix: float) -> dict:
+    """log10 probability of each text under class bigrams; ``kinds``: hash of a word -> (count, class)."""
+    import numpy as np
+    import pyarrow as pa
+
+    from galena.llm.class_lm import tokens_of
+    from galena.llm.common import flat
+
+    end, unseen = classes, classes + 1
+    texts = {i: tokens_of(*flat(pa.array([t or ""])))[0].tolist() for i, t, *_ in rows}
+    follow = np.full((classes + 2, classes + 1), 0.5)
+    for i, tokens in texts.items():
+        if not held[i]:
+            before = end
+            for w in tokens:
+                follow[before, kinds[w][1]] += 1
+                before = kinds[w][1]
+    follow[unseen] += (follow[:unseen] - 0.5).sum(0)
+    follow /= follow.sum(1, keepdims=True)
+    size = [0.5 * (c != end) for c in range(classes + 1)]
+    for n, c in kinds.values():
+        size[c] += n + 0.5
+    everything = sum(n + 0.5 for n, _ in kinds.values()) + 0.5
+    out = {}
+    for i, tokens in texts.items():
+        before, total = end, 0.0
+        for w in tokens:
+            n, c = kinds.get(w, (0, unseen))
+            in_class = sum(follow[before, k] * 0.5 / size[k] for k in range(classes)) if c == unseen else follow[before, c] * (n + 0.5) / size[c]
+            total += math.log10(mix * in_class + (1 - mix) * (n + 0.5) / everything)
+            before = c
+        out[i] = total
+    return out
+
+
 def targets(sizes: dict, weights=(3, 1, 2), share: float = 1.5, cap: float = 2) -> dict:
     """Targets by resharing the excess of capped sources, round after round."""
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))

@@ -186,6 +186,9 @@ def test_source_mix(docs, nothing):
     assert source_mix.sampled(nothing).count() == 0
     mixed = source_mix.emit(docs)
     assert mixed.columns == [*docs.columns, "copy"] and mixed.count() == sum(r.copies for r in out)
+    clash = source_mix.emit(docs.withColumnRenamed("copies", "Copy"))
+    assert clash.columns[-2:] == ["Copy", "copy_"] and clash.count() == mixed.count()
+    clash.write.format("noop").mode("overwrite").save()
 
 
 @has_data
@@ -226,6 +229,23 @@ def test_warc_round_trip(spark):
     assert warc_zip.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_with_many_payloads_that_recur(spark, monkeypatch):
+    table = [(i, "u", None if i % 3 == 0 else chr(97 + i % 5) * (1000 if i % 2 else 10)) for i in range(60)]
+    df = spark.createDataFrame(table, "page_id long, url string, html string").repartition(5)
+    small = sorted(map(str, warc_zip.round_trip(df).collect()))
+    monkeypatch.setattr(warc_zip, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, warc_zip.round_trip(df).collect())) == small
+    assert sum("'revisit'" in r for r in small) == 20 - 5
+
+
+def test_archives_are_read_by_many_tasks(spark, tmp_path):
+    df = spark.range(64).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.lit("z"), 50).alias("html")).repartition(16)
+    out = warc_zip.round_trip(df, f"file://{tmp_path}")
+    assert len(list(tmp_path.glob("*.wacz"))) == 16
+    used = out.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert out.count() == 64 and used >= 4
+
+
 @has_data
 def test_warc_matches_sql(spark):
     import duckdb
@@ -273,18 +293,52 @@ def test_licence_scan(spark, docs, nothing):
 # --- 6 ---------------------------------------------------------------------------------------
 
 
-def test_language_model_counts(spark, rows, nothing, monkeypatch):
+@pytest.mark.parametrize("listed, core", [(5, 3), (60, 20), (10_000, 50)])
+def test_language_model(spark, rows, nothing, monkeypatch, listed, core):
+    """Counts, transitions and scores against plain ones, with the classes that the model has found."""
+    monkeypatch.setattr(class_lm, "LISTED", listed)
+    monkeypatch.setattr(class_lm, "CORE", core)
     table = unique(rows)
     df = spark.createDataFrame([r[:2] for r in table], "doc_id long, text string").repartition(3)
     expected = plain.unigrams(table)
-    for listed, clustered in ((5, 3), (10_000, 50)):
-        monkeypatch.setattr(class_lm, "LISTED", listed)
-        monkeypatch.setattr(class_lm, "CLUSTERED", clustered)
-        for r in class_lm.score_texts(df).collect():
-            e = expected[r.doc_id]
-            assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == e[:4] and abs(r.base_score - e[4]) < 1e-6 * abs(e[4])
-            assert np.isfinite(r.score) and r.score < 0
+    model = class_lm.fit(df.where(~class_lm.held_out(F.col("doc_id"))))
+    kinds = {w: (n, c) for w, n, c in zip(model.lexicon.words.tolist(), model.lexicon.counts.tolist(), model.lexicon.classes.tolist(), strict=True)}
+    for r in model.classed.collect():
+        assert r.word % (1 << 64) not in kinds
+        kinds[r.word % (1 << 64)] = (r.n, r["class"])
+    score = plain.class_scores(table, {i: e[0] for i, e in expected.items()}, kinds, class_lm.CLASSES, class_lm.MIX)
+    for r in class_lm.score_texts(df).collect():
+        e = expected[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == e[:4] and abs(r.base_score - e[4]) < 1e-6 * abs(e[4])
+        assert abs(r.score - score[r.doc_id]) < 1e-6 * abs(r.score) and abs(np.log10(r.perplexity) + r.score / r.n_tokens) < 1e-9
+    # After each class, all words and one never seen share a probability of 1.
+    n, c = (np.array(x) for x in zip(*kinds.values(), strict=True))
+    for before in range(class_lm.KINDS + 1):
+        p = (10 ** model.worth[before, c] * (n + 0.5)).sum() + 10 ** model.worth[before, class_lm.UNSEEN] * 0.5
+        assert abs(p - 1) < 1e-9
     assert class_lm.score_texts(nothing).count() == 0
+    untrained = class_lm.score_texts(df.where("doc_id = 0 or doc_id = 1").where(class_lm.held_out(F.col("doc_id")))).collect()
+    assert all(r.train_tokens == 0 and r.n_known == 0 for r in untrained)
+
+
+def test_words_go_to_the_class_that_their_neighbours_tell(spark, monkeypatch):
+    """Two kinds of words that alternate: no class holds words of both kinds, however rare they are."""
+    monkeypatch.setattr(class_lm, "LISTED", 60)
+    monkeypatch.setattr(class_lm, "CORE", 12)
+    rng = np.random.default_rng(0)
+    texts = []
+    for _ in range(400):
+        ranks = np.minimum(rng.zipf(1.3, 40), 300)
+        texts.append(" ".join(f"{'ab'[k % 2]}{x}" for k, x in enumerate(ranks)))
+    model = class_lm.fit(spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").repartition(4))
+    label = dict(zip(model.lexicon.words.tolist(), model.lexicon.classes.tolist(), strict=True)) | {r.word % (1 << 64): r["class"] for r in model.classed.collect()}
+    words = sorted({w for t in texts for w in t.split()})
+    h, _ = class_lm.tokens_of(*flat(pa.array(words)))
+    of: dict = {}
+    for w, x in zip(words, h[::2].tolist(), strict=True):
+        of.setdefault(label[x], []).append(w[0])
+    minority = sum(min(k.count("a"), k.count("b")) for k in of.values())
+    assert len(words) > 150 and minority <= 0.02 * len(words)
 
 
 def test_exchange_finds_classes():
@@ -332,6 +386,43 @@ def test_jaccard_join(spark, rows, nothing, monkeypatch, bucket, block):
     one = jaccard_join.keep_one(df)
     assert one.columns == df.columns and one.count() == len({r[1] for r in got}) + 1
     assert jaccard_join.near_duplicates(nothing).count() == 0
+    monkeypatch.setattr(jaccard_join, "LARGE_BUCKETS", 0)
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard_join.near_duplicates(df).where("doc_id is not null").collect()) == got
+
+
+def test_keep_one_keeps_a_row_of_each_group(spark):
+    a, b, c = ("one two three four five six", "some other words stand in this text", "and a third text of six words")
+    near = " ".join(f"w{i}" for i in range(60))
+    table = [(1, a), (5, a), (5, b), (5, b), (7, c), (7, None), (7, ""), (8, near), (8, near + " more"), (9, near), (None, a), (None, a)]
+    one = jaccard_join.keep_one(spark.createDataFrame(table, "doc_id long, text string"))
+    got = sorted(map(tuple, one.collect()), key=str)
+    kept_near = [r for r in got if r[0] == 8]
+    assert len(kept_near) == 1
+    assert [r for r in got if r[0] != 8] == sorted([(1, a), (5, b), (7, c), (7, None), (7, ""), (None, a), (None, a)], key=str)
+
+
+def test_jaccard_join_of_a_large_group_of_near_copies(spark):
+    """3,000 different near copies: their texts go to one task each, and links are counted from differences."""
+    base = [f"w{i}" for i in range(300)]
+
+    def edited(k):
+        w = list(base)
+        w[(7 * k) % 300] = f"x{k}"
+        return " ".join(w)
+
+    table = [(k, edited(k)) for k in range(3000)] + [(3000, edited(5)), (3001, "a text of its own without any near copy")]
+    out = jaccard_join.near_duplicates(spark.createDataFrame(table, "doc_id long, text string").repartition(4))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in out.collect()}
+    assert got == {**{k: (0, 3000) for k in range(3001)}, 3001: (3001, 0)}
+
+
+def test_ids_have_to_be_whole_numbers(spark):
+    df = spark.createDataFrame([("a", "text")], "doc_id string, text string")
+    for f in (jaccard_join.near_duplicates, jaccard_join.keep_one, suffix_dedup.repeat_digests, suffix_dedup.remove_repeats, phrase_automata.phrase_digests, phrase_automata.remove_phrases):
+        with pytest.raises(TypeError):
+            f(df)
+    with pytest.raises(TypeError):
+        warc_zip.round_trip(spark.createDataFrame([("a", "u", "t")], "page_id string, url string, html string"))
 
 
 # --- 8 ---------------------------------------------------------------------------------------
@@ -356,6 +447,18 @@ def test_template_leaks(spark, docs, nothing):
     assert template_leaks.decontaminate(docs, bench).count() == docs.count() and template_leaks.decontaminate(nothing, bench).count() == 0
 
 
+def test_template_leaks_with_many_anchors(spark, docs, monkeypatch):
+    bench = spark.createDataFrame([(1, docs.where("doc_id = 3").first().text), (2, "... 12 !!! 13"), (3, "12 13 14")], "item_id long, text string")
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(900, "x ... 77 !!! 78 y"), (901, "... 77")], "doc_id long, text string"))
+    few = sorted(map(str, template_leaks.decontaminate(df, bench).collect()))
+    assert any("doc_id=900, contaminated=True" in r for r in few) and any("doc_id=901, contaminated=False" in r for r in few)
+    monkeypatch.setattr(template_leaks, "ANCHOR_LITERALS", 1)
+    assert sorted(map(str, template_leaks.decontaminate(df, bench).collect())) == few
+    monkeypatch.setattr(template_leaks, "BROADCAST_ROWS", 1)
+    assert sorted(map(str, template_leaks.decontaminate(df, bench).collect())) == few
+    assert template_leaks.drop_leaks(df, bench).count() == sum("contaminated=False" in r for r in few)
+
+
 def test_slots_must_agree(spark):
     bench = spark.createDataFrame([(1, "the box holds 12 red pens and 12 blue pens and 7 cups today")], "item_id long, text string")
     df = spark.createDataFrame([(1, "the box holds 30 red pens and 30 blue pens and 9 cups today"), (2, "the box holds 30 red pens and 31 blue pens and 9 cups today")], "doc_id long, text string")
