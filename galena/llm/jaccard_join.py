@@ -12,12 +12,15 @@ probability below ``1 - RECALL``, also where its buckets are split at every leve
 alike is dealt into blocks, and every pair of blocks is compared, so nothing is capped.
 
 *Verification.* Sketches only link classes into candidate groups. Each group's sets are then compared
-exactly, again in blocks if the group is large, and links at ``similarity`` or more are counted inside
-the task: pairs are never written out. Groups are the components of the exact links.
+exactly, and links at ``similarity`` or more are counted inside the task: pairs are never written out.
+A text goes to one task only. In a large group each class is told as what its set and the set of the
+group's representative do not share, which is little among near copies; these differences are dealt into
+blocks, and every pair of blocks is compared from them. Groups are the components of the exact links.
 
 Defined results: a null or empty text has no shingles, no links and is a group of its own; rows with a
-null id keep a null group and no links; repeated rows are copies of each other; an empty table gives an
-empty result; columns other than doc_id and text are not read.
+null id keep a null group and no links; repeated rows are copies of each other; rows with one id and
+different texts are documents of their own; an empty table gives an empty result; ids that are no whole
+numbers are an error; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galena.llm.common import cut, flat, mix, prefix_hash, rows_of, slices, span_hash, word_spans
+from galena.llm.common import check_ids, cut, flat, mix, prefix_hash, rows_of, slices, span_hash, word_spans
 from galena.llm.components import connected, local_components
 
 SHINGLE = 5
@@ -42,6 +45,8 @@ BITS = 128
 AGREE = 100
 BUCKET = 1000
 BLOCK = 500
+LARGE_BUCKETS = 1_000_000  # rows (16 bytes each) up to which the list of large buckets is broadcast
+SALTS = 32
 DEPTH = 3
 _rng = np.random.default_rng(20)
 MULTIPLIERS = _rng.integers(0, 1 << 63, BITS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
@@ -80,12 +85,12 @@ def set_keys(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(np.uint64) * ROW)
 
 
-SIGNATURE_DDL = "doc_id long, class long, n int, path binary, low long, high long"
+SIGNATURE_DDL = "doc_id long, text_key long, class long, n int, path binary, low long, high long"
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """Class (hash of the set), size, min-hash values and sketch of each text with words."""
-    source = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
+    """Class (hash of the set), size, min-hash values and sketch of each text with words; a hash of the text."""
+    source = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text", F.xxhash64("text"))
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,8 +107,8 @@ def signatures(docs: DataFrame) -> DataFrame:
                 halves = np.ascontiguousarray(bits).view(np.int64)
                 path = np.ascontiguousarray(mix(low[:, :COORDINATES]))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i).take(pa.array(some)), pa.array(set_keys(h, at)[some].view(np.int64)), pa.array(np.diff(at)[some].astype(np.int32)), pa.array([p.tobytes() for p in path], pa.binary()), pa.array(halves[:, 0]), pa.array(halves[:, 1])],
-                    names=["doc_id", "class", "n", "path", "low", "high"],
+                    [*(batch.column(c).slice(i, j - i).take(pa.array(some)) for c in (0, 2)), pa.array(set_keys(h, at)[some].view(np.int64)), pa.array(np.diff(at)[some].astype(np.int32)), pa.array([p.tobytes() for p in path], pa.binary()), pa.array(halves[:, 0]), pa.array(halves[:, 1])],
+                    names=["doc_id", "text_key", "class", "n", "path", "low", "high"],
                 )
 
     return source.mapInArrow(job, SIGNATURE_DDL)
@@ -138,15 +143,31 @@ def children(rows: DataFrame, runs: int | None) -> DataFrame:
     return rows.mapInArrow(job, "bucket long, class long, low long, high long")
 
 
+def split_by_size(level: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of buckets of 2 to BUCKET classes, and rows (with the count) of larger ones.
+
+    Rows of large buckets are told apart before the small ones are joined by bucket, so no bucket meets in
+    one task. The list of large buckets has a row for more than BUCKET rows; it is broadcast up to
+    ``LARGE_BUCKETS`` rows, and joined in ``SALTS`` parts of each bucket beyond that.
+    """
+    sizes = cut(level.groupBy("bucket").count().where("count > 1"))
+    above = sizes.where(F.col("count") > BUCKET)
+    small = sizes.where(F.col("count") <= BUCKET).select("bucket")
+    if above.count() <= LARGE_BUCKETS:
+        marked = level.join(F.broadcast(above), "bucket", "left")
+    else:
+        parts = above.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        marked = level.withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(SALTS)).cast("int")).join(parts, ["bucket", "salt"], "left").drop("salt")
+    return marked.where("count is null").drop("count").join(small, "bucket", "left_semi"), marked.where("count is not null")
+
+
 def buckets(classes: DataFrame, runs: int) -> DataFrame:
     """(bucket, class, low, high) of all buckets to be compared: small, or dealt into pairs of blocks."""
     level, done = children(classes.select("path", "class", "low", "high"), runs), []
     for depth in range(1, DEPTH + 1):
         level = cut(level.distinct())
-        sizes = level.groupBy("bucket").count().where("count > 1")
-        level = level.join(sizes, "bucket")
-        done.append(level.where(F.col("count") <= BUCKET).drop("count"))
-        large = level.where(F.col("count") > BUCKET)
+        small, large = split_by_size(level)
+        done.append(small)
         if large.isEmpty():
             break
         if depth < DEPTH:
@@ -200,10 +221,14 @@ def candidate_links(rows: DataFrame, n_shards: int) -> DataFrame:
     return rows.withColumn("__shard", shard).groupBy("__shard").applyInArrow(job, "a long, b long")
 
 
-def exact_links(h: list[np.ndarray], block: np.ndarray, within: bool, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs i < j of sets with at least this Jaccard similarity; of different blocks unless ``within``."""
-    n = np.array([len(x) for x in h])
-    item = np.repeat(np.arange(len(h)), n)
+def exact_links(h: list[np.ndarray], size: np.ndarray, base: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs i < j of sets with at least this Jaccard similarity.
+
+    Sets i and j have ``base[i] + base[j]`` elements in common and those of h[i] and h[j]; ``size`` are
+    their whole sizes. Whole sets have base 0; for differences from a set R, h is what either has alone,
+    and base is half the size of R less what R has alone.
+    """
+    item = np.repeat(np.arange(len(h)), [len(x) for x in h])
     _, which, times = np.unique(np.concatenate(h), return_inverse=True, return_counts=True)
     shared = times > 1
     column = np.cumsum(shared) - 1
@@ -217,83 +242,156 @@ def exact_links(h: list[np.ndarray], block: np.ndarray, within: bool, similarity
         m = np.zeros((len(h), min(8192, int(shared.sum()) - begin)), np.float32)
         m[item[a:b], which[a:b] - begin] = 1
         common += m @ m.T
-    total = n[:, None] + n[None, :] - common
-    i, j = np.nonzero(np.triu(common >= similarity * total - 1e-6, 1))
-    if not within:
-        cross = block[i] != block[j]
-        i, j = i[cross], j[cross]
-    return i, j
+    both = common + base[:, None] + base[None, :]
+    total = size[:, None] + size[None, :] - both
+    return np.nonzero(np.triu(both >= similarity * total - 1e-6, 1))
+
+
+def linked(node: np.ndarray, copies: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, ...]:
+    """class, root, links, copies_linked of the nodes of the links (i, j)."""
+    label = local_components(len(node), i, j)
+    n, c = np.zeros(len(node), np.int64), np.zeros(len(node), np.int64)
+    for x, y in ((i, j), (j, i)):
+        np.add.at(n, x, 1)
+        np.add.at(c, x, copies[y])
+    some = np.flatnonzero(n)
+    return node[some], node[label[some]], n[some], c[some]
+
+
+def _parts(part: np.ndarray, node: np.ndarray, keep: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows of each part, those to keep, each node once."""
+    order = np.lexsort((node, part))
+    order = order[keep[order]]
+    if not len(order):
+        return
+    order = order[np.append(True, (node[order][1:] != node[order][:-1]) | (part[order][1:] != part[order][:-1]))]
+    heads = np.flatnonzero(np.append(True, part[order][1:] != part[order][:-1]))
+    for a, b in zip(heads, np.append(heads[1:], len(order)), strict=True):
+        yield order[a:b]
 
 
-VERIFIED_DDL = "class long, root long, links long, copies_linked long, parts int"
+VERIFIED_DDL = "class long, root long, links long, copies_linked long, label long, block int, copies long, n int, lacks int, shared int, differs binary"
 
 
 def verified(groups: DataFrame, n_shards: int, similarity: float) -> DataFrame:
-    """Exact links inside candidate groups. ``groups``: part, block, within, parts, class, copies, text."""
+    """Exact links of candidate groups that are not dealt into blocks; differences of the classes of the others.
+
+    ``groups``: label, block (-1 for a group that is not dealt), class, copies, leads, text. Each block has
+    the representative of its group among its rows, marked by ``leads``.
+    """
 
     def job(table: pa.Table) -> pa.Table:
         data, off = flat(table.column("text"))
         sets = [s for i, j in slices(off) for h, _, at in [shingles(data[off[i] : off[j]], off[i : j + 1] - off[i])] for s in np.split(h, at[1:-1])]
-        part, node, block, copies, parts = (table.column(c).to_numpy() for c in ("part", "class", "block", "copies", "parts"))
+        group, node, block, copies, leads = (table.column(c).to_numpy() for c in ("label", "class", "block", "copies", "leads"))
         same = np.array([len(s) > 0 and int(set_keys(s, np.array([0, len(s)])).view(np.int64)[0]) == c for s, c in zip(sets, node.tolist(), strict=True)], bool)
-        order = np.lexsort((node, part))
-        order = order[same[order]]
-        order = order[np.append(True, (node[order][1:] != node[order][:-1]) | (part[order][1:] != part[order][:-1]))[: len(order)]]
-        heads = np.flatnonzero(np.append(True, part[order][1:] != part[order][:-1]))[: len(order)]
+        size = np.array([len(s) for s in sets])
+        whole, told = [], []
+        for rows in _parts(group, node, same & (block < 0)):
+            if len(rows) > 1:
+                i, j = exact_links([sets[r] for r in rows], size[rows], np.zeros(len(rows)), similarity)
+                whole.append(linked(node[rows], copies[rows], i, j))
+        first = {(group[r], block[r]): r for r in np.flatnonzero(leads & same & (block >= 0)).tolist()}
+        for r in np.flatnonzero(same & (block >= 0) & ~leads).tolist():
+            lead = sets[first[group[r], block[r]]]
+            differs = np.setxor1d(lead, sets[r], assume_unique=True)
+            lacks = (len(differs) + len(lead) - size[r]) // 2
+            told.append((node[r], group[r], block[r], copies[r], size[r], lacks, len(lead), differs.tobytes()))
+        found = [np.concatenate(x) for x in zip(*whole, strict=True)] if whole else [np.zeros(0, np.int64)] * 4
+        rest = list(zip(*told, strict=True)) if told else [()] * 8
+        n, m = len(found[0]), len(told)
+        none = [None] * n
+        return pa.table(
+            {
+                "class": pa.array([*found[0].tolist(), *rest[0]], pa.int64()),
+                **{c: pa.array([*v.tolist(), *[None] * m], pa.int64()) for c, v in zip(("root", "links", "copies_linked"), found[1:], strict=True)},
+                **{c: pa.array([*none, *v], t) for c, v, t in zip(("label", "block", "copies", "n", "lacks", "shared", "differs"), rest[1:], (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)},
+            }
+        )
+
+    shard = F.pmod(F.xxhash64("label", "block"), F.lit(n_shards)).cast("int")
+    return groups.withColumn("__shard", shard).groupBy("__shard").applyInArrow(job, VERIFIED_DDL)
+
+
+def block_links(dealt: DataFrame, n_shards: int, similarity: float) -> DataFrame:
+    """Exact links between the classes of pairs of blocks. ``dealt``: part, block and the differences of ``verified``."""
+
+    def job(table: pa.Table) -> pa.Table:
+        part, node, block, copies, n, lacks, shared = (table.column(c).to_numpy() for c in ("part", "class", "block", "copies", "n", "lacks", "shared"))
+        data, off = flat(table.column("differs"))
+        values = data.view(np.uint64) if len(data) else np.zeros(0, np.uint64)
         out = []
-        for a, b in zip(heads, np.append(heads[1:], len(order)), strict=True):
-            rows = order[a:b]
+        for rows in _parts(part, node, np.ones(len(part), bool)):
             if len(rows) < 2:
                 continue
-            i, j = exact_links([sets[r] for r in rows], block[rows], len(np.unique(block[rows])) == 1, similarity)
-            label = local_components(len(rows), i, j)
-            n, c = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
-            for x, y in ((i, j), (j, i)):
-                np.add.at(n, x, 1)
-                np.add.at(c, x, copies[rows[y]])
-            linked = np.flatnonzero(n)
-            out.append((node[rows[linked]], node[rows[label[linked]]], n[linked], c[linked], parts[rows[linked]]))
-        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5
-        return pa.table({k: pa.array(v.astype(np.int32 if k == "parts" else np.int64)) for k, v in zip(("class", "root", "links", "copies_linked", "parts"), columns, strict=True)})
+            sets = [values[off[r] // 8 : off[r + 1] // 8] for r in rows]
+            i, j = exact_links(sets, n[rows], shared[rows] / 2 - lacks[rows], similarity)
+            if len(np.unique(block[rows])) > 1:
+                cross = block[rows][i] != block[rows][j]
+                i, j = i[cross], j[cross]
+            out.append(linked(node[rows], copies[rows], i, j))
+        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
+        return pa.table({k: pa.array(v.astype(np.int64)) for k, v in zip(("class", "root", "links", "copies_linked"), columns, strict=True)})
 
     shard = F.pmod(F.col("part"), F.lit(n_shards)).cast("int")
-    return groups.withColumn("__shard", shard).groupBy("__shard").applyInArrow(job, VERIFIED_DDL)
+    return dealt.withColumn("__shard", shard).groupBy("__shard").applyInArrow(job, "class long, root long, links long, copies_linked long")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id (smallest id of its group), n_links (other documents it is similar to), n_copies (documents with its set), set_id."""
+    """doc_id, class_id (smallest id of its group), n_links (other documents it is similar to), n_copies (documents with its set), set_id, class, group, text_key (hashes of the set, the group and the text)."""
+    check_ids(docs)
     signed = cut(signatures(docs))
-    classes = cut(signed.groupBy("class").agg(F.min("doc_id").alias("set_id"), F.count("*").alias("copies"), F.first("path").alias("path"), F.first("low").alias("low"), F.first("high").alias("high")))
+    best = F.min(F.struct("doc_id", "text_key"))
+    classes = cut(signed.groupBy("class").agg(best.alias("best"), F.count("*").alias("copies"), F.first("path").alias("path"), F.first("low").alias("low"), F.first("high").alias("high")).withColumn("set_id", F.col("best.doc_id")))
     n_shards = max(8, classes.count() // 2000)
     links = candidate_links(buckets(classes, runs_for(recall, similarity)), n_shards)
     groups = connected(links)
-    # Texts of one document for each class in a group, dealt into blocks where the group is large.
-    sized = groups.join(groups.groupBy("label").count(), "label").withColumn("parts", F.ceil(F.col("count") / BLOCK).cast("int"))
-    placed = sized.join(classes.select("class", "set_id", "copies"), sized["node"] == classes["class"])
-    own = F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")
-    placed = placed.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    placed = placed.select(F.when(F.col("parts") == 1, F.col("label")).otherwise(F.xxhash64("label", F.least("block", "other"), F.greatest("block", "other"))).alias("part"), "block", "parts", "class", "copies", "set_id")
-    texts = docs.select(F.col("doc_id").cast("long").alias("set_id"), "text")
-    exact = cut(verified(texts.join(placed, "set_id").select("part", "block", "parts", "class", "copies", "text"), n_shards, similarity))
-    several = exact.where("parts > 1").select(F.col("class").alias("a"), F.col("root").alias("b"))
-    roots = exact.where("parts = 1").select("class", "root")
-    if not several.isEmpty():
-        joined = connected(several)
+    # One text for each class in a group. Large groups are dealt into blocks, and each block gets the
+    # text of the group's representative: the class that the group is labelled by.
+    sized = groups.groupBy("label").count().withColumn("parts", F.ceil(F.col("count") / BLOCK).cast("int"))
+    large = sized.where("parts > 1").select("label", "parts")
+    own = F.when(F.col("parts").isNull(), -1).otherwise(F.pmod(F.xxhash64("node"), F.col("parts"))).cast("int")
+    if large.limit(LARGE_BUCKETS + 1).count() <= LARGE_BUCKETS:
+        large = F.broadcast(large)
+    members = groups.join(large, "label", "left").select("label", own.alias("block"), F.col("node").alias("class"), F.lit(False).alias("leads"))
+    leaders = sized.where("parts > 1").select("label", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"), F.col("label").alias("class"), F.lit(True).alias("leads"))
+    placed = members.union(leaders).join(classes.select("class", "best", "copies"), "class")
+    wanted = placed.select(F.col("best.doc_id").alias("set_id"), F.col("best.text_key").alias("text_key"), "label", "block", "class", "copies", "leads")
+    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("set_id"), F.xxhash64("text").alias("text_key"), "text")
+    sent = texts.join(wanted, ["set_id", "text_key"]).dropDuplicates(["set_id", "text_key", "label", "block", "class", "leads"])
+    checked = cut(verified(sent.select("label", "block", "class", "copies", "leads", "text"), n_shards, similarity))
+    exact = checked.where("label is null").select("class", "root", "links", "copies_linked")
+    roots = exact.select("class", "root")
+    differences = checked.where("label is not null")
+    if not differences.isEmpty():
+        other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+        dealt = differences.join(large, "label").withColumn("other", other).withColumn("part", F.xxhash64("label", F.least("block", "other"), F.greatest("block", "other")))
+        across = cut(block_links(dealt.select("part", "block", "class", "copies", "n", "lacks", "shared", "differs"), n_shards, similarity))
+        joined = connected(across.select(F.col("class").alias("a"), F.col("root").alias("b")))
         roots = roots.union(joined.select(F.col("node").alias("class"), F.col("label").alias("root")))
+        exact = exact.union(across)
     counts = exact.groupBy("class").agg(F.sum("links").alias("links"), F.sum("copies_linked").alias("copies_linked"))
     rooted = roots.join(classes.select("class", "set_id"), "class")
     first = rooted.groupBy("root").agg(F.min("set_id").alias("group_id"))
-    grouped = rooted.join(first, "root").join(counts, "class").select("class", "group_id", "links", "copies_linked")
+    grouped = rooted.join(first, "root").join(counts, "class").select("class", "root", "group_id", "links", "copies_linked")
     of_class = classes.select("class", "set_id", "copies").join(grouped, "class", "left")
-    of_doc = signed.select("doc_id", "class").join(of_class, "class")
-    out = of_doc.select("doc_id", F.coalesce("group_id", "set_id").alias("class_id"), (F.coalesce("copies_linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"), "set_id")
+    of_doc = signed.select("doc_id", "text_key", "class").join(of_class, "class")
+    out = of_doc.select("doc_id", F.coalesce("group_id", "set_id").alias("class_id"), (F.coalesce("copies_linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"), "set_id", "class", F.coalesce("root", "class").alias("group"), "text_key")
     wordless = docs.where(F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False)))
-    alone = wordless.select(F.col("doc_id").cast("long"), F.col("doc_id").cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), F.col("doc_id").cast("long").alias("set_id"))
+    own_id = F.col("doc_id").cast("long")
+    alone = wordless.select(own_id.alias("doc_id"), own_id.alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), own_id.alias("set_id"), F.lit(None).cast("long").alias("class"), F.lit(None).cast("long").alias("group"), F.xxhash64("text").alias("text_key"))
     return out.unionByName(alone)
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each group of near duplicates: the smallest id. Rows with a null id all stay."""
-    firsts = near_duplicates(docs, similarity).where("doc_id = class_id").select("doc_id").distinct()
-    one = docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One row of each group of near duplicates: that with the smallest id (then hash of set and text).
+
+    Of repeated rows one stays, of rows with one id and different texts one of each group. Each text without
+    words is a group of its own. Rows with a null id all stay.
+    """
+    found = near_duplicates(docs, similarity).where("doc_id = class_id")
+    firsts = found.groupBy("doc_id", F.coalesce("group", "text_key")).agg(F.min(F.struct("class", "text_key"))["text_key"].alias("__text"))
+    firsts = firsts.select(F.col("doc_id").alias("__id"), "__text")
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.struct(*docs.columns).alias("__doc"), F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__text"))
+    one = rows.join(firsts, ["__id", "__text"], "left_semi").dropDuplicates(["__id", "__text"]).select("__doc.*")
     return one.union(docs.where(F.col("doc_id").isNull()))

@@ -37,7 +37,7 @@ def op6_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.near_duplicates(read(spark, sf_dir, "documents"))
+    return jaccard_join.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies", "set_id")
 
 
 def op8_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
