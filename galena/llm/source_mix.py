@@ -64,7 +64,7 @@ def with_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: fl
     return ranked.withColumn("target", target).select("__key", "source_size", "target")
 
 
-def mix_sources(docs: DataFrame, size: Column | None = None, order: Column | None = None, seed: int = 17, bucket_rows: int = 20_000) -> DataFrame:
+def mix_sources(docs: DataFrame, size: Column | None = None, order: Column | None = None, seed: int = 17, bucket_rows: int = 1_000) -> DataFrame:
     """All columns of ``docs`` and size, source_size, target, copies. One row for each document.
 
     Without ``size`` (and ``order``, a hash of the row), words are counted once into a narrow table that
