@@ -66,6 +66,25 @@ def bounded_sample(df: DataFrame, rows: int, by: list[str], seed: int) -> DataFr
     return df.where(draw <= int(min(share, 1.0) * (1 << 30))).orderBy(draw, *by).limit(rows)
 
 
+#: Rows of a key from which on it is joined apart, and up to which the list of such keys is broadcast.
+HOT_ROWS, HOT_KEYS, SALTS = 1_000, 1_000_000, 32
+
+
+def join_counted(rows: DataFrame, table: DataFrame, key: str, n: str) -> DataFrame:
+    """Inner join of ``rows`` to the one row of ``table`` for their key; ``n`` tells how many of ``rows`` have it.
+
+    Rows of a hot key never meet in one task. There are at most (number of rows) / HOT_ROWS hot keys: they
+    are broadcast up to HOT_KEYS of them, and joined in SALTS parts beyond that. ``table`` is read twice.
+    """
+    hot, other = table.where(F.col(n) > HOT_ROWS), table.where(F.col(n) <= HOT_ROWS)
+    if hot.count() > HOT_KEYS:
+        salt = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")
+        parts = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return rows.withColumn("__salt", salt).join(parts, [key, "__salt"]).drop("__salt")
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rest.join(other, key).unionByName(rows.join(F.broadcast(hot), key))
+
+
 def check_ids(docs: DataFrame, column: str = "doc_id") -> None:
     """Operators that compare ids need whole numbers."""
     kind = docs.schema[column].dataType
