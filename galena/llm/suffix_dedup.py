@@ -6,7 +6,8 @@ interval; the previous and the next smaller position of a suffix inside its inte
 an earlier match, so a suffix with either of them has a longest previous factor of ``length`` or more.
 
 ``keep="first"`` removes the bytes of windows that have such an earlier match: the first copy, by
-(doc_id, place), stays. ``keep="none"`` removes every copy of a recurring string.
+(doc_id, place), stays. ``keep="none"`` removes every copy of a recurring string: windows with an earlier
+match, and with a later one, which is a smaller position beside it if positions are turned round.
 
 Defined results: a null text counts as empty and stays null; texts shorter than the window lose nothing; overlapping
 matches in one document count; repeated rows are copies of each other (one stays whole with
@@ -79,33 +80,43 @@ def smaller_before(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return jump
 
 
-def has_earlier(rank: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Suffix order, the beginning of each one's interval, and whether there is an earlier match."""
+def smaller_beside(p: np.ndarray, head: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether an item has a previous or a next smaller one inside its interval."""
+    previous = smaller_before(p, np.repeat(head, size))
+    end = np.repeat(len(p) - head - size, size)  # intervals from the other side
+    following = smaller_before(p[::-1], end[::-1])[::-1]
+    return (previous >= 0) | (following >= 0)
+
+
+def matches(rank: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each suffix, whether an earlier and whether a later one shares its window.
+
+    Positions are those in suffix order, so a smaller one beside it in its interval is an earlier match; with
+    positions turned round, it is a later one.
+    """
     order = np.argsort(rank, kind="stable")
     r, p = rank[order], position[order]
     head = np.flatnonzero(np.append(True, r[1:] != r[:-1])) if len(r) else np.zeros(0, np.int64)
     size = np.diff(np.append(head, len(r)))
-    begin = np.repeat(head, size)
-    previous = smaller_before(p, begin)
-    end = np.repeat(len(r) - head - size, size)  # intervals from the other side
-    following = smaller_before(p[::-1], end[::-1])[::-1]
-    return order, begin, (previous >= 0) | (following >= 0)
+    earlier, later = np.empty(len(r), bool), np.empty(len(r), bool)
+    earlier[order] = smaller_beside(p, head, size)
+    later[order] = smaller_beside(len(r) - 1 - p, head, size)
+    return earlier, later
 
 
 def judge(shard: Shard, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each window of the distinct segments: its segment, whether it recurs, whether an earlier copy exists."""
+    """For each window of the distinct segments: its segment, whether it recurs, whether an earlier copy exists.
+
+    A window recurs if there is an earlier or a later match, or if its segment stands for several copies.
+    """
     at, rank = window_ranks(shard.body, shard.off, length)
     segment = np.searchsorted(shard.off, at, "right") - 1
     place = shard.low_at[segment] + at - shard.off[segment]
     by_place = np.lexsort((place, shard.low_id[segment]))
     position = np.empty(len(at), np.int64)
     position[by_place] = np.arange(len(at))
-    order, begin, earlier_in_order = has_earlier(rank, position)
-    total = np.zeros(len(at), np.int64)
-    np.add.at(total, begin, shard.n[segment[order]])
-    again, earlier = np.empty(len(at), bool), np.empty(len(at), bool)
-    again[order], earlier[order] = total[begin] > 1, earlier_in_order
-    return segment, again, earlier
+    earlier, later = matches(rank, position)
+    return segment, earlier | later | (shard.n[segment] > 1), earlier
 
 
 ANSWER_DDL = "__chunk int, anchor long, segment long, low_id long, low_at long, again binary, earlier binary"
