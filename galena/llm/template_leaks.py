@@ -3,16 +3,18 @@
 Words of a window become a template: numbers, units after them and names (capitalised words inside a
 sentence) are replaced by typed placeholders, other words are lower-cased without the marks around
 them. Every window of ``WINDOW`` words of a benchmark item (shorter items: all their words) is a row
-with its template's hash and its *anchor*, the longest ordinary word. Document words are hash-joined
-to the anchors; around each hit the document's own window is canonicalised and its hash compared, so
-all windows are checked while only few are built.
+with its template's hash and its *anchor*, the longest ordinary word. Words of a document that are anchors
+are found inside its array of words, and hash-joined to the windows; around each of them the document's own
+window is canonicalised and its hash compared, so all windows are checked while only few are built.
 
 A document leaks an item if at least ``MIN_SHARE`` of the item's windows occur in it as templates and
 the slots are consistent: in one place of the document, a number or name of the item stands for the
 same value wherever it occurs. This finds copies and re-parameterised questions.
 
 The benchmark is the stated query set. Its windows are broadcast only if they are at most
-``BROADCAST_ROWS`` rows (about 100 bytes each); beyond that the same join shuffles by anchor.
+``BROADCAST_ROWS`` rows (about 100 bytes each); beyond that the same join shuffles by anchor. Up to
+``ANCHOR_LITERALS`` distinct anchors are a set inside the plan; beyond that every word of a document becomes
+a row, with the block of words around it, and is joined to the anchors.
 
 Defined results: a null text has no words; items without words match nothing; documents with a null
 id are judged together under the null id; repeated rows are judged together and each returned; an
@@ -24,9 +26,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from galena.llm.common import cut
+
 WINDOW = 8
 MIN_SHARE = 0.5
 BROADCAST_ROWS = 500_000
+ANCHOR_LITERALS = 20_000
 BLOCK = 64
 # Marks around words, units, placeholders.
 MARKS = ".,;:!?\"'()[]{}"
@@ -71,14 +76,15 @@ def slots(window: Column, shape: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, window, n_windows, anchor, offset, width, key, item_slots: a row for each window of the benchmark."""
+    """A row for each window of the benchmark: its template, its longest ordinary word (the anchor) and the next one, how far apart."""
     items = benchmark.select("item_id", words_of(F.col("text")).alias("words")).where(F.element_at("words", 1) != "")
     items = items.withColumn("width", F.least(F.size("words"), F.lit(WINDOW))).withColumn("n_windows", F.size("words") - F.col("width") + 1)
     rows = items.select("item_id", "n_windows", "width", "words", F.explode(F.sequence(F.lit(1), F.col("n_windows"))).alias("window"))
     rows = rows.withColumn("span", F.slice("words", F.col("window"), F.col("width"))).withColumn("shape", template(F.col("span")))
     ordinary = F.filter(F.transform("shape", lambda w, i: F.struct(F.when(w.isin(NUMBER, UNIT, NAME), -1).otherwise(F.length(w)).alias("size"), w.alias("word"), i.alias("at"))), lambda s: s["size"] > 0)
-    rows = rows.withColumn("best", F.array_max(ordinary)).where("best is not null")
-    return rows.select("item_id", "window", "n_windows", "width", F.col("best.word").alias("anchor"), F.col("best.at").alias("offset"), F.xxhash64("shape").alias("key"), F.array_join("shape", " ").alias("shape"), slots(F.col("span"), F.col("shape")).alias("item_slots"))
+    rows = rows.withColumn("ordinary", F.sort_array(ordinary, asc=False)).where(F.size("ordinary") > 0)
+    best, second = F.get("ordinary", F.lit(0)), F.get("ordinary", F.lit(1))
+    return rows.select("item_id", "window", "n_windows", "width", best["word"].alias("anchor"), best["at"].alias("offset"), second["word"].alias("second"), (second["at"] - best["at"]).alias("apart"), F.xxhash64("shape").alias("key"), F.array_join("shape", " ").alias("shape"), slots(F.col("span"), F.col("shape")).alias("item_slots"))
 
 
 def document_words(docs: DataFrame) -> DataFrame:
@@ -96,14 +102,42 @@ def document_words(docs: DataFrame) -> DataFrame:
     return told.where((F.col("at") >= F.col("lead")) & (F.col("at") < F.col("lead") + BLOCK)).drop("lead")
 
 
+def anchored_words(docs: DataFrame, anchors: list[str]) -> DataFrame:
+    """The columns of ``document_words`` for the words that are anchors; no other word becomes a row."""
+    context = WINDOW - 1
+    # A generator holds the array, so that Spark splits a text once.
+    held = docs.select("doc_id", F.explode_outer(F.array(words_of(docs["text"]))).alias("words"))
+    shortest, marks_only = min(map(len, anchors)), [a for a in anchors if not a.strip(MARKS)]
+
+    def is_anchor(word: Column) -> Column:
+        inner = F.lower(F.btrim(word, F.lit(MARKS)))
+        found = (F.length(word) >= shortest) & inner.isin(anchors)
+        return found | ((inner == "") & word.isin(marks_only)) if marks_only else found
+
+    at = F.array_compact(F.transform("words", lambda w, i: F.when(is_anchor(w), i)))
+    lead = lambda i: F.least(i, F.lit(context))
+    around = F.transform(at, lambda i: F.struct((i - lead(i)).alias("begin"), F.slice("words", i - lead(i) + 1, lead(i) + 1 + context).alias("block"), lead(i).alias("at"), F.get("words", i).alias("word")))
+    return held.select("doc_id", F.explode(around).alias("hit")).select("doc_id", "hit.*")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id) of each leak, with the item's share of windows found and whether slots changed."""
     windows = item_windows(benchmark)
     anchors = windows.select("anchor").distinct()
+    listed = [r["anchor"] for r in anchors.limit(ANCHOR_LITERALS + 1).collect()]
     if windows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         windows, anchors = F.broadcast(windows), F.broadcast(anchors)
-    hits = document_words(docs).withColumn("anchor", bare(F.col("word"))).join(anchors, "anchor", "left_semi").join(windows, "anchor")
+    if not listed:
+        words = document_words(docs).limit(0)
+    else:
+        words = anchored_words(docs, sorted(listed)) if len(listed) <= ANCHOR_LITERALS else document_words(docs)
+    hits = words.withColumn("anchor", bare(F.col("word")))
+    if len(listed) > ANCHOR_LITERALS:
+        hits = hits.join(anchors, "anchor", "left_semi")
+    hits = hits.join(windows, "anchor")
     hits = hits.where((F.col("at") >= F.col("offset")) & (F.col("at") - F.col("offset") + F.col("width") <= F.size("block")))
+    # The next word has to be there too; this spares most templates.
+    hits = hits.where(F.col("second").isNull() | (bare(F.get("block", F.col("at") + F.col("apart"))) == F.col("second")))
     hits = hits.withColumn("span", F.slice("block", F.greatest(F.col("at") - F.col("offset") + 1, F.lit(1)), F.col("width")))
     hits = hits.withColumn("doc_shape", template(F.col("span"))).where((F.xxhash64("doc_shape") == F.col("key")) & (F.array_join("doc_shape", " ") == F.col("shape")))
     pairs = F.zip_with("item_slots", slots(F.col("span"), F.col("doc_shape")), lambda a, b: F.struct(a.alias("item"), b.alias("doc")))
@@ -125,6 +159,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that leak an item."""
-    found = leaks(docs, benchmark).select(F.col("doc_id").alias("__id")).distinct()
+    """``docs`` without the documents that leak an item. Texts are shuffled only if more than ``BROADCAST_ROWS`` of them do."""
+    found = cut(leaks(docs, benchmark).select(F.col("doc_id").alias("__id")).distinct())
+    if found.count() <= BROADCAST_ROWS:
+        found = F.broadcast(found)
     return docs.join(found, docs["doc_id"].eqNullSafe(found["__id"]), "left_anti")

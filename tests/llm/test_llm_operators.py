@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(__file__))
 import helpers as plain  # noqa: E402
 
-from galena.llm import class_lm, components, jaccard_join, license_scan, pairwise_quality, phrase_automata, quality_rules, queries, source_mix, suffix_dedup, template_leaks, text_stats, warc_zip  # noqa: E402
+from galena.llm import class_lm, common, components, jaccard_join, license_scan, pairwise_quality, phrase_automata, quality_rules, queries, source_mix, suffix_dedup, template_leaks, text_stats, warc_zip  # noqa: E402
 from galena.llm.common import flat, read, slices  # noqa: E402
 
 DATA = "/root/testdata/sf0.01"
@@ -390,6 +390,16 @@ def test_jaccard_join(spark, rows, nothing, monkeypatch, bucket, block):
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard_join.near_duplicates(df).where("doc_id is not null").collect()) == got
 
 
+def test_join_of_hot_keys(spark, monkeypatch):
+    rows = spark.createDataFrame([(k % 3, k) for k in range(30)] + [(k, 0) for k in range(3, 9)], "key long, v long")
+    table = spark.createDataFrame([(k, f"x{k}", 10 if k < 3 else 1) for k in range(8)], "key long, name string, n long")
+    expected = sorted(map(str, rows.join(table, "key").select("key", "v", "name").collect()))
+    for hot_rows, hot_keys in ((5, 10), (5, 1), (1000, 10)):
+        monkeypatch.setattr(common, "HOT_ROWS", hot_rows)
+        monkeypatch.setattr(common, "HOT_KEYS", hot_keys)
+        assert sorted(map(str, common.join_counted(rows, table, "key", "n").select("key", "v", "name").collect())) == expected
+
+
 def test_keep_one_keeps_a_row_of_each_group(spark):
     a, b, c = ("one two three four five six", "some other words stand in this text", "and a third text of six words")
     near = " ".join(f"w{i}" for i in range(60))
