@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from galena.llm.common import SLICE_BYTES, flat, prefix_hash, rows_of, slices, sliding_min, span_hash, text_bytes, word_spans
+from galena.llm.common import SLICE_BYTES, check_ids, flat, prefix_hash, rows_of, slices, sliding_min, span_hash, text_bytes, word_spans
 
 NO_ID = np.iinfo(np.int64).max
 POSITION_BITS = 24
@@ -106,6 +106,7 @@ class Search:
 
 def in_chunks(docs: DataFrame, chunk_bytes: int) -> tuple[DataFrame, int]:
     """``__chunk``, ``__id``, ``__text`` and the columns of ``docs`` as ``__doc``."""
+    check_ids(docs)
     n = max(1, -(-text_bytes(docs) // chunk_bytes))
     chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
     return docs.select(chunk.alias("__chunk"), F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("__id"), F.col("text").alias("__text"), F.struct(*[c for c in docs.columns if c != "text"]).alias("__doc")), n
