@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters with diacritics and what they fold to, position by position.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+from galena.functions.unicode import folded, normalized
+
+# Colours in three languages.
+COLOURS = ["beige", "black", "blue", "brown", "gold", "gray", "green", "grey", "orange", "pink", "purple", "red", "silver", "white", "yellow", "blanc", "bleu", "gris", "jaune", "noir", "rouge", "vert", "violet", "blau", "gelb", "grau", "grun", "rot", "schwarz", "silber", "weiss"]
 
 
 def fold_text(c: Column) -> Column:
     """Lower case without diacritics, runs of other characters as one space, null if nothing is left."""
-    words = F.trim(F.regexp_replace(F.translate(F.lower(c), ACCENTED, PLAIN), "[^a-z0-9]+", " "))
+    words = F.trim(F.regexp_replace(F.lower(normalized(c, folded)), "[^a-z0-9]+", " "))
     return F.when(words != "", words)
 
 
@@ -43,12 +44,52 @@ def display_name(*choices: Column) -> Column:
     return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in choices])
 
 
+def _found(c: Column, pattern: str, group: int = 0) -> Column:
+    return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
+
+
+QUALIFIER = "^(.*?)\\s*[(\\[]\\s*([^\\])]+)\\s*[)\\]]\\s*$"
+ISSUE = "(?i)\\b(?:heft|folge|issue|no|nr)\\.?\\s*[0-9]+\\b|\\b[0-9]+/[0-9]{4}\\b"
+NUMBERED = "\\b(?:edition|version|series|part|folge|issue|heft|nr|no) *[0-9]+\\b"
+ROUTE = "\\b[us] ?[0-9]+\\b"
+
+
 def descriptors(c: Column) -> Column:
-    """stem, qualifier in parentheses at the end, issue number after ``#`` or ``no.``."""
-    qualifier = F.nullif(F.regexp_extract(c, "\\(([^()]+)\\)\\s*$", 1), F.lit(""))
-    stem = F.trim(F.regexp_replace(c, "\\s*\\([^()]+\\)\\s*$", ""))
-    issue = F.regexp_extract(F.lower(c), "(?:#|no\\.? ?)([0-9]+)", 1).try_cast("int")
-    return F.struct(stem.alias("stem"), qualifier.alias("qualifier"), issue.alias("issue"))
+    """What a name tells beside its words: all parts are null where it does not.
+
+    folded; stem and qualifier of ``stem (qualifier)``; issue (``no. 3``, ``4/1999``); colours and the core
+    without them; route (``U 3``, ``S7``, tram); what follows ``cover`` or ``with`` and what stands before;
+    a numbered edition, version, series or part.
+    """
+    stem, qualifier = fold_text(_found(c, QUALIFIER, 1)), fold_text(_found(c, QUALIFIER, 2))
+    fixed = [stem.alias("stem"), qualifier.alias("qualifier"), F.lower(_found(c, ISSUE)).alias("issue")]
+    # The array binds the folded name, so that it is made once.
+    return F.get(F.transform(F.array(fold_text(c)), lambda name: F.struct(name.alias("folded"), *fixed, *_from_folded(name))), F.lit(0))
+
+
+def _from_folded(name: Column) -> list[Column]:
+    words = F.split(name, " ")
+    colours = F.array_sort(F.array_distinct(F.filter(words, lambda w: w.isin(COLOURS))))
+    coloured = F.size(colours) > 0
+
+    def halves(marker: str) -> tuple[Column, Column]:
+        parts = F.split(name, f" {marker} ")
+        core, rest = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+        whole = (F.size(parts) == 2) & (core != "") & (rest != "")
+        return F.when(whole, core), F.when(whole, rest)
+
+    (cover_core, cover), (with_core, with_) = halves("cover"), halves("with")
+    route = F.replace(_found(name, ROUTE), F.lit(" "), F.lit(""))
+    return [
+        F.when(coloured, F.array_join(colours, ",")).alias("colours"),
+        F.when(coloured, F.array_join(F.filter(words, lambda w: ~w.isin(COLOURS)), " ")).alias("colour_core"),
+        F.coalesce(route, F.when(F.contains(name, F.lit("tram")), "tram")).alias("route"),
+        cover_core.alias("cover_core"),
+        cover.alias("cover"),
+        with_core.alias("with_core"),
+        with_.alias("with_"),
+        _found(name, NUMBERED).alias("numbered"),
+    ]
 
 
 def market_code(c: Column) -> Column:

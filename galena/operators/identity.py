@@ -1,50 +1,224 @@
-"""Which records describe the same object: comparison of pairs, clusters, actions."""
+"""Which records describe the same object: comparison of pairs, keys, clusters, actions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from galena.functions.reference import record_qualifier
+from galena.functions.text import descriptors, fold_text, jaccard_of
+from galena.sources.tables import materialize
+
+MATCH, DISTINCT, AMBIGUOUS = "MATCH", "DISTINCT", "AMBIGUOUS"
+
+
+def kind_family(kind: Column, form: Column) -> Column:
+    signal = F.lower(F.concat_ws(" ", kind, form))
+    return F.when(signal.rlike("catalog|leaflet"), "CATALOGUE").when(signal.rlike("magazine|comic|book"), "PERIODICAL").when(signal.rlike("figure|character"), "FIGURE").otherwise("OTHER")
+
+
+def word_set(folded: Column) -> Column:
+    """Distinct words of two characters or more of a folded text."""
+    return F.array_distinct(F.filter(F.split(F.coalesce(folded, F.lit("")), " "), lambda w: F.length(w) > 1))
+
+
+def features(records: DataFrame, keep: list[str]) -> DataFrame:
+    """What pairs are compared by, made once for each record: ``keep`` and year, and from name, themes (array),
+    kind, format and names (map by locale) their descriptors."""
+    d = descriptors(F.col("name"))
+    themes = F.filter(F.transform(F.coalesce("themes", F.array().cast("array<string>")), fold_text), lambda x: x.isNotNull())
+    names = F.map_filter(F.transform_values(F.coalesce("names", F.create_map().cast("map<string,string>")), lambda _, v: fold_text(v)), lambda _, v: v.isNotNull())
+    told = records.select(*keep, "year", d.alias("d"), themes.alias("themes"), names.alias("names"), kind_family(F.col("kind"), F.col("format")).alias("family"), F.lower(F.concat_ws(" ", "kind", "format")).rlike("figure|character").alias("figure"))
+    return told.withColumn("words", word_set(F.col("d.folded")))
+
+
+def _sides(c: str) -> tuple[Column, Column]:
+    return F.col(f"left_{c}"), F.col(f"right_{c}")
+
+
+def _differ(c: str) -> Column:
+    """Both sides tell it, and differently."""
+    a, b = _sides(c)
+    return F.coalesce(a != b, F.lit(False))
+
+
+def _same(c: str) -> Column:
+    a, b = _sides(c)
+    return F.coalesce(a == b, F.lit(False))
+
+
+def compare_signals() -> Column:
+    """MATCH, DISTINCT or AMBIGUOUS for a pair of ``features`` (columns left_ and right_).
+
+    Equal names match only with an equal year or a common theme beside them and nothing against it; what is
+    merely spelled otherwise is left open.
+    """
+    (left_themes, right_themes), (left_words, right_words) = _sides("themes"), _sides("words")
+    told = (F.size(left_themes) > 0) & (F.size(right_themes) > 0)
+    overlap = told & F.arrays_overlap(left_themes, right_themes)
+    apart = told & ~F.arrays_overlap(left_themes, right_themes)
+    similarity = jaccard_of(left_words, right_words, _same("d.folded"))
+    left_q, right_q = _sides("d.qualifier")
+    special = F.when(_same("family"), F.col("left_family")).otherwise("OTHER")
+    return (
+        F.when(_same("d.folded") & ~_differ("year") & ~apart & (_same("year") | overlap), MATCH)
+        .when(F.col("left_d.folded").isNull() | F.col("right_d.folded").isNull(), AMBIGUOUS)
+        .when(_same("d.stem") & ~left_q.eqNullSafe(right_q) & ~_differ("year"), DISTINCT)
+        .when((special == "FIGURE") & (similarity < 0.8), DISTINCT)
+        .when(special.isin("CATALOGUE", "PERIODICAL") & _differ("year"), DISTINCT)
+        .when((special == "PERIODICAL") & _differ("d.issue"), DISTINCT)
+        .when((_differ("year") | apart) & (similarity < 0.75), DISTINCT)
+        .otherwise(AMBIGUOUS)
+    )
+
+
+def names_diverge() -> Column:
+    """Names in two languages or more that both sides have, none equal, none similar, two of them less than half."""
+    left, right = _sides("names")
+    shared = F.filter(F.map_keys(left), lambda k: F.map_contains_key(right, k))
+    pairs = F.transform(shared, lambda k: F.struct(F.element_at(left, k).alias("a"), F.element_at(right, k).alias("b")))
+    scores = F.transform(pairs, lambda p: jaccard_of(word_set(p["a"]), word_set(p["b"]), p["a"] == p["b"]))
+    return (F.size(pairs) >= 2) & ~F.exists(pairs, lambda p: p["a"] == p["b"]) & F.forall(scores, lambda s: s <= 0.5) & (F.size(F.filter(scores, lambda s: s < 0.5)) >= 2)
+
+
+def compare_evidence(base: Column) -> Column:
+    """(relation, reason) of a pair of ``features``; ``base`` is what ``compare_signals`` says of it."""
+
+    def told(relation: str, reason: str) -> Column:
+        return F.struct(F.lit(relation).alias("relation"), F.lit(reason).alias("reason"))
 
-def compare_identity(name_similarity: Column, same_year: Column, same_kind: Column, qualifier_differs: Column, strong: float = 0.8, weak: float = 0.5) -> Column:
-    """MATCH, DISTINCT or AMBIGUOUS; null facts support neither side."""
     return (
-        F.when(F.coalesce(qualifier_differs, F.lit(False)) | F.coalesce(~same_kind, F.lit(False)), "DISTINCT")
-        .when((name_similarity >= strong) & F.coalesce(same_year, F.lit(True)), "MATCH")
-        .when((name_similarity < weak) & F.coalesce(~same_year, F.lit(True)), "DISTINCT")
-        .otherwise("AMBIGUOUS")
+        F.when(base == MATCH, told(MATCH, "aligned-name-and-secondary-signals"))
+        .when(_same("d.colour_core") & _differ("d.colours"), told(DISTINCT, "explicit-color-difference"))
+        .when(_differ("d.route"), told(DISTINCT, "explicit-route-difference"))
+        .when(_same("d.cover_core") & _differ("d.cover"), told(DISTINCT, "explicit-cover-content-difference"))
+        .when(_same("d.with_core") & _differ("d.with_"), told(DISTINCT, "explicit-with-content-difference"))
+        .when(_differ("d.numbered"), told(DISTINCT, "explicit-numbered-qualifier-difference"))
+        .when(names_diverge(), told(DISTINCT, "strong-multilingual-name-divergence"))
+        .when(_differ("d.folded") & F.col("left_figure") & F.col("right_figure"), told(DISTINCT, "different-figure-character-names"))
+        .when(base == DISTINCT, told(DISTINCT, "existing-identity-signals-distinct"))
+        .otherwise(told(AMBIGUOUS, "insufficient-non-conflicting-signals"))
     )
 
 
-def assign_identity(relations: DataFrame, key: str, relation: str) -> DataFrame:
-    """How a record joins its candidates: none, one match, all distinct, or open."""
-    n = relations.groupBy(key).agg(F.count(relation).alias("n"), F.count_if(F.col(relation) == "MATCH").alias("m"), F.count_if(F.col(relation) == "DISTINCT").alias("d"))
-    outcome = F.when(F.col("n") == 0, "NEW").when((F.col("m") == 1) & (F.col("m") + F.col("d") == F.col("n")), "JOIN").when(F.col("d") == F.col("n"), "REUSED").otherwise("AMBIGUOUS")
-    return n.select(key, outcome.alias("outcome"), (outcome == "AMBIGUOUS").alias("review"))
+def qualified_key(reference: Column, source: Column, external_id: Column) -> Column:
+    """The key of an object that shares its reference with others: named after its first source record."""
+    return F.concat(F.lit("ref:"), reference, F.lit(":record:"), record_qualifier(source, external_id))
+
+
+def assign_identity(records: DataFrame, relations: DataFrame) -> DataFrame:
+    """Class, reason, review flag and keys of each incoming record.
+
+    ``records``: id, base, normalized, placeholder, source, external_id; ``relations``: id, relation,
+    product_key, variant_key, reference_class of each candidate that shares the reference.
+    """
+    match = F.col("relation") == MATCH
+    # The one match decides only if there is a single one, so any of its columns may be the maximum.
+    joined = F.max(F.when(match, F.struct("product_key", "variant_key", "reference_class")))
+    per = relations.groupBy("id").agg(F.count("relation").alias("n"), F.count_if(match).alias("m"), F.count_if(F.col("relation") == AMBIGUOUS).alias("open"), joined.alias("to"))
+    rows = records.join(per, "id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n", "m", "open")})
+    one = (F.col("m") == 1) & (F.col("open") == 0)
+    reused = F.col("to.reference_class") == "REUSED"
+
+    def outcome(cls: str, reason: str, review: bool = False) -> Column:
+        return F.struct(F.lit(cls).alias("class"), F.lit(reason).alias("reason"), F.lit(review).alias("review"))
+
+    assigned, again = outcome("ASSIGNED", "assigned-reference"), outcome("REUSED", "reused-reference")
+    decided = F.when(F.col("placeholder"), outcome("PLACEHOLDER", "placeholder-reference")).when(F.col("n") == 0, assigned).when(one & reused, again).when(one, assigned).when((F.col("m") == 0) & (F.col("open") == 0), again).otherwise(outcome("AMBIGUOUS", "true-identity-conflict", True))
+    plain = ~F.col("placeholder") & (F.col("n") == 0)
+
+    def key(reference: str, of_match: str) -> Column:
+        default = F.concat(F.lit("ref:"), F.col(reference))
+        return F.when(plain, default).when(~F.col("placeholder") & one, F.coalesce(F.col(of_match), default)).otherwise(qualified_key(F.col(reference), F.col("source"), F.col("external_id")))
+
+    return rows.select("id", decided.alias("o"), key("base", "to.product_key").alias("product_key"), key("normalized", "to.variant_key").alias("variant_key")).select("id", "o.*", "product_key", "variant_key")
+
+
+def reclassify_references(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Class and reason of each reference from all variants that carry it.
+
+    ``members``: reference, id, placeholder, anchored (has a source record), validated (already REUSED, with
+    its qualified key); ``pairs``: reference and relation of all pairs of its members.
+    """
+    found = pairs.groupBy("reference").agg(F.count("*").alias("pairs"), F.count_if(F.col("relation") == DISTINCT).alias("distinct"))
+    per = members.groupBy("reference").agg(F.bool_or("placeholder").alias("placeholder"), F.count_distinct("id").alias("variants"), F.bool_and("anchored").alias("anchored"), F.bool_and("validated").alias("validated"))
+    rows = per.join(found, "reference", "left")
+    apart = F.coalesce(F.col("pairs") == F.col("distinct"), F.lit(False))
+    kept = F.col("anchored") & F.col("validated")
+    safe = F.col("anchored") & (apart | F.col("validated"))
+
+    def outcome(cls: str, reason: str) -> Column:
+        return F.struct(F.lit(cls).alias("class"), F.lit(reason).alias("reason"))
+
+    decided = (
+        F.when(F.col("placeholder"), outcome("PLACEHOLDER", "syntactic-placeholder-reference"))
+        .when(F.col("variants") == 1, outcome("ASSIGNED", "unique-assigned-reference"))
+        .when(kept, outcome("REUSED", "validated-record-qualified-reuse"))
+        .when(safe, outcome("REUSED", "distinct-objects-reuse-reference"))
+        .when(apart, outcome("AMBIGUOUS", "missing-source-record-identity"))
+        .otherwise(outcome("AMBIGUOUS", "true-identity-conflict"))
+    )
+    return rows.select("reference", "variants", decided.alias("o")).select("reference", "variants", "o.*")
+
+
+def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+    """(id, cluster): the smallest id of the component of each node of the links (a, b), both ways.
+
+    Each round takes the smallest label among a node's neighbours and then the label of that label; labels
+    are written to the shared folder after each round, which cuts the lineage.
+    """
+    links = materialize(edges.select("a", "b").distinct())
+    labels = materialize(links.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("cluster")))
+    for _ in range(rounds):
+        near = links.join(labels, links["b"] == labels["id"]).groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("near"))
+        lower = labels.join(near, "id").select("id", F.least("cluster", "near").alias("lower"), F.col("cluster").alias("was"))
+        over = labels.select(F.col("id").alias("lower"), F.col("cluster").alias("over"))
+        step = materialize(lower.join(over, "lower", "left").select("id", F.least("lower", F.coalesce("over", "lower")).alias("cluster"), "was"))
+        labels = step.select("id", "cluster")
+        if step.where("cluster <> was").isEmpty():
+            return labels
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def cluster_records(nodes: DataFrame, pairs: DataFrame, group: str, id: str, relation: str) -> DataFrame:
-    """Clusters of each group by MATCH pairs: (group, id, cluster, accepted).
+    """Clusters of each group by MATCH pairs: (group, id, cluster, relationship, accepted).
 
-    A group is accepted if its matches form cliques and all other pairs are DISTINCT. Then the
-    smallest id among a node and its matches is the exact component, without any iteration: every
-    member of a clique sees the same smallest id. Groups where that fails are not accepted.
-    ``pairs``: group, left, right, relation for all pairs of the group.
+    A cluster is MATCH if all its pairs are, SINGLETON if it has one record, else AMBIGUOUS; a group is
+    accepted if no cluster is AMBIGUOUS and all pairs across clusters are DISTINCT. Where matches form
+    cliques, the smallest id among a node and its matches is the exact component; only links of other
+    groups go through rounds. ``pairs``: group, left, right, relation for all pairs of the group.
     """
+    pairs = materialize(pairs.select(group, "left", "right", relation))
     sides = F.explode(F.array(F.struct(F.col("left").alias("me"), F.col("right").alias("other")), F.struct(F.col("right").alias("me"), F.col("left").alias("other"))))
     near = pairs.select(group, relation, sides.alias("s")).select(group, relation, F.col("s.me").alias(id), F.col("s.other").alias("__o"))
-    match = F.col(relation) == "MATCH"
+    match = F.col(relation) == MATCH
     # One pass over the pairs: smallest match, number of matches and open pairs of each node.
-    per = near.groupBy(group, id).agg(F.min(F.when(match, F.col("__o"))).alias("__low"), F.count_if(match).alias("__degree"), F.count_if(F.col(relation) == "AMBIGUOUS").alias("__open"))
-    labelled = nodes.select(group, id).join(per, [group, id], "left").select(group, id, F.least(F.col(id), F.coalesce("__low", id)).alias("cluster"), F.coalesce("__degree", F.lit(0)).alias("__degree"), F.coalesce("__open", F.lit(0)).alias("__open"))
-    size = labelled.groupBy(group, "cluster").agg(F.count("*").alias("__size"), F.min("__degree").alias("__least"), F.max("__degree").alias("__most"), F.sum("__open").alias("__open"))
-    clique = (F.col("__least") == F.col("__size") - 1) & (F.col("__most") == F.col("__size") - 1) & (F.col("__open") == 0)
-    ok = size.groupBy(group).agg(F.bool_and(clique).alias("accepted"))
-    return labelled.join(ok, group).select(group, id, "cluster", "accepted")
-
-
-def group_verdict(clusters: DataFrame, group: str, id: str) -> DataFrame:
-    """MATCH, DISTINCT or AMBIGUOUS for a whole group, its clusters, and the safe action."""
-    per = clusters.groupBy(group).agg(F.bool_and("accepted").alias("ok"), F.count_distinct("cluster").alias("clusters"), F.count(id).alias("records"))
-    verdict = F.when(~F.col("ok"), "AMBIGUOUS").when(F.col("clusters") == 1, "MATCH").otherwise("DISTINCT")
-    return per.select(group, "records", "clusters", verdict.alias("verdict"), F.when(~F.col("ok"), "REVIEW").when(F.col("clusters") == 1, "KEEP").otherwise("SPLIT").alias("action"))
+    per = near.groupBy(group, id).agg(F.min(F.when(match, F.col("__o"))).alias("__low"), F.count_if(match).alias("__degree"), F.count_if(F.col(relation) == AMBIGUOUS).alias("__open"))
+    labelled = nodes.select(group, id).join(per, [group, id], "left").select(group, id, F.least(F.col(id), F.coalesce("__low", id)).alias("__first"), F.coalesce("__degree", F.lit(0)).alias("__degree"), F.coalesce("__open", F.lit(0)).alias("__open"))
+    size = labelled.groupBy(group, "__first").agg(F.count("*").alias("__size"), F.min("__degree").alias("__least"), F.max("__degree").alias("__most"))
+    whole = size.groupBy(group).agg(F.bool_and((F.col("__least") == F.col("__size") - 1) & (F.col("__most") == F.col("__size") - 1)).alias("__cliques"))
+    rows = labelled.join(whole, group)
+    loose = near.where(match).join(rows.where("not __cliques").select(group).distinct(), group, "left_semi").select(F.col(id).alias("a"), F.col("__o").alias("b"))
+    labels = components(loose).select(F.col("id").alias(id), F.col("cluster").alias("__label"))
+    rows = rows.join(labels, id, "left").select(group, id, F.coalesce("__label", "__first").alias("cluster"), "__degree", "__open")
+    size = rows.groupBy(group, "cluster").agg(F.count("*").alias("__size"), F.min("__degree").alias("__least"), F.sum("__open").alias("__open"))
+    clique = F.col("__least") == F.col("__size") - 1
+    kind = F.when(F.col("__size") == 1, "SINGLETON").when(clique, MATCH).otherwise(AMBIGUOUS)
+    size = size.select(group, "cluster", kind.alias("relationship"), (clique & (F.col("__open") == 0)).alias("__fine"))
+    ok = size.groupBy(group).agg(F.bool_and("__fine").alias("accepted"))
+    return rows.join(size.drop("__fine"), [group, "cluster"]).join(ok, group).select(group, id, "cluster", "relationship", "accepted")
+
+
+def group_verdict(clusters: DataFrame, evidence: DataFrame, group: str, id: str) -> DataFrame:
+    """Classification of a whole group, the consistency of its sources, and the safe action.
+
+    ``evidence``: id and evidence, how well a record's URL supports its reference. A group is kept or split
+    only if all its sources are consistent.
+    """
+    rows = clusters.join(evidence, id, "left").withColumn("evidence", F.coalesce("evidence", F.lit("NONE")))
+    per = rows.groupBy(group).agg(F.bool_and("accepted").alias("ok"), F.count_distinct("cluster").alias("clusters"), F.count(id).alias("records"), F.count_if(F.col("evidence") == "STRONG_MISMATCH").alias("strong"), F.count_if(F.col("evidence").isin("WEAK", "NONE")).alias("uncertain"))
+    verdict = F.when(~F.col("ok"), AMBIGUOUS).when(F.col("clusters") == 1, MATCH).otherwise(DISTINCT)
+    consistency = F.when(F.col("strong") > 0, "INCONSISTENT").when(F.col("uncertain") > 0, "UNDETERMINED").otherwise("CONSISTENT")
+    out = per.select(group, "records", "clusters", verdict.alias("verdict"), consistency.alias("consistency"))
+    safe = F.col("consistency") == "CONSISTENT"
+    return out.withColumn("action", F.when(safe & (F.col("verdict") == MATCH), "KEEP_MERGED").when(safe & (F.col("verdict") == DISTINCT), "SPLIT").otherwise("REVIEW"))

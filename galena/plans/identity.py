@@ -1,90 +1,155 @@
-"""Identity of records: documents of one source and language are the groups, lengths and words the facts."""
+"""Identity of records: parts with one name and type share a reference; their sizes, brands and ids make the facts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galena.functions.text import fold_text, jaccard_of, tokens
+from galena.functions import reference as ref
 from galena.operators import identity as ops
 from galena.operators.joins import pairs_within_group
 from galena.plans.base import query
+from galena.plans.scalars import DESCRIPTORS, EVIDENCE, NAMES, part_name
 from galena.sources.views import Tables
 
 
-def nodes(t: Tables) -> DataFrame:
-    """Parts of one name and type are a group; a name of two words, a brand as qualifier, a size as year."""
-    return t.part.select(F.concat_ws("/", "p_name", "p_type").alias("grp"), F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", F.element_at(F.array(*map(F.lit, ("deluxe box", "box", "deluxe box", "set"))), (F.col("p_partkey") % 4 + 1).cast("int"))).alias("name"), F.when(F.col("p_size") % 3 > 0, F.col("p_size") % 2).alias("year"), (F.col("p_partkey") % 5 == 0).alias("special"))
+def group_of() -> Column:
+    return F.concat_ws("/", "p_name", "p_type")
 
 
-_NODES = """n AS (SELECT p_name || '/' || p_type AS grp, p_partkey AS id, string_split(p_name || ' ' || CASE p_partkey % 4 WHEN 0 THEN 'deluxe box' WHEN 1 THEN 'box' WHEN 2 THEN 'deluxe box' ELSE 'set' END, ' ') AS w, CASE WHEN p_size % 3 > 0 THEN p_size % 2 END AS year, p_partkey % 5 = 0 AS special FROM part),
-    s AS (SELECT grp FROM n GROUP BY grp HAVING count(*) <= 120),
-    j AS (SELECT a.grp, a.id AS "left", b.id AS "right", len(list_intersect(list_distinct(a.w), list_distinct(b.w))) / CAST(len(list_distinct(list_concat(a.w, b.w))) AS DOUBLE) AS sim, a.year = b.year AS same_year, a.special <> b.special AS other FROM n a JOIN n b ON a.grp = b.grp AND a.id < b.id WHERE a.grp IN (SELECT grp FROM s)),
-    p AS (SELECT *, CASE WHEN other THEN 'DISTINCT' WHEN sim >= 0.8 AND coalesce(same_year, TRUE) THEN 'MATCH' WHEN sim < 0.5 AND coalesce(NOT same_year, TRUE) THEN 'DISTINCT' ELSE 'AMBIGUOUS' END AS relation FROM j)"""
+def records(t: Tables) -> DataFrame:
+    """grp, id, name, year, themes, kind, format, names of each part."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    themes = F.when(key % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("Thème "), (size % 2).cast("string"))))
+    form = F.when(key % 5 == 0, "Character blister").when(key % 7 == 0, "Catalogue")
+    names = F.create_map(F.lit("en"), F.col("p_name"), F.lit("de"), F.concat_ws(" ", "p_brand", (size % 6).cast("string")), F.lit("fr"), F.when(key % 2 == 0, F.concat(F.lit("Pièce "), F.col("p_brand"))))
+    return t.part.select(group_of().alias("grp"), key.alias("id"), part_name().alias("name"), F.when(key % 4 > 0, 1990 + size % 3).alias("year"), themes.alias("themes"), F.when(size % 4 == 0, "figure").when(size % 4 == 1, "magazine").otherwise("set").alias("kind"), form.alias("format"), names.alias("names"))
 
 
-def related(t: Tables) -> DataFrame:
-    told = nodes(t).select("grp", "id", fold_text(F.col("name")).alias("name"), tokens(F.col("name")).alias("tokens"), "year", "special")
-    pairs, _ = pairs_within_group(told, "grp", "id")
-    similarity = jaccard_of(F.col("left_tokens"), F.col("right_tokens"), F.col("left_name").eqNullSafe(F.col("right_name")))
-    relation = ops.compare_identity(similarity, F.col("left_year") == F.col("right_year"), F.lit(True), F.col("left_special") != F.col("right_special"))
-    return pairs.select("grp", F.col("left_id").alias("left"), F.col("right_id").alias("right"), relation.alias("relation"))
+_WORDS = "list_distinct(list_filter(string_split(coalesce({0}, ''), ' '), lambda x: length(x) > 1))"
+_CLEAN = "nullif(trim(regexp_replace(lower(strip_accents({0})), '[^a-z0-9]+', ' ', 'g')), '')"
 
 
-@query("compare_identity", f'WITH {_NODES} SELECT grp, "left", "right", relation FROM p')
+def _similar(x: str, y: str, same: str) -> str:
+    return f"CASE WHEN len({x}) = 0 OR len({y}) = 0 THEN CAST({same} AS DOUBLE) ELSE len(list_intersect({x}, {y})) / CAST(len(list_distinct(list_concat({x}, {y}))) AS DOUBLE) END"
+
+
+def _pair(c: str) -> tuple[str, str]:
+    return f"coalesce(a.{c} = b.{c}, FALSE)", f"coalesce(a.{c} <> b.{c}, FALSE)"
+
+
+(_SAME_NAME, _OTHER_NAME), (_SAME_YEAR, _OTHER_YEAR), (_SAME_STEM, _), (_, _OTHER_ISSUE) = map(_pair, ("folded", "year", "stem", "issue"))
+_LOCALES = ", ".join(f"struct_pack(same := a.n_{k} = b.n_{k}, score := {_similar(f'a.w_{k}', f'b.w_{k}', f'a.n_{k} = b.n_{k}')})" for k in ("en", "de", "fr"))
+_PAIRS = f"""{NAMES}, facts AS (SELECT p_name || '/' || p_type AS grp, p_partkey AS id, {DESCRIPTORS}, CASE WHEN p_partkey % 4 > 0 THEN 1990 + p_size % 3 END AS year, CASE WHEN p_partkey % 3 > 0 THEN 'theme ' || CAST(p_size % 2 AS VARCHAR) END AS theme,
+        lower(CASE p_size % 4 WHEN 0 THEN 'figure' WHEN 1 THEN 'magazine' ELSE 'set' END || CASE WHEN p_partkey % 5 = 0 THEN ' Character blister' WHEN p_partkey % 7 = 0 THEN ' Catalogue' ELSE '' END) AS signal,
+        {_CLEAN.format("p_name")} AS n_en, {_CLEAN.format("(p_brand || ' ' || CAST(p_size % 6 AS VARCHAR))")} AS n_de, CASE WHEN p_partkey % 2 = 0 THEN {_CLEAN.format("('Pièce ' || p_brand)")} END AS n_fr FROM names),
+    rec AS (SELECT *, {_WORDS.format("folded")} AS w, {_WORDS.format("n_en")} AS w_en, {_WORDS.format("n_de")} AS w_de, {_WORDS.format("n_fr")} AS w_fr, CASE WHEN regexp_matches(signal, 'catalog|leaflet') THEN 'CATALOGUE' WHEN regexp_matches(signal, 'magazine|comic|book') THEN 'PERIODICAL' WHEN regexp_matches(signal, 'figure|character') THEN 'FIGURE' ELSE 'OTHER' END AS family, regexp_matches(signal, 'figure|character') AS figure FROM facts),
+    j AS (SELECT a, b, {_similar("a.w", "b.w", _SAME_NAME)} AS sim, coalesce(a.theme = b.theme, FALSE) AS overlap, coalesce(a.theme <> b.theme, FALSE) AS apart, CASE WHEN a.family = b.family THEN a.family ELSE 'OTHER' END AS special, list_filter([{_LOCALES}], lambda x: x.same IS NOT NULL) AS shared FROM rec a JOIN rec b ON a.grp = b.grp AND a.id < b.id),
+    base AS (SELECT *, CASE WHEN {_SAME_NAME} AND NOT {_OTHER_YEAR} AND NOT apart AND ({_SAME_YEAR} OR overlap) THEN 'MATCH' WHEN a.folded IS NULL OR b.folded IS NULL THEN 'AMBIGUOUS'
+        WHEN {_SAME_STEM} AND a.qualifier IS DISTINCT FROM b.qualifier AND NOT {_OTHER_YEAR} THEN 'DISTINCT' WHEN special = 'FIGURE' AND sim < 0.8 THEN 'DISTINCT' WHEN special IN ('CATALOGUE', 'PERIODICAL') AND {_OTHER_YEAR} THEN 'DISTINCT'
+        WHEN special = 'PERIODICAL' AND {_OTHER_ISSUE} THEN 'DISTINCT' WHEN ({_OTHER_YEAR} OR apart) AND sim < 0.75 THEN 'DISTINCT' ELSE 'AMBIGUOUS' END AS signals FROM j),
+    merged AS (SELECT *, CASE WHEN signals = 'MATCH' THEN 'aligned-name-and-secondary-signals' WHEN a.colour_core = b.colour_core AND a.colours <> b.colours THEN 'explicit-color-difference' WHEN a.route <> b.route THEN 'explicit-route-difference'
+        WHEN a.cover_core = b.cover_core AND a.cover <> b.cover THEN 'explicit-cover-content-difference' WHEN a.with_core = b.with_core AND a.with_ <> b.with_ THEN 'explicit-with-content-difference' WHEN a.numbered <> b.numbered THEN 'explicit-numbered-qualifier-difference'
+        WHEN len(shared) >= 2 AND len(list_filter(shared, lambda x: x.same OR x.score > 0.5)) = 0 AND len(list_filter(shared, lambda x: x.score < 0.5)) >= 2 THEN 'strong-multilingual-name-divergence'
+        WHEN a.folded <> b.folded AND a.figure AND b.figure THEN 'different-figure-character-names' WHEN signals = 'DISTINCT' THEN 'existing-identity-signals-distinct' ELSE 'insufficient-non-conflicting-signals' END AS reason FROM base),
+    pairs AS (SELECT a.grp AS grp, a.id AS "left", b.id AS "right", signals, reason, CASE WHEN signals = 'MATCH' THEN 'MATCH' WHEN reason = 'insufficient-non-conflicting-signals' THEN 'AMBIGUOUS' ELSE 'DISTINCT' END AS relation FROM merged)"""
+
+
+def compared(t: Tables) -> DataFrame:
+    """grp, left, right, signals (by identity alone), relation and reason (by all evidence) of all pairs."""
+    pairs, _ = pairs_within_group(ops.features(records(t), ["grp", "id"]), "grp", "id")
+    rows = pairs.withColumn("signals", ops.compare_signals())
+    found = rows.select("grp", F.col("left_id").alias("left"), F.col("right_id").alias("right"), "signals", ops.compare_evidence(F.col("signals")).alias("e"))
+    return found.select("grp", "left", "right", "signals", "e.*")
+
+
+@query("compare_identity", f'WITH {_PAIRS} SELECT grp, "left", "right", signals AS relation FROM pairs')
 def compare_identity(t: Tables) -> DataFrame:
-    return related(t)
+    return compared(t).select("grp", "left", "right", F.col("signals").alias("relation"))
+
+
+@query("compare_records", f'WITH {_PAIRS} SELECT grp, "left", "right", relation, reason FROM pairs')
+def compare_records(t: Tables) -> DataFrame:
+    return compared(t).select("grp", "left", "right", "relation", "reason")
+
+
+def _reference() -> Column:
+    """The reference that a group shares: zeros for one type, N/A for a noun, else a number with a market."""
+    noun = F.split_part("p_name", F.lit(" "), F.lit(2))
+    number = (1000 + F.pmod(F.conv(F.substring(F.md5(group_of()), 1, 6), 16, 10).cast("long"), F.lit(9000))).cast("string")
+    return F.when(F.col("p_type") == "PROMO", "000").when(noun == "gear", "n/a").otherwise(F.concat(number, F.lit("-usa")))
 
 
-@query("assign_identity", f"""WITH {_NODES}, a AS (SELECT n.id, count(relation) AS c, count(*) FILTER (WHERE relation = 'MATCH') AS m, count(*) FILTER (WHERE relation = 'DISTINCT') AS d FROM n LEFT JOIN p ON p."right" = n.id GROUP BY 1),
-    o AS (SELECT id, CASE WHEN c = 0 THEN 'NEW' WHEN m = 1 AND m + d = c THEN 'JOIN' WHEN d = c THEN 'REUSED' ELSE 'AMBIGUOUS' END AS outcome FROM a) SELECT id, outcome, outcome = 'AMBIGUOUS' AS review FROM o""")
+_KEYS = """keyed AS (SELECT p_partkey AS id, p_name || '/' || p_type AS grp, p_type = 'PROMO' OR split_part(p_name, ' ', 2) = 'gear' AS placeholder, CASE WHEN p_type = 'PROMO' THEN '000' WHEN split_part(p_name, ' ', 2) = 'gear' THEN 'N/A' ELSE CAST(1000 + CAST('0x' || substr(md5(p_name || '/' || p_type), 1, 6) AS BIGINT) % 9000 AS VARCHAR) END AS base,
+        substr(sha256('s' || CAST(p_size % 3 AS VARCHAR) || ':' || CAST(p_partkey AS VARCHAR)), 1, 16) AS qualifier, split_part(p_name, ' ', 2) = 'bolt' AS was_reused, p_partkey % 89 <> 0 AS anchored FROM part),
+    keys AS (SELECT *, CASE WHEN placeholder THEN base ELSE base || '-USA' END AS normalized FROM keyed)"""
+
+
+def keyed(t: Tables) -> DataFrame:
+    """Each record with its parsed reference, its source and the keys that it has as a candidate."""
+    parsed = ref.reference_parse(_reference())
+    rows = t.part.select(F.col("p_partkey").alias("id"), group_of().alias("grp"), parsed.alias("r"), ref.reference_normalize(_reference()).alias("normalized"), ref.placeholder(_reference()).alias("placeholder"), F.concat(F.lit("s"), (F.col("p_size") % 3).cast("string")).alias("source"), F.col("p_partkey").cast("string").alias("external_id"), (F.split_part("p_name", F.lit(" "), F.lit(2)) == "bolt").alias("was_reused"), (F.col("p_partkey") % 89 != 0).alias("anchored"))
+    return rows.select("*", F.col("r.base").alias("base")).drop("r")
+
+
+@query("assign_identity", f"""WITH {_PAIRS}, {_KEYS}, cand AS (SELECT p."right" AS id, p.signals, k.base AS cand_base, CASE WHEN was_reused THEN 'ref:' || base || ':record:' || qualifier ELSE 'ref:' || base END AS product_key, CASE WHEN was_reused THEN 'ref:' || normalized || ':record:' || qualifier ELSE 'ref:' || normalized END AS variant_key, was_reused FROM pairs p JOIN keys k ON k.id = p."left"),
+    agg AS (SELECT id, count(*) AS n, count(*) FILTER (WHERE signals = 'MATCH') AS m, count(*) FILTER (WHERE signals = 'AMBIGUOUS') AS o, max(product_key) FILTER (WHERE signals = 'MATCH') AS pk, max(variant_key) FILTER (WHERE signals = 'MATCH') AS vk, bool_or(was_reused) FILTER (WHERE signals = 'MATCH') AS reused FROM cand GROUP BY id),
+    d AS (SELECT k.*, coalesce(n, 0) AS n, coalesce(m, 0) AS m, coalesce(o, 0) AS o, pk, vk, reused FROM keys k LEFT JOIN agg USING (id)), e AS (SELECT *, CASE WHEN placeholder THEN 'placeholder-reference' WHEN n = 0 OR m = 1 AND o = 0 AND NOT reused THEN 'assigned-reference' WHEN m = 1 AND o = 0 OR m = 0 AND o = 0 THEN 'reused-reference' ELSE 'true-identity-conflict' END AS reason FROM d)
+    SELECT id, CASE reason WHEN 'placeholder-reference' THEN 'PLACEHOLDER' WHEN 'assigned-reference' THEN 'ASSIGNED' WHEN 'reused-reference' THEN 'REUSED' ELSE 'AMBIGUOUS' END AS class, reason, reason = 'true-identity-conflict' AS review,
+        CASE WHEN NOT placeholder AND n = 0 THEN 'ref:' || base WHEN NOT placeholder AND m = 1 AND o = 0 THEN pk ELSE 'ref:' || base || ':record:' || qualifier END AS product_key, CASE WHEN NOT placeholder AND n = 0 THEN 'ref:' || normalized WHEN NOT placeholder AND m = 1 AND o = 0 THEN vk ELSE 'ref:' || normalized || ':record:' || qualifier END AS variant_key FROM e""")
 def assign_identity(t: Tables) -> DataFrame:
-    rows = nodes(t).select("id").join(related(t).select(F.col("right").alias("id"), "relation"), "id", "left")
-    return ops.assign_identity(rows, "id", "relation")
+    """Records with smaller ids of the group are the candidates of a record."""
+    rows = keyed(t)
+    own = {c: F.when(F.col("was_reused"), ops.qualified_key(F.col(r), F.col("source"), F.col("external_id"))).otherwise(F.concat(F.lit("ref:"), F.col(r))).alias(c) for c, r in (("product_key", "base"), ("variant_key", "normalized"))}
+    candidates = rows.select(F.col("id").alias("left"), *own.values(), F.when(F.col("was_reused"), "REUSED").otherwise("ASSIGNED").alias("reference_class"))
+    relations = compared(t).select("left", F.col("right").alias("id"), F.col("signals").alias("relation")).join(candidates, "left")
+    return ops.assign_identity(rows.select("id", "base", "normalized", "placeholder", "source", "external_id"), relations)
 
 
-_CLUSTERS = f"""WITH {_NODES}, e AS (SELECT grp, "left" AS id, "right" AS o FROM p WHERE relation = 'MATCH' UNION ALL SELECT grp, "right", "left" FROM p WHERE relation = 'MATCH'),
-    l AS (SELECT n.grp, n.id, least(n.id, coalesce(min(o), n.id)) AS cluster, count(o) AS degree FROM n LEFT JOIN e ON e.id = n.id AND e.grp = n.grp GROUP BY 1, 2),
-    z AS (SELECT grp, cluster, count(*) AS size, min(degree) AS a, max(degree) AS b FROM l GROUP BY 1, 2), k AS (SELECT grp, bool_and(a = size - 1 AND b = size - 1) AS cliques FROM z GROUP BY 1),
-    c AS (SELECT l.grp, l.id, l.cluster, k.cliques AND coalesce((SELECT count(*) FROM p WHERE p.grp = l.grp AND relation = 'AMBIGUOUS'), 0) = 0 AS accepted FROM l JOIN k USING (grp))"""
+@query("reclassify_references", f"""WITH {_PAIRS}, {_KEYS}, q AS (SELECT grp, count(*) AS pairs, count(*) FILTER (WHERE signals = 'DISTINCT') AS d FROM pairs GROUP BY 1), g AS (SELECT grp, bool_or(placeholder) AS placeholder, count(DISTINCT id) AS variants, bool_and(anchored) AS anchored, bool_and(was_reused) AS validated FROM keys GROUP BY 1),
+    e AS (SELECT g.*, CASE WHEN placeholder THEN 'syntactic-placeholder-reference' WHEN variants = 1 THEN 'unique-assigned-reference' WHEN anchored AND validated THEN 'validated-record-qualified-reuse' WHEN anchored AND coalesce(pairs = d, FALSE) THEN 'distinct-objects-reuse-reference' WHEN coalesce(pairs = d, FALSE) THEN 'missing-source-record-identity' ELSE 'true-identity-conflict' END AS reason FROM g LEFT JOIN q USING (grp))
+    SELECT grp AS reference, variants, CASE reason WHEN 'syntactic-placeholder-reference' THEN 'PLACEHOLDER' WHEN 'unique-assigned-reference' THEN 'ASSIGNED' WHEN 'validated-record-qualified-reuse' THEN 'REUSED' WHEN 'distinct-objects-reuse-reference' THEN 'REUSED' ELSE 'AMBIGUOUS' END AS class, reason FROM e""")
+def reclassify_references(t: Tables) -> DataFrame:
+    members = keyed(t).select(F.col("grp").alias("reference"), "id", "placeholder", "anchored", F.col("was_reused").alias("validated"))
+    return ops.reclassify_references(members, compared(t).select(F.col("grp").alias("reference"), F.col("signals").alias("relation")))
 
 
-@query("cluster_records", _CLUSTERS + " SELECT grp, id, cluster, accepted FROM c")
-def cluster_records(t: Tables) -> DataFrame:
-    return ops.cluster_records(nodes(t), related(t), "grp", "id", "relation")
+_CLUSTERS = f"""WITH RECURSIVE {_PAIRS}, link AS (SELECT "left" AS x, "right" AS y FROM pairs WHERE relation = 'MATCH' UNION ALL SELECT "right", "left" FROM pairs WHERE relation = 'MATCH'),
+    reach AS (SELECT x, y FROM link UNION SELECT reach.x, link.y FROM reach JOIN link ON link.x = reach.y), low AS (SELECT x, min(y) AS y FROM reach GROUP BY x), deg AS (SELECT x, count(*) AS degree FROM link GROUP BY x),
+    lab AS (SELECT grp, id, least(id, coalesce(low.y, id)) AS cluster, coalesce(degree, 0) AS degree FROM rec LEFT JOIN low ON low.x = id LEFT JOIN deg ON deg.x = id),
+    cl AS (SELECT grp, cluster, count(*) AS size, min(degree) = count(*) - 1 AS clique FROM lab GROUP BY 1, 2), opened AS (SELECT grp, count(*) AS open FROM pairs WHERE relation = 'AMBIGUOUS' GROUP BY 1),
+    acc AS (SELECT cl.grp, bool_and(clique) AND coalesce(max(open), 0) = 0 AS accepted FROM cl LEFT JOIN opened USING (grp) GROUP BY 1),
+    c AS (SELECT lab.grp, id, lab.cluster, CASE WHEN size = 1 THEN 'SINGLETON' WHEN clique THEN 'MATCH' ELSE 'AMBIGUOUS' END AS relationship, accepted FROM lab JOIN cl ON cl.grp = lab.grp AND cl.cluster = lab.cluster JOIN acc ON acc.grp = lab.grp)"""
 
 
-_VERDICT = _CLUSTERS + """, v AS (SELECT grp, bool_and(accepted) AS ok, count(DISTINCT cluster) AS clusters, count(id) AS records FROM c GROUP BY 1)"""
+@query("cluster_records", _CLUSTERS + " SELECT grp, id, cluster, relationship, accepted FROM c")
+def cluster_records(t: Tables) -> DataFrame:
+    return ops.cluster_records(records(t), compared(t), "grp", "id", "relation")
 
 
-@query("safe_action", _VERDICT + " SELECT grp, records, clusters, CASE WHEN NOT ok THEN 'AMBIGUOUS' WHEN clusters = 1 THEN 'MATCH' ELSE 'DISTINCT' END AS verdict, CASE WHEN NOT ok THEN 'REVIEW' WHEN clusters = 1 THEN 'KEEP' ELSE 'SPLIT' END AS action FROM v")
-def safe_action(t: Tables) -> DataFrame:
-    return ops.group_verdict(cluster_records(t), "grp", "id")
+def evidence(t: Tables) -> DataFrame:
+    """How well each record's address supports the reference that it declares."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    number = (key % 9000 + 100).cast("string")
+    url = F.when(key % 89 != 0, F.concat(F.lit("https://www.example.org/sets/"), F.when(key % 97 == 0, "9999").otherwise(number), F.when(size % 4 == 0, "-2").otherwise(""), F.lit("-"), F.split_part("p_name", F.lit(" "), F.lit(2))))
+    declared = F.concat(number, F.when(size % 3 == 0, "-FAM").otherwise(""))
+    return t.part.select(key.alias("id"), declared.alias("d"), ref.url_reference(url).alias("c")).select("id", ref.url_evidence(F.col("d"), F.col("c")).alias("evidence"))
 
 
-@query("merged_audit", _VERDICT + ", w AS (SELECT CASE WHEN NOT ok THEN 'AMBIGUOUS' WHEN clusters = 1 THEN 'MATCH' ELSE 'DISTINCT' END AS verdict, clusters, records FROM v) SELECT verdict, count(*) AS groups, CAST(sum(records) AS BIGINT) AS records, CAST(sum(clusters - 1) AS BIGINT) AS new_variants FROM w GROUP BY 1")
-def merged_audit(t: Tables) -> DataFrame:
-    return safe_action(t).groupBy("verdict").agg(F.count("*").alias("groups"), F.sum("records").alias("records"), F.sum(F.col("clusters") - 1).alias("new_variants"))
+_VERDICT = _CLUSTERS + f""", decl AS (SELECT p_partkey AS id, CAST(p_partkey % 9000 + 100 AS VARCHAR) || CASE WHEN p_size % 3 = 0 THEN '-FAM' ELSE '' END AS d, CASE WHEN p_partkey % 89 <> 0 THEN CASE WHEN p_partkey % 97 = 0 THEN '9999' ELSE CAST(p_partkey % 9000 + 100 AS VARCHAR) END || CASE WHEN p_size % 4 = 0 THEN '-2' ELSE '' END END AS c FROM part),
+    seen AS (SELECT id, {EVIDENCE} AS evidence FROM (SELECT *, replace(d, '-', '') AS a, replace(c, '-', '') AS b FROM decl)),
+    v AS (SELECT grp, bool_and(accepted) AS ok, count(DISTINCT cluster) AS clusters, count(*) AS records, count(*) FILTER (WHERE evidence = 'STRONG_MISMATCH') AS strong, count(*) FILTER (WHERE evidence IN ('WEAK', 'NONE')) AS weak FROM c JOIN seen USING (id) GROUP BY 1),
+    w AS (SELECT grp, records, clusters, CASE WHEN NOT ok THEN 'AMBIGUOUS' WHEN clusters = 1 THEN 'MATCH' ELSE 'DISTINCT' END AS verdict, CASE WHEN strong > 0 THEN 'INCONSISTENT' WHEN weak > 0 THEN 'UNDETERMINED' ELSE 'CONSISTENT' END AS consistency FROM v),
+    s AS (SELECT *, CASE WHEN consistency = 'CONSISTENT' AND verdict = 'MATCH' THEN 'KEEP_MERGED' WHEN consistency = 'CONSISTENT' AND verdict = 'DISTINCT' THEN 'SPLIT' ELSE 'REVIEW' END AS action FROM w)"""
 
 
-@query("reclassify_references", f"""WITH {_NODES}, q AS (SELECT grp, count(*) AS pairs, count(*) FILTER (WHERE relation = 'DISTINCT') AS d FROM p GROUP BY 1), m AS (SELECT grp, count(*) AS members FROM n GROUP BY 1)
-    SELECT m.grp, CASE WHEN members = 1 THEN 'ASSIGNED' WHEN pairs = d AND pairs = members * (members - 1) / 2 THEN 'REUSED' ELSE 'AMBIGUOUS' END AS class FROM m LEFT JOIN q USING (grp)""")
-def reclassify_references(t: Tables) -> DataFrame:
-    pairs = related(t).groupBy("grp").agg(F.count("*").alias("pairs"), F.count_if(F.col("relation") == "DISTINCT").alias("d"))
-    members = nodes(t).groupBy("grp").agg(F.count("*").alias("members"))
-    every = (F.col("pairs") == F.col("d")) & (F.col("pairs") == F.col("members") * (F.col("members") - 1) / 2)
-    return members.join(pairs, "grp", "left").select("grp", F.when(F.col("members") == 1, "ASSIGNED").when(every, "REUSED").otherwise("AMBIGUOUS").alias("class"))
+@query("safe_action", _VERDICT + " SELECT grp, records, clusters, verdict, consistency, action FROM s")
+def safe_action(t: Tables) -> DataFrame:
+    return ops.group_verdict(cluster_records(t), evidence(t), "grp", "id")
 
 
-@query("compare_records", """
-    WITH r AS (SELECT p_brand || '/' || CAST(p_size AS VARCHAR) AS grp, p_partkey AS id, split_part(p_name, ' ', 1) AS colour, split_part(p_name, ' ', 2) AS noun, p_type FROM part)
-    SELECT a.grp, a.id AS "left", b.id AS "right", CASE WHEN a.noun <> b.noun THEN 'DISTINCT' WHEN a.colour <> b.colour THEN 'DISTINCT' WHEN a.p_type = b.p_type THEN 'MATCH' ELSE 'AMBIGUOUS' END AS relation,
-        CASE WHEN a.noun <> b.noun THEN 'name' WHEN a.colour <> b.colour THEN 'colour' WHEN a.p_type = b.p_type THEN 'same facts' ELSE 'kind' END AS reason FROM r a JOIN r b ON a.grp = b.grp AND a.id < b.id""")
-def compare_records(t: Tables) -> DataFrame:
-    """Descriptors of a name, then the rest, as one ordered chain with its reason."""
-    rows = t.part.select(F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("grp"), F.col("p_partkey").alias("id"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("colour"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("noun"), "p_type")
-    pairs, _ = pairs_within_group(rows, "grp", "id")
-    chain = F.when(F.col("left_noun") != F.col("right_noun"), F.struct(F.lit("DISTINCT").alias("relation"), F.lit("name").alias("reason")))
-    chain = chain.when(F.col("left_colour") != F.col("right_colour"), F.struct(F.lit("DISTINCT").alias("relation"), F.lit("colour").alias("reason")))
-    chain = chain.when(F.col("left_p_type") == F.col("right_p_type"), F.struct(F.lit("MATCH").alias("relation"), F.lit("same facts").alias("reason")))
-    return pairs.select("grp", F.col("left_id").alias("left"), F.col("right_id").alias("right"), chain.otherwise(F.struct(F.lit("AMBIGUOUS").alias("relation"), F.lit("kind").alias("reason"))).alias("c")).select("grp", "left", "right", "c.*")
+@query("merged_audit", _VERDICT + " SELECT verdict, consistency, action, count(*) AS groups, CAST(sum(records) AS BIGINT) AS records, CAST(sum(clusters) AS BIGINT) AS clusters, CAST(sum(CASE WHEN action = 'SPLIT' THEN clusters - 1 ELSE 0 END) AS BIGINT) AS new_variants FROM s WHERE records > 1 GROUP BY ALL")
+def merged_audit(t: Tables) -> DataFrame:
+    """Groups of several records by verdict, and the variants that splitting them would add."""
+    new = F.when(F.col("action") == "SPLIT", F.col("clusters") - 1).otherwise(0)
+    return safe_action(t).where("records > 1").groupBy("verdict", "consistency", "action").agg(F.count("*").alias("groups"), F.sum("records").alias("records"), F.sum("clusters").alias("clusters"), F.sum(new).alias("new_variants"))

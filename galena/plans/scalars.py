@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galena.functions import reference as ref
@@ -40,31 +40,59 @@ def reference_normalize(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", ref.reference_normalize(raw).alias("reference"))
 
 
-_RAW = "CAST(l_partkey AS VARCHAR) || CASE l_linenumber WHEN 1 THEN '-v2' WHEN 2 THEN '-us' WHEN 3 THEN 'a' WHEN 4 THEN '-5' ELSE '' END"
+def part_name() -> Column:
+    """A name for a part, in the forms that names of a catalogue have, by its size."""
+    k, size = F.col("p_size") % 12, F.col("p_size")
+    noun, name = F.split_part("p_name", F.lit(" "), F.lit(2)), F.col("p_name")
+    form = F.when(k == 0, name).when(k == 1, F.concat(name, F.lit(" (basic)"))).when(k == 2, F.concat(name, F.lit(" [Deluxe ]"))).when(k == 3, F.concat(name, F.lit(" cover ship"))).when(k == 4, F.concat(name, F.lit(" Cover castle"))).when(k == 5, F.concat(name, F.lit(" with "), F.lower("p_type")))
+    form = form.when(k == 6, F.concat(F.lit("U "), (size % 3).cast("string"), F.lit(" "), noun)).when(k == 7, F.concat(name, F.lit(" edition "), (size % 4).cast("string"))).when(k == 8, F.concat(name, F.lit(" Heft "), (size % 5).cast("string"))).when(k == 9, F.concat(F.when(size % 2 == 0, "Blau").otherwise("rouge"), F.lit(" "), noun))
+    return form.when(k == 10, F.lit(None)).otherwise(F.concat(F.lit("Été "), name, F.lit(" 3/1999")))
+
+
+NAMES = """names AS (SELECT *, lower(strip_accents(name)) AS low, trim(regexp_replace(lower(strip_accents(name)), '[^a-z0-9]+', ' ', 'g')) AS folded, string_split(trim(regexp_replace(lower(strip_accents(name)), '[^a-z0-9]+', ' ', 'g')), ' ') AS words FROM (
+        SELECT *, CASE p_size % 12 WHEN 0 THEN p_name WHEN 1 THEN p_name || ' (basic)' WHEN 2 THEN p_name || ' [Deluxe ]' WHEN 3 THEN p_name || ' cover ship' WHEN 4 THEN p_name || ' Cover castle' WHEN 5 THEN p_name || ' with ' || lower(p_type) WHEN 6 THEN 'U ' || CAST(p_size % 3 AS VARCHAR) || ' ' || split_part(p_name, ' ', 2)
+        WHEN 7 THEN p_name || ' edition ' || CAST(p_size % 4 AS VARCHAR) WHEN 8 THEN p_name || ' Heft ' || CAST(p_size % 5 AS VARCHAR) WHEN 9 THEN CASE WHEN p_size % 2 = 0 THEN 'Blau' ELSE 'rouge' END || ' ' || split_part(p_name, ' ', 2) WHEN 10 THEN NULL ELSE 'Été ' || p_name || ' 3/1999' END AS name FROM part))"""
+_COLOURS = ", ".join(f"'{c}'" for c in text.COLOURS)
+_QUALIFIED = r"'^(.*?)\s*[(\[]\s*([^\])]+)\s*[)\]]\s*$'"
+
+
+def _half(marker: str, side: int) -> str:
+    return f"CASE WHEN len(string_split(folded, ' {marker} ')) = 2 THEN nullif(string_split(folded, ' {marker} ')[{side}], '') END"
+
+
+DESCRIPTORS = f"""folded, nullif(trim(regexp_replace(lower(strip_accents(regexp_extract(name, {_QUALIFIED}, 1))), '[^a-z0-9]+', ' ', 'g')), '') AS stem, nullif(trim(regexp_replace(lower(strip_accents(regexp_extract(name, {_QUALIFIED}, 2))), '[^a-z0-9]+', ' ', 'g')), '') AS qualifier,
+    nullif(lower(regexp_extract(name, '(?i)\\b(?:heft|folge|issue|no|nr)\\.?\\s*[0-9]+\\b|\\b[0-9]+/[0-9]{{4}}\\b')), '') AS issue, nullif(array_to_string(list_sort(list_distinct(list_filter(words, lambda x: x IN ({_COLOURS})))), ','), '') AS colours,
+    CASE WHEN len(list_filter(words, lambda x: x IN ({_COLOURS}))) > 0 THEN array_to_string(list_filter(words, lambda x: x NOT IN ({_COLOURS})), ' ') END AS colour_core, coalesce(nullif(replace(regexp_extract(folded, '\\b[us] ?[0-9]+\\b'), ' ', ''), ''), CASE WHEN contains(folded, 'tram') THEN 'tram' END) AS route,
+    {_half('cover', 1)} AS cover_core, {_half('cover', 2)} AS cover, {_half('with', 1)} AS with_core, {_half('with', 2)} AS with_, nullif(regexp_extract(folded, '\\b(?:edition|version|series|part|folge|issue|heft|nr|no) *[0-9]+\\b'), '') AS numbered"""
+
+
+_RAW = "CAST(l_partkey AS VARCHAR) || CASE l_linenumber WHEN 1 THEN ' v2' WHEN 2 THEN '-us' WHEN 3 THEN '-a' WHEN 4 THEN '/5' WHEN 5 THEN 'd' ELSE '' END"
 
 
 @query("reference_parse", f"""
-    WITH r AS (SELECT l_orderkey, l_linenumber, l_suppkey, upper({_RAW}) AS r FROM lineitem), s AS (SELECT *, regexp_extract(r, '^([0-9]+)', 1) AS base, CASE WHEN contains(r, '-') OR regexp_matches(r, '^[0-9]+[A-Z]') THEN nullif(regexp_extract(r, '^[0-9]+-?([A-Z][A-Z0-9]*|[0-9]+)$', 1), '') END AS suffix FROM r)
-    SELECT l_orderkey, l_linenumber, l_suppkey, nullif(base, '') AS base, suffix, TRY_CAST(base AS BIGINT) AS number, CASE WHEN regexp_matches(suffix, '^(V[0-9]+|[0-9]+)$') THEN 'version' WHEN regexp_matches(suffix, '^[A-Z]{{2,3}}$') THEN 'market' WHEN suffix IS NOT NULL THEN 'edition' ELSE 'none' END AS signal FROM s""")
+    WITH r AS (SELECT l_orderkey, l_linenumber, l_suppkey, regexp_replace(upper({_RAW}), '\\s+', '', 'g') AS r FROM lineitem),
+    s AS (SELECT *, regexp_matches(r, '^.+?V[0-9]+$') AS v, regexp_matches(r, '^[0-9]{{3,8}}-[A-Z][A-Z0-9-]*$') AS h, regexp_extract(r, '^[0-9]{{3,8}}-([A-Z][A-Z0-9-]*)$', 1) AS tail FROM r)
+    SELECT l_orderkey, l_linenumber, l_suppkey, CASE WHEN v THEN regexp_extract(r, '^(.+?)V([0-9]+)$', 1) WHEN h THEN regexp_extract(r, '^([0-9]+)-', 1) ELSE r END AS base, CASE WHEN v THEN 'V' || regexp_extract(r, '^(.+?)V([0-9]+)$', 2) WHEN h THEN tail END AS suffix,
+        CASE WHEN v THEN TRY_CAST(regexp_extract(r, 'V([0-9]+)$', 1) AS BIGINT) END AS number, CASE WHEN v THEN 'version' WHEN h AND (length(tail) > 1 OR contains(tail, '-')) THEN 'market' WHEN h THEN 'edition' ELSE 'none' END AS signal,
+        CASE WHEN NOT v AND NOT h AND NOT regexp_matches(r, '^[A-Z0-9-]+$') THEN ['unrecognised-characters'] ELSE [] END AS warnings FROM s""")
 def reference_parse(t: Tables) -> DataFrame:
     n = F.col("l_linenumber")
-    raw = F.concat(F.col("l_partkey").cast("string"), F.when(n == 1, "-v2").when(n == 2, "-us").when(n == 3, "a").when(n == 4, "-5").otherwise(""))
+    raw = F.concat(F.col("l_partkey").cast("string"), F.when(n == 1, " v2").when(n == 2, "-us").when(n == 3, "-a").when(n == 4, "/5").when(n == 5, "d").otherwise(""))
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", ref.reference_parse(raw).alias("p")).select("l_orderkey", "l_linenumber", "l_suppkey", "p.*")
 
 
-@query("placeholder", "SELECT o_orderkey, coalesce(regexp_matches(upper(trim(CASE o_orderkey % 5 WHEN 0 THEN '000' WHEN 1 THEN ' n/a' WHEN 2 THEN CAST(o_orderkey AS VARCHAR) WHEN 3 THEN '--' END)), '^(0+|N/?A|NONE|UNKNOWN|-+)$'), TRUE) AS placeholder FROM orders")
+@query("placeholder", r"""
+    WITH r AS (SELECT o_orderkey, regexp_replace(upper(CASE o_orderkey % 7 WHEN 0 THEN '000' WHEN 1 THEN ' n/a' WHEN 2 THEN CAST(o_orderkey AS VARCHAR) WHEN 3 THEN '0 v2-de' WHEN 4 THEN '0001' WHEN 5 THEN 'NA-7' END), '\s+', '', 'g') AS r FROM orders)
+    SELECT o_orderkey, coalesce(regexp_matches(r, '^(0+(V[0-9]+)?|N/?A)(-[A-Z0-9-]+)?$'), TRUE) AS placeholder FROM r""")
 def placeholder(t: Tables) -> DataFrame:
-    k = F.col("o_orderkey") % 5
-    raw = F.when(k == 0, "000").when(k == 1, " n/a").when(k == 2, F.col("o_orderkey").cast("string")).when(k == 3, "--")
+    k = F.col("o_orderkey") % 7
+    raw = F.when(k == 0, "000").when(k == 1, " n/a").when(k == 2, F.col("o_orderkey").cast("string")).when(k == 3, "0 v2-de").when(k == 4, "0001").when(k == 5, "NA-7")
     return t.orders.select("o_orderkey", ref.placeholder(raw).alias("placeholder"))
 
 
-@query("name_descriptors", r"""
-    WITH n AS (SELECT p_partkey, p_name || ' no. ' || CAST(p_size AS VARCHAR) || CASE WHEN p_size % 2 = 0 THEN ' (' || p_type || ')' ELSE '' END AS s FROM part)
-    SELECT p_partkey, trim(regexp_replace(s, '\s*\([^()]+\)\s*$', '')) AS stem, nullif(regexp_extract(s, '\(([^()]+)\)\s*$', 1), '') AS qualifier, TRY_CAST(regexp_extract(lower(s), '(?:#|no\.? ?)([0-9]+)', 1) AS INT) AS issue FROM n""")
+@query("name_descriptors", f"WITH {NAMES} SELECT p_partkey, {DESCRIPTORS} FROM names")
 def name_descriptors(t: Tables) -> DataFrame:
-    name = F.concat(F.col("p_name"), F.lit(" no. "), F.col("p_size").cast("string"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(" ("), F.col("p_type"), F.lit(")"))).otherwise(""))
-    return t.part.select("p_partkey", text.descriptors(name).alias("d")).select("p_partkey", "d.*")
+    return t.part.select("p_partkey", text.descriptors(part_name()).alias("d")).select("p_partkey", "d.*")
 
 
 @query("infer_kind", """
@@ -86,21 +114,51 @@ def record_qualifier(t: Tables) -> DataFrame:
     return first.select("l_partkey", ref.record_qualifier(F.col("source"), F.col("l_partkey")).alias("qualifier"))
 
 
-_URLREF = r"nullif(regexp_extract(url, '^https?://[^/]+/(?:[^?#]*[^0-9?#])?([0-9]{3,5})(?:[^0-9]|$)', 1), '')"
+def set_url(brand: Column, key: Column) -> Column:
+    """A page address for a part, with its number, markets and words in the slug in several ways."""
+    k = key % 8
+    number = (key % 9000 + 100).cast("string")
+    slug = F.when(k == 0, F.concat(number, F.lit("-2-pirate-ship"))).when(k == 1, F.concat(number, F.lit("-usa-castle"))).when(k == 2, F.concat(F.lit("n-a-"), number)).when(k == 3, F.concat(F.lit("pm"), number, F.lit("-ger-uk-farm"))).when(k == 4, F.concat(number, F.lit("-1-2-3-fra-ita-zoo"))).when(k == 5, F.lit("castle")).when(k == 6, F.concat(F.lit("--"), number, F.lit("--")))
+    return F.concat(F.lit("https://www.example.org/"), F.when(k == 7, F.lit("about")).otherwise(F.lit("en/sets")), F.lit("/"), F.coalesce(slug, number), F.when(key % 3 == 0, F.lit("/?x=1")).otherwise(""))
+
 
+SET_URL = """'https://www.example.org/' || CASE WHEN p_partkey % 8 = 7 THEN 'about' ELSE 'en/sets' END || '/' || CASE p_partkey % 8 WHEN 0 THEN num || '-2-pirate-ship' WHEN 1 THEN num || '-usa-castle' WHEN 2 THEN 'n-a-' || num WHEN 3 THEN 'pm' || num || '-ger-uk-farm' WHEN 4 THEN num || '-1-2-3-fra-ita-zoo' WHEN 5 THEN 'castle' WHEN 6 THEN '--' || num || '--' ELSE num END || CASE WHEN p_partkey % 3 = 0 THEN '/?x=1' ELSE '' END"""
+_MARKETS = "(?:-(?:" + "|".join(ref.MARKETS) + ")(?:-|$))"
+_URLREF = f"""u0 AS (SELECT p_partkey, p_size, {SET_URL} AS url FROM (SELECT *, CAST(p_partkey % 9000 + 100 AS VARCHAR) AS num FROM part)),
+    u1 AS (SELECT *, list_filter(string_split(trim(lower(regexp_extract(url, '/sets/([^/?#]+)', 1)), '-'), '-'), lambda x: x <> '') AS s FROM u0),
+    u2 AS (SELECT *, coalesce(nullif(list_position(list_transform(s[2:], lambda x: regexp_full_match(x, '[0-9]+')), FALSE), 0) - 1, greatest(len(s) - 1, 0)) AS numbers FROM u1),
+    u3 AS (SELECT *, least(coalesce(nullif(list_position(list_transform(s[2 + numbers:], lambda x: x IN ({", ".join(f"'{m}'" for m in ref.MARKETS)})), FALSE), 0) - 1, greatest(len(s) - 1 - numbers, 0)), greatest(4 - numbers, 0)) AS markets FROM u2),
+    u AS (SELECT p_partkey, p_size, url, CASE WHEN s[1] = 'n' AND s[2] = 'a' THEN 'N-A' WHEN regexp_full_match(s[1], '[a-z]*[0-9][a-z0-9.]*') THEN upper(array_to_string(s[1:1 + numbers + markets], '-')) END AS reference FROM u3)"""
 
-@query("url_reference", f"SELECT page_id, {_URLREF} AS reference FROM pages")
+
+@query("url_reference", f"WITH {_URLREF} SELECT p_partkey, url, reference FROM u")
 def url_reference(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", ref.url_reference(F.col("url")).alias("reference"))
+    url = set_url(F.col("p_brand"), F.col("p_partkey"))
+    return t.part.select("p_partkey", url.alias("url"), ref.url_reference(url).alias("reference"))
+
+
+DECLARED = "CASE p_size % 6 WHEN 0 THEN '000' WHEN 1 THEN NULL WHEN 2 THEN CAST(p_partkey % 9000 + 100 AS VARCHAR) || '-' || 'FAM' WHEN 3 THEN '77' ELSE CAST(p_partkey % 9000 + 100 AS VARCHAR) END"
+EVIDENCE = """CASE WHEN coalesce(d, '') = '' OR coalesce(c, '') = '' THEN 'NONE' WHEN regexp_matches(d, '^(0+(V[0-9]+)?|N/?A)(-[A-Z0-9-]+)?$') OR regexp_matches(c, '^N-?A(-|$)') THEN 'WEAK' WHEN a = b THEN 'EXACT'
+        WHEN starts_with(a, b) AND regexp_full_match(substr(a, length(b) + 1), '[A-Z][A-Z0-9]*') THEN 'COMPATIBLE_BASE' WHEN starts_with(b, a) AND regexp_full_match(substr(b, length(a) + 1), '[2-9]') THEN 'COMPATIBLE_BASE' ELSE 'STRONG_MISMATCH' END"""
+
+
+def declared(key: Column, size: Column) -> Column:
+    k, number = size % 6, (key % 9000 + 100).cast("string")
+    return F.when(k == 0, "000").when(k == 1, F.lit(None)).when(k == 2, F.concat(number, F.lit("-FAM"))).when(k == 3, "77").otherwise(number)
+
+
+EVIDENCE_OF_PARTS = f"""{_URLREF}, v AS (SELECT p_partkey, d, c, regexp_replace(upper(d), '[^A-Z0-9]+', '', 'g') AS a, regexp_replace(upper(c), '[^A-Z0-9]+', '', 'g') AS b FROM (SELECT p_partkey, {DECLARED} AS d, reference AS c FROM u)),
+    w AS (SELECT p_partkey, {EVIDENCE} AS evidence FROM v)"""
+
+
+def evidence_of_parts(t: Tables) -> DataFrame:
+    candidate = ref.url_reference(set_url(F.col("p_brand"), F.col("p_partkey")))
+    return t.part.select("p_partkey", declared(F.col("p_partkey"), F.col("p_size")).alias("d"), candidate.alias("c")).select("p_partkey", ref.url_evidence(F.col("d"), F.col("c")).alias("evidence"))
 
 
-@query("url_evidence", f"""
-    WITH r AS (SELECT page_id, {_URLREF} AS c, CASE page_id % 4 WHEN 0 THEN {_URLREF} WHEN 1 THEN {_URLREF} || '1' WHEN 2 THEN '77' END AS d FROM pages)
-    SELECT page_id, CASE WHEN c IS NULL OR d IS NULL THEN 'NONE' WHEN c = d THEN 'EXACT' WHEN starts_with(d, c) OR starts_with(c, d) THEN 'COMPATIBLE_BASE' WHEN length(c) >= 4 THEN 'STRONG_MISMATCH' ELSE 'WEAK' END AS evidence FROM r""")
+@query("url_evidence", f"WITH {EVIDENCE_OF_PARTS} SELECT p_partkey, evidence FROM w")
 def url_evidence(t: Tables) -> DataFrame:
-    c, k = ref.url_reference(F.col("url")), F.col("page_id") % 4
-    declared = F.when(k == 0, c).when(k == 1, F.concat(c, F.lit("1"))).when(k == 2, "77")
-    return t.pages.select("page_id", ref.url_evidence(c, declared).alias("evidence"))
+    return evidence_of_parts(t)
 
 
 @query("gtin_valid", """

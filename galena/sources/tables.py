@@ -49,11 +49,22 @@ def normalize_payload(df: DataFrame, json: str, spec: dict[str, tuple[list[str],
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder in the shared place that the session names, or a local one where it names none."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="galena-")
+    """A fresh folder in the shared place that the session names; a local session that names none has one of its own."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="galena-")
     return f"{shared.rstrip('/')}/galena-{uuid.uuid4().hex}"
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: it is computed once, and its lineage ends there."""
+    at = scratch(df.sparkSession)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def upsert_latest(current: DataFrame, incoming: DataFrame, keys: list[str], version: str, ties: list[str]) -> DataFrame:
     """Current state after an upsert by natural key: the row with the latest version wins, later input over earlier."""
     both = current.withColumn("__new", F.lit(0)).unionByName(incoming.withColumn("__new", F.lit(1)))
