@@ -131,7 +131,7 @@ def evidence(t: Tables) -> DataFrame:
     """How well each record's address supports the reference that it declares."""
     key, size = F.col("p_partkey"), F.col("p_size")
     number = (key % 9000 + 100).cast("string")
-    url = F.when(key % 89 != 0, F.concat(F.lit("https://www.example.org/sets/"), F.when(key % 97 == 0, "9999").otherwise(number), F.when(size % 4 == 0, "-2").otherwise(""), F.lit("-"), F.split_part("p_name", F.lit(" "), F.lit(2))))
+    url = F.when(key % 89 != 0, F.concat(F.lit("https://www.example.org/sets/"), F.when(key % 97 == 0, "9999").otherwise(number), F.when(size % 4 == 0, "-2").otherwise(""), F.lit("-set-of-"), F.split_part("p_name", F.lit(" "), F.lit(2))))
     declared = F.concat(number, F.when(size % 3 == 0, "-FAM").otherwise(""))
     return t.part.select(key.alias("id"), declared.alias("d"), ref.url_reference(url).alias("c")).select("id", ref.url_evidence(F.col("d"), F.col("c")).alias("evidence"))
 
