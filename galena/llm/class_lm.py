@@ -75,56 +75,55 @@ def with_before(label: np.ndarray, at: np.ndarray, begin: int) -> np.ndarray:
     return before
 
 
-Keys = tuple[np.ndarray, np.ndarray, np.ndarray]
+TYPES = {"word": "long", "other": "long", "slot": "int"}
 
 
-def counted(training: DataFrame, keys: Callable[[np.ndarray, np.ndarray], Keys]) -> DataFrame:
-    """(word, other, slot, n): how often ``keys`` makes each triple from the tokens of the texts."""
+def counted(training: DataFrame, keys: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]], names: tuple[str, ...] = ("word",)) -> DataFrame:
+    """How often (n) ``keys`` makes each combination of word, other and slot (as far as in ``names``) from the tokens of the texts."""
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[dict[str, np.ndarray]] = []
         size = 0
 
-        def folded(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-            word, other, slot, n = (np.concatenate(c) for c in zip(*parts, strict=True))
-            key = mix(word * np.uint64(0x9FB21C651E98DF25) + mix(other + slot.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)))
+        def folded(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+            rows = {c: np.concatenate([p[c] for p in parts]) for c in (*names, "n")}
+            key = rows["word"]
+            for c, factor in (("other", 0x9FB21C651E98DF25), ("slot", 0xD1342543DE82EF95)):
+                if c in rows:
+                    key = mix(key + rows[c].astype(np.uint64) * np.uint64(factor))
             _, first, which = np.unique(key, return_index=True, return_inverse=True)
-            return word[first], other[first], slot[first], np.bincount(which, n, len(first)).astype(np.int64)
+            return {c: rows[c][first] for c in names} | {"n": np.bincount(which, rows["n"], len(first)).astype(np.int64)}
 
-        def rows(word: np.ndarray, other: np.ndarray, slot: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for i in range(0, len(word), 50_000):
-                part = slice(i, i + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(word[part].view(np.int64)), pa.array(other[part].view(np.int64)), pa.array(slot[part].astype(np.int32)), pa.array(n[part])], names=["word", "other", "slot", "n"])
+        def batches_of(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(rows["n"]), 50_000):
+                part = {c: v[i : i + 50_000] for c, v in rows.items()}
+                yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int32) if c == "slot" else v.view(np.int64)) for c, v in part.items()], names=list(part))
 
         for batch in batches:
             data, off = flat(batch.column(0))
             for i, j in slices(off):
                 made = keys(*tokens_of(data[off[i] : off[j]], off[i : j + 1] - off[i]))
-                if not len(made[0]):
+                if not len(made["word"]):
                     continue
-                held.append(folded([(*made, np.ones(len(made[0]), np.int64))]))
-                size += len(held[-1][0])
+                held.append(folded([made | {"n": np.ones(len(made["word"]), np.int64)}]))
+                size += len(held[-1]["n"])
                 if size > 3_000_000:
                     held = [folded(held)]
-                    size = len(held[0][0])
+                    size = len(held[0]["n"])
                     if size > 1_500_000:  # bounded memory: what is held goes out, the shuffle sums it up
-                        yield from rows(*held[0])
+                        yield from batches_of(held[0])
                         held, size = [], 0
         if held:
-            yield from rows(*folded(held))
+            yield from batches_of(folded(held))
 
-    parts = training.select("text").mapInArrow(job, "word long, other long, slot int, n long")
+    parts = training.select("text").mapInArrow(job, ", ".join(f"{c} {TYPES[c]}" for c in names) + ", n long")
     # Dealt by the word alone, so that what follows for each word needs no other shuffle.
-    return parts.repartition("word").groupBy("word", "other", "slot").agg(F.sum("n").alias("n"))
+    return parts.repartition("word").groupBy(*names).agg(F.sum("n").alias("n"))
 
 
 def count_words(training: DataFrame) -> DataFrame:
     """(word, n): the hash of every distinct token of the training texts and its count."""
-
-    def keys(h: np.ndarray, at: np.ndarray) -> Keys:
-        return h, np.zeros(len(h), np.uint64), np.zeros(len(h), np.int64)
-
-    return counted(training, keys).select("word", "n")
+    return counted(training, lambda h, at: {"word": h})
 
 
 def most_frequent(counts: DataFrame, k: int) -> pd.DataFrame:
@@ -329,14 +328,13 @@ def fit_core(training: DataFrame, words: np.ndarray, counts: np.ndarray) -> tupl
         at = np.minimum(np.searchsorted(by_hash, h), len(by_hash) - 1)
         return np.where(h == END, size - 1, np.where(by_hash[at] == h, rank[at], -1))
 
-    def keys(h: np.ndarray, at: np.ndarray) -> Keys:
+    def keys(h: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
         label = place(h)
         before = with_before(label, at, size - 1)
         both = (before >= 0) & (label >= 0)
-        pair = (before[both] * size + label[both]).astype(np.uint64)
-        return pair, np.zeros(len(pair), np.uint64), np.zeros(len(pair), np.int64)
+        return {"word": (before[both] * size + label[both]).astype(np.uint64)}
 
-    found = counted(training, keys).select("word", "n").toPandas()
+    found = counted(training, keys).toPandas()
     a, b, n = found["word"].to_numpy() // size, found["word"].to_numpy() % size, found["n"].to_numpy().astype(float)
     inner = (a < size - 1) & (b < size - 1)
     label = exchange(np.stack([a[inner], b[inner]], 1).astype(np.int64), n[inner], size - 1, CLASSES) if size > 1 else np.zeros(0, np.int64)
@@ -367,12 +365,12 @@ def fit(training: DataFrame) -> Model:
     seen, classes = core_seen, pd.DataFrame({"word": [], "class": []})
     if len(listed):
 
-        def beside_core(h: np.ndarray, at: np.ndarray) -> Keys:
+        def beside_core(h: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
             place = np.minimum(np.searchsorted(listed, h), len(listed) - 1)
             token, slot = contexts(core.label(h), at, listed[place] == h)
-            return h[token], np.zeros(len(token), np.uint64), slot
+            return {"word": h[token], "slot": slot}
 
-        table = cut(_slots_of(counted(training, beside_core)))
+        table = cut(_slots_of(counted(training, beside_core, ("word", "slot"))))
         for _ in range(SETTLE):
             seen = core_seen + class_slots(table, seen)
         classes = assigned(table, seen).toPandas()
@@ -383,7 +381,7 @@ def fit(training: DataFrame) -> Model:
     lexicon = Lexicon(every[order], np.append(n, ends)[order], label.to_numpy().astype(np.int64)[order])
 
     # All other words, from the classes of listed words; pairs of listed words are counted on the way.
-    def beside_listed(h: np.ndarray, at: np.ndarray) -> Keys:
+    def beside_listed(h: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
         label = lexicon.label(h)
         rare = label < 0
         token, slot = contexts(label, at, rare)
@@ -394,9 +392,9 @@ def fit(training: DataFrame) -> Model:
         first[at[:-1]] = True
         last = np.flatnonzero(rare & ~first & (before < 0))
         none = np.zeros(len(token) + len(both), np.uint64)
-        return np.concatenate([h[token], pair, h[last - 1]]), np.concatenate([none, h[last]]), np.concatenate([slot, np.full(len(both), -2), np.full(len(last), -1)])
+        return {"word": np.concatenate([h[token], pair, h[last - 1]]), "other": np.concatenate([none, h[last]]), "slot": np.concatenate([slot, np.full(len(both), -2), np.full(len(last), -1)])}
 
-    found = cut(counted(training, beside_listed))
+    found = cut(counted(training, beside_listed, ("word", "other", "slot")))
     table = cut(_slots_of(found.where("slot >= 0")))
     rare = cut(assigned(table, seen))
     pairs = np.zeros((KINDS, KINDS))
