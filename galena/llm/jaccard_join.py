@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galena.llm.common import check_ids, cut, flat, mix, prefix_hash, rows_of, slices, span_hash, word_spans
+from galena.llm.common import check_ids, cut, flat, join_counted, mix, prefix_hash, rows_of, slices, span_hash, word_spans
 from galena.llm.components import connected, local_components
 
 SHINGLE = 5
@@ -374,8 +374,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     rooted = roots.join(classes.select("class", "set_id"), "class")
     first = rooted.groupBy("root").agg(F.min("set_id").alias("group_id"))
     grouped = rooted.join(first, "root").join(counts, "class").select("class", "root", "group_id", "links", "copies_linked")
-    of_class = classes.select("class", "set_id", "copies").join(grouped, "class", "left")
-    of_doc = signed.select("doc_id", "text_key", "class").join(of_class, "class")
+    of_class = cut(classes.select("class", "set_id", "copies").join(grouped, "class", "left"))
+    of_doc = join_counted(signed.select("doc_id", "text_key", "class"), of_class, "class", "copies")
     out = of_doc.select("doc_id", F.coalesce("group_id", "set_id").alias("class_id"), (F.coalesce("copies_linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"), "set_id", "class", F.coalesce("root", "class").alias("group"), "text_key")
     wordless = docs.where(F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False)))
     own_id = F.col("doc_id").cast("long")
