@@ -102,5 +102,9 @@ def mask_postcode(c: Column) -> Column:
 
 
 def title_match(title: Column, reference: Column) -> Column:
-    """Whether the reference stands in the title with no letter or digit next to it."""
-    return F.contains(F.concat(F.lit(" "), F.regexp_replace(F.lower(title), "[^a-z0-9]+", " "), F.lit(" ")), F.concat(F.lit(" "), F.lower(reference), F.lit(" ")))
+    """Whether the words of the reference stand in the title, one after the other, with no letter or digit next to them."""
+
+    def words(c: Column) -> Column:
+        return F.concat(F.lit(" "), F.btrim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")), F.lit(" "))
+
+    return F.contains(words(title), words(reference))

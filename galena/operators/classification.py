@@ -7,6 +7,119 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from galena.functions.text import title_match
+
+
+# Names and patterns of commercial contexts, kinds and formats of references that are no collector's.
+RETAILERS = ["alcampo", "asda", "carrefour", "carrefour; super u", "edeka", "frankfurt duty free", "hamleys", "hertie", "idee & spiel", "intermarché", "jc penney", "karstadt", "kaufhof", "kaufhof real/metro", "kaufland", "migros", "montgomery ward", "müller", "netto", "nkd", "otto versand", "quelle", "real/metro", "rossmann", "sears", "smyths toys", "spiel & spaß", "spielzeug ring", "target", "target toys r us", "thalia", "toom baumarkt", "toys r us", "vedes", "woolworth", "zara"]
+ORGANIZATIONS = ["adac", "bvg", "cruz roja", "dfb stars", "dlrg", "e-esa", "eidgenössischer schwingerverband", "elpida", "fao", "german-maltese circle", "johanniter-unfall-hilfe e.v.", "nhl", "öfb", "police nationale", "pulizija malta", "puttinu cares", "sbb", "share the smile", "sparkasse", "tcs (the touring club of switzerland)", "thw", "wwf"]
+GENERIC = "^(aucun|blister-pack|color|edicions limitada|export exclusif|exklusiv sets|francia|give-away|kindergarten set|méxico|netherland|oui|special plus|symbol-box|yes)$"
+PUBLICATIONS = "(magazin|magazine|revista|comic|books?\\b|hörspiel|audio|aventura de la historia|aventures de l'histoire|collection argentina|collector'?s book|éditions|verlag|hachette|france loisirs|casterman|hoëbeke|schneiderbuch|yps\\b)"
+EVENTS = "(toy fair|funpark|factory tour|festival|exposition|museum|musée|tourism|tourismus|city of culture|rijks museum|van gogh museum|drupa|zirndorf)"
+INSTITUTIONS = "(ministerium|stadt |universität|feuerwehr|verband|foundation|stiftung|touring club|symfon|symphon|wasserwirtschaft)"
+OTHER_KINDS, OTHER_FORMATS = ["PART", "MERCHANDISE", "CATALOGUE", "PROMOTIONAL_ITEM"], ["Magazin", "Keychains", "Decoration toy"]
+BOXED = "kind = 'SET' and format in ('Standard Box', 'Carrying Case')"
+PACKED = "format in ('Special', 'Blister', 'Bag', 'Pillow Box', 'Easter Egg')"  # formats named after a brand are left to the caller
+BUILT = "(instructions or part_types >= 8)"
+#: Class of an article, the first rule that holds. Facts: assigned, kind, format, variant_kind, figures, pieces,
+#: animal, people, building, direct_building, vehicle, strong_vehicle, accessory, instructions, part_types.
+CLASS_RULES = [
+    ("not assigned", "UNKNOWN"),
+    ("kind = 'CATALOGUE' or format = 'Magazin'", "CATALOGUE"),
+    ("kind in ('PROMOTIONAL_ITEM', 'MERCHANDISE') or variant_kind = 'PROMOTION'", "PROMOTIONAL"),
+    ("kind = 'PART'", "PART"),
+    ("kind = 'ACCESSORY'", "ACCESSORY"),
+    ("format = 'DS' and animal and not people and coalesce(figures, 0) <= 1 and not building and not vehicle", "ANIMAL"),
+    ("(kind = 'FIGURE' or format = 'Figures') and coalesce(figures, 1) > 1", "FIGURE_PACK"),
+    ("kind = 'FIGURE' or format = 'Figures'", "SINGLE_FIGURE"),
+    ("format = 'Duo Pack'", "FIGURE_PACK"),
+    (f"{PACKED} and figures > 1", "FIGURE_PACK"),
+    (f"{PACKED} and figures is not null", "SINGLE_FIGURE"),
+    ("format in ('Keychains', 'Decoration toy', 'Puzzle', 'Calendar') or accessory", "ACCESSORY"),
+    (f"{BOXED} and coalesce(pieces, 0) >= 150", "MAIN_SET"),
+    (f"{BOXED} and strong_vehicle", "VEHICLE_SET"),
+    (f"{BOXED} and (direct_building or building and {BUILT})", "BUILDING_SET"),
+    (f"{BOXED} and vehicle and {BUILT}", "VEHICLE_SET"),
+    (BOXED, "SMALL_SET"),
+    ("kind = 'SET' and format = 'DS'", "ACCESSORY"),
+]
+CLASS_ORDER = ["MAIN_SET", "BUILDING_SET", "VEHICLE_SET", "SMALL_SET", "FIGURE_PACK", "SINGLE_FIGURE", "ANIMAL", "ACCESSORY", "PART", "CATALOGUE", "PROMOTIONAL", "UNKNOWN"]
+
+
+def reference_group(identity_class: Column, normalized: Column, base: Column, kind: Column, form: Column) -> Column:
+    """COMMERCIAL, SPECIAL or NON_COLLECTOR: numbers of three or four digits, or of five from 70000 to 72999, are commercial."""
+    normal, number = F.upper(F.trim(normalized)), F.upper(F.trim(F.coalesce(base, normalized)))
+    none = identity_class.isin("PLACEHOLDER", "AMBIGUOUS") | normal.rlike("^(N/?A|UNKNOWN|NONE|NULL|UNASSIGNED)$") | number.rlike("^0+$")
+    other = kind.isin(OTHER_KINDS) | F.coalesce(form.isin(OTHER_FORMATS), F.lit(False))
+    return F.when(none, "NON_COLLECTOR").when(number.rlike("^([0-9]{3,4}|7[0-2][0-9]{3})$") & ~other, "COMMERCIAL").otherwise("SPECIAL")
+
+
+def commercial_context(label: Column, tags: Column) -> Column:
+    """What a partner's name stands for, from the most certain evidence to the least."""
+    name = F.regexp_replace(F.trim(label), "\\s+", " ")
+    low = F.lower(name)
+    promoted = F.exists(F.coalesce(tags, F.array().cast("array<string>")), lambda x: F.lower(F.trim(x)) == "promotional") | low.rlike("\\b(promocional|promotional)\\b")
+    return (
+        F.when(F.coalesce(name == "", F.lit(True)) | low.rlike(GENERIC), "OTHER_DOCUMENTED_CONTEXT")
+        .when(low.rlike(PUBLICATIONS), "MAGAZINE_PUBLICATION")
+        .when(low.rlike(EVENTS), "EVENT_VENUE")
+        .when(low.isin(RETAILERS), "RETAILER_DISTRIBUTOR")
+        .when(low.isin(ORGANIZATIONS) | low.rlike(INSTITUTIONS), "ORGANIZATION_ASSOCIATION")
+        .when(promoted, "PROMOTIONAL_CAMPAIGN")
+        .when(low.rlike("^exclusive (greece lyra|brazil trol)$"), "OTHER_DOCUMENTED_CONTEXT")
+        .otherwise("BRAND_LICENSE_PARTNER")
+    )
+
+
+def lookup_decision(identity_class: Column, base: Column, using_base: Column, found: Column) -> Column:
+    """(status, reason) of a lookup in an outside catalogue: never more than one local and one outside match."""
+
+    def told(status: str, reason: str | None = None) -> Column:
+        return F.struct(F.lit(status).alias("status"), F.lit(reason).cast("string").alias("reason"))
+
+    number = F.coalesce(F.trim(base), F.lit(""))
+    return (
+        F.when(identity_class != "ASSIGNED", told("SKIP", "UNSAFE_IDENTITY"))
+        .when(~number.rlike("^[0-9]{3,8}$") | number.rlike("^0+$"), told("SKIP", "NON_NUMERIC_REFERENCE"))
+        .when(using_base != 1, told("REVIEW", "REUSED_BASE"))
+        .when(found == 0, told("ABSENT"))
+        .when(found != 1, told("REVIEW", "MULTIPLE_SOURCE_MATCHES"))
+        .otherwise(told("MATCH_UNIQUE"))
+    )
+
+
+def wave_match(references: DataFrame, local: DataFrame) -> DataFrame:
+    """Status and target product of each reference. ``local``: ref, variant_id, product_id, variant_kind, assigned."""
+    n = local.groupBy("ref").agg(F.count_distinct("variant_id").alias("variants"), F.count_distinct("product_id").alias("products"), F.min("product_id").alias("product"), F.bool_and("assigned").alias("safe"), F.min(F.struct("variant_id", "variant_kind"))["variant_kind"].alias("kind"))
+    rows = references.join(n, "ref", "left")
+    status = F.when(F.col("variants").isNull(), "ABSENT").when(~F.col("safe"), "BLOCKED_IDENTITY").when((F.col("variants") == 1) & (F.col("kind") == "MARKET"), "MARKET_VARIANT_ONLY").when(F.col("variants") == 1, "MATCH_UNIQUE").when(F.col("products") == 1, "MATCH_PRODUCT_UNIQUE").otherwise("MATCH_MULTIPLE")
+    target = F.when(F.coalesce("safe", F.lit(False)) & (F.col("products") == 1), F.col("product"))
+    return rows.select(*references.columns, status.alias("status"), target.alias("target"), F.coalesce("variants", F.lit(0)).alias("variants"))
+
+
+def offer_match(gtins: Column, known: Column, title: Column, brand: Column, reference: Column) -> Column:
+    """(confidence in percent, reason): an equal code, a code that contradicts, or the brand and the reference in the title."""
+
+    def told(confidence: int, reason: str) -> Column:
+        return F.struct(F.lit(confidence).alias("confidence"), F.lit(reason).alias("reason"))
+
+    none = F.array().cast("array<string>")
+    codes = F.transform(F.coalesce(gtins, none), lambda x: F.regexp_replace(x, "[^0-9]", ""))
+    known = F.coalesce(known, none)
+    named = title_match(title, brand) & title_match(title, reference)
+    return F.when(F.arrays_overlap(codes, known), told(100, "GTIN")).when((F.size(codes) > 0) & (F.size(known) > 0), told(0, "GTIN_CONFLICT")).when(F.coalesce(named, F.lit(False)), told(95, "BRAND_AND_REFERENCE")).otherwise(told(0, "NONE"))
+
+
+def import_plan(references: DataFrame, observations: DataFrame, existing: DataFrame, agree: list[str]) -> DataFrame:
+    """Status, preferred name (fr, de, en) and agreed facts of each reference. ``observations``: ref, confirmed, locale, name and facts."""
+    seen = observations.where("confirmed")
+    first = {k: F.min(F.when((F.col("locale") == k) & F.col("name").isNotNull(), F.struct("at", "name")))["name"] for k in ("fr", "de", "en")}
+    facts = [F.when(F.min(c) == F.max(c), F.min(c)).alias(c) for c in agree]
+    per = seen.groupBy("ref").agg(F.count("*").alias("seen"), F.coalesce(*first.values()).alias("preferred"), *facts)
+    rows = references.select("ref").join(per, "ref", "left").join(existing.select("ref").distinct().withColumn("there", F.lit(True)), "ref", "left")
+    status = F.when(F.col("there"), "COLLISION_LOCAL_REFERENCE").when(F.col("seen").isNull(), "NO_OFFICIAL_CONFIRMATION").when(F.col("preferred").isNull(), "MISSING_OFFICIAL_NAME").otherwise("READY")
+    return rows.select("ref", status.alias("status"), "preferred", *agree)
+
 
 def classify(rules: list[tuple[str, str]], default: str) -> Column:
     """The label of the first rule (predicate, label) that holds. Rules are data: text in order."""
