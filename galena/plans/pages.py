@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galena.plans.base import query
@@ -16,60 +16,137 @@ def page_scan(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.sha2("html", 256).alias("digest"), F.octet_length("html").cast("long").alias("bytes"))
 
 
-@query("page_record")
+def _part() -> tuple[Column, Column, Column]:
+    return F.col("p_partkey").cast("string"), F.col("p_size"), F.col("p_size").cast("string")
+
+
+def community_pages(t: Tables) -> DataFrame:
+    """A community page for each part, with fields that are missing, doubtful or said to be nothing."""
+    k, s, _ = _part()
+    blister = F.when(s % 4 == 0, "N/A").when(s % 4 == 1, "Blister (wrong?)").otherwise("Standard  Box")
+    market = F.when(s % 3 == 0, '<a href="/export-markets/ger/">Germany</a>, <a href="/export-markets/fra/">France</a>').when(s % 3 == 1, "Spain / Italy").otherwise("None")
+    parts = [
+        '<html><head><meta property="og:image" content="https://img.example.org/', k, '.jpg"></head><body><article><h1 class="entry-title">Brand ', (100 + F.col("p_partkey")).cast("string"), " - ", F.col("p_name"),
+        '</h1><div class="info"><img alt="English"> ', F.col("p_name"), ' &amp; co<br><img alt="Deutsch"> ', F.when(s % 3 == 0, "(n/a)").otherwise(F.concat(F.col("p_name"), F.lit(" deutsch"))), '<br><img alt="Flag"> x<br><strong>Theme:</strong> <a href="/theme/1">',
+        F.col("p_type"), '</a> <a aria-label="Edit" href="/editor/1">edit</a><br><strong>Format:</strong> ', blister, "<br><strong>Released:</strong> ", F.when(s % 5 == 0, "unknown").otherwise(F.concat(F.lit("May "), (1990 + s % 20).cast("string"))), "<br><strong>Discontinued:</strong> None<br><strong>Exclusive:</strong> ",
+        F.when(s % 6 == 0, "Promotional").otherwise("none"), "<br><strong>Export Market:</strong> ", market, "<br><strong>Figures:</strong> ", (s % 7).cast("string"), '<br><div class="tags"><a href="/tag/1">', F.col("p_type"), '</a></div></div><a rel="lightbox[set]" title="Box" href="https://img.example.org/', k, '-box.jpg"><img alt="x"></a><a rel="lightbox[set]" href="https://img.example.org/', k,
+        '-rear.jpg"><img title="rear side"></a><a rel="lightbox[set]" href="https://img.example.org/none.png"></a><a rel="lightbox[set]" href="https://img.example.org/', k, '.jpg"></a><a href="/files/', k, '.pdf">leaflet</a><h4>PARTS IN THIS SET</h4><div><a href="/parts/1" title="', k, " - ", F.col("p_brand"), ' part">x</a><a href="/other/1">1 - o</a></div><h4>Figures in this set</h4><div><a href="/figures/2">f', k, " - ", F.col("p_name"), "</a></div></article></body></html>",
+    ]
+    return t.part.select(F.col("p_partkey").alias("page_id"), F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]).alias("html"))
+
+
+_RECORD = """rec AS (SELECT p_partkey AS page_id, CAST(100 + p_partkey AS VARCHAR) AS reference, p_name || ' & co' AS name, 'en=' || p_name || ' & co' || CASE WHEN p_size % 3 > 0 THEN '|de=' || p_name || ' deutsch' ELSE '' END AS translations, CASE WHEN p_size % 5 > 0 THEN 1990 + p_size % 20 END AS release_year, CAST(NULL AS INT) AS discontinued_year, p_type AS theme,
+    CASE p_size % 4 WHEN 0 THEN NULL WHEN 1 THEN 'Blister' ELSE 'Standard Box' END AS format, CASE WHEN p_size % 6 = 0 THEN 'Promotional' END AS exclusive, CASE p_size % 3 WHEN 0 THEN 'ger|fra' WHEN 1 THEN 'Spain|Italy' ELSE '' END AS markets, p_type AS tags, p_size % 6 = 0 AS promotion, p_size % 7 AS figure_count, 'f' || CAST(p_partkey AS VARCHAR) || ' - ' || p_name AS figures, CAST(p_partkey AS VARCHAR) || ' - ' || p_brand || ' part' AS parts,
+    'main https://img.example.org/' || CAST(p_partkey AS VARCHAR) || '.jpg|box_front https://img.example.org/' || CAST(p_partkey AS VARCHAR) || '-box.jpg|box_back https://img.example.org/' || CAST(p_partkey AS VARCHAR) || '-rear.jpg' AS images, '/files/' || CAST(p_partkey AS VARCHAR) || '.pdf' AS instructions FROM part)"""
+PLACEHOLDER = "https://img.example.org/none.png"
+
+
+@query("page_record", f"WITH {_RECORD} SELECT * FROM rec")
 def page_record(t: Tables) -> DataFrame:
-    return jobs.page_records(t.pages)
+    """Whole records, their lists joined to texts."""
+    rows = jobs.page_records(community_pages(t), PLACEHOLDER)
+    joined = {"translations": ("locale", "=", "name"), "figures": ("key", " - ", "name"), "parts": ("key", " - ", "name"), "images": ("kind", " ", "url")}
+
+    def told(column: str, first: str, between: str, second: str) -> Column:
+        return F.array_join(F.transform(column, lambda x: F.concat(x[first], F.lit(between), x[second])), "|")
+
+    pairs = {c: told(c, *how) for c, how in joined.items()}
+    return rows.withColumns(pairs | {c: F.array_join(c, "|") for c in ("markets", "tags", "instructions")})
 
 
-@query("page_fields", """SELECT page_id, nullif(regexp_extract(html, 'lang="([^"]*)"', 1), '') AS lang, nullif(regexp_extract(html, 'charset="([^"]*)"', 1), '') AS charset, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title FROM pages""")
+@query("page_fields", f"WITH {_RECORD} SELECT page_id, theme || CASE WHEN TRUE THEN ' edit' END AS theme, format, CASE WHEN release_year IS NULL THEN 'unknown' ELSE 'May ' || CAST(release_year AS VARCHAR) END AS released, exclusive FROM rec")
 def page_fields(t: Tables) -> DataFrame:
+    """Single fields by expressions alone; ``page_record`` leaves the words of editing links out of them."""
     h = F.col("html")
-    return t.pages.select("page_id", jobs.labelled(h, "lang").alias("lang"), jobs.labelled(h, "charset").alias("charset"), F.nullif(F.regexp_extract(h, "<title>([^<]*)</title>", 1), F.lit("")).alias("title"))
+    return community_pages(t).select("page_id", *[jobs.labelled_field(h, label).alias(label.lower()) for label in ("Theme", "Format", "Released", "Exclusive")])
 
 
-@query("page_images", """SELECT page_id, url, CASE WHEN contains(url, '#') THEN 'anchor' WHEN starts_with(url, '/') THEN 'local' ELSE 'remote' END AS kind, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?:src|href)="([^"]+)"', 1)) AS url FROM pages) GROUP BY 1, 2, 3""")
+@query("page_images", f"WITH {_RECORD}, i AS (SELECT page_id, unnest(string_split(images, '|')) AS x FROM rec) SELECT page_id, split_part(x, ' ', 1) AS kind, split_part(x, ' ', 2) AS url FROM i")
 def page_images(t: Tables) -> DataFrame:
-    links = t.pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('(?:src|href)="([^"]+)"'), F.lit(1))).alias("url"))
-    kind = F.when(F.contains("url", F.lit("#")), "anchor").when(F.startswith("url", F.lit("/")), "local").otherwise("remote")
-    return links.groupBy("page_id", "url", kind.alias("kind")).agg(F.count("*").alias("n"))
+    rows = jobs.page_records(community_pages(t), PLACEHOLDER).select("page_id", F.explode("images").alias("i"))
+    return rows.select("page_id", "i.kind", "i.url")
 
 
-@query("page_linked_entities", """SELECT page_id, label, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)) AS label FROM pages) GROUP BY 1, 2""")
+@query("page_linked_entities", "SELECT p_partkey AS page_id, 'part' AS kind, CAST(p_partkey AS VARCHAR) AS key, p_brand || ' part' AS name, '/parts/1' AS url FROM part UNION ALL SELECT p_partkey, 'figure', 'f' || CAST(p_partkey AS VARCHAR), p_name, '/figures/2' FROM part")
 def page_linked_entities(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", F.explode(jobs.linked_entities(F.col("html"))).alias("e")).groupBy("page_id", F.col("e.label").alias("label")).agg(F.count("*").alias("n"))
+    rows = jobs.page_records(community_pages(t), PLACEHOLDER)
 
+    def told(column: str, kind: str) -> Column:
+        return F.transform(column, lambda x: F.struct(F.lit(kind).alias("kind"), x["key"].alias("key"), x["name"].alias("name"), x["url"].alias("url")))
 
-@query("page_listing", """SELECT page_id, unnest(regexp_extract_all(html, '<h([1-6])>', 1)) AS level FROM pages""")
-def page_listing(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<h([1-6])>"), F.lit(1))).alias("level"))
-
-
-@query("first_occurrence", """WITH m AS (SELECT page_id, regexp_extract_all(html, '<([a-z]+)[ >]', 1) AS f FROM pages) SELECT page_id, v AS value, list_position(f, v) AS place FROM (SELECT page_id, f, unnest(list_distinct(f)) AS v FROM m)""")
-def first_occurrence(t: Tables) -> DataFrame:
-    rows = t.pages.select("page_id", F.explode(jobs.first_occurrence(F.col("html"), "<([a-z]+)[ >]")).alias("o"))
-    return rows.select("page_id", "o.value", F.col("o.place").cast("int").alias("place"))
+    return rows.select("page_id", F.explode(F.concat(told("parts", "part"), told("figures", "figure"))).alias("e")).select("page_id", "e.*")
 
 
-@query("page_manifest_diff", """
-    WITH x AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '<([a-z0-9]+)[ >]', 1)) AS tag FROM pages), e AS (SELECT page_id, tag FROM pages, (SELECT unnest(['html', 'title', 'table', 'nav', 'video']) AS tag))
-    SELECT coalesce(x.page_id, e.page_id) AS page_id, coalesce(x.tag, e.tag) AS tag, CASE WHEN x.tag IS NULL THEN 'missing' WHEN e.tag IS NULL THEN 'unexpected' ELSE 'matched' END AS status FROM x FULL JOIN e ON e.page_id = x.page_id AND e.tag = x.tag""")
-def page_manifest_diff(t: Tables) -> DataFrame:
-    found = t.pages.select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit("<([a-z0-9]+)[ >]"), F.lit(1)))).alias("tag")).withColumn("found", F.lit(True))
-    expected = t.pages.select("page_id", F.explode(F.array(*map(F.lit, ("html", "title", "table", "nav", "video")))).alias("tag")).withColumn("expected", F.lit(True))
-    both = found.join(expected, ["page_id", "tag"], "full_outer")
-    return both.select("page_id", "tag", F.when(F.col("found").isNull(), "missing").when(F.col("expected").isNull(), "unexpected").otherwise("matched").alias("status"))
+def official_pages(t: Tables) -> DataFrame:
+    """An official page for each part: JSON-LD alone, in an array or in a graph, after a block that doesn't parse, or none."""
+    k, s, size = _part()
+    number = (70000 + F.col("p_partkey")).cast("string")
+    kind = F.when(s % 2 == 0, '"Product"').otherwise('["Thing", "Product"]')
+    product = F.concat(F.lit('{"@type": '), kind, F.lit(', "name": "'), F.col("p_name"), F.lit('", "sku": "'), number, F.lit('", "mpn": " M'), k, F.lit('", "gtin13": "40'), F.lpad(k, 11, F.lit("0")), F.lit('", "numberOfPieces": '), F.when(s % 4 == 0, F.concat(F.lit('"'), size, F.lit('"'))).otherwise(size), F.lit(', "image": ["https://i.example.org/box_front.jpg", "https://i.example.org/'), k, F.lit('.jpg"], "offers": {"priceCurrency": "EUR", "price": "'), size, F.lit(',50", "availability": "InStock"}}'))
+    product = F.when(F.col("p_partkey") % 13 == 0, '{"@type": "Organization"}').otherwise(product)
+    block = F.when(s % 3 == 0, product).when(s % 3 == 1, F.concat(F.lit('[{"@type": "Organization"}, '), product, F.lit("]"))).otherwise(F.concat(F.lit('{"@graph": [{"@type": "WebSite"}, '), product, F.lit("]}")))
+    parts = [
+        '<html><body><nav class="breadcrumbs"><a href="/">Home</a><a href="/t">', F.col("p_type"), '</a><a href="/y">', (1990 + s % 20).cast("string"), "</a></nav><h1>Title ", F.col("p_name"), "</h1>", F.when(s % 10 == 0, '<div class="archive-info">old</div>').otherwise(""), F.when(s % 7 > 0, F.concat(F.lit("<p>Item number: PM"), number, F.lit("</p>"))).otherwise(""),
+        '<div><span class="title">Package dimensions:</span> 25,5 x ', size, ' x 9.1 cm</div><div><span class="title">Weight:</span> ', size, ",5 kg</div><p>Figures: 2 knights, ", (s % 3 + 1).cast("string"), ' dogs Accessories: 3 swords</p>', F.when(s % 8 == 0, "").otherwise(F.concat(F.lit('<span class="price--list"><b class="value" content="'), size, F.lit('.99"></b></span>'))),
+        F.when(s % 9 == 0, '<script type="application/ld+json">{"@type": </script>').otherwise(""), '<script type="application/ld+json">', block, "</script></body></html>",
+    ]
+    return t.part.select(F.col("p_partkey").alias("page_id"), F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]).alias("html"))
 
 
-@query("page_jsonld", "SELECT page_id, CAST(0 AS BIGINT) AS blocks FROM pages WHERE html NOT LIKE '%ld+json%'")
+@query("page_jsonld", "SELECT p_partkey AS page_id, CASE WHEN p_partkey % 13 > 0 THEN CAST(70000 + p_partkey AS VARCHAR) END AS sku, CASE WHEN p_partkey % 13 > 0 THEN p_name END AS name FROM part")
 def page_jsonld(t: Tables) -> DataFrame:
-    blocks = jobs.json_ld(F.col("html"))
-    return t.pages.select("page_id", F.size(blocks).cast("long").alias("blocks"))
+    product = jobs.json_ld_product(F.col("html"))
+    return official_pages(t).select("page_id", product.alias("p")).select("page_id", *[F.try_variant_get("p", f"$.{c}", "string").alias(c) for c in ("sku", "name")])
 
 
-@query("page_observation", r"""
-    SELECT page_id, TRY_CAST(regexp_extract(url, '/([0-9]+)(?:[^0-9].*)?$', 1) AS BIGINT) AS number, lower(regexp_extract(url, '^https?://([^/]+)', 1)) AS host, len(regexp_extract_all(html, '<p>')) AS paragraphs, contains(html, '<table') AS has_table FROM pages""")
+@query("page_observation", """
+    WITH o AS (SELECT *, p_partkey % 13 > 0 AS has, CAST(p_partkey AS VARCHAR) AS k FROM part), r AS (SELECT p_partkey AS page_id, CASE WHEN p_size % 7 > 0 THEN 'PM' || CAST(70000 + p_partkey AS VARCHAR) WHEN has THEN CAST(70000 + p_partkey AS VARCHAR) END AS reference, CASE WHEN has THEN p_name ELSE 'Title ' || p_name END AS name, 1990 + p_size % 20 AS release_year, 2 + p_size % 3 + 1 AS figure_count, CASE WHEN has THEN p_size END AS piece_count,
+        '255 x ' || CAST(p_size * 10 AS VARCHAR) || ' x 91' AS package, CAST(p_size * 1000 + 500 AS BIGINT) AS weight_g, CASE WHEN has THEN 'box_front,gallery' ELSE '' END AS image_kinds, CASE WHEN has THEN 'box_front https://i.example.org/box_front.jpg,gallery https://i.example.org/' || k || '.jpg' ELSE '' END AS images, CASE WHEN has THEN CAST(70000 + p_partkey AS VARCHAR) END AS sku, CASE WHEN has THEN 'M' || k END AS mpn,
+        CASE WHEN has THEN '40' || lpad(k, 11, '0') END AS gtin, 'Home,' || p_type || ',' || CAST(1990 + p_size % 20 AS VARCHAR) AS breadcrumbs, p_size % 10 = 0 AS archived, CASE WHEN has THEN CASE WHEN p_size % 8 = 0 THEN p_size + 0.5 ELSE p_size + 0.99 END END AS list_price, CASE WHEN has THEN p_size + 0.5 END AS current_price, CASE WHEN has THEN 'EUR' END AS currency, CASE WHEN has THEN 'InStock' END AS availability FROM o)
+    SELECT * REPLACE (CAST(list_price AS DOUBLE) AS list_price, CAST(current_price AS DOUBLE) AS current_price) FROM r""")
 def page_observation(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", F.regexp_extract("url", "/([0-9]+)(?:[^0-9].*)?$", 1).try_cast("bigint").alias("number"), F.lower(F.regexp_extract("url", "^https?://([^/]+)", 1)).alias("host"), F.regexp_count("html", F.lit("<p>")).cast("long").alias("paragraphs"), F.contains("html", F.lit("<table")).alias("has_table"))
+    rows = official_pages(t).select("page_id", jobs.official_observation(F.col("html")).alias("o")).select("page_id", "o.*")
+    size = F.concat_ws(" x ", *[F.col(f"package_mm.{c}").cast("string") for c in ("width", "depth", "height")])
+    return rows.withColumns({"package": size, **{c: F.array_join(c, ",") for c in ("image_kinds", "images", "breadcrumbs")}}).drop("package_mm", "product_mm", "description")
+
+
+def listing_pages(t: Tables) -> DataFrame:
+    """A listing page for each order, with a link for each of its lines, some of which are no offers."""
+    p, n = F.col("l_partkey"), F.col("l_linenumber")
+    tail = F.when(n % 3 == 0, " sortie prévue Août 2026").when(n % 3 == 1, " à partir de 9 &euro;").otherwise(" -20% -3")
+    text = F.concat(F.lit("<b>Brand</b> Theme "), (n % 4).cast("string"), F.lit("\n "), F.when(n == 4, "?").otherwise((70000 + p % 3000).cast("string")), F.lit(" Castle "), p.cast("string"), F.lit("x"), tail)
+    anchor = F.concat(F.lit('<a class="c" href="'), F.when(n == 6, "/q").otherwise("/p"), p.cast("string"), F.lit('">'), text, F.lit("</a>"))
+    rows = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(n.alias("n"), p.alias("p"), F.col("l_suppkey").alias("s"), anchor.alias("a")))).alias("rows"))
+    return rows.select(F.col("l_orderkey").alias("page_id"), F.concat(F.lit("<html><body>"), F.array_join(F.transform("rows", lambda r: r["a"]), "<br>"), F.lit("</body></html>")).alias("html"))
+
+
+_LINES = "SELECT l_orderkey AS page_id, CAST(70000 + l_partkey % 3000 AS VARCHAR) AS reference, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS place, l_partkey, l_linenumber FROM lineitem WHERE l_linenumber NOT IN (4, 6)"
+
+
+@query("page_listing", f"""WITH r AS ({_LINES}) SELECT page_id, reference, 'Castle ' || CAST(l_partkey AS VARCHAR) || 'x' AS name, 'Theme ' || CAST(l_linenumber % 4 AS VARCHAR) AS theme, CASE WHEN l_linenumber % 3 = 0 THEN 'Août' END AS month, '/p' || CAST(l_partkey AS VARCHAR) AS url FROM r QUALIFY row_number() OVER (PARTITION BY page_id, reference ORDER BY place DESC) = 1""")
+def page_listing(t: Tables) -> DataFrame:
+    """Rows of each listing; of a reference that stands there twice the last one counts."""
+    rows = listing_pages(t).select("page_id", F.posexplode(jobs.listing_rows(F.col("html"))).alias("place", "r"))
+    last = rows.groupBy("page_id", "r.reference").agg(F.max_by("r", "place").alias("r"))
+    return last.select("page_id", "r.*")
+
+
+@query("page_manifest_diff", f"""
+    WITH x AS (SELECT page_id, reference, row_number() OVER (PARTITION BY page_id ORDER BY min(place)) AS place FROM ({_LINES}) GROUP BY 1, 2), e AS (SELECT DISTINCT l_orderkey AS page_id, CAST(70000 + l_partkey % 3000 AS VARCHAR) AS reference FROM lineitem WHERE l_linenumber < 6)
+    SELECT page_id, reference, CASE WHEN x.reference IS NULL THEN 'missing' WHEN e.reference IS NULL THEN 'unexpected' ELSE 'matched' END AS status, place FROM x FULL JOIN e USING (page_id, reference)""")
+def page_manifest_diff(t: Tables) -> DataFrame:
+    """References of each page, in the order that they stand there, against those that its manifest expects."""
+    found = jobs.first_occurrence(F.array_join(F.transform(jobs.listing_rows(F.col("html")), lambda r: r["reference"]), " "), "([0-9]+)")
+    rows = listing_pages(t).select("page_id", F.posexplode(found).alias("at", "o")).select("page_id", F.col("o.value").alias("reference"), (F.col("at") + 1).cast("long").alias("place"))
+    expected = t.lineitem.where("l_linenumber < 6").select(F.col("l_orderkey").alias("page_id"), (70000 + F.col("l_partkey") % 3000).cast("string").alias("reference")).distinct().withColumn("expected", F.lit(True))
+    both = rows.join(expected, ["page_id", "reference"], "full_outer")
+    return both.select("page_id", "reference", F.when(F.col("place").isNull(), "missing").when(F.col("expected").isNull(), "unexpected").otherwise("matched").alias("status"), "place")
+
+
+@query("first_occurrence", """WITH m AS (SELECT page_id, regexp_extract_all(html, '<([a-z]+)[ >]', 1) AS f FROM pages) SELECT page_id, v AS value, list_position(f, v) AS place FROM (SELECT page_id, f, unnest(list_distinct(f)) AS v FROM m)""")
+def first_occurrence(t: Tables) -> DataFrame:
+    rows = t.pages.select("page_id", F.explode(jobs.first_occurrence(F.col("html"), "<([a-z]+)[ >]")).alias("o"))
+    return rows.select("page_id", "o.value", F.col("o.place").cast("int").alias("place"))
 
 
 @query("sitemap_urls", "SELECT page_id, 'url' AS kind, url AS loc, CAST(DATE '2024-01-01' + CAST(page_id % 300 AS INT) AS VARCHAR) AS lastmod FROM pages")

@@ -1,7 +1,12 @@
-"""Page jobs: labelled fields, JSON-LD, images, listings, manifests."""
+"""Page jobs: labelled fields, records, JSON-LD, official observations, images, listings, manifests.
+
+What a regular expression can tell is a column expression. Records of community pages need the nesting of
+their tags and are read by a parser, in Arrow batches, one page after the other.
+"""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -9,49 +14,261 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from galena.functions.values import parse_measures
+
+# Languages by the name of their flag, months of listings, words that mean nothing.
+LOCALES = {"English": "en", "Español": "es", "Deutsch": "de", "Français": "fr"}
+MONTHS = "Janvier|F[ée]vrier|Mars|Avril|Mai|Juin|Juillet|Ao[uû]t|Septembre|Octobre|Novembre|D[ée]cembre"
+NOTHING = re.compile("(?:\\(n/a\\)|n/a|none)?", re.I)
+VOID = {"br", "img", "meta", "link", "hr", "input"}
+
 
-class _Text(HTMLParser):
-    """Title, headings, links and text of a page outside scripts and styles."""
+def meaningful(text: str) -> str | None:
+    """A text with its blanks folded and ``(wrong?)`` taken out; None if it says that there is nothing."""
+    text = re.sub("\\(wrong\\?\\)", "", " ".join(text.split()), flags=re.I).strip()
+    return None if NOTHING.fullmatch(text) else text
+
+
+class _Page(HTMLParser):
+    """A page as a list of (tag, attributes, text, depth) in order; text has no tag, ``/tag`` is an end."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[str] = []
-        self.title, self.heading, self.links, self.text = "", "", 0, 0
-        self.last = ""
+        self.items: list[tuple[str, dict[str, str], str]] = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        self.last = tag
-        if tag in ("script", "style", "title", "h1"):
-            self.open.append(tag)
-        self.links += tag == "a" and any(k == "href" for k, _ in attrs)
+        self.items.append((tag, {k: v or "" for k, v in attrs}, ""))
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in self.open:
-            self.open.remove(tag)
+        self.items.append((f"/{tag}", {}, ""))
 
     def handle_data(self, data: str) -> None:
-        if "title" in self.open:
-            self.title += data
-        elif "h1" in self.open and not self.heading:
-            self.heading = data.strip()
-        elif not {"script", "style"} & set(self.open):
-            self.text += len(data.split())
+        self.items.append(("", {}, data))
+
+
+def _inside(items: list, at: int) -> list:
+    """What stands inside the element that begins at ``at``."""
+    tag, depth = items[at][0], 0
+    if tag in VOID:
+        return []
+    for k in range(at, len(items)):
+        depth += (items[k][0] == tag) - (items[k][0] == f"/{tag}")
+        if not depth:
+            return items[at + 1 : k]
+    return items[at + 1 :]
+
+
+def _text(items: list) -> str:
+    return " ".join(" ".join(text for tag, _, text in items if not tag).split())
+
+
+def _until_break(items: list, at: int) -> list:
+    """What follows the element at ``at``, up to the next line break."""
+    start = at + 1 if items[at][0] in VOID else at + len(_inside(items, at)) + 2
+    out, k = [], start
+    while k < len(items) and items[k][0] != "br":
+        if items[k][0] == "a" and items[k][1].get("aria-label") in ("Edit", "Report error") or "counter" in items[k][1].get("class", "").split():
+            k += len(_inside(items, k)) + 2
+            continue
+        if items[k][0].startswith("/") and not any(x[0] == items[k][0][1:] for x in items[start:k]):
+            break  # the end of what is around
+        out.append(items[k])
+        k += 1
+    return out
 
 
-def page_records(pages: DataFrame, html: str = "html") -> DataFrame:
-    """page_id, title, heading, links, words of each page, by a parser: regular expressions can't tell scripts from text."""
+def _linked(items: list, heading: str, path: str) -> list[dict]:
+    """Links ``KEY - name`` to ``path`` in the block under a heading."""
+    for k, (tag, _, _) in enumerate(items):
+        if tag == "h4" and _text(_inside(items, k)).upper() == heading:
+            block = next((j for j in range(k + 1, len(items)) if items[j][0] == "div"), None)
+            rows = _inside(items, block) if block is not None else []
+            found = [(re.fullmatch(r"(\S+)\s+-\s+(.+)", " ".join((a.get("title") or _text(_inside(rows, j))).split())), a) for j, (t, a, _) in enumerate(rows) if t == "a" and f"/{path}/" in a.get("href", "")]
+            return [{"key": m[1], "name": m[2], "url": a["href"]} for m, a in found if m]
+    return []
+
+
+def _image_kind(label: str) -> str:
+    return "box_back" if re.search(r"\bback\b|rear", label) else "box_front" if re.search(r"\bbox\b|front", label) else "gallery"
+
+
+def community_record(html: str, placeholder: str) -> dict:
+    """The record of a community page: what it has not is None or empty."""
+    page = _Page()
+    page.feed(html)
+    page.close()
+    items = page.items
+    heading = next((_text(_inside(items, k)) for k, x in enumerate(items) if x[0] == "h1"), "")
+    told = re.fullmatch(r"\S+\s+(.+?)\s*-\s*(.*)", heading)
+    fields: dict[str, tuple[str | None, list[str]]] = {}
+    names: list[dict] = []
+    for k, (tag, attributes, _) in enumerate(items):
+        if tag == "strong":
+            label = _text(_inside(items, k)).rstrip(":").strip().lower()
+            rest = _until_break(items, k)
+            fields.setdefault(label, (meaningful(_text(rest)), [a["href"] for t, a, _ in rest if t == "a" and a.get("href") and "/editor/" not in a["href"]]))
+        elif tag == "img" and attributes.get("alt") in LOCALES and (name := meaningful(_text(_until_break(items, k)))):
+            names.append({"locale": LOCALES[attributes["alt"]], "name": name})
+    text = lambda label: fields.get(label, (None, []))[0]
+
+    def year(label: str) -> int | None:
+        found = re.search(r"\b(?:19|20)[0-9]{2}\b", text(label) or "")
+        return int(found[0]) if found else None
+
+    markets = [h.rstrip("/").rsplit("/", 1)[1] for h in fields.get("export market", (None, []))[1] if "/export-markets/" in h]
+    markets = markets or [m for x in re.split("[,/]", text("export market") or "") if (m := x.strip()) and m.lower() != "none"]
+    images: dict[str, str] = {}
+    main = next((a.get("content") for t, a, _ in items if t == "meta" and a.get("property") == "og:image"), None)
+    if main and main != placeholder:
+        images[main] = "main"
+    for k, (tag, a, _) in enumerate(items):
+        if tag == "a" and a.get("rel", "").startswith("lightbox[set]") and a.get("href") not in (None, placeholder):
+            label = " ".join([a.get("title", ""), *(f"{x.get('title', '')} {x.get('alt', '')}" for t, x, _ in _inside(items, k) if t == "img")]).lower()
+            images.setdefault(a["href"], _image_kind(label))
+    notes = [a["href"] for k, (t, a, _) in enumerate(items) if t == "a" and a.get("href") and (re.search(r"\.pdf(?:$|\?)", a["href"], re.I) or re.search("instruction manual|instructions|notice", f"{_text(_inside(items, k))} {a.get('title', '')}".lower()))]
+    tags = [x for k, (t, a, _) in enumerate(items) if "tags" in a.get("class", "").split() for j, (u, _, _) in enumerate(_inside(items, k)) if u == "a" and (x := _text(_inside(_inside(items, k), j)))]
+    figures = text("figures")
+    english = next((n["name"] for n in names if n["locale"] == "en"), None)
+    signal = " ".join(x for x in (text("format"), text("exclusive"), *tags) if x)
+    return {
+        "reference": told[1] if told else None,
+        "name": english or (meaningful(told[2]) if told else None),
+        "translations": names,
+        "release_year": year("released"),
+        "discontinued_year": year("discontinued"),
+        "theme": text("theme"),
+        "format": text("format"),
+        "exclusive": text("exclusive"),
+        "markets": markets,
+        "tags": tags,
+        "promotion": bool(re.search("promotion", signal, re.I)),
+        "figure_count": int(figures) if figures and figures.isdigit() else None,
+        "figures": _linked(items, "FIGURES IN THIS SET", "figures"),
+        "parts": _linked(items, "PARTS IN THIS SET", "parts"),
+        "images": [{"kind": k, "url": u} for u, k in images.items()],
+        "instructions": notes,
+    }
+
+
+_ENTITY = "array<struct<key:string,name:string,url:string>>"
+RECORD_DDL = f"reference string, name string, translations array<struct<locale:string,name:string>>, release_year int, discontinued_year int, theme string, format string, exclusive string, markets array<string>, tags array<string>, promotion boolean, figure_count int, figures {_ENTITY}, parts {_ENTITY}, images array<struct<kind:string,url:string>>, instructions array<string>"
+
+
+def page_records(pages: DataFrame, placeholder: str = "", html: str = "html", key: str = "page_id") -> DataFrame:
+    """The record of each community page, nested; a null page has an empty record."""
 
     def job(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for page, body in zip(frame["page_id"], frame["html"], strict=True):
-                p = _Text()
-                p.feed(body or "")
-                p.close()
-                rows.append((page, " ".join(p.title.split()), p.heading, p.links, p.text))
-            yield pd.DataFrame(rows, columns=["page_id", "title", "heading", "links", "words"])
+            rows = [community_record(body or "", placeholder) for body in frame["__html"]]
+            out = pd.DataFrame(rows, columns=[c.split(" ")[0] for c in RECORD_DDL.split(", ")], dtype=object)
+            out.insert(0, key, frame[key].to_numpy())
+            yield out
+
+    kind = pages.schema[key].dataType.simpleString()
+    return pages.select(key, F.col(html).alias("__html")).mapInPandas(job, f"{key} {kind}, {RECORD_DDL}")
 
-    return pages.select("page_id", F.col(html).alias("html")).mapInPandas(job, "page_id long, title string, heading string, links long, words long")
+
+def _told(html: Column, pattern: str, group: int = 1) -> Column:
+    return F.nullif(F.trim(F.regexp_replace(F.regexp_extract(html, pattern, group), "\\s+", " ")), F.lit(""))
+
+
+def json_ld_product(html: Column) -> Column:
+    """The first Product (variant) of the JSON-LD blocks: by itself, in an array or in ``@graph``; malformed blocks are skipped."""
+    blocks = F.regexp_extract_all(html, F.lit("(?s)<script type=.application/ld\\+json.>(.*?)</script>"), F.lit(1))
+    parsed = F.filter(F.transform(blocks, lambda b: F.try_parse_json(b)), lambda v: v.isNotNull())
+
+    def entries(v: Column) -> Column:
+        graph = F.try_variant_get(v, "$['@graph']", "array<variant>")
+        return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), graph, F.array(v))
+
+    flat = F.flatten(F.transform(parsed, entries))
+    flat = F.flatten(F.transform(flat, entries))  # an array of graphs
+
+    def is_product(v: Column) -> Column:
+        types = F.coalesce(F.try_variant_get(v, "$['@type']", "array<string>"), F.array(F.try_variant_get(v, "$['@type']", "string")))
+        return F.coalesce(F.array_contains(types, "Product"), F.lit(False))
+
+    return F.get(F.filter(flat, is_product), F.lit(0))
+
+
+def official_observation(html: Column) -> Column:
+    """What an official product page tells: identity, measures, media, and the list price apart from the current offer."""
+    product = json_ld_product(html)
+
+    def field(path: str, kind: str = "string") -> Column:
+        return F.try_variant_get(product, path, kind)
+
+    def price(value: Column) -> Column:
+        amount = F.replace(value, F.lit(","), F.lit(".")).try_cast("double")
+        return F.when(amount >= 0, amount)
+
+    def detail(label: str) -> Column:
+        return _told(html, f"(?is)<span class=.title.>\\s*(?:{label})[^<]*</span>\\s*([^<]*)<")
+
+    reference = F.coalesce(_told(html, "(?i)(?:Artikelnummer|Référence de l.article|Item number)\\s*:\\s*([A-Za-z]*[0-9]{3,8}[A-Za-z]?)"), F.nullif(F.trim(field("$.sku")), F.lit("")))
+    package, bare = parse_measures(detail("Packungsma|Dimensions de l.emballage|Package dimensions")), parse_measures(detail("Produktma|Dimensions du produit|Product dimensions"))
+    weight = parse_measures(detail("Gewicht|Poids|Weight"))["weight_g"]
+    people = F.regexp_extract(html, "(?is)(?:Figuren|Personnages|Figures)\\s*:\\s*(.*?)(?:(?:Tiere|Animals|Animaux|Zubehör|Accessories|Accessoires)\\s*:|<)", 1)
+    numbers = F.regexp_extract_all(people, F.lit("\\b([0-9]+)\\s+"), F.lit(1))
+    figures = F.when(F.size(numbers) > 0, F.aggregate(numbers, F.lit(0), lambda a, x: a + F.coalesce(x.try_cast("int"), F.lit(0))))
+    urls = F.filter(F.coalesce(field("$.image", "array<string>"), F.array().cast("array<string>")), lambda u: u.isNotNull())
+    kinds = F.transform(urls, lambda u: F.when(u.rlike("(?i)box[_ -]?front"), "box_front").when(u.rlike("(?i)box[_ -]?back"), "box_back").when(u.rlike("(?i)product[_ -]?detail"), "main").otherwise("gallery"))
+    currency = field("$.offers.priceCurrency")
+    currency = F.when(currency.rlike("^[A-Z]{3}$"), currency)
+    current = F.when(currency.isNotNull(), price(field("$.offers.price")))
+    listed = F.when(currency.isNotNull(), price(F.nullif(F.regexp_extract(html, "(?is)<span class=.price--list.>.*?content=.([0-9.,]+)", 1), F.lit(""))))
+    crumbs = F.regexp_extract_all(F.regexp_extract(html, "(?is)<nav class=.breadcrumbs.>(.*?)</nav>", 1), F.lit("<a[^>]*>([^<]*)</a>"), F.lit(1))
+    year = F.coalesce(_told(html, "<span class=.badge--year.>\\s*((?:19|20)[0-9]{2})\\s*<"), F.element_at(F.filter(F.concat(F.array(F.lit(None).cast("string")), crumbs), lambda c: F.coalesce(c.rlike("^(19|20)[0-9]{2}$"), F.lit(False)) | c.isNull()), -1))
+    return F.struct(
+        reference.alias("reference"),
+        F.coalesce(field("$.name"), _told(html, "(?is)<h1[^>]*>(.*?)</h1>")).alias("name"),
+        field("$.description").alias("description"),
+        year.try_cast("int").alias("release_year"),
+        figures.alias("figure_count"),
+        F.coalesce(field("$.numberOfPieces", "int"), field("$.pieceCount", "int")).alias("piece_count"),
+        F.struct(package["length_mm"].alias("width"), package["width_mm"].alias("depth"), package["height_mm"].alias("height")).alias("package_mm"),
+        F.struct(bare["length_mm"].alias("width"), bare["width_mm"].alias("depth"), bare["height_mm"].alias("height")).alias("product_mm"),
+        weight.alias("weight_g"),
+        F.array_distinct(kinds).alias("image_kinds"),
+        F.transform(F.arrays_zip(urls.alias("url"), kinds.alias("kind")), lambda x: F.concat_ws(" ", x["kind"], x["url"])).alias("images"),
+        F.nullif(F.trim(field("$.sku")), F.lit("")).alias("sku"),
+        F.nullif(F.trim(field("$.mpn")), F.lit("")).alias("mpn"),
+        F.coalesce(*[F.nullif(F.trim(field(f"$.{k}")), F.lit("")) for k in ("gtin", "gtin8", "gtin12", "gtin13", "gtin14")]).alias("gtin"),
+        crumbs.alias("breadcrumbs"),
+        html.rlike("class=.archive-info").alias("archived"),
+        F.coalesce(listed, current).alias("list_price"),
+        current.alias("current_price"),
+        currency.alias("currency"),
+        field("$.offers.availability").alias("availability"),
+    )
+
+
+def listing_rows(html: Column) -> Column:
+    """Offers of an annual listing: links to ``/p``, ``Brand theme reference name [month]``; the last of a reference counts."""
+    anchors = F.regexp_extract_all(html, F.lit("(?is)<a[^>]*href=.[^\"']*/p[^\"']*.[^>]*>.*?</a>"), F.lit(0))
+    text = lambda a: F.trim(F.regexp_replace(F.regexp_replace(a, "<[^>]*>", " "), "\\s+", " "))
+    row = "(?i)^\\S+\\s+(.+?)\\s+([0-9]{3,8})\\s+(.+)$"
+
+    def told(a: Column) -> Column:
+        tail = F.regexp_extract(text(a), row, 3)
+        name = F.regexp_replace(tail, f"(?i)\\s+(?:sortie pr[ée]vue\\s+)?(?:{MONTHS})(?:\\s+20[0-9]{{2}})?.*$", "")
+        name = F.regexp_replace(F.regexp_replace(name, "(?i)\\s+[àa] partir de.*$", ""), "\\s+-[0-9]+%.*$", "")
+        return F.struct(
+            F.regexp_extract(text(a), row, 2).alias("reference"),
+            F.trim(name).alias("name"),
+            F.trim(F.regexp_extract(text(a), row, 1)).alias("theme"),
+            F.nullif(F.regexp_extract(tail, f"(?i)({MONTHS})", 1), F.lit("")).alias("month"),
+            F.regexp_extract(a, "href=.([^\"']*)", 1).alias("url"),
+        )
+
+    return F.filter(F.transform(anchors, told), lambda r: r["reference"] != "")
+
+
+def labelled_field(html: Column, label: str) -> Column:
+    """The text after ``<strong>label:</strong>`` up to the line break, without tags; null if it says nothing."""
+    raw = F.regexp_extract(html, f"(?is)<strong>\\s*{label}\\s*:?\\s*</strong>(.*?)<br", 1)
+    text = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, "<[^>]*>", " "), "(?i)\\(wrong\\?\\)", ""), "\\s+", " "))
+    return F.when(~text.rlike("(?i)^(\\(n/a\\)|n/a|none)?$"), text)
 
 
 def linked_entities(html: Column) -> Column:
@@ -66,12 +283,6 @@ def labelled(html: Column, name: str) -> Column:
     return F.nullif(F.regexp_extract(html, f'{name}="([^"]*)"', 1), F.lit(""))
 
 
-def json_ld(html: Column) -> Column:
-    """Bodies of the JSON-LD blocks that parse."""
-    blocks = F.regexp_extract_all(html, F.lit('(?s)<script type="application/ld\\+json">(.*?)</script>'), F.lit(1))
-    return F.filter(F.transform(blocks, lambda b: F.to_json(F.try_parse_json(b))), lambda b: b.isNotNull())
-
-
 def first_occurrence(html: Column, pattern: str) -> Column:
     """(value, place) of the first occurrence of each distinct match, in order."""
     found = F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
