@@ -3,9 +3,9 @@
 Words of a window become a template: numbers, units after them and names (capitalised words inside a
 sentence) are replaced by typed placeholders, other words are lower-cased without the marks around
 them. Every window of ``WINDOW`` words of a benchmark item (shorter items: all their words) is a row
-with its template's hash and its *anchor*, the longest ordinary word. Words of a document that are anchors
+with its template and its *anchor*, the longest ordinary word. Words of a document that are anchors
 are found inside its array of words, and hash-joined to the windows; around each of them the document's own
-window is canonicalised and its hash compared, so all windows are checked while only few are built.
+window is canonicalised and compared, so all windows are checked while only few are built.
 
 A document leaks an item if at least ``MIN_SHARE`` of the item's windows occur in it as templates and
 the slots are consistent: in one place of the document, a number or name of the item stands for the
@@ -84,7 +84,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     ordinary = F.filter(F.transform("shape", lambda w, i: F.struct(F.when(w.isin(NUMBER, UNIT, NAME), -1).otherwise(F.length(w)).alias("size"), w.alias("word"), i.alias("at"))), lambda s: s["size"] > 0)
     rows = rows.withColumn("ordinary", F.sort_array(ordinary, asc=False)).where(F.size("ordinary") > 0)
     best, second = F.get("ordinary", F.lit(0)), F.get("ordinary", F.lit(1))
-    return rows.select("item_id", "window", "n_windows", "width", best["word"].alias("anchor"), best["at"].alias("offset"), second["word"].alias("second"), (second["at"] - best["at"]).alias("apart"), F.xxhash64("shape").alias("key"), F.array_join("shape", " ").alias("shape"), slots(F.col("span"), F.col("shape")).alias("item_slots"))
+    return rows.select("item_id", "window", "n_windows", "width", best["word"].alias("anchor"), best["at"].alias("offset"), second["word"].alias("second"), (second["at"] - best["at"]).alias("apart"), F.array_join("shape", " ").alias("shape"), slots(F.col("span"), F.col("shape")).alias("item_slots"))
 
 
 def document_words(docs: DataFrame) -> DataFrame:
@@ -139,7 +139,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # The next word has to be there too; this spares most templates.
     hits = hits.where(F.col("second").isNull() | (bare(F.get("block", F.col("at") + F.col("apart"))) == F.col("second")))
     hits = hits.withColumn("span", F.slice("block", F.greatest(F.col("at") - F.col("offset") + 1, F.lit(1)), F.col("width")))
-    hits = hits.withColumn("doc_shape", template(F.col("span"))).where((F.xxhash64("doc_shape") == F.col("key")) & (F.array_join("doc_shape", " ") == F.col("shape")))
+    hits = hits.withColumn("doc_shape", template(F.col("span"))).where(F.array_join("doc_shape", " ") == F.col("shape"))
     pairs = F.zip_with("item_slots", slots(F.col("span"), F.col("doc_shape")), lambda a, b: F.struct(a.alias("item"), b.alias("doc")))
     shift = (F.col("begin") + F.col("at") - F.col("offset") - F.col("window")).alias("shift")
     place = hits.select("doc_id", "item_id", shift, "window", "n_windows", pairs.alias("pairs"))
