@@ -24,7 +24,8 @@ def parse_measures(c: Column) -> Column:
 
 
 def era_bucket(year: Column) -> Column:
-    return F.when(year.isNull(), "unknown").when(year < 1996, "early").when(year < 1999, "middle").otherwise("late")
+    """Decades from 1990 on, what was before in one; an unknown year counts as the latest, as comparisons with it fail."""
+    return F.when(year < 1990, "before-1990").when(year < 2000, "1990s").when(year < 2010, "2000s").when(year < 2020, "2010s").otherwise("2020s")
 
 
 def age_bucket(at: Column, now: Column) -> Column:
@@ -34,7 +35,27 @@ def age_bucket(at: Column, now: Column) -> Column:
 
 
 def availability(code: Column) -> Column:
-    return F.when(code.isin("in_stock", "view", "click"), "AVAILABLE").when(code.isin("sold_out", "error"), "UNAVAILABLE").otherwise("UNKNOWN")
+    """Six statuses of a feed as two; any other is unknown."""
+    return F.when(code.isin("in_stock", "pre_order", "available_on_order", "stock_on_order"), "AVAILABLE").when(code.isin("not_in_stock", "out_of_stock"), "OUT_OF_STOCK").otherwise("UNKNOWN")
+
+
+def product_kind(form: Column, tags: Column, promotion: Column) -> Column:
+    """Kind of an article from the words of its format and tags, the first that tells."""
+    signal = F.lower(F.concat_ws(" ", form, tags))
+    return F.when(signal.rlike("catalog"), "CATALOGUE").when(signal.rlike("merch|sticker|book|magazine|multimedia"), "MERCHANDISE").when(signal.rlike("promotion") | F.coalesce(promotion, F.lit(False)), "PROMOTIONAL_ITEM").when(signal.rlike("figure"), "FIGURE").otherwise("SET")
+
+
+def variant_kind(signal: Column, promotion: Column, exclusive: Column) -> Column:
+    """Kind of a variant from what its reference signals, then from its flags."""
+    return F.when(signal == "market", "MARKET").when(signal.isin("version", "edition"), "EDITION").when(F.coalesce(promotion, F.lit(False)), "PROMOTION").when(F.coalesce(exclusive, F.lit(False)), "EXCLUSIVE").otherwise("STANDARD")
+
+
+def exclusive_claims(payload: Column, market: Column) -> Column:
+    """(exclusive, market, statement) that a JSON payload claims; the market claim only if it names this market and says something."""
+    parsed = F.from_json(payload, "exclusive string, marketExclusive struct<marketCode: string, statement: string>")
+    code, statement = F.nullif(F.upper(F.trim(parsed["marketExclusive"]["marketCode"])), F.lit("")), F.nullif(F.trim(parsed["marketExclusive"]["statement"]), F.lit(""))
+    holds = F.coalesce(code == F.upper(F.trim(market)), F.lit(False)) & statement.isNotNull()
+    return F.struct(F.nullif(F.trim(parsed["exclusive"]), F.lit("")).alias("exclusive"), F.when(holds, code).alias("market"), F.when(holds, statement).alias("statement"))
 
 
 def clamp(c: Column, low: int, high: int) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from galena.sources.tables import materialize
+
 
 def unpivot_facts(df: DataFrame, id: list[str], fields: list[str]) -> DataFrame:
     """(id, field, value) with trimmed text; null and empty values are no facts."""
@@ -48,12 +50,16 @@ def change_detect(previous: DataFrame, incoming: DataFrame, key: str, lastmod: s
     return rows.select(key, status.alias("status"))
 
 
-def table_digest(df: DataFrame, columns: list[str], parts: int = 1024) -> DataFrame:
-    """A digest of a table's rows that doesn't depend on their order: row hashes, sorted in parts, then over the parts."""
-    row = F.sha2(F.to_json(F.struct(*sorted(columns))), 256)
-    hashed = df.select(row.alias("h")).withColumn("p", F.pmod(F.xxhash64("h"), F.lit(parts)))
-    inner = hashed.groupBy("p").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"), F.count("*").alias("n"))
-    return inner.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("digest"), F.sum("n").alias("rows"))
+def table_digest(df: DataFrame, columns: list[str]) -> DataFrame:
+    """A digest of a table's rows that depends neither on their order nor on how they are dealt out.
+
+    Each row's SHA-256 is cut into four numbers of 60 bits; their sums over all rows, and the number of rows,
+    are hashed. Sums combine in the map tasks, so nothing is gathered.
+    """
+    row = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in sorted(columns)]), 256)
+    pieces = [F.sum(F.conv(F.substring("h", 1 + 15 * k, 15), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)").alias(f"s{k}") for k in range(4)]
+    sums = df.select(row.alias("h")).agg(F.count("*").alias("rows"), *pieces)
+    return sums.select(F.sha2(F.concat_ws("|", F.col("rows").cast("string"), *[F.coalesce(f"s{k}", F.lit(0)).cast("string") for k in range(4)]), 256).alias("digest"), "rows")
 
 
 def worst_class(df: DataFrame, key: str, klass: str, order: list[str]) -> DataFrame:
@@ -72,3 +78,33 @@ def rekey_plan(df: DataFrame, id: str, old: str, new: Column) -> DataFrame:
     rows = df.select(id, F.col(old).alias("old_key"), new.alias("new_key"))
     taken = rows.groupBy("new_key").agg(F.count("*").alias("__n"))
     return rows.join(taken, "new_key").where(~F.col("old_key").eqNullSafe(F.col("new_key"))).select(id, "old_key", "new_key", (F.col("__n") > 1).alias("collision"))
+
+
+def product_plan(clusters: DataFrame, existing: DataFrame) -> DataFrame:
+    """What happens to the product of each cluster of a split plan, and whether its key collides.
+
+    ``clusters``: grp, cluster, product (of the first record), key (planned), shared (records of the product outside
+    the plan); ``existing``: key, product. The first cluster of a product keeps it unless others share it; a cluster
+    whose planned key is there already reuses that product; all others are created. Two clusters with one planned
+    key collide, and so does a key that belongs to a product outside the plan's own.
+    """
+    rows = clusters.join(existing.select(F.col("key"), F.col("product").alias("there")), "key", "left")
+    first = F.row_number().over(Window.partitionBy("product").orderBy("grp", "cluster")) == 1
+    twice = F.count("*").over(Window.partitionBy("key")) > 1
+    action = F.when(first & (F.col("shared") == 0), "KEEP").when(F.col("there").isNotNull(), "REUSE").otherwise("CREATE")
+    outside = F.coalesce(F.col("there") != F.col("product"), F.lit(False))
+    collision = F.when(twice, "DUPLICATE_PLANNED_KEY").when(outside & (action == "KEEP"), "KEY_OUTSIDE_PLAN")
+    return rows.select("grp", "cluster", action.alias("action"), collision.alias("collision"))
+
+
+def apply_split(rows: DataFrame, plan: DataFrame, keys: list[str], owner: str) -> DataFrame:
+    """``rows`` with the owner that the plan gives them. The plan must name a row once: else rows would multiply.
+
+    The counts before and after are compared before the result is handed on.
+    """
+    if plan.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        raise ValueError("a record is in the plan twice")
+    moved = materialize(rows.join(plan.select(*keys, F.col(owner).alias("__to")), keys, "left").withColumn("split", F.col("__to").isNotNull()).withColumn(owner, F.coalesce("__to", owner)).drop("__to"))
+    if moved.count() != rows.count():
+        raise ValueError("the split would change the number of records")
+    return moved

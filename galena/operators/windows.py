@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from galena.sources.tables import materialize
+
 
 def latest_per_key(df: DataFrame, keys: list[str], order_by: list[Column], n: int = 1) -> DataFrame:
     """The first ``n`` rows of each key; give an order that leaves no ties. Ranks are limited before the shuffle."""
@@ -39,6 +41,13 @@ def page_with_total(df: DataFrame, order_by: list[Column], page: int, size: int)
     return rows.join(F.broadcast(total))
 
 
+def refresh_schedule(now: int, scheduled: bool = True) -> dict[str, bool]:
+    """Which reasons are due at a time (seconds since 1970): by the parity of its six-hour bucket."""
+    bucket = now // 21600
+    even, fourth = bucket % 2 == 0 or not scheduled, bucket % 4 == 0 or not scheduled
+    return {"WISHLIST_PRIORITY": True, "WISHLIST_STANDARD": even, "RECENT_RELEASE": even, "COLLECTION_ROTATION": fourth}
+
+
 def tiered_targets(tiers: list[DataFrame], id: str, position: str, limit: int) -> DataFrame:
     """Ids of tiers in order; the first tier that holds an id wins, and ``limit`` ids are taken in all."""
     rows = reduce(DataFrame.unionByName, [t.select(id, F.col(position).alias("position"), F.lit(i).alias("tier")) for i, t in enumerate(tiers)])
@@ -46,14 +55,14 @@ def tiered_targets(tiers: list[DataFrame], id: str, position: str, limit: int) -
     return first.select(id, "first.tier", "first.position").orderBy("tier", "position", id).limit(limit)
 
 
-def global_rank(df: DataFrame, order_by: list[str], parts: int = 64) -> DataFrame:
+def global_rank(df: DataFrame, order_by: list[Column | str], part_rows: int = 1_000_000) -> DataFrame:
     """A dense position (from 1) in a total order, without putting all rows into one task.
 
-    Rows are cut into ranges of the first key by approximate quantiles, ranges are counted, and
-    positions within a range are added to the range's start.
+    Rows are cut into ranges by all keys of the order, as many as ``part_rows`` asks for, and written with the
+    number of their range; ranges are counted, and positions within a range are added to the range's start.
     """
-    edges = df.select(F.percentile_approx(F.col(order_by[0]).cast("double"), [i / parts for i in range(1, parts)], 10_000).alias("edges"))
-    ranged = df.join(F.broadcast(edges)).withColumn("__part", F.size(F.filter("edges", lambda e: e < F.col(order_by[0])))).drop("edges")
+    parts = max(1, -(-df.count() // part_rows), min(64, df.sparkSession.sparkContext.defaultParallelism))
+    ranged = materialize(df.repartitionByRange(parts, *order_by).withColumn("__part", F.spark_partition_id()))
     starts = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
     starts = starts.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
     within = F.row_number().over(Window.partitionBy("__part").orderBy(*order_by))

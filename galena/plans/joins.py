@@ -167,9 +167,9 @@ def anti_join(t: Tables) -> DataFrame:
     return t.customer.join(t.orders.where("o_orderstatus = 'P'"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
 
 
-@query("or_join", "SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, p_partkey FROM lineitem JOIN part ON p_partkey = l_partkey OR p_partkey = l_suppkey WHERE l_quantity > 49")
+@query("or_join", "SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, p_partkey FROM lineitem JOIN part ON p_partkey = l_partkey OR p_partkey = l_suppkey")
 def or_join(t: Tables) -> DataFrame:
-    left = t.lineitem.where("l_quantity > 49").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    left = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "p_partkey"]
     return joins.or_join(left, t.part.select("p_partkey"), [("l_partkey", "p_partkey"), ("l_suppkey", "p_partkey")], keys).select(*keys)
 
@@ -190,9 +190,9 @@ def json_unnest(t: Tables) -> DataFrame:
 
 
 @query("expand_quantity", with_views("copies", """
-    SELECT copy_id, variant_id, unit, CASE WHEN unit = 1 THEN price_cents END AS price_cents FROM (SELECT *, unnest(range(1, greatest(quantity, 1) + 1)) AS unit FROM copies WHERE quantity < 6)"""))
+    SELECT copy_id, variant_id, unit, CASE WHEN unit = 1 THEN price_cents END AS price_cents FROM (SELECT *, unnest(range(1, greatest(quantity, 1) + 1)) AS unit FROM copies)"""))
 def expand_quantity(t: Tables) -> DataFrame:
-    return joins.expand_quantity(t.copies().where("quantity < 6"), "quantity", ["price_cents"]).select("copy_id", "variant_id", F.col("unit").cast("long").alias("unit"), "price_cents")
+    return joins.expand_quantity(t.copies(), "quantity", ["price_cents"]).select("copy_id", "variant_id", F.col("unit").cast("long").alias("unit"), "price_cents")
 
 
 @query("join_value_list", "SELECT place, p_partkey, p_name FROM (VALUES (1, 17), (2, 4), (3, 99), (4, 100000000)) v(place, ref) JOIN part ON p_partkey = ref")
@@ -219,7 +219,7 @@ def pairs_within_group(t: Tables) -> DataFrame:
     return pairs.select("c_nationkey", F.col("left_c_custkey").alias("left_id"), F.col("right_c_custkey").alias("right_id"))
 
 
-_SNAP_SQL = "SELECT l_partkey AS ref, max({0}) AS v FROM lineitem WHERE year(l_shipdate) = {1} AND l_quantity > 30 GROUP BY 1"
+_SNAP_SQL = "SELECT l_partkey AS ref, max({0}) AS v FROM lineitem WHERE year(l_shipdate) = {1} GROUP BY 1"
 
 
 @query("snapshot_diff", f"""
@@ -227,7 +227,7 @@ _SNAP_SQL = "SELECT l_partkey AS ref, max({0}) AS v FROM lineitem WHERE year(l_s
     SELECT coalesce(a.ref, b.ref) AS ref, CASE WHEN a.ref IS NULL THEN 'added' WHEN b.ref IS NULL THEN 'removed' WHEN a.v IS DISTINCT FROM b.v THEN 'changed' ELSE 'same' END AS status FROM a FULL JOIN b ON a.ref = b.ref""")
 def snapshot_diff(t: Tables) -> DataFrame:
     def of(year: int) -> DataFrame:
-        return t.lineitem.where((F.year("l_shipdate") == year) & (F.col("l_quantity") > 30)).groupBy(F.col("l_partkey").alias("ref")).agg(F.max("l_quantity").alias("v"))
+        return t.lineitem.where(F.year("l_shipdate") == year).groupBy(F.col("l_partkey").alias("ref")).agg(F.max("l_quantity").alias("v"))
 
     return joins.snapshot_diff(of(1999), of(2000), "ref", ["v"])
 
@@ -241,10 +241,10 @@ def unique_match_join(t: Tables) -> DataFrame:
 
 @query("preference_lookup", """
     SELECT s_suppkey, l_orderkey, preference FROM (SELECT s_suppkey, l_orderkey, CASE WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN 0 WHEN l_returnflag = 'R' THEN 1 ELSE 2 END AS preference, l_shipdate, l_partkey, l_linenumber
-        FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey AND l_quantity > 49)
+        FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey)
     QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY preference, l_shipdate DESC NULLS LAST, l_orderkey, l_partkey, l_linenumber) = 1""")
 def preference_lookup(t: Tables) -> DataFrame:
-    lines = t.lineitem.where("l_quantity > 49").withColumnRenamed("l_suppkey", "s_suppkey")
+    lines = t.lineitem.withColumnRenamed("l_suppkey", "s_suppkey")
     both = F.coalesce((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O"), F.lit(False))
     out = joins.preference_join(t.supplier.select("s_suppkey"), lines, "s_suppkey", [both, F.coalesce(F.col("l_returnflag") == "R", F.lit(False))], [F.col("l_shipdate").desc_nulls_last(), "l_orderkey", "l_partkey", "l_linenumber"])
     return out.select("s_suppkey", "l_orderkey", F.col("__preference").alias("preference"))

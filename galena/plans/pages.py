@@ -171,14 +171,14 @@ def offer_payload_normalize(t: Tables) -> DataFrame:
     return out.select("event_id", "code", "title", "cents")
 
 
-@query("json_identifier_walk", "SELECT event_id, '$.a.k' AS path, CAST(json_extract(props, '$.k') AS VARCHAR) AS value FROM events UNION ALL SELECT event_id, '$.k', CAST(json_extract(props, '$.k') AS VARCHAR) FROM events")
+@query("json_identifier_walk", """
+    WITH k AS (SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS k FROM events) SELECT event_id, path, 'ean' AS field, k AS value FROM k, (SELECT unnest(['$.ean', '$.a.b.ean', '$.items[0].ean', '$.items[1].more.ean']) AS path)
+    UNION ALL SELECT event_id, '$.items[1].sku', 'sku', 's' || k FROM k""")
 def json_identifier_walk(t: Tables) -> DataFrame:
-    """Values of keys named k at any of two levels of a payload, with their paths."""
-    t.events.select("event_id", F.parse_json(F.concat(F.lit('{"a": '), F.col("props"), F.lit(', "k": '), F.get_json_object("props", "$.k"), F.lit("}"))).alias("v")).createOrReplaceTempView("galena_walk")
-    return t.spark.sql("""
-        WITH one AS (SELECT event_id, e.key AS key, e.value AS value FROM galena_walk, LATERAL variant_explode(v) AS e),
-        two AS (SELECT event_id, one.key || '.' || e.key AS path, e.key AS key, e.value AS value FROM one, LATERAL variant_explode(one.value) AS e)
-        SELECT event_id, '$.' || key AS path, CAST(value AS STRING) AS value FROM one WHERE key = 'k' UNION ALL SELECT event_id, '$.' || path, CAST(value AS STRING) FROM two WHERE key = 'k'""")
+    """Values of identifier-like keys at any depth down to four, with their paths."""
+    k = F.get_json_object("props", "$.k")
+    body = F.concat(F.lit('{"ean": '), k, F.lit(', "other": 1, "a": {"b": {"ean": '), k, F.lit('}}, "items": [{"ean": "'), k, F.lit('"}, {"sku": "s'), k, F.lit('", "more": {"ean": '), k, F.lit("}}]}"))
+    return jobs.walk_json(t.events.select("event_id", F.parse_json(body).alias("v")), "event_id", "v", ["ean", "sku", "gtin"])
 
 
 def _snapshots(t: Tables) -> DataFrame:

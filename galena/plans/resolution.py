@@ -76,7 +76,11 @@ def rebuild_bridges(t: Tables) -> DataFrame:
     return rows.groupBy("l_partkey").agg(F.array_join(F.transform(F.array_sort(F.collect_set("s_nationkey")), lambda x: x.cast("string")), ",").alias("markets"), F.count_distinct("l_returnflag").alias("kinds"))
 
 
-@query("table_digest")
+_PIECES = ", ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 15 * k}, 15) AS HUGEINT)) AS VARCHAR)" for k in range(4))
+
+
+@query("table_digest", f"""WITH r AS (SELECT sha256(CAST(o_custkey AS VARCHAR) || '|' || CAST(o_orderkey AS VARCHAR) || '|' || o_orderstatus) AS h FROM orders), s AS (SELECT count(*) AS rows, [{_PIECES}] AS p FROM r)
+    SELECT sha256(CAST(rows AS VARCHAR) || '|' || array_to_string(p, '|')) AS digest, rows FROM s""")
 def table_digest(t: Tables) -> DataFrame:
     return ops.table_digest(t.orders, ["o_orderkey", "o_custkey", "o_orderstatus"])
 
@@ -128,13 +132,15 @@ def plan_violations(t: Tables) -> DataFrame:
 
 
 @query("product_plan", """
-    SELECT l_orderkey, l_partkey, CASE WHEN row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) = 1 THEN 'KEEP' WHEN p_size > 40 THEN 'REUSE' ELSE 'CREATE' END AS action, count(*) OVER (PARTITION BY l_orderkey, p_name) > 1 AS collision
-    FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_quantity > 40) JOIN part ON p_partkey = l_partkey""")
+    WITH c AS (SELECT l_orderkey AS grp, l_partkey AS cluster, any_value(p_name) AS product, any_value(p_name || '/' || p_type || CASE WHEN p_size > 25 THEN '/' || p_brand ELSE '' END) AS key, count(*) FILTER (WHERE l_returnflag = 'R') AS shared FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2), e AS (SELECT p_name || '/' || p_type AS key, min(p_brand) AS product FROM part WHERE p_size % 3 = 0 GROUP BY 1),
+    a AS (SELECT c.*, e.product AS there, row_number() OVER (PARTITION BY c.product ORDER BY grp, cluster) = 1 AS first, count(*) OVER (PARTITION BY c.key) > 1 AS twice FROM c LEFT JOIN e ON e.key = c.key), b AS (SELECT *, CASE WHEN first AND shared = 0 THEN 'KEEP' WHEN there IS NOT NULL THEN 'REUSE' ELSE 'CREATE' END AS action FROM a)
+    SELECT grp, cluster, action, CASE WHEN twice THEN 'DUPLICATE_PLANNED_KEY' WHEN there <> product AND action = 'KEEP' THEN 'KEY_OUTSIDE_PLAN' END AS collision FROM b""")
 def product_plan(t: Tables) -> DataFrame:
-    rows = t.lineitem.where("l_quantity > 40").select("l_orderkey", "l_partkey").distinct().join(t.part, F.col("p_partkey") == F.col("l_partkey"))
-    first = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey")) == 1
-    same = F.count("*").over(Window.partitionBy("l_orderkey", "p_name"))
-    return rows.select("l_orderkey", "l_partkey", F.when(first, "KEEP").when(F.col("p_size") > 40, "REUSE").otherwise("CREATE").alias("action"), (same > 1).alias("collision"))
+    """Orders as groups of a plan, their parts as clusters; names and types make keys, some of which are taken."""
+    key = F.concat_ws("/", "p_name", "p_type")
+    rows = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).groupBy(F.col("l_orderkey").alias("grp"), F.col("l_partkey").alias("cluster")).agg(F.first("p_name").alias("product"), F.first(F.when(F.col("p_size") > 25, F.concat_ws("/", "p_name", "p_type", "p_brand")).otherwise(key)).alias("key"), F.count_if(F.col("l_returnflag") == "R").alias("shared"))
+    taken = t.part.where("p_size % 3 = 0").groupBy(key.alias("key")).agg(F.min("p_brand").alias("product"))
+    return ops.product_plan(rows, taken)
 
 
 @query("attribution_blockers", """
@@ -146,19 +152,29 @@ def attribution_blockers(t: Tables) -> DataFrame:
     return per.groupBy("l_suppkey").agg(F.sum("r").alias("observed"), F.sum(F.when(F.col("n") == 1, rest).otherwise(0)).alias("by_source"), F.sum(F.when(F.col("n") > 1, rest).otherwise(0)).alias("blockers"))
 
 
-@query("media_gain")
+@query("media_gain", """
+    WITH m AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem), seen AS (SELECT DISTINCT l_partkey AS part, l_suppkey AS source FROM lineitem WHERE l_returnflag = 'R'), had AS (SELECT DISTINCT l_partkey AS part FROM lineitem WHERE l_discount = 0),
+    n AS (SELECT part, count(*) AS sources FROM seen GROUP BY 1), j AS (SELECT m.*, s.source IS NOT NULL AS matched, h.part IS NOT NULL AS attributed, n.sources FROM m LEFT JOIN seen s ON s.part = l_partkey AND s.source = l_suppkey LEFT JOIN had h ON h.part = l_partkey LEFT JOIN n ON n.part = l_partkey)
+    SELECT l_suppkey, count(*) FILTER (WHERE matched) AS matched, count(*) FILTER (WHERE NOT matched) AS unattributable, count(*) FILTER (WHERE matched AND NOT attributed) AS new, count(*) FILTER (WHERE matched AND NOT attributed AND sources = 1) AS unblocked FROM j GROUP BY 1""")
 def media_gain(t: Tables) -> DataFrame:
-    images = t.pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('(?:src|href)="([^"]+)"'), F.lit(1))).alias("url"))
-    known = t.pages.select(F.col("url")).distinct().withColumn("known", F.lit(True))
-    return images.join(known, "url", "left").groupBy("page_id").agg(F.count("known").alias("matched"), F.count_if(F.col("known").isNull()).alias("new"))
-
-
-@query("apply_split")
+    """Media of each source that its own pages show, that none shows, whose provenance is new, and that would no longer block a split."""
+    seen = t.lineitem.where("l_returnflag = 'R'").select("l_partkey", "l_suppkey").distinct().withColumn("matched", F.lit(True))
+    had = t.lineitem.where("l_discount = 0").select("l_partkey").distinct().withColumn("attributed", F.lit(True))
+    sources = seen.groupBy("l_partkey").agg(F.count("*").alias("sources"))
+    rows = t.lineitem.select("l_partkey", "l_suppkey").join(seen, ["l_partkey", "l_suppkey"], "left").join(had, "l_partkey", "left").join(sources, "l_partkey", "left")
+    new = F.col("matched").isNotNull() & F.col("attributed").isNull()
+    return rows.groupBy("l_suppkey").agg(F.count("matched").alias("matched"), F.count_if(F.col("matched").isNull()).alias("unattributable"), F.count_if(new).alias("new"), F.count_if(new & (F.col("sources") == 1)).alias("unblocked"))
+
+
+@query("apply_split", """
+    WITH p AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_discount = 0)
+    SELECT CASE WHEN p.l_orderkey IS NOT NULL THEN l.l_orderkey * 10 + l.l_linenumber ELSE l.l_orderkey END AS owner, l.l_linenumber, l.l_partkey, p.l_orderkey IS NOT NULL AS split FROM lineitem l LEFT JOIN p USING (l_orderkey, l_linenumber, l_partkey, l_suppkey)""")
 def apply_split(t: Tables) -> DataFrame:
-    """Records of a plan move to their new owner as one rewrite; the row count must not change."""
-    plan = t.lineitem.where("l_discount = 0").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct().withColumn("owner", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    moved = t.lineitem.join(plan, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "left")
-    return moved.select(F.coalesce("owner", "l_orderkey").alias("owner"), "l_linenumber", "l_partkey", F.col("owner").isNotNull().alias("split"))
+    """Records of a plan move to their new owner as one rewrite."""
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    plan = t.lineitem.where("l_discount = 0").select(*keys).distinct().withColumn("owner", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    rows = t.lineitem.select(*keys, F.col("l_orderkey").alias("owner"))
+    return ops.apply_split(rows, plan, keys, "owner").select("owner", "l_linenumber", "l_partkey", "split")
 
 
 @query("record_evidence", """

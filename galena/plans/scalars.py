@@ -66,6 +66,12 @@ DESCRIPTORS = f"""folded, nullif(trim(regexp_replace(lower(strip_accents(regexp_
     {_half('cover', 1)} AS cover_core, {_half('cover', 2)} AS cover, {_half('with', 1)} AS with_core, {_half('with', 2)} AS with_, nullif(regexp_extract(folded, '\\b(?:edition|version|series|part|folge|issue|heft|nr|no) *[0-9]+\\b'), '') AS numbered"""
 
 
+def raw_reference() -> Column:
+    """The number of a line's part with a suffix by the place of the line."""
+    n = F.col("l_linenumber")
+    return F.concat(F.col("l_partkey").cast("string"), F.when(n == 1, " v2").when(n == 2, "-us").when(n == 3, "-a").when(n == 4, "/5").when(n == 5, "d").otherwise(""))
+
+
 _RAW = "CAST(l_partkey AS VARCHAR) || CASE l_linenumber WHEN 1 THEN ' v2' WHEN 2 THEN '-us' WHEN 3 THEN '-a' WHEN 4 THEN '/5' WHEN 5 THEN 'd' ELSE '' END"
 
 
@@ -76,9 +82,7 @@ _RAW = "CAST(l_partkey AS VARCHAR) || CASE l_linenumber WHEN 1 THEN ' v2' WHEN 2
         CASE WHEN v THEN TRY_CAST(regexp_extract(r, 'V([0-9]+)$', 1) AS BIGINT) END AS number, CASE WHEN v THEN 'version' WHEN h AND (length(tail) > 1 OR contains(tail, '-')) THEN 'market' WHEN h THEN 'edition' ELSE 'none' END AS signal,
         CASE WHEN NOT v AND NOT h AND NOT regexp_matches(r, '^[A-Z0-9-]+$') THEN ['unrecognised-characters'] ELSE [] END AS warnings FROM s""")
 def reference_parse(t: Tables) -> DataFrame:
-    n = F.col("l_linenumber")
-    raw = F.concat(F.col("l_partkey").cast("string"), F.when(n == 1, " v2").when(n == 2, "-us").when(n == 3, "-a").when(n == 4, "/5").when(n == 5, "d").otherwise(""))
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", ref.reference_parse(raw).alias("p")).select("l_orderkey", "l_linenumber", "l_suppkey", "p.*")
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", ref.reference_parse(raw_reference()).alias("p")).select("l_orderkey", "l_linenumber", "l_suppkey", "p.*")
 
 
 @query("placeholder", r"""
@@ -95,17 +99,23 @@ def name_descriptors(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", text.descriptors(part_name()).alias("d")).select("p_partkey", "d.*")
 
 
-@query("infer_kind", """
-    SELECT p_partkey, CASE WHEN regexp_matches(lower(p_type || ' ' || p_name), 'ring|gear') THEN 'PART' WHEN regexp_matches(lower(p_type || ' ' || p_name), 'promo') THEN 'PROMOTION' WHEN regexp_matches(lower(p_type || ' ' || p_name), 'plate|bolt') THEN 'SET' ELSE 'OTHER' END AS kind FROM part""")
+_FORMS = ["Catalogue 12", "Sticker album", "Magazine", "Blister", "Figure bag", "Standard Box", ""]
+
+
+@query("infer_kind", f"""WITH s AS (SELECT p_partkey, p_size % 11 = 0 AS promo, lower(trim(({_FORMS})[1 + p_size % 7] || ' ' || p_name || CASE WHEN p_partkey % 5 = 0 THEN ' Promotional' ELSE '' END)) AS signal FROM part)
+    SELECT p_partkey, CASE WHEN contains(signal, 'catalog') THEN 'CATALOGUE' WHEN regexp_matches(signal, 'merch|sticker|book|magazine|multimedia') THEN 'MERCHANDISE' WHEN contains(signal, 'promotion') OR promo THEN 'PROMOTIONAL_ITEM' WHEN contains(signal, 'figure') THEN 'FIGURE' ELSE 'SET' END AS kind FROM s""")
 def infer_kind(t: Tables) -> DataFrame:
-    both = F.lower(F.concat_ws(" ", "p_type", "p_name"))
-    return t.part.select("p_partkey", F.when(both.rlike("ring|gear"), "PART").when(both.rlike("promo"), "PROMOTION").when(both.rlike("plate|bolt"), "SET").otherwise("OTHER").alias("kind"))
+    form = F.get(F.array(*map(F.lit, _FORMS)), F.col("p_size") % 7)
+    tags = F.when(F.col("p_partkey") % 5 == 0, F.array(F.col("p_name"), F.lit("Promotional"))).otherwise(F.array(F.col("p_name")))
+    return t.part.select("p_partkey", values.product_kind(form, tags, F.col("p_size") % 11 == 0).alias("kind"))
 
 
-@query("variant_kind", f"SELECT l_orderkey, l_linenumber, l_suppkey, CASE WHEN l_linenumber IN (1, 4) THEN 'VERSION' WHEN l_linenumber = 2 THEN 'MARKET' WHEN l_discount > 0.05 THEN 'PROMOTION' ELSE 'BASE' END AS kind FROM lineitem")
+@query("variant_kind", f"""SELECT l_orderkey, l_linenumber, l_suppkey, CASE WHEN l_linenumber = 2 THEN 'MARKET' WHEN l_linenumber IN (1, 3) THEN 'EDITION' WHEN l_discount > 0.05 THEN 'PROMOTION' WHEN l_tax > 0.05 THEN 'EXCLUSIVE' ELSE 'STANDARD' END AS kind FROM lineitem WHERE length(CAST(l_partkey AS VARCHAR)) >= 3 OR l_linenumber NOT IN (2, 3)
+    UNION ALL SELECT l_orderkey, l_linenumber, l_suppkey, CASE WHEN l_discount > 0.05 THEN 'PROMOTION' WHEN l_tax > 0.05 THEN 'EXCLUSIVE' ELSE 'STANDARD' END FROM lineitem WHERE length(CAST(l_partkey AS VARCHAR)) < 3 AND l_linenumber IN (2, 3)""")
 def variant_kind(t: Tables) -> DataFrame:
-    n = F.col("l_linenumber")
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", F.when(n.isin(1, 4), "VERSION").when(n == 2, "MARKET").when(F.col("l_discount") > 0.05, "PROMOTION").otherwise("BASE").alias("kind"))
+    """Kinds by the signal of the parsed reference; numbers of one or two digits have no suffix that signals."""
+    signal = ref.reference_parse(raw_reference())["signal"]
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", values.variant_kind(signal, F.col("l_discount") > 0.05, F.col("l_tax") > 0.05).alias("kind"))
 
 
 @query("record_qualifier", "SELECT l_partkey, substr(sha256(CAST(min(l_suppkey) AS VARCHAR) || ':' || CAST(l_partkey AS VARCHAR)), 1, 16) AS qualifier FROM lineitem GROUP BY 1")
@@ -199,9 +209,13 @@ def condition_map(t: Tables) -> DataFrame:
     return n.join(F.broadcast(codes), "code", "left").select("code", F.coalesce("condition", F.lit("UNKNOWN")).alias("condition"), "n")
 
 
-@query("availability_map", "SELECT CASE WHEN event_type IN ('in_stock', 'view', 'click') THEN 'AVAILABLE' WHEN event_type IN ('sold_out', 'error') THEN 'UNAVAILABLE' ELSE 'UNKNOWN' END AS availability, count(*) AS n FROM events GROUP BY 1")
+_STATUSES = ["in_stock", "pre_order", "available_on_order", "stock_on_order", "not_in_stock", "out_of_stock", "unknown_status"]
+
+
+@query("availability_map", f"SELECT l_orderkey, l_linenumber, l_suppkey, CASE WHEN l_linenumber % 8 < 4 THEN 'AVAILABLE' WHEN l_linenumber % 8 < 6 THEN 'OUT_OF_STOCK' ELSE 'UNKNOWN' END AS availability FROM lineitem")
 def availability_map(t: Tables) -> DataFrame:
-    return t.events.groupBy(values.availability(F.col("event_type")).alias("availability")).agg(F.count("*").alias("n"))
+    status = F.get(F.array(*map(F.lit, _STATUSES)), F.col("l_linenumber") % 8)
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", values.availability(status).alias("availability"))
 
 
 @query("parse_measures", """
@@ -245,9 +259,9 @@ def market_code(t: Tables) -> DataFrame:
     return rows.select("n_nationkey", text.market_code(F.concat(F.lit("("), F.col("n_name"), F.lit(") / "), F.col("r_name"))).alias("code"))
 
 
-@query("era_bucket", "SELECT CASE WHEN year(o_orderdate) < 1996 THEN 'early' WHEN year(o_orderdate) < 1999 THEN 'middle' ELSE 'late' END AS era, count(*) AS n FROM orders GROUP BY 1")
+@query("era_bucket", "SELECT p_partkey, CASE WHEN p_size % 9 = 0 THEN '2020s' WHEN 1978 + p_size < 1990 THEN 'before-1990' ELSE CAST((1978 + p_size) // 10 * 10 AS VARCHAR) || 's' END AS era FROM part")
 def era_bucket(t: Tables) -> DataFrame:
-    return t.orders.groupBy(values.era_bucket(F.year("o_orderdate")).alias("era")).agg(F.count("*").alias("n"))
+    return t.part.select("p_partkey", values.era_bucket(F.when(F.col("p_size") % 9 > 0, 1978 + F.col("p_size"))).alias("era"))
 
 
 @query("json_keys", "SELECT event_id, array_to_string(json_keys(props), ',') AS keys, json_exists(props, '$.k') AS has_k FROM events")
@@ -262,12 +276,13 @@ def tag_overlap(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.arrays_overlap(F.array(k % 10, F.floor(k / 10).cast("int")), F.array(F.lit(3), F.lit(5))).alias("tagged"))
 
 
-@query("json_claim", "SELECT event_id, CASE WHEN CAST(json_extract(props, '$.k') AS INT) > 90 THEN event_type END AS statement FROM events")
+@query("json_claim", """WITH c AS (SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k, event_type FROM events)
+    SELECT event_id, CASE WHEN k > 50 THEN event_type END AS exclusive, CASE WHEN k % 4 = 0 AND k % 3 > 0 THEN 'DE' END AS market, CASE WHEN k % 4 = 0 AND k % 3 > 0 THEN event_type END AS statement FROM c""")
 def json_claim(t: Tables) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
-    payload = F.to_json(F.struct((k > 90).alias("exclusive"), F.struct(F.concat(F.lit(" "), F.col("event_type")).alias("statement")).alias("marketExclusive")))
-    parsed = F.from_json(payload, "exclusive boolean, marketExclusive struct<statement: string>")
-    return t.events.select("event_id", parsed.alias("p")).select("event_id", F.when(F.col("p.exclusive"), F.trim("p.marketExclusive.statement")).alias("statement"))
+    claim = F.struct(F.when(k % 4 == 0, " de ").when(k % 4 == 1, "fr").otherwise("").alias("marketCode"), F.when(k % 3 > 0, F.concat(F.lit(" "), F.col("event_type"))).otherwise(" ").alias("statement"))
+    payload = F.to_json(F.struct(F.when(k > 50, F.concat(F.col("event_type"), F.lit(" "))).otherwise("").alias("exclusive"), claim.alias("marketExclusive")))
+    return t.events.select("event_id", values.exclusive_claims(payload, F.lit("DE")).alias("c")).select("event_id", "c.*")
 
 
 @query("age_bucket", f"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,18 +101,24 @@ def running_low(t: Tables) -> DataFrame:
     return t.observations().select("offer_id", "obs_id", "item_cents", F.min("item_cents").over(w).alias("low"))
 
 
-@query("catalogue_sort", "SELECT p_partkey, p_brand, p_size FROM part ORDER BY CASE p_type WHEN 'PROMO' THEN 0 ELSE 1 END, p_size DESC NULLS LAST, lower(p_brand), p_partkey LIMIT 100")
+@query("catalogue_sort", """
+    SELECT p_partkey, row_number() OVER (ORDER BY CASE p_type WHEN 'PROMO' THEN 0 ELSE 1 END, p_size DESC, lower(p_brand), p_partkey) AS recommended, row_number() OVER (ORDER BY CASE WHEN p_size % 7 > 0 THEN p_size END DESC NULLS LAST, p_partkey) AS newest,
+        row_number() OVER (ORDER BY CASE WHEN p_size % 7 > 0 THEN p_size END NULLS LAST, p_partkey) AS oldest FROM part""")
 def catalogue_sort(t: Tables) -> DataFrame:
-    return t.part.orderBy((F.col("p_type") != "PROMO").asc(), F.col("p_size").desc_nulls_last(), F.lower("p_brand"), "p_partkey").limit(100).select("p_partkey", "p_brand", "p_size")
+    """The place of every part in three orders of the catalogue; the fourth is ``reference_order``."""
+    rows = t.part.withColumn("year", F.when(F.col("p_size") % 7 > 0, F.col("p_size")))
+    orders = {"recommended": [(F.col("p_type") != "PROMO").asc(), F.desc("p_size"), F.lower("p_brand").asc(), F.asc("p_partkey")], "newest": [F.col("year").desc_nulls_last(), F.asc("p_partkey")], "oldest": [F.col("year").asc_nulls_last(), F.asc("p_partkey")]}
+    ranked = [ops.global_rank(rows, order).select("p_partkey", F.col("position").alias(name)) for name, order in orders.items()]
+    return reduce(lambda a, b: a.join(b, "p_partkey"), ranked)
 
 
 @query("reference_order", """
-    SELECT p_partkey, p_brand FROM part ORDER BY CASE WHEN regexp_matches(p_brand, '^Brand#[1-9]$') THEN 0 WHEN regexp_matches(p_brand, '^Brand#1[0-9]$') THEN 1 ELSE 2 END,
-        TRY_CAST(replace(p_brand, 'Brand#', '') AS BIGINT) NULLS LAST, lower(p_name), p_partkey LIMIT 150""")
+    SELECT p_partkey, p_brand, row_number() OVER (ORDER BY CASE WHEN regexp_matches(p_brand, '^Brand#[1-9]$') THEN 0 WHEN regexp_matches(p_brand, '^Brand#1[0-9]$') THEN 1 ELSE 2 END,
+        TRY_CAST(replace(p_brand, 'Brand#', '') AS BIGINT) NULLS LAST, lower(p_name), p_partkey) AS position FROM part""")
 def reference_order(t: Tables) -> DataFrame:
     group = F.when(F.col("p_brand").rlike("^Brand#[1-9]$"), 0).when(F.col("p_brand").rlike("^Brand#1[0-9]$"), 1).otherwise(2)
     number = F.replace("p_brand", F.lit("Brand#"), F.lit("")).try_cast("bigint")
-    return t.part.orderBy(group, number.asc_nulls_last(), F.lower("p_name"), "p_partkey").limit(150).select("p_partkey", "p_brand")
+    return ops.global_rank(t.part, [group.asc(), number.asc_nulls_last(), F.lower("p_name").asc(), F.asc("p_partkey")]).select("p_partkey", "p_brand", "position")
 
 
 @query("reference_anchor", """
@@ -122,10 +130,10 @@ def reference_anchor(t: Tables) -> DataFrame:
     return near.orderBy("p_size", "p_partkey").limit(36).select("p_partkey", "p_size")
 
 
-@query("sort_by_child_agg", with_views("copies", "SELECT variant_id, count(*) AS n, CAST(max(created_at) AS DATE) AS latest FROM copies GROUP BY variant_id ORDER BY n DESC, latest DESC, variant_id LIMIT 50"))
+@query("sort_by_child_agg", with_views("copies", "SELECT variant_id, count(*) AS n, CAST(max(created_at) AS DATE) AS latest FROM copies GROUP BY variant_id").replace("AS latest FROM", "AS latest, row_number() OVER (ORDER BY count(*) DESC, CAST(max(created_at) AS DATE) DESC, variant_id) AS position FROM"))
 def sort_by_child_agg(t: Tables) -> DataFrame:
     by = t.copies().groupBy("variant_id").agg(F.count("*").alias("n"), F.to_date(F.max("created_at")).alias("latest"))
-    return by.orderBy(F.desc("n"), F.desc("latest"), "variant_id").limit(50)
+    return ops.global_rank(by, [F.desc("n"), F.desc("latest"), F.asc("variant_id")])
 
 
 @query("exact_or_fuzzy", """
@@ -144,12 +152,27 @@ def wishlist_page(t: Tables) -> DataFrame:
     return top.orderBy(F.desc("priority"), F.col("variant_id").desc_nulls_last(), "user_id").limit(100)
 
 
-@query("tiered_targets", with_views("wishes copies", """
-    SELECT variant_id, min(tier) AS tier FROM (SELECT variant_id, 0 AS tier FROM wishes WHERE priority = 1 UNION ALL SELECT variant_id, 1 FROM copies UNION ALL SELECT p_partkey, 2 FROM part)
-    GROUP BY variant_id ORDER BY tier, variant_id LIMIT 1500"""))
+_REASONS = ["WISHLIST_PRIORITY", "WISHLIST_STANDARD", "RECENT_RELEASE", "COLLECTION_ROTATION"]
+
+
+@query("tiered_targets", with_views("wishes copies", f"""
+    , hours AS (SELECT unnest([0, 6, 12]) AS hour), s AS (SELECT hour, (946684800 + hour * 3600) // 21600 % 2 = 0 AS even, (946684800 + hour * 3600) // 21600 % 4 = 0 AS fourth FROM hours),
+    g AS (SELECT 0 AS tier, variant_id FROM wishes WHERE priority = 1 GROUP BY 2 HAVING count(*) >= 4 UNION ALL SELECT 1, variant_id FROM wishes WHERE priority = 2 GROUP BY 2 HAVING count(*) >= 4 UNION ALL SELECT 2, p_partkey FROM part WHERE p_size > 45 UNION ALL SELECT 3, variant_id FROM copies),
+    f AS (SELECT hour, variant_id, min(tier) AS tier FROM g, s WHERE tier = 0 OR tier IN (1, 2) AND even OR tier = 3 AND fourth GROUP BY ALL)
+    SELECT hour, variant_id, ({_REASONS})[tier + 1] AS reason FROM f QUALIFY row_number() OVER (PARTITION BY hour ORDER BY tier, variant_id) <= 1500"""))
 def tiered_targets(t: Tables) -> DataFrame:
-    tiers = [t.wishes().where("priority = 1"), t.copies(), t.part.select(F.col("p_partkey").alias("variant_id"))]
-    return ops.tiered_targets([x.select("variant_id").withColumn("position", F.col("variant_id")) for x in tiers], "variant_id", "position", 1500).select("variant_id", "tier")
+    """Targets of three refreshes, six hours apart: standard wishes and releases in every second, the collection in every fourth."""
+    wishes, parts = t.wishes(), t.part.where("p_size > 45").select(F.col("p_partkey").alias("variant_id"))
+    wanted = [wishes.where(F.col("priority") == p).groupBy("variant_id").count().where("count >= 4") for p in (1, 2)]
+    groups = [*wanted, parts, t.copies()]
+    groups = [x.select("variant_id").withColumn("position", F.col("variant_id")) for x in groups]
+    runs = []
+    for hour in (0, 6, 12):
+        due = ops.refresh_schedule(946684800 + hour * 3600)
+        chosen = [(g, r) for g, r in zip(groups, _REASONS, strict=True) if due[r]]
+        taken = ops.tiered_targets([g for g, _ in chosen], "variant_id", "position", 1500)
+        runs.append(taken.select(F.lit(hour).alias("hour"), "variant_id", F.get(F.array(*[F.lit(r) for _, r in chosen]), F.col("tier")).alias("reason")))
+    return reduce(DataFrame.union, runs)
 
 
 @query("rotation_window", "WITH r AS (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice, p_partkey) AS position, count(*) OVER () AS n FROM part) SELECT p_partkey, position FROM r WHERE ((position - 1 - 7 * 300) % n + n) % n < 300")
