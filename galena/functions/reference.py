@@ -27,15 +27,18 @@ def reference_parse(c: Column) -> Column:
     with a letter (one letter: an edition). All else is a base as a whole, with a warning if it has other
     characters than letters, digits and hyphens. An empty reference has null parts.
     """
-    r = F.nullif(reference_normalize(c), F.lit(""))
+    # The array binds the normalised reference, so that it is made once.
+    return F.get(F.transform(F.array(F.nullif(reference_normalize(c), F.lit(""))), _parsed), F.lit(0))
+
+
+def _parsed(r: Column) -> Column:
     version, hyphened = "^(.+?)V([0-9]+)$", "^([0-9]{3,8})-([A-Z][A-Z0-9-]*)$"
     is_version, is_hyphened = r.rlike(version), r.rlike(hyphened)
     tail = F.regexp_extract(r, hyphened, 2)
-    none = F.lit(None)
     odd = ~is_version & ~is_hyphened & ~r.rlike("^[A-Z0-9-]+$")
     return F.struct(
         F.when(is_version, F.regexp_extract(r, version, 1)).when(is_hyphened, F.regexp_extract(r, hyphened, 1)).otherwise(r).alias("base"),
-        F.when(is_version, F.concat(F.lit("V"), F.regexp_extract(r, version, 2))).when(is_hyphened, tail).otherwise(none).alias("suffix"),
+        F.when(is_version, F.concat(F.lit("V"), F.regexp_extract(r, version, 2))).when(is_hyphened, tail).alias("suffix"),
         F.when(is_version, F.regexp_extract(r, version, 2).try_cast("bigint")).alias("number"),
         F.when(is_version, "version").when(is_hyphened & ((F.length(tail) > 1) | F.contains(tail, F.lit("-"))), "market").when(is_hyphened, "edition").when(r.isNotNull(), "none").alias("signal"),
         F.when(odd, F.array(F.lit("unrecognised-characters"))).when(r.isNotNull(), F.array().cast("array<string>")).alias("warnings"),
@@ -103,12 +106,15 @@ def url_evidence(declared: Column, candidate: Column) -> Column:
     def bare(c: Column) -> Column:
         return F.nullif(F.regexp_replace(F.upper(normalized(c, folded)), "[^A-Z0-9]+", ""), F.lit(""))
 
-    a, b = bare(declared), bare(candidate)
-    return (
-        F.when((F.coalesce(declared, F.lit("")) == "") | (F.coalesce(candidate, F.lit("")) == ""), "NONE")
-        .when(placeholder(declared) | F.upper(candidate).rlike("^N-?A(-|$)") | a.isNull() | b.isNull(), "WEAK")
-        .when(a == b, "EXACT")
-        .when(F.startswith(a, b) & F.substr(a, F.length(b) + 1).rlike("^[A-Z][A-Z0-9]*$"), "COMPATIBLE_BASE")
-        .when(F.startswith(b, a) & F.substr(b, F.length(a) + 1).rlike("^[2-9]$"), "COMPATIBLE_BASE")
-        .otherwise("STRONG_MISMATCH")
-    )
+    def graded(pair: Column) -> Column:
+        a, b = pair["a"], pair["b"]
+        return (
+            F.when((F.coalesce(declared, F.lit("")) == "") | (F.coalesce(candidate, F.lit("")) == ""), "NONE")
+            .when(placeholder(declared) | F.upper(candidate).rlike("^N-?A(-|$)") | a.isNull() | b.isNull(), "WEAK")
+            .when(a == b, "EXACT")
+            .when(F.startswith(a, b) & F.substr(a, F.length(b) + 1).rlike("^[A-Z][A-Z0-9]*$"), "COMPATIBLE_BASE")
+            .when(F.startswith(b, a) & F.substr(b, F.length(a) + 1).rlike("^[2-9]$"), "COMPATIBLE_BASE")
+            .otherwise("STRONG_MISMATCH")
+        )
+
+    return F.get(F.transform(F.array(F.struct(bare(declared).alias("a"), bare(candidate).alias("b"))), graded), F.lit(0))

@@ -8,7 +8,7 @@ blocks, and combining marks that would join their letter (in ``composed``), are
 
 from __future__ import annotations
 
-import re
+import itertools
 import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
@@ -55,9 +55,16 @@ def table(form: Callable[[str], str]) -> tuple[str, str, dict[str, str]]:
     return "".join([*single, *gone]), "".join(single.values()), several
 
 
+def ranges(characters: str, gap: int = 16) -> str:
+    """A class of a few ranges that holds the characters and some between them: a quick test, not an exact one."""
+    codes = sorted(map(ord, characters))
+    cuts = [0, *[i for i in range(1, len(codes)) if codes[i] - codes[i - 1] > gap], len(codes)]
+    return "[" + "".join(f"\\u{codes[a]:04x}-\\u{codes[b - 1]:04x}" for a, b in itertools.pairwise(cuts)) + "]"
+
+
 def normalized(c: Column, form: Callable[[str], str]) -> Column:
     source, target, several = table(form)
-    pattern = "[" + "".join(re.escape(x) for x in several) + "]"
+    pattern = ranges("".join(several))
     spell = F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in several.items())), F.lit("\x02"), F.lit("\x01"))  # a constant
     spelled = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(spell, x), x)), "")
     return F.translate(F.when(c.rlike(pattern), spelled).otherwise(c), source, target)
