@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from galena.operators.filters import fresh_within
+from galena.operators.filters import fresh_within, url_allowlist
 from galena.operators.windows import latest_per_key
+from galena.sources.tables import append_new
 
 
 def promotion(total: Column, listed: Column, same_market: Column, fresh: Column) -> Column:
@@ -40,19 +41,23 @@ def fresh_deals(highlights: DataFrame) -> DataFrame:
     return deals.orderBy("total_cents", F.desc("promotion"), "variant_id")
 
 
-def offer_refresh(previous: DataFrame, incoming: DataFrame, scope: Column, min_confidence: float) -> tuple[DataFrame, DataFrame]:
-    """Offers after a refresh of the scope, and rejected incoming rows.
+def offer_refresh(previous: DataFrame, incoming: DataFrame, observed: DataFrame, scope: Column, hosts: list[str], min_confidence: float = 0.95) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Offers after a refresh of the scope, observations to append, and rejected incoming rows with the reason.
 
-    Incoming rows of low confidence or without a price are rejected one by one; an offer of the scope
-    that wasn't seen ends. Columns: offer_id, retailer_id, price_cents, confidence; ``scope`` reads retailer_id.
+    Rows outside the scope, with an unsafe address, of low confidence or without a price are rejected one by one;
+    an offer of the scope that wasn't seen ends. Columns: offer_id, retailer_id, price_cents, confidence, url,
+    observed_at; ``observed``: offer_id, observed_at of the observations that are there; ``scope`` reads retailer_id.
     """
-    ok = scope & (F.col("confidence") >= min_confidence) & (F.col("price_cents") > 0)
-    good, rejected = incoming.where(F.coalesce(ok, F.lit(False))), incoming.where(~F.coalesce(ok, F.lit(False)))
+    safe = url_allowlist("url", hosts).isNotNull()
+    reason = F.when(~F.coalesce(scope, F.lit(False)), "outside the scope").when(~safe, "unsafe address").when(~F.coalesce(F.col("confidence") >= min_confidence, F.lit(False)), "low confidence").when(~F.coalesce(F.col("price_cents") > 0, F.lit(False)), "no price")
+    told = incoming.withColumn("reason", reason)
+    good, rejected = told.where("reason is null").drop("reason"), told.where("reason is not null")
     a = previous.select(F.col("offer_id").alias("__a"), F.col("retailer_id").alias("__ra"), F.col("price_cents").alias("__pa"))
     b = good.select(F.col("offer_id").alias("__b"), F.col("retailer_id").alias("__rb"), F.col("price_cents").alias("__pb"))
     both = a.join(b, F.col("__a") == F.col("__b"), "full_outer").withColumn("retailer_id", F.coalesce("__rb", "__ra"))
     status = F.when(F.col("__a").isNull(), "created").when(F.col("__b").isNotNull(), F.when(F.col("__pa").eqNullSafe(F.col("__pb")), "unchanged").otherwise("updated")).when(scope, "ended").otherwise("kept")
-    return both.select(F.coalesce("__b", "__a").alias("offer_id"), "retailer_id", F.coalesce("__pb", "__pa").alias("price_cents"), status.alias("status")), rejected
+    offers = both.select(F.coalesce("__b", "__a").alias("offer_id"), "retailer_id", F.coalesce("__pb", "__pa").alias("price_cents"), status.alias("status"))
+    return offers, append_new(observed, good.select("offer_id", "observed_at", "price_cents"), ["offer_id", "observed_at"]), rejected
 
 
 def price_history(df: DataFrame, keys: list[str], at: list[str], price: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from galena.operators import aggregates as ops
@@ -101,11 +101,20 @@ def edits(t: Tables) -> DataFrame:
     return t.events.select("user_id", "event_id", "ts", "event_type", (F.get_json_object("props", "$.k").cast("int") % 20).alias("copy"))
 
 
-@query("replay_edits", f"WITH {_EDITS} SELECT user_id, copy, event_id, event_type FROM e QUALIFY row_number() OVER (PARTITION BY user_id, copy ORDER BY ts DESC, event_id DESC) = 1 AND event_type <> 'error'")
+@query("replay_edits", f"""WITH {_EDITS}, b AS (SELECT *, coalesce(last_value(CASE WHEN event_type IN ('purchase', 'error') THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id, copy ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'error') = 'purchase' AS owned_before FROM e WHERE event_type IN ('purchase', 'error', 'signup'))
+    SELECT user_id, copy, coalesce(arg_max(event_type, (ts, event_id)) FILTER (WHERE event_type <> 'signup'), 'error') = 'purchase' AS owned, count(*) FILTER (WHERE event_type = 'signup' AND owned_before) AS blocked,
+        coalesce(arg_max(event_type, (ts, event_id)) FILTER (WHERE event_type = 'purchase' OR event_type = 'signup' AND NOT owned_before), 'purchase') = 'signup' AS wished FROM b GROUP BY 1, 2""")
 def replay_edits(t: Tables) -> DataFrame:
-    """The last edit of each copy holds; an ``error`` event is a tombstone."""
-    last = latest_per_key(edits(t), ["user_id", "copy"], [F.desc("ts"), F.desc("event_id")])
-    return last.where("event_type <> 'error'").select("user_id", "copy", "event_id", "event_type")
+    """Copies and wishes from their log: a purchase adds a copy and ends the wish, an error takes it away, a signup wishes for
+    it unless it is owned."""
+    kinds = edits(t).where("event_type in ('purchase', 'error', 'signup')")
+    before = Window.partitionBy("user_id", "copy").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    change, kind, at = F.when(F.col("event_type") != "signup", F.col("event_type")), F.col("event_type"), F.struct("ts", "event_id")
+    rows = kinds.withColumn("had", F.coalesce(F.last(change, ignorenulls=True).over(before) == "purchase", F.lit(False)))
+    wish = (kind == "signup") & ~F.col("had")
+    last = F.max_by(kind, F.when(kind != "signup", at))
+    mark = F.max_by(kind, F.when((kind == "purchase") | wish, at))
+    return rows.groupBy("user_id", "copy").agg(F.coalesce(last == "purchase", F.lit(False)).alias("owned"), F.count_if((kind == "signup") & F.col("had")).alias("blocked"), F.coalesce(mark == "signup", F.lit(False)).alias("wished"))
 
 
 @query("counter_deltas", f"WITH {_EDITS} SELECT user_id, CAST(sum(CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 ELSE 0 END) AS BIGINT) AS copies, CAST(sum(CASE event_type WHEN 'signup' THEN 1 WHEN 'purchase' THEN -1 ELSE 0 END) AS BIGINT) AS wishes FROM e GROUP BY 1")

@@ -101,6 +101,34 @@ def upsert_each(stream: DataFrame, merge: Callable[[DataFrame, int], None], chec
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def keyed_state(stream: DataFrame, keys: list[str], fold: Callable[[DataFrame], DataFrame], at: str, buckets: int = 32) -> DataFrame:
+    """The state that ``fold`` keeps of the rows of each key, brought up to date by each micro batch.
+
+    The state is dealt into buckets by the first key, and a batch writes only the buckets that it touches, under its
+    own number. So nothing is kept in the driver: a job that starts again from its checkpoint finds each bucket's
+    last version in the folder, and a batch that is run twice overwrites its own.
+    """
+    spark, bucketed = stream.sparkSession, stream.withColumn("__bucket", F.pmod(F.xxhash64(keys[0]), F.lit(buckets)).cast("int"))
+
+    def current(before: int | None = None) -> DataFrame:
+        rows = spark.read.schema(f"{schema}, version int, __bucket int").parquet(f"{at}/buckets")
+        rows = rows if before is None else rows.where(F.col("version") < before)
+        last = rows.groupBy("__bucket").agg(F.max("version").alias("version"))
+        return rows.join(F.broadcast(last), ["__bucket", "version"], "left_semi").drop("version")
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
+
+    def merge(batch: DataFrame, number: int) -> None:
+        touched = batch.select("__bucket").distinct()
+        old = current(number).join(F.broadcast(touched), "__bucket", "left_semi") if number else batch.where(F.lit(False))
+        both = batch.unionByName(old)
+        out = fold(both.drop("__bucket")).withColumn("__bucket", F.pmod(F.xxhash64(keys[0]), F.lit(buckets)).cast("int"))
+        out.write.mode("overwrite").partitionBy("__bucket").parquet(f"{at}/buckets/version={number}")
+
+    upsert_each(bucketed, merge, f"{at}/state")
+    return current().drop("__bucket")
+
+
 def page_intake(stream: DataFrame, at: str) -> DataFrame:
     """(round, page_id, status) of the pages of each micro batch so far: created, updated or unchanged.
 
