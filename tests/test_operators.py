@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pytest
 from pyspark.sql import functions as F
 
 from galena.functions import reference, text
 from galena.operators import filters, identity, joins, resolution, windows
-from galena.sources import tables
+from galena.sources import pages, tables
+from galena.streaming import jobs
 
 
 def test_upsert_is_idempotent_and_order_free(spark):
@@ -48,14 +53,17 @@ def test_resolution_reasons(spark):
     assert got == {1: (5, False, "single-value", 1), 2: (5, True, "priority", 2), 3: (5, True, "confidence", 4), 4: (5, False, "recency", 7)}
 
 
-def test_clusters_are_exact_components_only_if_cliques(spark):
+def test_clusters_are_components_and_accepted_only_if_cliques(spark):
     nodes = spark.createDataFrame([("a", i) for i in (1, 2, 3, 4)] + [("b", i) for i in (5, 6, 7)], "g string, id int")
     pairs = [("a", 1, 2, "MATCH"), ("a", 3, 4, "MATCH")] + [("a", x, y, "DISTINCT") for x, y in ((1, 3), (1, 4), (2, 3), (2, 4))]
     pairs += [("b", 5, 6, "MATCH"), ("b", 6, 7, "MATCH"), ("b", 5, 7, "DISTINCT")]
     df = spark.createDataFrame(pairs, "g string, left int, right int, relation string")
     got = {r.id: (r.cluster, r.accepted) for r in identity.cluster_records(nodes, df, "g", "id", "relation").collect()}
-    assert got == {1: (1, True), 2: (1, True), 3: (3, True), 4: (3, True), 5: (5, False), 6: (5, False), 7: (6, False)}
-    assert {r.g: r.action for r in identity.group_verdict(identity.cluster_records(nodes, df, "g", "id", "relation"), "g", "id").collect()} == {"a": "SPLIT", "b": "REVIEW"}
+    assert got == {1: (1, True), 2: (1, True), 3: (3, True), 4: (3, True), 5: (5, False), 6: (5, False), 7: (5, False)}
+    clusters = identity.cluster_records(nodes, df, "g", "id", "relation")
+    for odd, action in ((None, "SPLIT"), ("STRONG_MISMATCH", "REVIEW"), ("WEAK", "REVIEW")):
+        evidence = nodes.select("id", F.when((F.col("id") == 1) & F.lit(odd is not None), odd).otherwise("EXACT").alias("evidence"))
+        assert {r.g: r.action for r in identity.group_verdict(clusters, evidence, "g", "id").collect()} == {"a": action, "b": "REVIEW"}
 
 
 def test_digest_does_not_depend_on_order(spark):
@@ -74,9 +82,90 @@ def test_references_and_identifiers(spark):
     df = spark.createDataFrame([("4006381333931",), ("4006381333932",), ("73513537",), ("x",), (None,)], "c string")
     assert [r.v for r in df.select(reference.gtin_valid(F.col("c")).alias("v")).collect()] == [True, False, True, False, False]
     row = spark.createDataFrame([(" 4321 – us ",)], "c string").select(reference.reference_parse(F.col("c")).alias("p")).first().p
-    assert (row.base, row.suffix, row.number, row.signal) == ("4321", "US", 4321, "market")
+    assert (row.base, row.suffix, row.number, row.signal) == ("4321", "US", None, "market")
 
 
 def test_folding(spark):
     df = spark.createDataFrame([(" Éclair--ÇA ",), ("--",), (None,)], "c string")
     assert [r.f for r in df.select(text.fold_text(F.col("c")).alias("f")).collect()] == ["eclair ca", None, None]
+
+
+def test_folding_follows_the_character_database(spark):
+    """Every letter of the Latin blocks, ligatures and numerals, against the decomposition itself."""
+    letters = [chr(c) for block in (range(0xA0, 0x250), range(0x1E00, 0x1F00), range(0x2150, 0x2189), range(0xFB00, 0xFB07), range(0xFF10, 0xFF5B)) for c in block]
+    texts = [f"A{c}b" for c in letters] + ["e\u0301te\u0301", "a^b`c", "\u00b4", "", None]
+
+    def plain(t):
+        if t is None:
+            return None
+        bare = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c) and c not in "^`")
+        return re.sub("[^a-z0-9]+", " ", bare.lower()).strip() or None
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", text.fold_text(F.col("t")).alias("f")).collect()
+    got = {r.i: r.f for r in rows}
+    # Marks that count as diacritics without being combining go too.
+    marks = {chr(c) for c in (0xAF, 0xB7, 0xB8, 0xA8, 0xB4, 0x149, 0x13F, 0x140, 0x1E9A)}
+    assert [(t, got[i], plain(t)) for i, t in enumerate(texts) if got[i] != plain(t) and not (t and set(t) & marks)] == []
+
+
+def test_references_are_composed(spark):
+    rows = [("７１２３４ – usa", "71234-USA"), ("  5793\u2011v2 ", "5793-V2"), ("Ⅳ12", "IV12")]
+    got = spark.createDataFrame(rows, "raw string, want string").select(reference.reference_normalize(F.col("raw")).alias("got"), "want").collect()
+    assert all(r.got == r.want for r in got)
+    parsed = spark.createDataFrame([("PM2305D",), ("5793-USA",), ("123-a",), ("12-a",), ("77V3",), ("a/b",), ("",)], "raw string").select(reference.reference_parse(F.col("raw")).alias("p")).select("p.*").collect()
+    assert [(r.base, r.suffix, r.number, r.signal) for r in parsed] == [("PM2305D", None, None, "none"), ("5793", "USA", None, "market"), ("123", "A", None, "edition"), ("12-A", None, None, "none"), ("77", "V3", 3, "version"), ("A/B", None, None, "none"), (None, None, None, None)]
+    assert parsed[5].warnings == ["unrecognised-characters"]
+
+
+def test_components_of_a_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(i + 1, i) for i in range(20)] + [(50, 51), (51, 50)], "a int, b int")
+    assert {r.id: r.cluster for r in identity.components(edges).collect()} == {**{i: 0 for i in range(21)}, 50: 50, 51: 50}
+
+
+def test_clusters_of_a_chain_are_not_accepted(spark):
+    nodes = spark.createDataFrame([("g", i) for i in (1, 2, 3, 4)], "g string, id int")
+    pairs = spark.createDataFrame([("g", 1, 2, "MATCH"), ("g", 2, 3, "MATCH"), ("g", 1, 3, "AMBIGUOUS"), ("g", 1, 4, "DISTINCT"), ("g", 2, 4, "DISTINCT"), ("g", 3, 4, "DISTINCT")], "g string, left int, right int, relation string")
+    got = {r.id: (r.cluster, r.relationship, r.accepted) for r in identity.cluster_records(nodes, pairs, "g", "id", "relation").collect()}
+    assert got == {1: (1, "AMBIGUOUS", False), 2: (1, "AMBIGUOUS", False), 3: (1, "AMBIGUOUS", False), 4: (4, "SINGLETON", False)}
+
+
+def test_a_split_that_names_a_record_twice_stops(spark):
+    rows = spark.createDataFrame([(1, 10), (2, 10)], "id int, owner int")
+    done = resolution.apply_split(rows, spark.createDataFrame([(1, 11)], "id int, owner int"), ["id"], "owner")
+    assert sorted(map(tuple, done.select("id", "owner", "split").collect())) == [(1, 11, True), (2, 10, False)]
+    with pytest.raises(ValueError):
+        resolution.apply_split(rows, spark.createDataFrame([(1, 11), (1, 12)], "id int, owner int"), ["id"], "owner")
+
+
+def test_digest_does_not_depend_on_the_order(spark):
+    df = spark.range(1000).select("id", F.col("id").cast("string").alias("s"))
+    a, b, c = (resolution.table_digest(x, ["id", "s"]).first().digest for x in (df, df.repartition(7, "s"), df.where("id > 0")))
+    assert a == b != c
+
+
+def test_global_rank_with_ties_in_the_first_key(spark):
+    df = spark.range(5000).select((F.col("id") % 3).alias("k"), "id")
+    got = windows.global_rank(df, [F.desc("k"), F.asc("id")], part_rows=300)
+    rows = sorted(got.collect(), key=lambda r: r.position)
+    assert [r.position for r in rows] == list(range(1, 5001)) and [(r.k, r.id) for r in rows] == sorted(((r.k, r.id) for r in rows), key=lambda x: (-x[0], x[1]))
+
+
+def test_community_page_without_its_parts(spark):
+    empty = pages.page_records(spark.createDataFrame([(1, None), (2, "<h1>Brand 12 - Castle<p><strong>Theme: <a href='/t/1'>x")], "page_id long, html string")).collect()
+    assert [r.reference for r in sorted(empty)] == [None, "12"] and all(r.images == [] and r.parts == [] for r in empty)
+
+
+def test_json_ld_is_found_in_any_shape(spark):
+    blocks = ['{"@type": "Product", "sku": "1"}', '[{"@type": "A"}, {"@type": ["B", "Product"], "sku": "2"}]', '[{"@graph": [{"@type": "Product", "sku": "3"}]}]', '{"@type": "A"}', "{bad"]
+    df = spark.createDataFrame([(i, f'<script type="application/ld+json">{{x</script><script type="application/ld+json">{b}</script>') for i, b in enumerate(blocks)], "i int, html string")
+    got = df.select("i", F.try_variant_get(pages.json_ld_product(F.col("html")), "$.sku", "string").alias("sku")).orderBy("i").collect()
+    assert [r.sku for r in got] == ["1", "2", "3", None, None]
+
+
+def test_keyed_state_goes_on_after_a_restart(spark, tmp_path):
+    at, schema = str(tmp_path), "k long, v long"
+    for rows in ([(1, 1), (2, 1)], [(2, 5), (3, 1)], [(1, 0)]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{at}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{at}/in")
+        state = jobs.keyed_state(stream, ["k"], lambda df: df.groupBy("k").agg(F.max("v").alias("v")), at, buckets=4)
+    assert sorted(map(tuple, state.select("k", "v").collect())) == [(1, 1), (2, 5), (3, 1)]
