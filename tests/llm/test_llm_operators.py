@@ -481,3 +481,82 @@ def test_template_leaks_find_all_verbatim_items(spark):
     verbatim = docs_.join(F.broadcast(bench.select(F.col("text").alias("item"))), F.contains("text", F.col("item")), "left_semi").select("doc_id")
     found = queries.op8_template_leaks(spark, DATA).where("contaminated").select("doc_id")
     assert sorted(r[0] for r in verbatim.collect()) == sorted(r[0] for r in found.collect())
+
+
+# --- texts above one slice, and independent versions of what has no SQL -----------------------
+
+
+@pytest.fixture(scope="module")
+def long_rows():
+    """Two texts of more than a slice (1 MB) that share half of their words, and small ones beside them."""
+    rng = np.random.default_rng(3)
+    words = np.array([f"w{i}x" for i in range(40_000)])
+    shared = " ".join(words[rng.integers(0, len(words), 110_000)])
+    own = [" ".join(words[rng.integers(0, len(words), 90_000)]) for _ in range(2)]
+    return [(1, f"{own[0]} {shared}"), (2, f"{shared}\n{own[1]}"), (3, "a small text"), (4, None), (5, own[0][:3000])]
+
+
+def test_texts_above_a_slice(spark, long_rows):
+    """Every operator takes a text of more than a slice whole: results as those of plain versions."""
+    assert min(len(r[1]) for r in long_rows[:2]) > 1 << 20
+    df = spark.createDataFrame([(*r, "s", "en", 1) for r in long_rows], "doc_id long, text string, source string, lang string, n_chars long").repartition(2)
+    known = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")
+    stats = by_id(quality_rules.quality_rules(df, known), *text_stats.COUNTS[:5], "base_failed")
+    assert all(stats[i] == plain.stats(t) for i, t in long_rows)
+    assert quality_rules.keep_good(df, known).where("doc_id <= 2").count() == 2
+    assert pairwise_quality.score_quality(df, known).count() == 5
+    removed = by_id(suffix_dedup.repeat_digests(df, length=400), "n_bytes", "n_removed", "n_spans")
+    shared = len(long_rows[1][1].split("\n")[0])
+    assert removed[1][1] >= shared and removed[2][:2] == (len(long_rows[1][1]), removed[2][1]) and shared <= removed[2][1] <= shared + 8 and removed[5] == (3000, 3000, 1)
+    phrases = sorted(map(tuple, phrase_automata.phrase_digests(df).collect()))
+    assert phrases == sorted(plain.removed_words(long_rows))
+    assert by_id(license_scan.license_scan(df), "n_words")[1][0] == 200_000
+    expected = plain.unigrams(long_rows)
+    assert all((r.n_tokens, r.n_known) == expected[r.doc_id][1:3] for r in class_lm.score_texts(df).collect())
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard_join.near_duplicates(df).collect()) == sorted(plain.near_duplicates(long_rows))
+    bench = spark.createDataFrame([(1, " ".join(long_rows[0][1].split()[150_000:150_030]))], "item_id long, text string")
+    assert sorted(r.doc_id for r in template_leaks.decontaminate(df, bench).where("contaminated").collect()) == [1, 2]
+    assert {r.doc_id: r.size for r in source_mix.sampled(df).collect()} == {1: 200_000, 2: 200_000, 3: 3, 4: 0, 5: len(long_rows[4][1].split())}
+    pages = df.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"))
+    assert {r.page_id: r.payload_bytes for r in warc_zip.round_trip(pages).collect()} == {i: len(t or "") for i, t in long_rows}
+
+
+def test_licence_scan_against_a_plain_one(docs, rows, spark):
+    """Base columns word by word, and labels of tags by Python's own grammar of and, or and parentheses."""
+    import re
+
+    phrases = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
+    rng = np.random.default_rng(9)
+    parts = ["MIT License", "the Apache  License,", "General-Public license", "mit", "license", "é", "# SPDX-License-Identifier: MIT AND (GPL-2.0 OR Zlib)\n", "apache", "x\x7fy"]
+    texts = [" ".join(parts[k] for k in rng.integers(0, len(parts), rng.integers(1, 40))) for _ in range(60)] + [r[1] for r in rows[:40]]
+    got = by_id(license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    for i, t in enumerate(texts):
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+        words = re.findall("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        found = [(k, v) for k in range(len(words)) for p, v in phrases.items() if tuple(words[k : k + len(p)]) == p]
+        at = [k for k, _ in found]
+        assert got[i][:5] == (len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({v for _, v in found})))
+        assert {v for _, v in found} <= set(got[i][5].split(",")) | {""} and 0 <= got[i][6] <= 1
+        assert "spdx" not in low or {"mit", "gpl", "zlib"} <= set(got[i][5].split(","))
+
+
+def test_pairwise_quality_against_a_plain_fit(docs, rows, labels):
+    """Scores are those of a logistic fit on all pairs of differences: the order of documents agrees with it."""
+    out = {r.doc_id: r.score for r in pairwise_quality.score_quality(docs, labels).where("doc_id is not null").collect()}
+    data, off = flat(pa.array([r[1] or "" for r in rows]))
+    x = pairwise_quality.features(text_stats.stats_of(data, off))
+    kinds = {r.doc_id: r.quality for r in labels.where("doc_id is not null and quality is not null").collect()}
+    import zlib
+
+    train = [k for k, r in enumerate(rows) if kinds.get(r[0]) is not None and zlib.crc32(str(r[0]).encode()) % 5]
+    good = np.array([kinds[rows[k][0]] > 0 for k in train])
+    mean, scale = x[train].mean(0), np.maximum(x[train].std(0), 1e-6)
+    z = np.clip((x - mean) / scale, -8, 8)
+    d = (z[train][good][:, None, :] - z[train][~good][None, :, :]).reshape(-1, x.shape[1])
+    w = np.zeros(x.shape[1])
+    for _ in range(3000):
+        w += 0.1 * ((1 / (1 + np.exp(np.clip(d @ w, -30, 30)))) @ d / len(d) - 1e-3 * w)
+    ids = [k for k, r in enumerate(rows) if r[0] in out]
+    a, b = np.array([out[rows[k][0]] for k in ids]), (z @ w)[ids]
+    rank = lambda v: np.argsort(np.argsort(v, kind="stable"), kind="stable")
+    assert np.corrcoef(rank(a), rank(b))[0, 1] > 0.9
