@@ -77,6 +77,29 @@ def removed_bytes(rows: list[tuple], length: int, keep: str) -> dict:
     return out
 
 
+def without_repeats(rows: list[tuple], length: int) -> list[tuple]:
+    """Rows whose texts have lost the bytes of windows that an earlier place has, but for code points that keep a byte."""
+    first: dict[bytes, tuple] = {}
+    for i, t, *_ in sorted(rows, key=lambda r: r[0]):
+        b = (t or "").encode()
+        for p in range(len(b) - length + 1):
+            first.setdefault(b[p : p + length], (i, p))
+    out = []
+    for i, t, *rest in rows:
+        b = (t or "").encode()
+        gone = [False] * len(b)
+        for p in range(len(b) - length + 1):
+            if first[b[p : p + length]] != (i, p):
+                gone[p : p + length] = [True] * length
+        kept, p = "", 0
+        for c in t or "":
+            n = len(c.encode())
+            kept += "" if all(gone[p : p + n]) else c
+            p += n
+        out.append((i, None if t is None else kept, *rest))
+    return out
+
+
 def removed_words(rows: list[tuple], length: int = 13) -> list[tuple]:
     key = lambda i: math.inf if i is None else i
     first: dict[tuple, float] = {}
