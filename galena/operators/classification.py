@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from galena.functions.text import title_match
@@ -121,6 +121,37 @@ def import_plan(references: DataFrame, observations: DataFrame, existing: DataFr
     return rows.select("ref", status.alias("status"), "preferred", *agree)
 
 
+IMAGE_KINDS = ["box_front", "box_back", "main"]
+
+
+def display_images(media: DataFrame, reviewed: DataFrame, official_hosts: list[str], disabled: list[str]) -> DataFrame:
+    """(variant_id, place, url, kind): the images of each variant in the order of display, each address once.
+
+    ``media``: variant_id, seq, url, kind, source, source_kind, can_display. What may not be displayed, comes from a
+    disabled source or host, or has no safe address is left out; the collector's own photos need an explicit yes, and
+    official ones an official host. Own photos come first, then official ones (the reviewed image of a variant before
+    them: variant_id, url, kind), others, and the community's last; in each, boxes come before main images and the rest.
+    """
+    host = F.lower(F.regexp_extract("url", "^https://([^/?#:@]+)(?:[/?#]|$)", 1))
+    rows = media.select("variant_id", "seq", "url", "kind", F.lower("source").alias("source"), "source_kind", "can_display", F.lit(False).alias("reviewed"))
+    extra = reviewed.select("variant_id", F.lit(-1).cast(media.schema["seq"].dataType).alias("seq"), "url", "kind", F.lit("official").alias("source"), F.lit("OFFICIAL").alias("source_kind"), F.lit(True).alias("can_display"), F.lit(True).alias("reviewed"))
+    told = rows.unionByName(extra).withColumn("host", host)
+    allowed = F.coalesce(F.col("can_display"), F.lit(True)) & ~F.col("source").isin(disabled) & ~F.col("host").isin(disabled)
+    safe = F.col("host") != ""
+    tier = (
+        F.when(F.col("source") == "personal", F.when(F.coalesce(F.col("can_display"), F.lit(False)) & (safe | F.startswith("url", F.lit("/collection-photos/"))), 0))
+        .when(F.col("source_kind") == "OFFICIAL", F.when(safe & F.col("host").isin(official_hosts), 1))
+        .when(safe & (F.col("source") == "community"), 3)
+        .when(safe, 2)
+    )
+    at = F.array_position(F.array(*map(F.lit, IMAGE_KINDS)), F.lower("kind"))
+    rank = F.when(at > 0, at - 1).otherwise(len(IMAGE_KINDS))
+    kept = told.where(allowed).withColumn("tier", tier).where("tier is not null").withColumn("order", F.struct("tier", (~F.col("reviewed")).alias("r"), rank.alias("k"), "seq"))
+    first = kept.groupBy("variant_id", "url").agg(F.min(F.struct("order", "kind")).alias("m"))
+    place = F.row_number().over(Window.partitionBy("variant_id").orderBy("m.order", "url"))
+    return first.select("variant_id", place.cast("long").alias("place"), "url", F.col("m.kind").alias("kind"))
+
+
 def classify(rules: list[tuple[str, str]], default: str) -> Column:
     """The label of the first rule (predicate, label) that holds. Rules are data: text in order."""
     first, *rest = rules

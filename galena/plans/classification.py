@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galena.operators import classification as ops
-from galena.operators.windows import latest_per_key
 from galena.plans.base import query
 from galena.sources.tables import materialize, report_long
 from galena.sources.views import Tables, with_views
@@ -198,10 +197,22 @@ def import_plan(t: Tables) -> DataFrame:
 
 
 @query("display_images", """
-    SELECT l_partkey, l_suppkey FROM lineitem WHERE l_suppkey % 7 > 0 QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY CASE WHEN l_suppkey % 4 = 0 THEN 0 WHEN l_returnflag = 'N' THEN 1 WHEN l_returnflag = 'A' THEN 2 ELSE 3 END, l_linenumber, l_suppkey, l_orderkey) = 1""")
+    WITH m AS (SELECT l_partkey AS variant_id, l_orderkey * 100 + l_linenumber AS seq, (['https://img.official.example/', 'https://cdn.example.org/', 'https://old.example.com/', 'http://img.official.example/', 'https://off.example.org/', '/collection-photos/', 'https://user@cdn.example.org/'])[1 + l_suppkey % 7] || CAST(l_suppkey AS VARCHAR) || '.jpg' AS url, (['Box_Front', 'box_back', 'main', 'gallery'])[1 + l_linenumber % 4] AS kind,
+        CASE WHEN l_suppkey % 7 = 5 OR l_suppkey % 11 = 0 THEN 'personal' WHEN l_suppkey % 7 = 2 THEN 'community' ELSE 'shop' END AS source, CASE WHEN l_suppkey % 3 = 0 THEN 'OFFICIAL' ELSE 'RETAILER' END AS source_kind, CASE l_returnflag WHEN 'N' THEN TRUE WHEN 'R' THEN l_discount > 0.03 END AS can_display FROM lineitem),
+    t AS (SELECT *, CASE WHEN source = 'personal' THEN CASE WHEN can_display AND (starts_with(url, 'https://') AND NOT contains(url, '@') OR starts_with(url, '/collection-photos/')) THEN 0 END WHEN source_kind = 'OFFICIAL' THEN CASE WHEN starts_with(url, 'https://img.official.example/') THEN 1 END WHEN starts_with(url, 'https://') AND NOT contains(url, '@') THEN CASE WHEN source = 'community' THEN 3 ELSE 2 END END AS tier, 1 AS r FROM m WHERE coalesce(can_display, TRUE) AND NOT starts_with(url, 'https://off.example.org/')
+        UNION ALL SELECT p_partkey, -1, 'https://img.official.example/reviewed/' || CAST(p_partkey AS VARCHAR) || '.jpg', 'gallery', 'official', 'OFFICIAL', TRUE, 1, 0 FROM part WHERE p_size = 50),
+    o AS (SELECT *, CASE lower(kind) WHEN 'box_front' THEN 0 WHEN 'box_back' THEN 1 WHEN 'main' THEN 2 ELSE 3 END AS k FROM t WHERE tier IS NOT NULL), f AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY variant_id, url ORDER BY tier, r, k, seq, kind) = 1)
+    SELECT variant_id, row_number() OVER (PARTITION BY variant_id ORDER BY tier, r, k, seq, url) AS place, url, kind FROM f""")
 def display_images(t: Tables) -> DataFrame:
-    tier = F.when(F.col("l_suppkey") % 4 == 0, 0).when(F.col("l_returnflag") == "N", 1).when(F.col("l_returnflag") == "A", 2).otherwise(3)
-    return latest_per_key(t.lineitem.where("l_suppkey % 7 > 0"), ["l_partkey"], [tier.asc(), F.asc("l_linenumber"), F.asc("l_suppkey"), F.asc("l_orderkey")]).select("l_partkey", "l_suppkey")
+    """Lines as media of their parts: suppliers are sources, and say whether theirs may be displayed."""
+    s, n = F.col("l_suppkey"), F.col("l_linenumber")
+    base = F.get(F.array(*map(F.lit, ["https://img.official.example/", "https://cdn.example.org/", "https://old.example.com/", "http://img.official.example/", "https://off.example.org/", "/collection-photos/", "https://user@cdn.example.org/"])), (s % 7).cast("int"))
+    kind = F.get(F.array(*map(F.lit, ["Box_Front", "box_back", "main", "gallery"])), n % 4)
+    source = F.when((s % 7 == 5) | (s % 11 == 0), "personal").when(s % 7 == 2, "community").otherwise("shop")
+    shown = F.when(F.col("l_returnflag") == "N", True).when(F.col("l_returnflag") == "R", F.col("l_discount") > 0.03)
+    media = t.lineitem.select(F.col("l_partkey").alias("variant_id"), (F.col("l_orderkey") * 100 + n).alias("seq"), F.concat(base, s.cast("string"), F.lit(".jpg")).alias("url"), kind.alias("kind"), source.alias("source"), F.when(s % 3 == 0, "OFFICIAL").otherwise("RETAILER").alias("source_kind"), shown.alias("can_display"))
+    reviewed = t.part.where("p_size = 50").select(F.col("p_partkey").alias("variant_id"), F.concat(F.lit("https://img.official.example/reviewed/"), F.col("p_partkey").cast("string"), F.lit(".jpg")).alias("url"), F.lit("gallery").alias("kind"))
+    return ops.display_images(media, reviewed, ["img.official.example"], ["off.example.org"])
 
 
 @query("url_profile", "SELECT split_part(split_part(url, '/', 3), '.', -1) AS tld, starts_with(url, 'https://') AS secure, count(*) AS n FROM pages GROUP BY 1, 2")

@@ -133,7 +133,21 @@ def edit_validation(t: Tables) -> DataFrame:
 
 
 @query("market_detail", """
-    SELECT s_nationkey AS market, l_partkey, count(*) AS evidence, array_to_string(list_sort(list(DISTINCT l_returnflag || ':' || l_linestatus)), ' ') AS kinds FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2""")
+    WITH e AS (SELECT s_nationkey AS market, l_partkey AS variant, array_to_string(list_sort(list(DISTINCT l_returnflag || ':' || l_linestatus)), ' ') AS kinds, count(*) AS evidence FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2),
+    c AS (SELECT DISTINCT l_partkey AS variant, ['EVENT', 'RETAILER', 'PUBLICATION'][1 + l_suppkey % 3] AS kind, s_name AS name FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_discount = 0.1), x AS (SELECT variant, array_to_string(list_sort(list(kind || ':' || name)), '|') AS contexts FROM c GROUP BY 1)
+    SELECT 'variant' AS section, market, CAST(e.variant AS VARCHAR) AS key, kinds || coalesce(' / ' || contexts, '') AS detail, evidence AS n FROM e LEFT JOIN x ON x.variant = e.variant
+    UNION ALL SELECT 'context', market, kind || ':' || name, CAST(rank() OVER (PARTITION BY market, kind ORDER BY count(*) DESC) AS VARCHAR), count(*) FROM e JOIN c ON c.variant = e.variant GROUP BY market, kind, name""")
 def market_detail(t: Tables) -> DataFrame:
-    rows = t.lineitem.join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey"))
-    return rows.groupBy(F.col("s_nationkey").alias("market"), "l_partkey").agg(F.count("*").alias("evidence"), F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", "l_returnflag", "l_linestatus"))), " ").alias("kinds"))
+    """Evidence and commercial contexts of each variant of a market, and the market's contexts by how many variants they have."""
+    lines = t.lineitem.join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey"))
+    evidence = lines.groupBy(F.col("s_nationkey").alias("market"), F.col("l_partkey").alias("variant")).agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", "l_returnflag", "l_linestatus"))), " ").alias("kinds"), F.count("*").alias("n"))
+    kind = F.get(F.array(*map(F.lit, ["EVENT", "RETAILER", "PUBLICATION"])), (F.col("l_suppkey") % 3).cast("int"))
+    contexts = lines.where("l_discount = 0.1").select(F.col("l_partkey").alias("variant"), kind.alias("kind"), F.col("s_name").alias("name")).distinct()
+    listed = contexts.groupBy("variant").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", "kind", "name"))), "|").alias("contexts"))
+    detail = F.concat("kinds", F.coalesce(F.concat(F.lit(" / "), "contexts"), F.lit("")))
+    variants = evidence.join(listed, "variant", "left").select(F.lit("variant").alias("section"), "market", F.col("variant").cast("string").alias("key"), detail.alias("detail"), "n")
+    groups = evidence.select("market", "variant").join(contexts, "variant").groupBy("market", "kind", "name").agg(F.count("*").alias("n"))
+    rank = F.rank().over(Window.partitionBy("market", "kind").orderBy(F.desc("n")))
+    return variants.union(groups.select(F.lit("context"), "market", F.concat_ws(":", "kind", "name"), rank.cast("string"), "n"))
+
+
