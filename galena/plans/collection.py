@@ -149,5 +149,3 @@ def market_detail(t: Tables) -> DataFrame:
     groups = evidence.select("market", "variant").join(contexts, "variant").groupBy("market", "kind", "name").agg(F.count("*").alias("n"))
     rank = F.rank().over(Window.partitionBy("market", "kind").orderBy(F.desc("n")))
     return variants.union(groups.select(F.lit("context"), "market", F.concat_ws(":", "kind", "name"), rank.cast("string"), "n"))
-
-
