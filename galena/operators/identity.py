@@ -28,6 +28,7 @@ def features(records: DataFrame, keep: list[str]) -> DataFrame:
     d = descriptors(F.col("name"))
     themes = F.filter(F.transform(F.coalesce("themes", F.array().cast("array<string>")), fold_text), lambda x: x.isNotNull())
     names = F.map_filter(F.transform_values(F.coalesce("names", F.create_map().cast("map<string,string>")), lambda _, v: fold_text(v)), lambda _, v: v.isNotNull())
+    names = F.transform_values(names, lambda _, v: F.struct(v.alias("text"), word_set(v).alias("words")))
     told = records.select(*keep, "year", d.alias("d"), themes.alias("themes"), names.alias("names"), kind_family(F.col("kind"), F.col("format")).alias("family"), F.lower(F.concat_ws(" ", "kind", "format")).rlike("figure|character").alias("figure"))
     return told.withColumn("words", word_set(F.col("d.folded")))
 
@@ -77,8 +78,8 @@ def names_diverge() -> Column:
     left, right = _sides("names")
     shared = F.filter(F.map_keys(left), lambda k: F.map_contains_key(right, k))
     pairs = F.transform(shared, lambda k: F.struct(F.element_at(left, k).alias("a"), F.element_at(right, k).alias("b")))
-    scores = F.transform(pairs, lambda p: jaccard_of(word_set(p["a"]), word_set(p["b"]), p["a"] == p["b"]))
-    return (F.size(pairs) >= 2) & ~F.exists(pairs, lambda p: p["a"] == p["b"]) & F.forall(scores, lambda s: s <= 0.5) & (F.size(F.filter(scores, lambda s: s < 0.5)) >= 2)
+    scores = F.transform(pairs, lambda p: jaccard_of(p["a"]["words"], p["b"]["words"], p["a"]["text"] == p["b"]["text"]))
+    return (F.size(pairs) >= 2) & ~F.exists(pairs, lambda p: p["a"]["text"] == p["b"]["text"]) & F.forall(scores, lambda s: s <= 0.5) & (F.size(F.filter(scores, lambda s: s < 0.5)) >= 2)
 
 
 def compare_evidence(base: Column) -> Column:

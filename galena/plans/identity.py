@@ -10,6 +10,7 @@ from galena.operators import identity as ops
 from galena.operators.joins import pairs_within_group
 from galena.plans.base import query
 from galena.plans.scalars import DESCRIPTORS, EVIDENCE, NAMES, part_name
+from galena.sources.tables import materialize
 from galena.sources.views import Tables
 
 
@@ -57,7 +58,9 @@ _PAIRS = f"""{NAMES}, facts AS (SELECT p_name || '/' || p_type AS grp, p_partkey
 
 def compared(t: Tables) -> DataFrame:
     """grp, left, right, signals (by identity alone), relation and reason (by all evidence) of all pairs."""
-    pairs, _ = pairs_within_group(ops.features(records(t), ["grp", "id"]), "grp", "id")
+    # What records are compared by is made once, not for each side of the pairs.
+    told = materialize(ops.features(records(t).repartition(t.spark.sparkContext.defaultParallelism, "grp"), ["grp", "id"]))
+    pairs, _ = pairs_within_group(told, "grp", "id")
     rows = pairs.withColumn("signals", ops.compare_signals())
     found = rows.select("grp", F.col("left_id").alias("left"), F.col("right_id").alias("right"), "signals", ops.compare_evidence(F.col("signals")).alias("e"))
     return found.select("grp", "left", "right", "signals", "e.*")

@@ -32,7 +32,8 @@ def community_pages(t: Tables) -> DataFrame:
         F.when(s % 6 == 0, "Promotional").otherwise("none"), "<br><strong>Export Market:</strong> ", market, "<br><strong>Figures:</strong> ", (s % 7).cast("string"), '<br><div class="tags"><a href="/tag/1">', F.col("p_type"), '</a></div></div><a rel="lightbox[set]" title="Box" href="https://img.example.org/', k, '-box.jpg"><img alt="x"></a><a rel="lightbox[set]" href="https://img.example.org/', k,
         '-rear.jpg"><img title="rear side"></a><a rel="lightbox[set]" href="https://img.example.org/none.png"></a><a rel="lightbox[set]" href="https://img.example.org/', k, '.jpg"></a><a href="/files/', k, '.pdf">leaflet</a><h4>PARTS IN THIS SET</h4><div><a href="/parts/1" title="', k, " - ", F.col("p_brand"), ' part">x</a><a href="/other/1">1 - o</a></div><h4>Figures in this set</h4><div><a href="/figures/2">f', k, " - ", F.col("p_name"), "</a></div></article></body></html>",
     ]
-    return t.part.select(F.col("p_partkey").alias("page_id"), F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]).alias("html"))
+    # A row of the table becomes a page of 2 kB, so rows are dealt out before that.
+    return t.part.repartition(t.spark.sparkContext.defaultParallelism, "p_partkey").select(F.col("p_partkey").alias("page_id"), F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]).alias("html"))
 
 
 _RECORD = """rec AS (SELECT p_partkey AS page_id, CAST(100 + p_partkey AS VARCHAR) AS reference, p_name || ' & co' AS name, 'en=' || p_name || ' & co' || CASE WHEN p_size % 3 > 0 THEN '|de=' || p_name || ' deutsch' ELSE '' END AS translations, CASE WHEN p_size % 5 > 0 THEN 1990 + p_size % 20 END AS release_year, CAST(NULL AS INT) AS discontinued_year, p_type AS theme,
