@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from galena.llm import class_lm, jaccard_join, license_scan, pairwise_quality, phrase_automata, quality_rules, source_mix, suffix_dedup, template_leaks, warc_zip
+from galena.llm import bpe_tree, class_lm, jaccard_join, license_scan, merkle_manifest, pairwise_quality, phrase_automata, prefix_trie, quality_rules, source_mix, suffix_dedup, template_leaks, warc_zip
 from galena.llm.common import read
 
 
@@ -52,6 +53,18 @@ def op10_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_automata.phrase_digests(read(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.proof_digests(read(spark, sf_dir, "documents"))
+
+
+def op12_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_tree.token_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_nodes(read(spark, sf_dir, "conversations"))
+
+
 def _template_leaks_sql() -> str:
     """All windows of all documents as templates, joined to the windows of the benchmark."""
     marks = "'" + template_leaks.MARKS.replace("'", "''") + "'"
@@ -125,12 +138,79 @@ _JACCARD_SQL = f"""
     FROM d LEFT JOIN copies ON copies.doc_id = d.doc_id LEFT JOIN low ON low.a = d.doc_id LEFT JOIN deg ON deg.a = d.doc_id"""
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_source_mix, op4_warc_zip, op5_license_scan, op6_class_lm, op7_jaccard_join, op8_template_leaks, op9_pairwise_quality, op10_phrase_automata)}
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII text: a step for each byte, and eight for its bits."""
+    steps = f"flatten(list_transform(range(1, length({text}) + 1), lambda i: [CAST(ascii(substr({text}, i, 1)) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    return f"xor(list_reduce(list_prepend(4294967295, {steps}), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295)"
+
+
+def _merkle_sql() -> str:
+    """Levels of both kinds of trees, then a climb in which every leaf takes its siblings along."""
+
+    def field(x: str, text: bool = False) -> str:
+        return f"coalesce({f'strlen({x})' if text else f'length(CAST({x} AS VARCHAR))'} || ':' || {x}, '-')"
+
+    lower = f"translate(text, '{''.join(map(chr, range(65, 91)))}', '{''.join(map(chr, range(97, 123)))}')"
+    head = f"{field('doc_id')} || {field('source', True)} || {field('lang', True)} || {field('n_chars')}"
+    k = merkle_manifest.FANOUT
+    tampered = f"{_crc32('CAST(doc_id AS VARCHAR)')} % {merkle_manifest.TAMPERED} = 0"
+
+    def tree(name: str, lowest: str) -> str:
+        return f"""
+        {name} AS (SELECT tree, 0 AS level, place, digest, count FROM ({lowest})
+            UNION ALL SELECT tree, level + 1, place // {k}, sha256(string_agg(digest, '' ORDER BY place)), (any_value(count) + {k - 1}) // {k} FROM {name} WHERE count > 1 GROUP BY tree, level, place // {k})"""
+
+    def climb(name: str, start: str, levels: str) -> str:
+        own = f"n.tree IS NOT DISTINCT FROM c.tree AND n.level = c.level AND n.place // {k} = c.place // {k}"
+        return f"""
+        {name} AS (SELECT id, tree, 0 AS level, place, folded, path, FALSE AS done FROM ({start})
+            UNION ALL SELECT id, any_value(c.tree), any_value(c.level) + 1, any_value(c.place) // {k}, sha256(string_agg(CASE WHEN n.place = c.place THEN folded ELSE digest END, '' ORDER BY n.place)),
+                any_value(path) || coalesce(string_agg(digest, '' ORDER BY n.place) FILTER (WHERE n.place <> c.place), ''), FALSE
+            FROM {name} c JOIN {levels} n ON {own} WHERE n.count > 1 GROUP BY id)"""
+
+    return f"""
+        WITH RECURSIVE d AS (SELECT row_number() OVER () AS id, doc_id, source, sha256({head} || {field('text', True)}) AS leaf, CASE WHEN {tampered} THEN sha256({head} || {field(lower, True)}) END AS forged FROM documents),
+        s AS (SELECT source, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS tree, count(*) AS count FROM d GROUP BY source),
+        leaf AS (SELECT id, doc_id, tree, count, leaf AS digest, coalesce(forged, leaf) AS folded, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+        {tree('low', 'SELECT tree, place, digest, count FROM leaf')},
+        sub AS (SELECT tree, digest FROM low WHERE count = 1),
+        {tree('high', 'SELECT -1 AS tree, tree AS place, digest, (SELECT count(*) FROM s) AS count FROM sub')},
+        {climb('up', "SELECT id, tree, place, folded, '' AS path FROM leaf", 'low')},
+        at_subroot AS (SELECT up.* FROM up JOIN low ON low.tree = up.tree AND low.level = up.level AND low.place = up.place WHERE low.count = 1),
+        {climb('upper', 'SELECT id, -1 AS tree, tree AS place, folded, path FROM at_subroot', 'high')},
+        at_root AS (SELECT upper.*, high.digest AS root FROM upper JOIN high ON high.level = upper.level AND high.place = upper.place WHERE high.count = 1)
+        SELECT doc_id, leaf.digest AS leaf, sub.digest AS subroot, root, sha256(path) AS proof_sha256, at_root.folded AS folded_root, at_root.folded = root AS verified
+        FROM leaf JOIN sub USING (tree) JOIN at_root USING (id)"""
+
+
+def _trie_sql() -> str:
+    """Every prefix of every rebuilt conversation, as a list; subtrees by the prefixes of each node."""
+    f, h = prefix_trie.FAMILY, prefix_trie.HEADS
+    return f"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        own AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, unhex(md5(strlen(role) || ':' || role || text))) AS own FROM t GROUP BY conv_id),
+        r AS (SELECT a.conv_id, {_crc32('CAST(a.conv_id AS VARCHAR)')} % {h} AS h, a.own, coalesce(b.own, []) AS base FROM own a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % {f}),
+        seq AS (SELECT conv_id, list_concat(base[1:h], own[h + 1:]) AS seq FROM r),
+        pre AS (SELECT conv_id, len(seq) AS n, depth, seq[1:depth] AS p FROM (SELECT *, unnest(range(0, len(seq) + 1)) AS depth FROM seq)),
+        node AS (SELECT p, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE depth = n), '')) AS ends_sha256 FROM pre GROUP BY p),
+        child AS (SELECT p[1:depth - 1] AS p, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY ALL),
+        full_node AS (SELECT node.*, coalesce(n_children, 0) AS n_children, CASE WHEN depth > 0 THEN (n_convs - 1) * strlen(node.p[depth].text) ELSE 0 END AS saved FROM node LEFT JOIN child ON child.p = node.p),
+        up AS (SELECT p[1:k] AS p, n_children, saved FROM (SELECT *, unnest(range(0, depth + 1)) AS k FROM full_node)),
+        sub AS (SELECT p, count(*) FILTER (WHERE n_children = 0) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM up GROUP BY p)
+        SELECT x.conv_id, x.depth, parent.conv_id AS parent_conv_id, x.n_convs, x.n_children, n_leaves, saved_tokens, x.ends_sha256
+        FROM full_node x JOIN sub ON sub.p = x.p LEFT JOIN node parent ON parent.p = x.p[1:x.depth - 1] AND x.depth > 0"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_source_mix, op4_warc_zip, op5_license_scan, op6_class_lm, op7_jaccard_join, op8_template_leaks, op9_pairwise_quality, op10_phrase_automata, op11_merkle_manifest, op12_bpe_tree, op13_prefix_trie)}
 ORACLES: dict[str, str] = {
     "op2_suffix_dedup": _SUFFIX_SQL,
     "op7_jaccard_join": _JACCARD_SQL,
     "op10_phrase_automata": _PHRASES_SQL,
     "op8_template_leaks": _template_leaks_sql(),
+    "op11_merkle_manifest": _merkle_sql(),
+    "op13_prefix_trie": _trie_sql(),
     "op4_warc_zip": """
         WITH p AS (
             SELECT page_id, coalesce(html, '') AS html, url, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest FROM pages
