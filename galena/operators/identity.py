@@ -1,12 +1,22 @@
-"""Which records describe the same object: comparison of pairs, keys, clusters, actions."""
+"""Which records describe the same object: comparison, keys, clusters, actions.
+
+Records are compared by their facts, so those of a group that have the same facts are folded into a class first. Classes are compared
+in pairs, a pair of classes stands for the pairs of their records, and no row is made for a pair of records. Work grows with the
+square of the different facts of a group, not of its records.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from galena.functions.reference import record_qualifier
 from galena.functions.text import descriptors, fold_text, jaccard_of
+from galena.operators.components import components
+from galena.operators.joins import join_counted, pairs_within_group
 from galena.sources.tables import materialize
 
 MATCH, DISTINCT, AMBIGUOUS = "MATCH", "DISTINCT", "AMBIGUOUS"
@@ -107,30 +117,89 @@ def qualified_key(reference: Column, source: Column, external_id: Column) -> Col
     return F.concat(F.lit("ref:"), reference, F.lit(":record:"), record_qualifier(source, external_id))
 
 
-def assign_identity(records: DataFrame, relations: DataFrame) -> DataFrame:
-    """Class, reason, review flag and keys of each incoming record.
+def fold_classes(told: DataFrame, group: str, id: str) -> tuple[DataFrame, DataFrame]:
+    """Records of a group that are alike in all facts as one class. Returns (classes, members).
+
+    A class has ``cls`` (digest of group and facts), ``n``, ``first`` (smallest id) and the facts; ``members`` are group, id, cls. Facts
+    are all other columns of ``told``. Maps are compared by their entries.
+    """
+    facts = [c for c in told.columns if c not in (group, id)]
+    plain = [F.array_sort(F.map_entries(c)).alias(c) if isinstance(told.schema[c].dataType, MapType) else F.col(c) for c in facts]
+    signed = told.withColumn("cls", F.sha2(F.to_json(F.struct(group, *plain)), 256))
+    classes = signed.groupBy(group, "cls").agg(F.count("*").alias("n"), F.min(id).alias("first"), F.min_by(F.struct(*facts), id).alias("f"))
+    return classes.select(group, "cls", "n", "first", "f.*"), signed.select(group, id, "cls")
+
+
+def class_pairs(classes: DataFrame, group: str, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Every class with every class of its group, once (left_first <= right_first); a class with itself if it has several records.
 
-    ``records``: id, base, normalized, placeholder, source, external_id; ``relations``: id, relation,
-    product_key, variant_key, reference_class of each candidate that shares the reference.
+    ``compare`` gets columns left_ and right_ of both sides and adds what it finds. ``pairs`` tells how many pairs of records a row stands for.
     """
-    match = F.col("relation") == MATCH
-    # The one match decides only if there is a single one, so any of its columns may be the maximum.
-    joined = F.max(F.when(match, F.struct("product_key", "variant_key", "reference_class")))
-    per = relations.groupBy("id").agg(F.count("relation").alias("n"), F.count_if(match).alias("m"), F.count_if(F.col("relation") == AMBIGUOUS).alias("open"), joined.alias("to"))
-    rows = records.join(per, "id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n", "m", "open")})
-    one = (F.col("m") == 1) & (F.col("open") == 0)
+    others, _ = pairs_within_group(classes, group, "first")
+    several = classes.where("n > 1")
+    own = several.select(*[F.col(c).alias(c if c == group else f"left_{c}") for c in classes.columns], *[F.col(c).alias(f"right_{c}") for c in classes.columns if c != group])
+    both = others.select(own.columns).unionByName(own)
+    weight = F.when(F.col("left_cls") == F.col("right_cls"), F.expr("left_n * (left_n - 1) div 2")).otherwise(F.col("left_n") * F.col("right_n"))
+    return compare(both.withColumn("pairs", weight))
+
+
+def partners(pairs: DataFrame, group: str, facts: list[str]) -> DataFrame:
+    """Both directions of ``class_pairs``: group, cls, other, other_first, partners (records of the other class that each record of cls is paired with), facts."""
+    same = F.col("left_cls") == F.col("right_cls")
+
+    def way(me: str, other: str, own: Column) -> Column:
+        return F.struct(F.col(f"{me}_cls").alias("cls"), F.col(f"{other}_cls").alias("other"), F.col(f"{other}_first").alias("other_first"), (F.col(f"{other}_n") - own).alias("partners"))
+
+    one, two = way("left", "right", F.when(same, 1).otherwise(0)), way("right", "left", F.lit(0))
+    ways = F.explode(F.when(same, F.array(one)).otherwise(F.array(one, two))).alias("w")
+    return pairs.select(group, *facts, ways).select(group, "w.*", *facts)
+
+
+def to_members(members: DataFrame, classes: DataFrame, per_class: DataFrame) -> DataFrame:
+    """``members`` with what ``per_class`` (one row for each cls at most) tells of their class, and n and first of it."""
+    table = classes.select("cls", "n", "first").join(per_class, "cls", "left")
+    return join_counted(members, table, "cls", "n")
+
+
+def assign_identity(records: DataFrame, members: DataFrame, classes: DataFrame, pairs: DataFrame, group: str, relation: str) -> DataFrame:
+    """Class, reason, review flag and keys of each record, whose candidates are the records of its group with smaller ids.
+
+    ``records``: id, base, normalized, placeholder, source, external_id, and product_key, variant_key, reference_class that it has as a
+    candidate. Whether there are candidates that match, or are open, follows from the smallest ids among
+    the classes that do; a match decides only if it is the only one, so the two smallest ids are enough.
+    """
+    ways = partners(pairs, group, [relation])
+    match = F.col(relation) == MATCH
+    own = join_counted(members.select("id", "cls"), classes.select("cls", "n", "first"), "cls", "n")
+    seconds = own.where(F.col("id") > F.col("first")).groupBy(F.col("cls").alias("other")).agg(F.min("id").alias("two"))
+    matched = materialize(ways.where(match).select("cls", "other", F.col("other_first").alias("one")).join(seconds, "other", "left"))
+    one = matched.groupBy("cls").agg(F.min("one").alias("m1"))
+    second = F.min(F.when(F.col("one") > F.col("m1"), F.col("one")).otherwise(F.col("two")))
+    of_match = matched.join(one, "cls").groupBy("cls", "m1").agg(second.alias("m2"))
+    opened = ways.where(F.col(relation) == AMBIGUOUS).groupBy("cls").agg(F.min("other_first").alias("o1"))
+    lowest = classes.groupBy(group).agg(F.min("first").alias("low"))
+    told = to_members(members, classes, classes.select("cls", group).join(lowest, group).select("cls", "low").join(of_match, "cls", "left").join(opened, "cls", "left"))
+    below = [F.coalesce(F.col(c) < F.col("id"), F.lit(False)) for c in ("low", "m1", "m2", "o1")]
+    told = told.select("id", *(b.alias(c) for b, c in zip(below, ("any", "matches", "more", "open"), strict=True)), "m1")
+    single = F.col("matches") & ~F.col("more") & ~F.col("open")
+    # The record that a match decides for is looked up only where it does.
+    candidates = records.select(F.col("id").alias("m1"), F.struct("product_key", "variant_key", "reference_class").alias("to"))
+    chosen = told.where(single).join(candidates, "m1").select("id", "to")
+    rows = records.drop("product_key", "variant_key", "reference_class").join(told, "id", "left").join(chosen, "id", "left")
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("any", "matches", "more", "open")})
+    one_match = F.col("to").isNotNull()
     reused = F.col("to.reference_class") == "REUSED"
 
     def outcome(cls: str, reason: str, review: bool = False) -> Column:
         return F.struct(F.lit(cls).alias("class"), F.lit(reason).alias("reason"), F.lit(review).alias("review"))
 
     assigned, again = outcome("ASSIGNED", "assigned-reference"), outcome("REUSED", "reused-reference")
-    decided = F.when(F.col("placeholder"), outcome("PLACEHOLDER", "placeholder-reference")).when(F.col("n") == 0, assigned).when(one & reused, again).when(one, assigned).when((F.col("m") == 0) & (F.col("open") == 0), again).otherwise(outcome("AMBIGUOUS", "true-identity-conflict", True))
-    plain = ~F.col("placeholder") & (F.col("n") == 0)
+    decided = F.when(F.col("placeholder"), outcome("PLACEHOLDER", "placeholder-reference")).when(~F.col("any"), assigned).when(one_match & reused, again).when(one_match, assigned).when(~F.col("matches") & ~F.col("open"), again).otherwise(outcome("AMBIGUOUS", "true-identity-conflict", True))
+    plain = ~F.col("placeholder") & ~F.col("any")
 
     def key(reference: str, of_match: str) -> Column:
         default = F.concat(F.lit("ref:"), F.col(reference))
-        return F.when(plain, default).when(~F.col("placeholder") & one, F.coalesce(F.col(of_match), default)).otherwise(qualified_key(F.col(reference), F.col("source"), F.col("external_id")))
+        return F.when(plain, default).when(~F.col("placeholder") & one_match, F.coalesce(F.col(of_match), default)).otherwise(qualified_key(F.col(reference), F.col("source"), F.col("external_id")))
 
     return rows.select("id", decided.alias("o"), key("base", "to.product_key").alias("product_key"), key("normalized", "to.variant_key").alias("variant_key")).select("id", "o.*", "product_key", "variant_key")
 
@@ -139,9 +208,9 @@ def reclassify_references(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """Class and reason of each reference from all variants that carry it.
 
     ``members``: reference, id, placeholder, anchored (has a source record), validated (already REUSED, with
-    its qualified key); ``pairs``: reference and relation of all pairs of its members.
+    its qualified key); ``pairs``: reference, relation and pairs (how many) of its members.
     """
-    found = pairs.groupBy("reference").agg(F.count("*").alias("pairs"), F.count_if(F.col("relation") == DISTINCT).alias("distinct"))
+    found = pairs.groupBy("reference").agg(F.sum("pairs").alias("pairs"), F.sum(F.when(F.col("relation") == DISTINCT, F.col("pairs")).otherwise(0)).alias("distinct"))
     per = members.groupBy("reference").agg(F.bool_or("placeholder").alias("placeholder"), F.count_distinct("id").alias("variants"), F.bool_and("anchored").alias("anchored"), F.bool_and("validated").alias("validated"))
     rows = per.join(found, "reference", "left")
     apart = F.coalesce(F.col("pairs") == F.col("distinct"), F.lit(False))
@@ -162,52 +231,37 @@ def reclassify_references(members: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.select("reference", "variants", decided.alias("o")).select("reference", "variants", "o.*")
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(id, cluster): the smallest id of the component of each node of the links (a, b), both ways.
-
-    Each round takes the smallest label among a node's neighbours and then the label of that label; labels
-    are written to the shared folder after each round, which cuts the lineage.
-    """
-    links = materialize(edges.select("a", "b").distinct())
-    labels = materialize(links.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("cluster")))
-    for _ in range(rounds):
-        near = links.join(labels, links["b"] == labels["id"]).groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("near"))
-        lower = labels.join(near, "id").select("id", F.least("cluster", "near").alias("lower"), F.col("cluster").alias("was"))
-        over = labels.select(F.col("id").alias("lower"), F.col("cluster").alias("over"))
-        step = materialize(lower.join(over, "lower", "left").select("id", F.least("lower", F.coalesce("over", "lower")).alias("cluster"), "was"))
-        labels = step.select("id", "cluster")
-        if step.where("cluster <> was").isEmpty():
-            return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
-
-
-def cluster_records(nodes: DataFrame, pairs: DataFrame, group: str, id: str, relation: str) -> DataFrame:
-    """Clusters of each group by MATCH pairs: (group, id, cluster, relationship, accepted).
+def cluster_records(members: DataFrame, classes: DataFrame, pairs: DataFrame, group: str, id: str, relation: str) -> DataFrame:
+    """Clusters of each group by MATCH: (group, id, cluster, relationship, accepted).
 
     A cluster is MATCH if all its pairs are, SINGLETON if it has one record, else AMBIGUOUS; a group is
-    accepted if no cluster is AMBIGUOUS and all pairs across clusters are DISTINCT. Where matches form
-    cliques, the smallest id among a node and its matches is the exact component; only links of other
-    groups go through rounds. ``pairs``: group, left, right, relation for all pairs of the group.
+    accepted if no cluster is AMBIGUOUS and all pairs across clusters are DISTINCT. Components are those of
+    classes: records of a class that matches itself, or any other, are together. Where matches form cliques, the smallest id
+    among a class and its matches is the exact component; only links of other groups go through rounds.
     """
-    pairs = materialize(pairs.select(group, "left", "right", relation))
-    sides = F.explode(F.array(F.struct(F.col("left").alias("me"), F.col("right").alias("other")), F.struct(F.col("right").alias("me"), F.col("left").alias("other"))))
-    near = pairs.select(group, relation, sides.alias("s")).select(group, relation, F.col("s.me").alias(id), F.col("s.other").alias("__o"))
+    ways = materialize(partners(pairs, group, [relation]))
     match = F.col(relation) == MATCH
-    # One pass over the pairs: smallest match, number of matches and open pairs of each node.
-    per = near.groupBy(group, id).agg(F.min(F.when(match, F.col("__o"))).alias("__low"), F.count_if(match).alias("__degree"), F.count_if(F.col(relation) == AMBIGUOUS).alias("__open"))
-    labelled = nodes.select(group, id).join(per, [group, id], "left").select(group, id, F.least(F.col(id), F.coalesce("__low", id)).alias("__first"), F.coalesce("__degree", F.lit(0)).alias("__degree"), F.coalesce("__open", F.lit(0)).alias("__open"))
-    size = labelled.groupBy(group, "__first").agg(F.count("*").alias("__size"), F.min("__degree").alias("__least"), F.max("__degree").alias("__most"))
-    whole = size.groupBy(group).agg(F.bool_and((F.col("__least") == F.col("__size") - 1) & (F.col("__most") == F.col("__size") - 1)).alias("__cliques"))
-    rows = labelled.join(whole, group)
-    loose = near.where(match).join(rows.where("not __cliques").select(group).distinct(), group, "left_semi").select(F.col(id).alias("a"), F.col("__o").alias("b"))
-    labels = components(loose).select(F.col("id").alias(id), F.col("cluster").alias("__label"))
-    rows = rows.join(labels, id, "left").select(group, id, F.coalesce("__label", "__first").alias("cluster"), "__degree", "__open")
-    size = rows.groupBy(group, "cluster").agg(F.count("*").alias("__size"), F.min("__degree").alias("__least"), F.sum("__open").alias("__open"))
-    clique = F.col("__least") == F.col("__size") - 1
-    kind = F.when(F.col("__size") == 1, "SINGLETON").when(clique, MATCH).otherwise(AMBIGUOUS)
-    size = size.select(group, "cluster", kind.alias("relationship"), (clique & (F.col("__open") == 0)).alias("__fine"))
-    ok = size.groupBy(group).agg(F.bool_and("__fine").alias("accepted"))
-    return rows.join(size.drop("__fine"), [group, "cluster"]).join(ok, group).select(group, id, "cluster", "relationship", "accepted")
+    per = ways.groupBy("cls").agg(F.min(F.when(match, F.col("other_first"))).alias("low"), F.coalesce(F.sum(F.when(match, F.col("partners"))), F.lit(0)).alias("degree"), F.coalesce(F.sum(F.when(F.col(relation) == AMBIGUOUS, F.col("partners"))), F.lit(0)).alias("open"))
+    nodes = classes.select(group, "cls", "n", "first").join(per, "cls", "left").withColumns({"degree": F.coalesce("degree", F.lit(0)), "open": F.coalesce("open", F.lit(0)), "label": F.least("first", F.coalesce("low", "first"))})
+    nodes = materialize(nodes)
+    # Records of a class without any match are clusters of their own.
+    joined = nodes.where("degree > 0")
+    size = joined.groupBy(group, "label").agg(F.sum("n").alias("size"), F.min("degree").alias("least"), F.max("degree").alias("most"))
+    loose = size.groupBy(group).agg(F.bool_and((F.col("least") == F.col("size") - 1) & (F.col("most") == F.col("size") - 1)).alias("cliques")).where("not cliques").select(group)
+    links = ways.where(match & (F.col("cls") != F.col("other"))).join(F.broadcast(loose) if loose.count() < 100_000 else loose, group, "left_semi")
+    firsts = nodes.select("cls", F.col("first").alias("a"))
+    edges = links.select("cls", F.col("other_first").alias("b")).join(firsts, "cls").select("a", "b")
+    labels = components(edges).withColumnRenamed("id", "first").withColumnRenamed("cluster", "exact")
+    rows = materialize(nodes.join(labels, "first", "left").withColumn("label", F.coalesce("exact", "label")))
+    joined = rows.where("degree > 0").groupBy(group, "label").agg(F.sum("n").alias("size"), F.min("degree").alias("least"), F.sum("open").alias("open"))
+    clique = F.col("least") == F.col("size") - 1
+    joined = joined.select(group, "label", F.when(clique, MATCH).otherwise(AMBIGUOUS).alias("relationship"), (clique & (F.col("open") == 0)).alias("fine"))
+    alone = rows.where("degree = 0").select(group, (F.col("open") == 0).alias("fine"))
+    ok = joined.select(group, "fine").unionByName(alone).groupBy(group).agg(F.bool_and("fine").alias("accepted"))
+    per_class = rows.select(group, "cls", "label", "degree").join(joined.drop("fine"), [group, "label"], "left").join(ok, group)
+    told = to_members(members.select(id, "cls"), classes, per_class)
+    single = F.col("degree") == 0
+    return told.select(group, id, F.when(single, F.col(id)).otherwise(F.col("label")).alias("cluster"), F.when(single, "SINGLETON").otherwise(F.col("relationship")).alias("relationship"), "accepted")
 
 
 def group_verdict(clusters: DataFrame, evidence: DataFrame, group: str, id: str) -> DataFrame:

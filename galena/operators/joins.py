@@ -9,6 +9,26 @@ from pyspark.sql import functions as F
 
 #: Rows of a group that are paired under one join key.
 PAIR_BLOCK = 500
+#: Rows of a key from which on it is joined apart, up to how many such keys are broadcast, and the parts of such a key otherwise.
+HOT_ROWS, HOT_KEYS, SALTS = 1_000, 100_000, 32
+
+
+def join_counted(rows: DataFrame, table: DataFrame, key: str, n: str) -> DataFrame:
+    """Inner join of ``rows`` to the one row that ``table`` has for a key; ``n`` (a column of it) tells how many of ``rows`` have the key.
+
+    Rows of a hot key never meet in one task: hot keys are broadcast if there are at most HOT_KEYS (no more than rows /
+    HOT_ROWS can be), else joined in SALTS parts. ``table`` is read twice.
+    """
+    hot, other = table.where(F.col(n) > HOT_ROWS), table.where(F.col(n) <= HOT_ROWS)
+    n_hot = hot.count()
+    if not n_hot:
+        return rows.join(table, key)
+    if n_hot > HOT_KEYS:
+        salt = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")
+        parts = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return rows.withColumn("__salt", salt).join(parts, [key, "__salt"]).drop("__salt")
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rest.join(other, key).unionByName(rows.join(F.broadcast(hot), key))
 
 
 def lateral_top1(left: DataFrame, right: DataFrame, on: str, order_by: list[Column]) -> DataFrame:

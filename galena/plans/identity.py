@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from galena.functions import reference as ref
 from galena.operators import identity as ops
-from galena.operators.joins import pairs_within_group
 from galena.plans.base import query
 from galena.plans.scalars import DESCRIPTORS, EVIDENCE, NAMES, part_name
 from galena.sources.tables import materialize
@@ -56,24 +55,41 @@ _PAIRS = f"""{NAMES}, facts AS (SELECT p_name || '/' || p_type AS grp, p_partkey
     pairs AS (SELECT a.grp AS grp, a.id AS "left", b.id AS "right", signals, reason, CASE WHEN signals = 'MATCH' THEN 'MATCH' WHEN reason = 'insufficient-non-conflicting-signals' THEN 'AMBIGUOUS' ELSE 'DISTINCT' END AS relation FROM merged)"""
 
 
-def compared(t: Tables) -> DataFrame:
-    """grp, left, right, signals (by identity alone), relation and reason (by all evidence) of all pairs."""
+def compared(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classes of records with the same facts, their members, and the pairs of classes with signals (by identity alone), relation and reason (by all evidence)."""
     # What records are compared by is made once, not for each side of the pairs.
-    told = materialize(ops.features(records(t).repartition(t.spark.sparkContext.defaultParallelism, "grp"), ["grp", "id"]))
-    pairs, _ = pairs_within_group(told, "grp", "id")
-    rows = pairs.withColumn("signals", ops.compare_signals())
-    found = rows.select("grp", F.col("left_id").alias("left"), F.col("right_id").alias("right"), "signals", ops.compare_evidence(F.col("signals")).alias("e"))
-    return found.select("grp", "left", "right", "signals", "e.*")
+    told = materialize(ops.features(records(t).repartition(t.spark.sparkContext.defaultParallelism, "grp", "id"), ["grp", "id"]))
+    classes, members = ops.fold_classes(told, "grp", "id")
+    classes = materialize(classes)
 
+    def compare(pairs: DataFrame) -> DataFrame:
+        found = pairs.withColumn("signals", ops.compare_signals())
+        kept = ["grp", "pairs", *(f"{side}_{c}" for side in ("left", "right") for c in ("cls", "n", "first"))]
+        return found.select(*kept, "signals", ops.compare_evidence(F.col("signals")).alias("e")).select(*kept, "signals", "e.*")
 
-@query("compare_identity", f'WITH {_PAIRS} SELECT grp, "left", "right", signals AS relation FROM pairs')
+    return classes, materialize(members), materialize(ops.class_pairs(classes, "grp", compare))
+
+
+_SIDES = """sides AS (SELECT grp, "left" AS id, signals, relation, reason FROM pairs UNION ALL SELECT grp, "right", signals, relation, reason FROM pairs)"""
+
+
+@query("compare_identity", f"""WITH {_PAIRS}, {_SIDES} SELECT rec.grp, rec.id, count(*) FILTER (WHERE signals = 'MATCH') AS matching, count(*) FILTER (WHERE signals = 'DISTINCT') AS different, count(*) FILTER (WHERE signals = 'AMBIGUOUS') AS open
+    FROM rec LEFT JOIN sides ON sides.id = rec.id GROUP BY ALL""")
 def compare_identity(t: Tables) -> DataFrame:
-    return compared(t).select("grp", "left", "right", F.col("signals").alias("relation"))
+    """How many records of its group each record matches, differs from, or can't be told from."""
+    classes, members, pairs = compared(t)
+    names = {"matching": ops.MATCH, "different": ops.DISTINCT, "open": ops.AMBIGUOUS}
+    counts = ops.partners(pairs, "grp", ["signals"]).groupBy("cls").agg(*(F.sum(F.when(F.col("signals") == v, F.col("partners")).otherwise(0)).alias(k) for k, v in names.items()))
+    return ops.to_members(members, classes, counts).select("grp", "id", *(F.coalesce(k, F.lit(0)).alias(k) for k in names))
 
 
-@query("compare_records", f'WITH {_PAIRS} SELECT grp, "left", "right", relation, reason FROM pairs')
+@query("compare_records", f"WITH {_PAIRS}, {_SIDES} SELECT grp, id, relation, reason, count(*) AS partners FROM sides GROUP BY ALL")
 def compare_records(t: Tables) -> DataFrame:
-    return compared(t).select("grp", "left", "right", "relation", "reason")
+    """How many records of its group each record is related to in each way, with the reason."""
+    classes, members, pairs = compared(t)
+    counts = ops.partners(pairs, "grp", ["relation", "reason"]).groupBy("cls", "relation", "reason").agg(F.sum("partners").alias("partners"))
+    per_class = counts.groupBy("cls").agg(F.collect_list(F.struct("relation", "reason", "partners")).alias("found"))  # one for each reason
+    return ops.to_members(members, classes, per_class).select("grp", "id", F.inline("found"))
 
 
 def _reference() -> Column:
@@ -104,9 +120,9 @@ def assign_identity(t: Tables) -> DataFrame:
     """Records with smaller ids of the group are the candidates of a record."""
     rows = keyed(t)
     own = {c: F.when(F.col("was_reused"), ops.qualified_key(F.col(r), F.col("source"), F.col("external_id"))).otherwise(F.concat(F.lit("ref:"), F.col(r))).alias(c) for c, r in (("product_key", "base"), ("variant_key", "normalized"))}
-    candidates = rows.select(F.col("id").alias("left"), *own.values(), F.when(F.col("was_reused"), "REUSED").otherwise("ASSIGNED").alias("reference_class"))
-    relations = compared(t).select("left", F.col("right").alias("id"), F.col("signals").alias("relation")).join(candidates, "left")
-    return ops.assign_identity(rows.select("id", "base", "normalized", "placeholder", "source", "external_id"), relations)
+    classes, members, pairs = compared(t)
+    kept = ["id", "base", "normalized", "placeholder", "source", "external_id"]
+    return ops.assign_identity(rows.select(*kept, *own.values(), F.when(F.col("was_reused"), "REUSED").otherwise("ASSIGNED").alias("reference_class")), members, classes, pairs, "grp", "signals")
 
 
 @query("reclassify_references", f"""WITH {_PAIRS}, {_KEYS}, q AS (SELECT grp, count(*) AS pairs, count(*) FILTER (WHERE signals = 'DISTINCT') AS d FROM pairs GROUP BY 1), g AS (SELECT grp, bool_or(placeholder) AS placeholder, count(DISTINCT id) AS variants, bool_and(anchored) AS anchored, bool_and(was_reused) AS validated FROM keys GROUP BY 1),
@@ -114,7 +130,8 @@ def assign_identity(t: Tables) -> DataFrame:
     SELECT grp AS reference, variants, CASE reason WHEN 'syntactic-placeholder-reference' THEN 'PLACEHOLDER' WHEN 'unique-assigned-reference' THEN 'ASSIGNED' WHEN 'validated-record-qualified-reuse' THEN 'REUSED' WHEN 'distinct-objects-reuse-reference' THEN 'REUSED' ELSE 'AMBIGUOUS' END AS class, reason FROM e""")
 def reclassify_references(t: Tables) -> DataFrame:
     members = keyed(t).select(F.col("grp").alias("reference"), "id", "placeholder", "anchored", F.col("was_reused").alias("validated"))
-    return ops.reclassify_references(members, compared(t).select(F.col("grp").alias("reference"), F.col("signals").alias("relation")))
+    _, _, pairs = compared(t)
+    return ops.reclassify_references(members, pairs.select(F.col("grp").alias("reference"), F.col("signals").alias("relation"), "pairs"))
 
 
 _CLUSTERS = f"""WITH RECURSIVE {_PAIRS}, link AS (SELECT "left" AS x, "right" AS y FROM pairs WHERE relation = 'MATCH' UNION ALL SELECT "right", "left" FROM pairs WHERE relation = 'MATCH'),
@@ -127,7 +144,8 @@ _CLUSTERS = f"""WITH RECURSIVE {_PAIRS}, link AS (SELECT "left" AS x, "right" AS
 
 @query("cluster_records", _CLUSTERS + " SELECT grp, id, cluster, relationship, accepted FROM c")
 def cluster_records(t: Tables) -> DataFrame:
-    return ops.cluster_records(records(t), compared(t), "grp", "id", "relation")
+    classes, members, pairs = compared(t)
+    return ops.cluster_records(members, classes, pairs, "grp", "id", "relation")
 
 
 def evidence(t: Tables) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galena.operators import filters, joins
+from galena.operators import filters, identity, joins
 from galena.operators.windows import latest_per_key
 from galena.plans.base import AS_OF, query
 from galena.plans.windows import LATEST_SQL, latest_first
@@ -212,11 +212,13 @@ def promotion_join(t: Tables) -> DataFrame:
 
 
 @query("pairs_within_group", """
-    WITH n AS (SELECT c_nationkey FROM customer GROUP BY 1 HAVING count(*) <= 60)
-    SELECT a.c_nationkey, a.c_custkey AS left_id, b.c_custkey AS right_id FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey WHERE a.c_nationkey IN (SELECT * FROM n)""")
+    SELECT a.c_nationkey, least(a.c_mktsegment, b.c_mktsegment) AS segment, greatest(a.c_mktsegment, b.c_mktsegment) AS other, count(*) AS pairs FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey GROUP BY ALL""")
 def pairs_within_group(t: Tables) -> DataFrame:
-    pairs, _ = joins.pairs_within_group(t.customer.select("c_nationkey", "c_custkey"), "c_nationkey", "c_custkey")
-    return pairs.select("c_nationkey", F.col("left_c_custkey").alias("left_id"), F.col("right_c_custkey").alias("right_id"))
+    """Pairs of customers of a nation by their segments: classes of customers are paired, and tell how many pairs of customers they stand for."""
+    classes, _ = identity.fold_classes(t.customer.select("c_nationkey", "c_custkey", "c_mktsegment"), "c_nationkey", "c_custkey")
+    pairs = identity.class_pairs(classes, "c_nationkey", lambda p: p)
+    ends = [f("left_c_mktsegment", "right_c_mktsegment").alias(c) for f, c in ((F.least, "segment"), (F.greatest, "other"))]
+    return pairs.select("c_nationkey", *ends, F.col("pairs").cast("long").alias("pairs"))
 
 
 _SNAP_SQL = "SELECT l_partkey AS ref, max({0}) AS v FROM lineitem WHERE year(l_shipdate) = {1} GROUP BY 1"

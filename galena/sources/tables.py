@@ -62,7 +62,16 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: it is computed once, and its lineage ends there."""
     at = scratch(df.sparkSession)
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    out._written_at = at  # type: ignore[attr-defined]
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``materialize`` wrote; nothing may read ``df`` any more."""
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(df._written_at)  # type: ignore[attr-defined]
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def upsert_latest(current: DataFrame, incoming: DataFrame, keys: list[str], version: str, ties: list[str]) -> DataFrame:

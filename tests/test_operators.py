@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 import unicodedata
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from galena.functions import reference, text
 from galena.operators import filters, identity, joins, resolution, windows
+from galena.operators.components import components
 from galena.sources import pages, tables
 from galena.streaming import jobs
 
@@ -53,14 +55,21 @@ def test_resolution_reasons(spark):
     assert got == {1: (5, False, "single-value", 1), 2: (5, True, "priority", 2), 3: (5, True, "confidence", 4), 4: (5, False, "recency", 7)}
 
 
+def clusters_of(nodes, pairs):
+    """Clusters where every record is a class of its own."""
+    classes = nodes.select("g", F.col("id").cast("string").alias("cls"), F.lit(1).cast("long").alias("n"), F.col("id").alias("first"))
+    sides = [c for x in ("left", "right") for c in (F.col(x).cast("string").alias(f"{x}_cls"), F.lit(1).cast("long").alias(f"{x}_n"), F.col(x).alias(f"{x}_first"))]
+    return identity.cluster_records(nodes.withColumn("cls", F.col("id").cast("string")), classes, pairs.select("g", "relation", *sides), "g", "id", "relation")
+
+
 def test_clusters_are_components_and_accepted_only_if_cliques(spark):
     nodes = spark.createDataFrame([("a", i) for i in (1, 2, 3, 4)] + [("b", i) for i in (5, 6, 7)], "g string, id int")
     pairs = [("a", 1, 2, "MATCH"), ("a", 3, 4, "MATCH")] + [("a", x, y, "DISTINCT") for x, y in ((1, 3), (1, 4), (2, 3), (2, 4))]
     pairs += [("b", 5, 6, "MATCH"), ("b", 6, 7, "MATCH"), ("b", 5, 7, "DISTINCT")]
     df = spark.createDataFrame(pairs, "g string, left int, right int, relation string")
-    got = {r.id: (r.cluster, r.accepted) for r in identity.cluster_records(nodes, df, "g", "id", "relation").collect()}
+    got = {r.id: (r.cluster, r.accepted) for r in clusters_of(nodes, df).collect()}
     assert got == {1: (1, True), 2: (1, True), 3: (3, True), 4: (3, True), 5: (5, False), 6: (5, False), 7: (5, False)}
-    clusters = identity.cluster_records(nodes, df, "g", "id", "relation")
+    clusters = clusters_of(nodes, df)
     for odd, action in ((None, "SPLIT"), ("STRONG_MISMATCH", "REVIEW"), ("WEAK", "REVIEW")):
         evidence = nodes.select("id", F.when((F.col("id") == 1) & F.lit(odd is not None), odd).otherwise("EXACT").alias("evidence"))
         assert {r.g: r.action for r in identity.group_verdict(clusters, evidence, "g", "id").collect()} == {"a": action, "b": "REVIEW"}
@@ -119,13 +128,68 @@ def test_references_are_composed(spark):
 
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(i + 1, i) for i in range(20)] + [(50, 51), (51, 50)], "a int, b int")
-    assert {r.id: r.cluster for r in identity.components(edges).collect()} == {**{i: 0 for i in range(21)}, 50: 50, 51: 50}
+    assert {r.id: r.cluster for r in components(edges).collect()} == {**{i: 0 for i in range(21)}, 50: 50, 51: 50}
+
+
+def test_components_of_hubs_long_chains_and_nothing(spark):
+    """A star whose hub has the largest id, one whose hub has the smallest, and a chain longer than any bound on rounds."""
+    star = [(100_000, i) for i in range(10_000, 13_000)] + [(20_000, i) for i in range(20_001, 23_000)]
+    chain = [(30_000 + 7 * i % 601, 30_000 + 7 * (i + 1) % 601) for i in range(600)]
+    edges = spark.createDataFrame([*star, *chain, (5, 5), (None, 7), (9, 8), (9, 8)], "a int, b int")
+    got = {r.id: r.cluster for r in components(edges).collect()}
+    want = {**{i: 10_000 for i in (*range(10_000, 13_000), 100_000)}, **{i: 20_000 for i in range(20_000, 23_000)}, **{30_000 + i: 30_000 for i in range(601)}, 5: 5, 8: 8, 9: 8}
+    assert got == want
+    assert components(edges.limit(0)).count() == 0
+
+
+def test_classes_stand_for_the_pairs_of_their_records(spark):
+    """Counts and clusters by classes are those by records, with repeated facts, maps, nulls and classes that don't match themselves."""
+    rng = random.Random(4)
+    rows = [(f"g{rng.randrange(3)}", i, rng.choice(["a", "b", None]), rng.choice([1, 2, None]), {"x": rng.randrange(2)}) for i in range(120)]
+    told = spark.createDataFrame(rows, "g string, id int, name string, year int, m map<string,int>")
+
+    def relation(a, b):
+        if a[2] is None or b[2] is None:
+            return "AMBIGUOUS"
+        return "MATCH" if a[2] == b[2] and a[3] == b[3] and a[3] is not None and a[4] == b[4] else "DISTINCT"
+
+    def compare(pairs):
+        same = F.col("left_name") == F.col("right_name")
+        alike = same & (F.col("left_year") == F.col("right_year")) & (F.element_at("left_m", "x") == F.element_at("right_m", "x"))
+        return pairs.withColumn("relation", F.when(F.col("left_name").isNull() | F.col("right_name").isNull(), "AMBIGUOUS").when(F.coalesce(alike, F.lit(False)), "MATCH").otherwise("DISTINCT"))
+
+    classes, members = identity.fold_classes(told, "g", "id")
+    pairs = identity.class_pairs(classes, "g", compare)
+    counts = identity.partners(pairs, "g", ["relation"]).groupBy("cls", "relation").agg(F.sum("partners").alias("partners"))
+    got = {(r.id, r.relation): r.partners for r in members.join(counts, "cls").collect()}
+    want: dict = {}
+    for a in rows:
+        for b in rows:
+            if a[0] == b[0] and a[1] != b[1]:
+                want[a[1], relation(a, b)] = want.get((a[1], relation(a, b)), 0) + 1
+    assert got == want
+    assert classes.count() < 60 and pairs.agg(F.sum("pairs")).first()[0] == sum(want.values()) // 2
+    label = {r[1]: r[1] for r in rows}
+    for a in rows:
+        for b in rows:
+            if a[0] == b[0] and relation(a, b) == "MATCH" and a[1] != b[1]:
+                label[a[1]] = min(label[a[1]], b[1])  # matches are cliques here
+    assert {r.id: r.cluster for r in identity.cluster_records(members, classes, pairs, "g", "id", "relation").collect()} == label
+
+
+def test_many_records_of_one_group(spark):
+    """A group's work depends on its different facts only."""
+    told = spark.range(200_000).select(F.lit("g").alias("g"), "id", (F.col("id") % 5).alias("name"))
+    classes, members = identity.fold_classes(told, "g", "id")
+    pairs = identity.class_pairs(classes, "g", lambda p: p.withColumn("relation", F.when(F.col("left_name") == F.col("right_name"), "MATCH").otherwise("DISTINCT")))
+    out = identity.cluster_records(members, classes, pairs, "g", "id", "relation")
+    assert sorted(map(tuple, out.groupBy("cluster", "relationship", "accepted").count().collect())) == [(i, "MATCH", True, 40_000) for i in range(5)]
 
 
 def test_clusters_of_a_chain_are_not_accepted(spark):
     nodes = spark.createDataFrame([("g", i) for i in (1, 2, 3, 4)], "g string, id int")
     pairs = spark.createDataFrame([("g", 1, 2, "MATCH"), ("g", 2, 3, "MATCH"), ("g", 1, 3, "AMBIGUOUS"), ("g", 1, 4, "DISTINCT"), ("g", 2, 4, "DISTINCT"), ("g", 3, 4, "DISTINCT")], "g string, left int, right int, relation string")
-    got = {r.id: (r.cluster, r.relationship, r.accepted) for r in identity.cluster_records(nodes, pairs, "g", "id", "relation").collect()}
+    got = {r.id: (r.cluster, r.relationship, r.accepted) for r in clusters_of(nodes, pairs).collect()}
     assert got == {1: (1, "AMBIGUOUS", False), 2: (1, "AMBIGUOUS", False), 3: (1, "AMBIGUOUS", False), 4: (4, "SINGLETON", False)}
 
 

@@ -10,7 +10,7 @@ import pytest
 
 from galena.plans import ORACLES, QUERIES
 
-FOLDER = "/root/testdata/sf0.001"
+FOLDER = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
