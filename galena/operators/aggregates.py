@@ -58,6 +58,33 @@ def progress(members: DataFrame, states: DataFrame, group: str, product: str) ->
     return rows.groupBy(group).agg(F.count("*").alias("total"), F.count_if(owned).alias("owned"), F.count_if(~owned & wanted).alias("wanted"), F.count_if(~owned & ~wanted).alias("missing"))
 
 
+def wave_items(items: DataFrame, variants: DataFrame, states: DataFrame) -> DataFrame:
+    """Waves with total, owned, wanted, missing and their items in official order.
+
+    ``items``: wave, place, product; ``variants``: product, variant_id; ``states``: variant_id, owned, wanted (of one collector or many).
+    An item shows the smallest variant of its product, is owned or wanted if any variant is, and owning wins; an item
+    whose product has no variant is left out. Items in one place follow by representative.
+    """
+    state = states.groupBy("variant_id").agg(F.bool_or("owned").alias("owned"), F.bool_or("wanted").alias("wanted"))
+    told = variants.join(state, "variant_id", "left").groupBy("product").agg(
+        F.min("variant_id").alias("representative"), F.count("*").alias("variants"), F.coalesce(F.bool_or("owned"), F.lit(False)).alias("owned"), F.coalesce(F.bool_or("wanted"), F.lit(False)).alias("wanted")
+    )
+    rows = items.join(told, "product")
+    listed = F.array_sort(F.collect_list(F.struct("place", "representative", "variants", "owned", "wanted"))).alias("items")
+    owned, wanted = F.col("owned"), ~F.col("owned") & F.col("wanted")
+    out = rows.groupBy("wave").agg(F.count("*").alias("total"), F.count_if(owned).alias("n_owned"), F.count_if(wanted).alias("wanted"), listed)
+    return out.select("wave", "total", F.col("n_owned").alias("owned"), "wanted", (F.col("total") - F.col("n_owned") - F.col("wanted")).alias("missing"), "items")
+
+
+def member_bitmaps(df: DataFrame, by: list[str], member: str, *more: Column) -> DataFrame:
+    """by, bucket, members: which non-negative whole numbers ``member`` each group has, as a bitmap for each bucket of them; and aggregates ``more``.
+
+    Bitmaps of one bucket can be united at any level above; their counts, summed over the buckets, are exact counts of different members.
+    """
+    bits = df.select("*", F.bitmap_bucket_number(F.col(member)).alias("bucket"), F.bitmap_bit_position(F.col(member)).alias("__bit"))
+    return bits.groupBy(*by, "bucket").agg(F.bitmap_construct_agg("__bit").alias("members"), *more)
+
+
 def segment_coverage(segments: dict[str, DataFrame], facts: dict[str, DataFrame], id: str) -> DataFrame:
     """For each named segment of ids: its size, and how many have each fact."""
     rows = reduce(DataFrame.unionByName, [df.select(id).distinct().withColumn("segment", F.lit(name)) for name, df in segments.items()])

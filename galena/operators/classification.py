@@ -172,6 +172,37 @@ def candidate_status(evidence: DataFrame, key: str) -> DataFrame:
     return e.select(key, status.alias("status"), "sources")
 
 
+def oversize_candidate(form: Column, variant: Column, product: Column) -> Column:
+    """Whether a decoration toy is called XXL, as a word of its variant's or product's name."""
+    names = F.concat(F.coalesce(variant, F.lit("")), F.lit(" "), F.coalesce(product, F.lit("")))
+    return F.coalesce((form == "Decoration toy") & F.lower(names).rlike("(^|[^a-z0-9])xxl([^a-z0-9]|$)"), F.lit(False))
+
+
+def candidate_plan(discovered: DataFrame, community: DataFrame, official: DataFrame, local: DataFrame, markets: list[str]) -> DataFrame:
+    """A candidate for each reference that discovery snapshots list, with the evidence for it from all snapshots.
+
+    ``discovered``: ref, order (of snapshots and their entries), announced (year), url; ``community``: ref, announced; ``official``: ref, market,
+    confirmed; ``local``: ref of products that are there. The first entry of a reference speaks for it, the others are counted as passed over. ``sources``
+    has a bit for discovery (1), one for the community (2) and one for each market with a confirmation (4, 8, ..). A reference that is there
+    already is a candidate only if it is confirmed. Years of the first entry and of all community rows that differ are a conflict.
+
+    Every snapshot is reduced to a row for each reference by aggregates that combine in the map tasks; null years and references tell nothing.
+    """
+    first = discovered.where("ref IS NOT NULL").groupBy("ref").agg(F.min_by(F.struct("announced", "url"), "order").alias("f"), (F.count("*") - 1).alias("passed_over"))
+    seen = community.groupBy("ref").agg(F.count("*").alias("community"), F.collect_set("announced").alias("told"))
+    bit = F.coalesce(*[F.when(F.col("market") == m, 4 << i) for i, m in enumerate(markets)])
+    confirmed = official.where("confirmed").groupBy("ref").agg(F.count("*").alias("official"), F.bit_or(bit).alias("bits"))
+    rows = first.join(seen, "ref", "left").join(confirmed, "ref", "left").join(local.select("ref").distinct().withColumn("imported", F.lit(True)), "ref", "left")
+    none = F.array().cast("array<int>")
+    years = F.array_sort(F.array_distinct(F.concat(F.coalesce("told", none), F.when(F.col("f.announced").isNotNull(), F.array("f.announced")).otherwise(none))))
+    rows = rows.select("ref", "f.*", "passed_over", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("community", "official", "bits")), F.coalesce("imported", F.lit(False)).alias("imported"), years.alias("years"))
+    sources = 1 + F.when(F.col("community") > 0, 2).otherwise(0) + F.col("bits")
+    conflict = F.size("years") > 1
+    status = F.when(F.col("imported"), "IMPORTED").when(F.col("official") > 0, "OFFICIAL_CONFIRMED").when(conflict, "CONFLICTING").when(sources > 1, "CORROBORATED").otherwise("DISCOVERED")
+    reason = F.when(status == "CONFLICTING", F.array_join("years", ", "))
+    return rows.where(~F.col("imported") | (F.col("official") > 0)).select("ref", "url", "announced", "community", "official", "passed_over", sources.cast("int").alias("sources"), status.alias("status"), reason.alias("conflict"))
+
+
 def with_zero_rows(counts: DataFrame, column: str, names: list[str]) -> DataFrame:
     """Counts in the order of ``names``, with 0 for names that don't occur."""
     listed = counts.sparkSession.createDataFrame([(i, n) for i, n in enumerate(names)], f"place int, {column} string")

@@ -66,15 +66,5 @@ def price_history(df: DataFrame, keys: list[str], at: list[str], price: str) ->
     return df.groupBy(*keys).agg(F.count("*").alias("n"), F.max_by(price, order).alias("current"), F.min_by(price, order).alias("first"), F.min(price).alias("lowest"), F.max(price).alias("highest"))
 
 
-def refresh_bucket(id: str, buckets: int) -> Column:
-    """Which of the refresh buckets an id belongs to; reads nothing but the id."""
-    return F.pmod(F.crc32(F.col(id).cast("string")), F.lit(buckets))
-
-
 def latest_list_price(listed: DataFrame) -> DataFrame:
     return latest_per_key(listed, ["variant_id", "market_id"], [F.desc("observed_at"), F.desc("obs_id"), F.desc("list_cents")])
-
-
-def list_price_history(listed: DataFrame) -> DataFrame:
-    w = Window.partitionBy("variant_id", "market_id").orderBy("observed_at", "obs_id", "list_cents")
-    return listed.withColumn("before", F.lag("list_cents").over(w))

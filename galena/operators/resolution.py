@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from galena.operators.joins import join_counted
 from galena.sources.tables import materialize
 
 
@@ -80,6 +81,12 @@ def rekey_plan(df: DataFrame, id: str, old: str, new: Column) -> DataFrame:
     return rows.join(taken, "new_key").where(~F.col("old_key").eqNullSafe(F.col("new_key"))).select(id, "old_key", "new_key", (F.col("__n") > 1).alias("collision"))
 
 
+def run_summary(rows: DataFrame, run: str, outcome: str) -> DataFrame:
+    """Counters of each run (created, updated, unchanged, error) and its status: PARTIAL if anything failed."""
+    n = {name: F.count_if(F.col(outcome) == kind).alias(name) for name, kind in (("created", "created"), ("updated", "updated"), ("unchanged", "unchanged"), ("errors", "error"))}
+    return rows.groupBy(run).agg(F.count("*").alias("seen"), *n.values()).withColumn("status", F.when(F.col("errors") > 0, "PARTIAL").otherwise("SUCCESS"))
+
+
 def product_plan(clusters: DataFrame, existing: DataFrame) -> DataFrame:
     """What happens to the product of each cluster of a split plan, and whether its key collides.
 
@@ -88,12 +95,15 @@ def product_plan(clusters: DataFrame, existing: DataFrame) -> DataFrame:
     whose planned key is there already reuses that product; all others are created. Two clusters with one planned
     key collide, and so does a key that belongs to a product outside the plan's own.
     """
-    rows = clusters.join(existing.select(F.col("key"), F.col("product").alias("there")), "key", "left")
-    first = F.row_number().over(Window.partitionBy("product").orderBy("grp", "cluster")) == 1
-    twice = F.count("*").over(Window.partitionBy("key")) > 1
-    action = F.when(first & (F.col("shared") == 0), "KEEP").when(F.col("there").isNotNull(), "REUSE").otherwise("CREATE")
+    # A product may have any number of clusters: its first one and the number of each key are aggregated and joined back.
+    rows = materialize(clusters.join(existing.select(F.col("key"), F.col("product").alias("there")), "key", "left").withColumn("__known", F.coalesce("product", F.lit(""))))
+    first = rows.groupBy("__known").agg(F.count("*").alias("__n"), F.min(F.struct("grp", "cluster")).alias("__first"))
+    keys = rows.groupBy("key").agg(F.count("*").alias("__planned"))
+    rows = join_counted(join_counted(rows, first, "__known", "__n"), keys, "key", "__planned")
+    is_first = F.col("__first") == F.struct("grp", "cluster")
+    action = F.when(is_first & (F.col("shared") == 0), "KEEP").when(F.col("there").isNotNull(), "REUSE").otherwise("CREATE")
     outside = F.coalesce(F.col("there") != F.col("product"), F.lit(False))
-    collision = F.when(twice, "DUPLICATE_PLANNED_KEY").when(outside & (action == "KEEP"), "KEY_OUTSIDE_PLAN")
+    collision = F.when(F.col("__planned") > 1, "DUPLICATE_PLANNED_KEY").when(outside & (action == "KEEP"), "KEY_OUTSIDE_PLAN")
     return rows.select("grp", "cluster", action.alias("action"), collision.alias("collision"))
 
 

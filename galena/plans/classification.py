@@ -81,9 +81,14 @@ def commercial_context(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", ops.commercial_context(label, tags).alias("context"))
 
 
-@query("rule_category", "SELECT p_partkey, regexp_matches(lower(p_name || ' ' || p_type), '(^| )(xxl|large|giant)( |$)') AS xxl FROM part")
+@query("rule_category", r"""
+    WITH n AS (SELECT p_partkey, CASE WHEN p_type IN ('PROMO', 'SMALL', 'LARGE') THEN 'Decoration toy' WHEN p_size % 3 = 0 THEN 'decoration toy' END AS format, CASE p_size % 7 WHEN 0 THEN p_name || ' XXL' WHEN 1 THEN 'xxl-' || p_name WHEN 2 THEN p_name || ' xxlarge' WHEN 3 THEN NULL ELSE p_name END AS variant, CASE WHEN p_size % 5 = 0 THEN '(XxL)' ELSE p_brand END AS product FROM part)
+    SELECT p_partkey, coalesce(format = 'Decoration toy' AND regexp_matches(coalesce(variant, '') || ' ' || coalesce(product, ''), '(?i)(^|[^a-z0-9])xxl([^a-z0-9]|$)'), FALSE) AS xxl FROM n""")
 def rule_category(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", F.lower(F.concat_ws(" ", "p_name", "p_type")).rlike("(^| )(xxl|large|giant)( |$)").alias("xxl"))
+    size, name = F.col("p_size"), F.col("p_name")
+    form = F.when(F.col("p_type").isin("PROMO", "SMALL", "LARGE"), "Decoration toy").when(size % 3 == 0, "decoration toy")
+    variant = F.when(size % 7 == 0, F.concat(name, F.lit(" XXL"))).when(size % 7 == 1, F.concat(F.lit("xxl-"), name)).when(size % 7 == 2, F.concat(name, F.lit(" xxlarge"))).when(size % 7 != 3, name)
+    return t.part.select("p_partkey", ops.oversize_candidate(form, variant, F.when(size % 5 == 0, "(XxL)").otherwise(F.col("p_brand"))).alias("xxl"))
 
 
 _STATUS = """e AS (SELECT l_partkey AS ref, bool_or(l_quantity = 50 AND l_discount > 0.08) AS i, bool_or(l_suppkey % 50 = 0) AS o, count(DISTINCT l_returnflag) AS claims, count(DISTINCT l_suppkey) AS sources FROM lineitem GROUP BY 1),
@@ -100,9 +105,32 @@ def candidate_status(t: Tables) -> DataFrame:
     return statuses(t)
 
 
-@query("candidate_plan", f"WITH {_STATUS} SELECT p_partkey, coalesce(status, 'ABSENT') AS status FROM part LEFT JOIN st ON ref = p_partkey")
+_MARKETS = ["fr-FR", "de-DE", "en-US"]
+
+
+@query("candidate_plan", """
+    WITH l AS (SELECT l_partkey // 3 AS ref, l_orderkey AS place, l_linenumber AS n, l_suppkey, l_quantity, CASE WHEN l_tax > 0.01 THEN year(l_shipdate) END AS announced FROM lineitem),
+    d AS (SELECT ref, CASE WHEN n IN (1, 3) THEN 0 ELSE 1 END AS snapshot, place, n, announced, 'https://' || CAST(snapshot AS VARCHAR) || '/' || CAST(place AS VARCHAR) || '/' || CAST(n AS VARCHAR) AS url FROM l WHERE n IN (1, 2, 3)),
+    f AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY ref ORDER BY snapshot, place, n) = 1),
+    k AS (SELECT ref, count(*) - 1 AS passed_over FROM d GROUP BY 1),
+    c AS (SELECT ref, count(*) AS n, list(DISTINCT announced) FILTER (WHERE announced IS NOT NULL) AS years FROM l WHERE n = 4 GROUP BY 1),
+    o AS (SELECT ref, count(*) AS n, list(DISTINCT l_suppkey % 3) AS markets FROM l WHERE n >= 5 AND l_quantity > 35 GROUP BY 1),
+    loc AS (SELECT DISTINCT p_partkey // 3 AS ref FROM part WHERE p_size > 40),
+    p AS (SELECT f.*, passed_over, coalesce(c.n, 0) AS community, coalesce(o.n, 0) AS official, loc.ref IS NOT NULL AS imported, list_sort(list_distinct(list_concat(coalesce(c.years, []), CASE WHEN announced IS NULL THEN [] ELSE [announced] END))) AS years,
+        1 + CASE WHEN c.n > 0 THEN 2 ELSE 0 END + coalesce(list_sum(list_transform(o.markets, lambda m: CASE m WHEN 0 THEN 4 WHEN 1 THEN 8 ELSE 16 END)), 0) AS sources FROM f JOIN k USING (ref) LEFT JOIN c ON c.ref = f.ref LEFT JOIN o ON o.ref = f.ref LEFT JOIN loc ON loc.ref = f.ref)
+    SELECT ref, url, announced, community, official, passed_over, CAST(sources AS INT) AS sources, CASE WHEN imported THEN 'IMPORTED' WHEN official > 0 THEN 'OFFICIAL_CONFIRMED' WHEN len(years) > 1 THEN 'CONFLICTING' WHEN sources > 1 THEN 'CORROBORATED' ELSE 'DISCOVERED' END AS status,
+        CASE WHEN NOT imported AND official = 0 AND len(years) > 1 THEN array_to_string(years, ', ') END AS conflict FROM p WHERE NOT imported OR official > 0""")
 def candidate_plan(t: Tables) -> DataFrame:
-    return t.part.join(statuses(t), F.col("ref") == F.col("p_partkey"), "left").select("p_partkey", F.coalesce("status", F.lit("ABSENT")).alias("status"))
+    """Two discovery snapshots (lines 1 and 3, then 2), a community one (line 4) and an official one (lines from 5 on), against what is there already."""
+    rows = t.lineitem.select(F.floor(F.col("l_partkey") / 3).alias("ref"), F.col("l_orderkey").alias("place"), F.col("l_linenumber").alias("n"), "l_suppkey", "l_quantity", F.when(F.col("l_tax") > 0.01, F.year("l_shipdate")).alias("announced"))
+    snapshot = F.when(F.col("n").isin(1, 3), 0).otherwise(1)
+    url = F.concat(F.lit("https://"), F.concat_ws("/", F.col("snapshot").cast("string"), F.col("place").cast("string"), F.col("n").cast("string")))
+    discovered = rows.where("n <= 3").withColumn("snapshot", snapshot).select("ref", F.struct("snapshot", "place", "n").alias("order"), "announced", url.alias("url"))
+    community = rows.where("n = 4").select("ref", "announced")
+    market = F.get(F.array(*map(F.lit, _MARKETS)), (F.col("l_suppkey") % 3).cast("int"))
+    official = rows.where("n >= 5").select("ref", market.alias("market"), (F.col("l_quantity") > 35).alias("confirmed"))
+    local = t.part.where("p_size > 40").select(F.floor(F.col("p_partkey") / 3).alias("ref"))
+    return ops.candidate_plan(discovered, community, official, local, _MARKETS)
 
 
 _NAMES = ["IMPORTED", "OFFICIAL", "CONFLICTING", "CORROBORATED", "DISCOVERED", "REJECTED"]
@@ -114,7 +142,7 @@ def recent_status(t: Tables) -> DataFrame:
 
 
 @query("lookup_decision", """
-    WITH found AS (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_quantity = 50 GROUP BY 1), b AS (SELECT p_partkey, p_size, CASE WHEN p_size % 11 = 0 THEN 'X' || CAST(p_partkey AS VARCHAR) WHEN p_size % 13 = 0 THEN '000' WHEN p_size % 5 = 0 THEN CAST(100 + p_partkey // 10 AS VARCHAR) ELSE CAST(100000 + p_partkey AS VARCHAR) END AS base FROM part),
+    WITH found AS (SELECT l_partkey, count(*) AS n FROM (SELECT l_partkey, l_suppkey FROM lineitem GROUP BY 1, 2 HAVING count(*) > 2) GROUP BY 1), b AS (SELECT p_partkey, p_size, CASE WHEN p_size % 11 = 0 THEN 'X' || CAST(p_partkey AS VARCHAR) WHEN p_size % 13 = 0 THEN '000' WHEN p_size % 5 = 0 THEN CAST(100 + p_partkey // 10 AS VARCHAR) ELSE CAST(100000 + p_partkey AS VARCHAR) END AS base FROM part),
     u AS (SELECT *, count(*) OVER (PARTITION BY base) AS using_base FROM b)
     SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'SKIP' WHEN NOT regexp_full_match(base, '[0-9]{3,8}') OR regexp_full_match(base, '0+') THEN 'SKIP' WHEN using_base <> 1 THEN 'REVIEW' WHEN coalesce(n, 0) = 0 THEN 'ABSENT' WHEN n <> 1 THEN 'REVIEW' ELSE 'MATCH_UNIQUE' END AS status,
         CASE WHEN p_partkey % 7 = 0 THEN 'UNSAFE_IDENTITY' WHEN NOT regexp_full_match(base, '[0-9]{3,8}') OR regexp_full_match(base, '0+') THEN 'NON_NUMERIC_REFERENCE' WHEN using_base <> 1 THEN 'REUSED_BASE' WHEN coalesce(n, 0) > 1 THEN 'MULTIPLE_SOURCE_MATCHES' END AS reason FROM u LEFT JOIN found ON l_partkey = p_partkey""")
@@ -122,7 +150,8 @@ def lookup_decision(t: Tables) -> DataFrame:
     key, size = F.col("p_partkey"), F.col("p_size")
     base = F.when(size % 11 == 0, F.concat(F.lit("X"), key.cast("string"))).when(size % 13 == 0, "000").when(size % 5 == 0, (100 + F.floor(key / 10)).cast("string")).otherwise((100000 + key).cast("string"))
     rows = t.part.select(key, base.alias("base"), F.when(key % 7 == 0, "REUSED").otherwise("ASSIGNED").alias("cls"))
-    found = t.lineitem.where("l_quantity = 50").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("found"))
+    listed = t.lineitem.groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n")).where("n > 2")
+    found = listed.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("found"))
     using = rows.groupBy("base").agg(F.count("*").alias("using_base"))
     joined = rows.join(using, "base").join(found, "p_partkey", "left")
     return joined.select("p_partkey", ops.lookup_decision(F.col("cls"), F.col("base"), F.col("using_base"), F.coalesce("found", F.lit(0))).alias("d")).select("p_partkey", "d.*")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from galena.operators import aggregates as ops
+from galena.operators import edits as edits_ops
 from galena.operators.windows import latest_per_key
 from galena.plans.aggregates import _STATES, states
 from galena.plans.base import query
@@ -32,10 +33,20 @@ def collector_summary(t: Tables) -> DataFrame:
 _PROGRESS = "count(*) AS total, count(*) FILTER (WHERE coalesce(owned, FALSE)) AS owned, count(*) FILTER (WHERE NOT coalesce(owned, FALSE) AND coalesce(wanted, FALSE)) AS wanted, count(*) FILTER (WHERE NOT coalesce(owned, FALSE) AND NOT coalesce(wanted, FALSE)) AS missing"
 
 
-@query("wave_progress", with_views("copies wishes", f", {_STATES}, m AS (SELECT DISTINCT l_orderkey AS wave, l_partkey AS variant_id FROM lineitem) SELECT wave, {_PROGRESS} FROM m LEFT JOIN states USING (variant_id) GROUP BY wave"))
+_WAVES = f"""{_STATES}, prod AS (SELECT p_partkey // 2 AS product, min(p_partkey) AS representative, count(*) AS variants, bool_or(coalesce(owned, FALSE)) AS owned, bool_or(coalesce(wanted, FALSE)) AS wanted FROM part LEFT JOIN (SELECT variant_id, bool_or(owned) AS owned, bool_or(wanted) AS wanted FROM states GROUP BY 1) ON variant_id = p_partkey GROUP BY 1),
+    m AS (SELECT l_orderkey AS wave, l_linenumber AS place, l_partkey // 2 AS product FROM lineitem), item AS (SELECT wave, place, representative, variants, owned, wanted FROM m JOIN prod USING (product))"""
+
+
+@query("wave_progress", with_views("copies wishes", f""", {_WAVES} SELECT wave, year(o_orderdate) AS release_year, count(*) AS total, count(*) FILTER (WHERE owned) AS owned, count(*) FILTER (WHERE NOT owned AND wanted) AS wanted, count(*) FILTER (WHERE NOT owned AND NOT wanted) AS missing,
+    string_agg(CAST(place AS VARCHAR) || ':' || CAST(representative AS VARCHAR) || '/' || CAST(variants AS VARCHAR) || CASE WHEN owned THEN '+' WHEN wanted THEN '?' ELSE '-' END, ' ' ORDER BY place, representative) AS items FROM item JOIN orders ON o_orderkey = wave GROUP BY ALL"""))
 def wave_progress(t: Tables) -> DataFrame:
-    members = t.lineitem.select(F.col("l_orderkey").alias("wave"), F.col("l_partkey").alias("variant_id"))
-    return ops.progress(members, states(t), "wave", "variant_id")
+    """Waves (orders) with their items in official order (line number): the representative variant of the product, how many variants it has, and whether one is owned or wanted."""
+    variants = t.part.select(F.floor(F.col("p_partkey") / 2).alias("product"), F.col("p_partkey").alias("variant_id"))
+    items = t.lineitem.select(F.col("l_orderkey").alias("wave"), F.col("l_linenumber").alias("place"), F.floor(F.col("l_partkey") / 2).alias("product"))
+    waves = t.orders.select(F.col("o_orderkey").alias("wave"), F.year("o_orderdate").alias("release_year"))
+    out = ops.wave_items(items, variants, states(t)).join(waves, "wave")
+    mark = lambda i: F.concat(i["place"].cast("string"), F.lit(":"), i["representative"].cast("string"), F.lit("/"), i["variants"].cast("string"), F.when(i["owned"], "+").when(i["wanted"], "?").otherwise("-"))
+    return out.select("wave", "release_year", "total", "owned", "wanted", "missing", F.array_join(F.transform("items", mark), " ").alias("items"))
 
 
 @query("category_progress", with_views("copies wishes", f", {_STATES} SELECT p_type, {_PROGRESS}, min_by(p_partkey, (p_size, p_partkey)) AS representative FROM part LEFT JOIN states ON variant_id = p_partkey GROUP BY p_type"))
@@ -61,10 +72,15 @@ def theme_view(t: Tables) -> DataFrame:
 @query("theme_navigation", """
     SELECT r_name, n_name, count(DISTINCT l_partkey) AS variants, min(year(l_shipdate)) AS first_year FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY GROUPING SETS ((r_name), (r_name, n_name))""")
 def theme_navigation(t: Tables) -> DataFrame:
+    """Lines are shuffled once, by supplier and part, into bitmaps of parts; nations and regions are unions of those."""
     tree = t.nation.join(t.region, F.col("r_regionkey") == F.col("n_regionkey")).select("n_nationkey", "n_name", "r_name")
-    rows = t.lineitem.join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey")).join(F.broadcast(tree), F.col("n_nationkey") == F.col("s_nationkey"))
+    place = t.supplier.join(F.broadcast(tree), F.col("n_nationkey") == F.col("s_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), "n_name", "r_name")
+    years = F.min(F.year("l_shipdate")).alias("first_year")
+    lowest = ops.member_bitmaps(t.lineitem, ["l_suppkey"], "l_partkey", years)
+    rows = lowest.join(place, "l_suppkey")
     r, n = F.col("r_name"), F.col("n_name")
-    return rows.groupingSets([[r], [r, n]], r, n).agg(F.count_distinct("l_partkey").alias("variants"), F.min(F.year("l_shipdate")).alias("first_year"))
+    sets = rows.groupingSets([[r, F.col("bucket")], [r, n, F.col("bucket")]], r, n, F.col("bucket")).agg(F.bitmap_or_agg("members").alias("members"), F.min("first_year").alias("first_year"))
+    return sets.groupBy("r_name", "n_name").agg(F.sum(F.bitmap_count("members")).alias("variants"), F.min("first_year").alias("first_year"))
 
 
 @query("upcoming_candidates", """
@@ -125,11 +141,39 @@ def counter_deltas(t: Tables) -> DataFrame:
     return edits(t).groupBy("user_id").agg(signed("purchase", "error").alias("copies"), signed("signup", "purchase").alias("wishes"))
 
 
-@query("edit_validation", """
-    SELECT event_id, CASE WHEN value < 1 THEN 'price' WHEN CAST(json_extract(props, '$.k') AS INT) > 95 THEN 'notes' END AS reject, least(greatest(CAST(json_extract(props, '$.k') AS INT) // 25, 0), 3) AS priority FROM events""")
+_FORM = """k AS (SELECT event_id, event_type, value, ts, CAST(json_extract(props, '$.k') AS INT) AS k FROM events),
+    form AS (SELECT event_id, k, CASE k % 5 WHEN 0 THEN 'GOOD' WHEN 1 THEN 'SEALED' WHEN 2 THEN 'good' WHEN 3 THEN NULL ELSE event_type END AS condition, CASE k % 4 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' WHEN 2 THEN 'maybe' END AS complete,
+        CASE k % 6 WHEN 0 THEN ' ' || strftime(ts, '%Y-%m-%d') || ' ' WHEN 1 THEN '2023-02-30' WHEN 2 THEN 'soon' WHEN 3 THEN '' WHEN 4 THEN strftime(ts, '%Y-%m-%d') END AS date,
+        CASE k % 9 WHEN 0 THEN '-1' WHEN 1 THEN 'abc' WHEN 2 THEN '1000000.5' WHEN 3 THEN ' ' WHEN 4 THEN NULL WHEN 5 THEN '12,5' WHEN 6 THEN '1000000' ELSE CAST(k AS VARCHAR) || ',25' END AS price,
+        CASE k % 3 WHEN 0 THEN ' usd ' WHEN 1 THEN 'dollars' END AS currency, CASE WHEN k % 10 = 0 THEN '  ' WHEN k % 7 > 0 THEN ' ' || repeat('n', 40 * k) || ' ' END AS notes,
+        CASE k % 8 WHEN 0 THEN '9' WHEN 1 THEN '-4' WHEN 2 THEN 'x' WHEN 3 THEN NULL WHEN 4 THEN ' 2nd' ELSE CAST(k % 5 AS VARCHAR) END AS priority FROM k),
+    parsed AS (SELECT *, trim(coalesce(price, '')) = '' AS unpriced, try_cast(replace(trim(price), ',', '.') AS DOUBLE) AS amount FROM form)"""
+
+
+@query("edit_validation", f"""WITH {_FORM}
+    SELECT event_id, CASE WHEN NOT unpriced AND (amount IS NULL OR amount < 0 OR amount > 1000000) THEN 'price' END AS reject, CASE WHEN condition IN ('SEALED', 'NEW', 'EXCELLENT', 'GOOD', 'FAIR', 'POOR', 'UNKNOWN') THEN condition ELSE 'UNKNOWN' END AS condition,
+        CASE complete WHEN 'yes' THEN TRUE WHEN 'no' THEN FALSE END AS complete, CAST(try_strptime(nullif(trim(coalesce(date, '')), ''), '%Y-%m-%d') AS DATE) AS date, CASE WHEN amount BETWEEN 0 AND 1000000 THEN CAST(round(amount * 100) AS BIGINT) END AS price_cents,
+        CASE WHEN amount BETWEEN 0 AND 1000000 THEN CASE WHEN length(trim(coalesce(currency, 'EUR'))) = 3 THEN upper(trim(coalesce(currency, 'EUR'))) ELSE 'EUR' END END AS currency, CAST(length(nullif(substr(trim(coalesce(notes, '')), 1, 2000), '')) AS INT) AS note_length,
+        least(greatest(coalesce(try_cast(nullif(regexp_extract(coalesce(priority, ''), '^\\s*([+-]?[0-9]+)', 1), '') AS INT), 0), 0), 3) AS priority FROM parsed""")
 def edit_validation(t: Tables) -> DataFrame:
-    k = F.get_json_object("props", "$.k").try_cast("int")
-    return t.events.select("event_id", F.when(F.col("value") < 1, "price").when(k > 95, "notes").alias("reject"), F.least(F.greatest(F.floor(k / 25), F.lit(0)), F.lit(3)).alias("priority"))
+    """Forms whose fields are missing, blank, malformed, out of range or too long, as they come in."""
+    k, day = F.get_json_object("props", "$.k").cast("int"), F.date_format("ts", "yyyy-MM-dd")
+
+    def case(of: Column, *values: Column | str | None) -> Column:
+        return F.get(F.array(*[F.lit(v) for v in values]), of)
+
+    form = t.events.select(
+        "event_id",
+        case(k % 5, "GOOD", "SEALED", "good", None, F.col("event_type")).alias("condition"),
+        case(k % 4, "yes", "no", "maybe", None).alias("complete"),
+        case(k % 6, F.concat(F.lit(" "), day, F.lit(" ")), "2023-02-30", "soon", "", day, None).alias("date"),
+        case(k % 9, "-1", "abc", "1000000.5", " ", None, "12,5", "1000000", *[F.concat(k.cast("string"), F.lit(",25"))] * 2).alias("price"),
+        case(k % 3, " usd ", "dollars", None).alias("currency"),
+        F.when(k % 10 == 0, "  ").when(k % 7 > 0, F.concat(F.lit(" "), F.repeat(F.lit("n"), 40 * k), F.lit(" "))).alias("notes"),
+        case(k % 8, "9", "-4", "x", None, " 2nd", *[(k % 5).cast("string")] * 3).alias("priority"),
+    )
+    accepted = edits_ops.parse_edit(form)
+    return accepted.select("event_id", "reject", "condition", "complete", "date", "price_cents", "currency", F.length("notes").alias("note_length"), "priority")
 
 
 @query("market_detail", """

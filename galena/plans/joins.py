@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galena.operators import filters, identity, joins
+from galena.operators import filters, identity, joins, search_index
 from galena.operators.windows import latest_per_key
 from galena.plans.base import AS_OF, query
 from galena.plans.windows import LATEST_SQL, latest_first
@@ -35,13 +35,14 @@ def effective_date(t: Tables) -> DataFrame:
 
 @query("search_contains", """
     SELECT s_suppkey, s_name FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE contains(lower(s_name), '0007') OR contains(lower(n_name), 'nation_1')
-        OR EXISTS (SELECT 1 FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_suppkey = s_suppkey AND contains(lower(p_name), 'blue bolt') AND l_quantity > 48)""")
+        OR EXISTS (SELECT 1 FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_suppkey = s_suppkey AND contains(lower(p_name), 'blue bolt'))""")
 def search_contains(t: Tables) -> DataFrame:
     rows = t.supplier.join(F.broadcast(t.nation), F.col("n_nationkey") == F.col("s_nationkey"))
-    sold = t.lineitem.where("l_quantity > 48").join(t.part, F.col("p_partkey") == F.col("l_partkey"))
-    return filters.search(rows, "0007", ["s_name"]).unionByName(filters.search(rows, "nation_1", ["n_name"])).unionByName(
-        rows.join(filters.search(sold, "blue bolt", ["p_name"]).select(F.col("l_suppkey").alias("s_suppkey")), "s_suppkey", "left_semi").select(*rows.columns)
-    ).select("s_suppkey", "s_name").distinct()
+    # Names are searched before the lines are read for them, through an index of their trigrams.
+    index = search_index.trigrams(t.part, "p_partkey", "p_name")
+    named = search_index.contains(index, t.part, "p_partkey", "p_name", "Blue Bolt").select(F.col("p_partkey").alias("l_partkey"))
+    sold = t.lineitem.select("l_partkey", "l_suppkey").join(named, "l_partkey", "left_semi").select(F.col("l_suppkey").alias("s_suppkey"))
+    return filters.search(rows, "0007", ["s_name"]).unionByName(filters.search(rows, "nation_1", ["n_name"])).unionByName(rows.join(sold, "s_suppkey", "left_semi").select(*rows.columns)).select("s_suppkey", "s_name").distinct()
 
 
 @query("search_children", """
@@ -52,13 +53,15 @@ def search_children(t: Tables) -> DataFrame:
 
 
 _TREE_SQL = """tree AS (SELECT n_nationkey AS node, n_name AS name, r_name AS parent FROM nation JOIN region ON r_regionkey = n_regionkey),
-    own AS (SELECT DISTINCT l_partkey AS key, s_nationkey AS node FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity > 45),
+    own AS (SELECT DISTINCT l_partkey AS key, s_nationkey AS node FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey WHERE p_type <> 'STANDARD'),
     inh AS (SELECT p_partkey AS key, CAST(p_size % 25 AS INT) AS node FROM part)"""
 
 
 def _tree(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     tree = t.nation.join(t.region, F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("n_nationkey").alias("node"), F.col("n_name").alias("name"), F.col("r_name").alias("parent"))
-    own = t.lineitem.where("l_quantity > 45").join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey")).select(F.col("l_partkey").alias("key"), F.col("s_nationkey").alias("node")).distinct()
+    # Parts of the standard type have no nodes of their own: they take those of their product. Lines become pairs before any join.
+    sold = t.lineitem.select(F.col("l_partkey").alias("key"), "l_suppkey").distinct().join(t.part.where("p_type <> 'STANDARD'").select(F.col("p_partkey").alias("key")), "key", "left_semi")
+    own = sold.join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey")).select("key", F.col("s_nationkey").alias("node")).distinct()
     return own, t.part.select(F.col("p_partkey").alias("key"), (F.col("p_size") % 25).cast("int").alias("node")), tree
 
 
@@ -221,17 +224,17 @@ def pairs_within_group(t: Tables) -> DataFrame:
     return pairs.select("c_nationkey", *ends, F.col("pairs").cast("long").alias("pairs"))
 
 
-_SNAP_SQL = "SELECT l_partkey AS ref, max({0}) AS v FROM lineitem WHERE year(l_shipdate) = {1} GROUP BY 1"
+_SNAP_SQL = "SELECT l_partkey AS ref, max({0}) AS v FROM lineitem WHERE year(l_shipdate) {1} GROUP BY 1"
 
 
 @query("snapshot_diff", f"""
-    WITH a AS ({_SNAP_SQL.format("l_quantity", 1999)}), b AS ({_SNAP_SQL.format("l_quantity", 2000)})
+    WITH a AS ({_SNAP_SQL.format("l_quantity", "< 2000")}), b AS ({_SNAP_SQL.format("l_quantity", ">= 2000")})
     SELECT coalesce(a.ref, b.ref) AS ref, CASE WHEN a.ref IS NULL THEN 'added' WHEN b.ref IS NULL THEN 'removed' WHEN a.v IS DISTINCT FROM b.v THEN 'changed' ELSE 'same' END AS status FROM a FULL JOIN b ON a.ref = b.ref""")
 def snapshot_diff(t: Tables) -> DataFrame:
-    def of(year: int) -> DataFrame:
-        return t.lineitem.where(F.year("l_shipdate") == year).groupBy(F.col("l_partkey").alias("ref")).agg(F.max("l_quantity").alias("v"))
+    def of(years: str) -> DataFrame:
+        return t.lineitem.where(f"year(l_shipdate) {years}").groupBy(F.col("l_partkey").alias("ref")).agg(F.max("l_quantity").alias("v"))
 
-    return joins.snapshot_diff(of(1999), of(2000), "ref", ["v"])
+    return joins.snapshot_diff(of("< 2000"), of(">= 2000"), "ref", ["v"])
 
 
 @query("unique_match_join", """

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galena.plans.base import query
+from galena.sources import identifiers
 from galena.sources import pages as jobs
 from galena.sources.tables import normalize_payload, scratch, sitemap, snapshot, snapshot_sweep
 from galena.sources.views import Tables
@@ -172,35 +173,64 @@ def offer_payload_normalize(t: Tables) -> DataFrame:
     return out.select("event_id", "code", "title", "cents")
 
 
-@query("json_identifier_walk", """
-    WITH k AS (SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS k FROM events) SELECT event_id, path, 'ean' AS field, k AS value FROM k, (SELECT unnest(['$.ean', '$.a.b.ean', '$.items[0].ean', '$.items[1].more.ean']) AS path)
-    UNION ALL SELECT event_id, '$.items[1].sku', 'sku', 's' || k FROM k""")
+_CODE = "'40' || lpad(CAST(event_id % 1000000000 AS VARCHAR), 10, '0') || CAST(event_id % 10 AS VARCHAR)"
+_FITS = "list_sum(list_transform(string_split(reverse(code), ''), lambda d, i: CAST(d AS INT) * CASE WHEN i % 2 = 0 THEN 3 ELSE 1 END)) % 10 = 0"
+_WALKED = f"""e AS (SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS k, {_CODE} AS code FROM events), f AS (SELECT *, {_FITS} AS fits FROM e),
+    w AS (SELECT event_id, '$.ean' AS path, 'ean' AS field, 'EAN' AS type, k AS raw, NULL AS normalized FROM f UNION ALL SELECT event_id, '$.a.b.c.d.e.EAN-13', 'EAN-13', 'EAN', code, CASE WHEN fits THEN code END FROM f
+        UNION ALL SELECT event_id, '$.items[0].itemSku', 'itemSku', 'OFFICIAL_SKU', 's  ' || k, 'S ' || k FROM f UNION ALL SELECT event_id, '$.items[1].gtin[0]', 'gtin', 'GTIN', code, CASE WHEN fits THEN code END FROM f
+        UNION ALL SELECT event_id, '$.items[1].gtin[1][0]', 'gtin', 'GTIN', '4008 7897-22164', '4008789722164' FROM f UNION ALL SELECT event_id, '$.items[1].gtin[2].mpn', 'mpn', 'MPN', '_' || k, NULL FROM f
+        UNION ALL SELECT event_id, '$.officialIdentifiers[0].rawValue', 'officialIdentifiers', 'MPN', 'm-' || k, 'M-' || k FROM f UNION ALL SELECT event_id, '$.officialIdentifiers[1].rawValue[0]', 'officialIdentifiers', 'UNCLASSIFIED', k, NULL FROM f)"""
+
+
+def walked(t: Tables) -> DataFrame:
+    """Payloads with identifiers under keys in several spellings, in lists of lists, in typed entries and deep down."""
+    k, code = F.get_json_object("props", "$.k"), F.expr("concat('40', lpad(cast(event_id % 1000000000 AS string), 10, '0'), cast(event_id % 10 AS string))")
+    body = F.concat(
+        F.lit('{"ean": '), k, F.lit(', "upc": true, "mpn": " ", "a": {"b": {"c": {"d": {"e": {"EAN-13": "'), code, F.lit('"}}}}}, "items": [{"itemSku": " s  '), k,
+        F.lit('"}, {"gtin": ["'), code, F.lit('", ["4008 7897-22164"], {"mpn": "_'), k, F.lit('"}]}], "officialIdentifiers": [{"type": "MPN", "rawValue": "m-'), k, F.lit('"}, {"type": "OTHER", "rawValue": ['), k, F.lit("]}, {}, 7]}"),
+    )
+    return identifiers.identifier_walk(t.events.select("event_id", F.parse_json(body).alias("v")), "event_id", "v")
+
+
+@query("json_identifier_walk", f"WITH {_WALKED} SELECT *, normalized IS NOT NULL AS valid FROM w")
 def json_identifier_walk(t: Tables) -> DataFrame:
-    """Values of identifier-like keys at any depth down to four, with their paths."""
-    k = F.get_json_object("props", "$.k")
-    body = F.concat(F.lit('{"ean": '), k, F.lit(', "other": 1, "a": {"b": {"ean": '), k, F.lit('}}, "items": [{"ean": "'), k, F.lit('"}, {"sku": "s'), k, F.lit('", "more": {"ean": '), k, F.lit("}}]}"))
-    return jobs.walk_json(t.events.select("event_id", F.parse_json(body).alias("v")), "event_id", "v", ["ean", "sku", "gtin"])
+    """Typed values of identifier-like keys at any depth, with their paths, normal form and whether they are valid."""
+    return walked(t)
+
+
+@query("identifier_report", f"WITH {_WALKED} SELECT type, count(*) AS found, count(normalized) AS valid, count(*) - count(normalized) AS invalid, count(DISTINCT normalized) AS different FROM w GROUP BY type")
+def identifier_report(t: Tables) -> DataFrame:
+    return identifiers.identifier_report(walked(t))
 
 
-def _snapshots(t: Tables) -> DataFrame:
-    """One JSON snapshot for each brand, made from the part table."""
-    entries = F.array_sort(F.collect_list(F.struct(F.col("p_partkey").cast("string").alias("reference"), F.col("p_name").alias("name"))))
-    envelope = F.struct(F.col("p_brand").alias("sourceRole"), F.lit("2024-01-01").alias("observedAt"), "entries")
-    return t.part.groupBy("p_brand").agg(entries.alias("entries")).select("p_brand", F.to_json(envelope).alias("value"))
+CHUNK = 10_000
+_ENTRIES = "sourceRole string, observedAt string, entries array<struct<reference: string, name: string>>"
+
+
+def snapshot_files(t: Tables, cut_off: str = "false") -> str:
+    """A folder of snapshot files made from the part table: one for each brand and range of ids, so none grows with the table.
+
+    The lines of a file are an envelope, an entry each, and the end, which files of ``cut_off`` lack.
+    """
+    rows = t.part.select("p_brand", F.floor(F.col("p_partkey") / CHUNK).alias("chunk"), F.col("p_partkey").alias("place"), F.to_json(F.struct(F.col("p_partkey").cast("string").alias("reference"), F.col("p_name").alias("name"))).alias("value"))
+    files = rows.groupBy("p_brand", "chunk").agg(F.min("place").alias("first"))
+    body = rows.join(files, ["p_brand", "chunk"]).select("p_brand", "chunk", "place", F.concat(F.when(F.col("place") > F.col("first"), ",").otherwise(""), "value").alias("value"))
+    head = F.concat(F.lit('{"sourceRole": "'), "p_brand", F.lit('", "observedAt": "2024-01-01", "entries": ['))
+    end = F.when(~F.expr(cut_off), F.struct(F.lit(1 << 62).alias("place"), F.lit("]}").alias("value")))
+    ends = files.select("p_brand", "chunk", F.inline(F.filter(F.array(F.struct(F.lit(-1).cast("long").alias("place"), head.alias("value")), end), lambda e: e.isNotNull())))
+    at = scratch(t.spark)
+    body.unionByName(ends).repartition("p_brand", "chunk").sortWithinPartitions("p_brand", "chunk", "place").select("p_brand", "chunk", "value").write.partitionBy("p_brand", "chunk").text(at)
+    return at
 
 
 @query("snapshot_entries", "SELECT p_brand AS \"sourceRole\", '2024-01-01' AS \"observedAt\", CAST(p_partkey AS VARCHAR) AS reference, p_name AS name FROM part")
 def snapshot_entries(t: Tables) -> DataFrame:
-    at = scratch(t.spark)
-    _snapshots(t).select("value").write.text(at)
-    return snapshot(t.spark, at, schema="sourceRole string, observedAt string, entries array<struct<reference: string, name: string>>", lines=True)
+    return snapshot(t.spark, snapshot_files(t), schema=_ENTRIES).select("sourceRole", "observedAt", "reference", "name")
 
 
 @query("snapshot_sweep", "SELECT p_brand AS role, count(*) AS entries FROM part WHERE p_brand NOT LIKE '%7' GROUP BY 1")
 def snapshot_sweep_query(t: Tables) -> DataFrame:
     """A folder of snapshots of which some are cut off."""
-    at = scratch(t.spark)
-    value = F.when(F.endswith("p_brand", F.lit("7")), F.substring("value", 1, 20)).otherwise(F.col("value"))
-    _snapshots(t).select("p_brand", value.alias("value")).repartition("p_brand").write.partitionBy("p_brand").text(at)
-    found = snapshot_sweep(t.spark, at, "*.txt")
-    return found.select(F.try_variant_get("payload", "$.sourceRole", "string").alias("role"), F.size(F.try_variant_get("payload", "$.entries", "array<variant>")).cast("long").alias("entries"))
+    found = snapshot_sweep(t.spark, snapshot_files(t, "endswith(p_brand, '7')"), "*.txt")
+    size = F.size(F.try_variant_get("payload", "$.entries", "array<variant>")).cast("long")
+    return found.groupBy(F.try_variant_get("payload", "$.sourceRole", "string").alias("role")).agg(F.sum(size).alias("entries"))

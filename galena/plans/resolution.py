@@ -61,10 +61,17 @@ def change_detect(t: Tables) -> DataFrame:
     return ops.change_detect(before, now, "page_id", "m", "d")
 
 
-@query("run_summary", "SELECT event_type, count(*) AS n, count(*) FILTER (WHERE value > 90) AS errors, CASE WHEN count(*) FILTER (WHERE value > 90) > 0 THEN 'PARTIAL' ELSE 'SUCCESS' END AS status FROM events GROUP BY 1")
+_RUNS = """p AS (SELECT page_id, page_id % 7 AS m, md5(html) AS d FROM pages WHERE page_id % 10 > 0), i AS (SELECT page_id, url, page_id % 5 AS m, CASE WHEN page_id % 3 = 0 THEN md5(html || 'x') ELSE md5(html) END AS d, NOT regexp_matches(html, '(?i)<title') AS failed FROM pages),
+    s AS (SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS run, CASE WHEN failed THEN 'error' WHEN p.page_id IS NULL THEN 'created' WHEN i.m <= p.m OR i.d = p.d THEN 'unchanged' ELSE 'updated' END AS outcome FROM i LEFT JOIN p USING (page_id))"""
+
+
+@query("run_summary", f"""WITH {_RUNS} SELECT run, count(*) AS seen, count(*) FILTER (WHERE outcome = 'created') AS created, count(*) FILTER (WHERE outcome = 'updated') AS updated, count(*) FILTER (WHERE outcome = 'unchanged') AS unchanged, count(*) FILTER (WHERE outcome = 'error') AS errors,
+    CASE WHEN count(*) FILTER (WHERE outcome = 'error') > 0 THEN 'PARTIAL' ELSE 'SUCCESS' END AS status FROM s GROUP BY 1""")
 def run_summary(t: Tables) -> DataFrame:
-    errors = F.count_if(F.col("value") > 90)
-    return t.events.groupBy("event_type").agg(F.count("*").alias("n"), errors.alias("errors"), F.when(errors > 0, "PARTIAL").otherwise("SUCCESS").alias("status"))
+    """An import run for each host: what became of its pages; a page without a title can't be read."""
+    outcome = change_detect(t).withColumnRenamed("status", "outcome")
+    pages = t.pages.select("page_id", F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("run"), (~F.col("html").rlike("(?i)<title")).alias("failed"))
+    return ops.run_summary(pages.join(outcome, "page_id").withColumn("outcome", F.when(F.col("failed"), "error").otherwise(F.col("outcome"))), "run", "outcome")
 
 
 @query("rebuild_bridges", """

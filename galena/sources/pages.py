@@ -272,34 +272,7 @@ def labelled_field(html: Column, label: str) -> Column:
     return F.when(~text.rlike("(?i)^(\\(n/a\\)|n/a|none)?$"), text)
 
 
-def linked_entities(html: Column) -> Column:
-    """(path, label) of all links, in order."""
-    found = F.regexp_extract_all(html, F.lit('<a href="([^"]*)"'), F.lit(1))
-    labels = F.regexp_extract_all(html, F.lit('<a href="[^"]*">([^<]*)</a>'), F.lit(1))
-    return F.arrays_zip(found.alias("path"), labels.alias("label"))
-
-
-def labelled(html: Column, name: str) -> Column:
-    """The content of a meta tag or attribute by name; null if it isn't there."""
-    return F.nullif(F.regexp_extract(html, f'{name}="([^"]*)"', 1), F.lit(""))
-
-
 def first_occurrence(html: Column, pattern: str) -> Column:
     """(value, place) of the first occurrence of each distinct match, in order."""
     found = F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
     return F.transform(F.array_distinct(found), lambda v: F.struct(v.alias("value"), F.array_position(found, v).alias("place")))
-
-
-def walk_json(df: DataFrame, id: str, value: str, fields: list[str], depth: int = 4) -> DataFrame:
-    """(id, path, field, value) of the keys ``fields`` in a variant column, through objects and arrays, ``depth`` levels deep.
-
-    Each level is one generator over the level before it; what is no object or array makes no rows.
-    """
-    level = df.select(id, F.lit("$").alias("path"), F.col(value).alias("v"))
-    found = []
-    for _ in range(depth):
-        below = level.lateralJoin(level.sparkSession.tvf.variant_explode(F.col("v").outer()).select("pos", "key", F.col("value").alias("below")))
-        step = F.when(F.col("key").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), F.col("key")))
-        level = below.select(id, F.concat("path", step).alias("path"), F.col("key").alias("field"), F.col("below").alias("v"))
-        found.append(level.where(F.col("field").isin(fields)).select(id, "path", "field", F.try_variant_get("v", "$", "string").alias("value")))
-    return reduce(DataFrame.union, found).where("value is not null")

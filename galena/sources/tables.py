@@ -27,7 +27,7 @@ def snapshot(spark: SparkSession, path: str, entries: str = "entries", schema: s
 
 def snapshot_sweep(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
     """Every file of a folder and its subfolders as (file, payload variant); malformed files are skipped."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder)
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     return files.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.try_parse_json("value").alias("payload")).where(F.col("payload").isNotNull())
 
 
