@@ -16,7 +16,7 @@ DATA = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("key", sorted(ORACLES))
 def test_matches_sql(spark, key):
     c = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "conversations"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     df, expected = QUERIES[key](spark, DATA), c.sql(ORACLES[key])
     assert sorted(df.columns) == sorted(expected.columns)
