@@ -51,11 +51,11 @@ def stream_dedupe(t: Tables) -> DataFrame:
 @query("stream_edits", """
     WITH e AS (SELECT user_id, event_id, ts, event_type, CAST(json_extract(props, '$.k') AS INT) % 20 AS copy FROM events) SELECT user_id, copy, event_id, event_type FROM e QUALIFY row_number() OVER (PARTITION BY user_id, copy ORDER BY ts DESC, event_id DESC) = 1 AND event_type <> 'error'""")
 def stream_edits(t: Tables) -> DataFrame:
-    """The last edit of each copy, kept up to date batch by batch in buckets of users."""
+    """The last edit of each copy; one that was deleted is a tombstone until its runs are merged with the oldest."""
     at = scratch(t.spark)
     batch = _stream(t).select("user_id", "event_id", "ts", "event_type", (F.get_json_object("props", "$.k").cast("int") % 20).alias("copy"))
-    state = jobs.keyed_state(batch, ["user_id", "copy"], lambda rows: latest_per_key(rows, ["user_id", "copy"], [F.desc("ts"), F.desc("event_id")]), at)
-    return state.where("event_type <> 'error'").select("user_id", "copy", "event_id", "event_type")
+    state = jobs.keyed_state(batch, lambda rows: latest_per_key(rows, ["user_id", "copy"], [F.desc("ts"), F.desc("event_id")]), at, gone=F.col("event_type") == "error")
+    return state.select("user_id", "copy", "event_id", "event_type")
 
 
 def _versions(pages: DataFrame, number: int) -> DataFrame:

@@ -67,11 +67,25 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+def _path(spark: SparkSession, at: str) -> tuple:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def list_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder, in whatever store Spark reaches; none if it isn't there."""
+    path, store = _path(spark, folder)
+    return [f.getPath().getName() for f in store.listStatus(path)] if store.exists(path) else []
+
+
+def delete_path(spark: SparkSession, at: str) -> None:
+    path, store = _path(spark, at)
+    store.delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what ``materialize`` wrote; nothing may read ``df`` any more."""
-    context = df.sparkSession.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(df._written_at)  # type: ignore[attr-defined]
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    delete_path(df.sparkSession, df._written_at)  # type: ignore[attr-defined]
 
 
 def upsert_latest(current: DataFrame, incoming: DataFrame, keys: list[str], version: str, ties: list[str]) -> DataFrame:

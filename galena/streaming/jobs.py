@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
 from galena.operators.resolution import change_detect
 from galena.operators.windows import latest_per_key
+from galena.sources.tables import discard, materialize
+from galena.streaming.state import KeyedState
 
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -101,46 +103,37 @@ def upsert_each(stream: DataFrame, merge: Callable[[DataFrame, int], None], chec
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def keyed_state(stream: DataFrame, keys: list[str], fold: Callable[[DataFrame], DataFrame], at: str, buckets: int = 32) -> DataFrame:
-    """The state that ``fold`` keeps of the rows of each key, brought up to date by each micro batch.
+def keyed_state(stream: DataFrame, fold: Callable[[DataFrame], DataFrame], at: str, gone: Column | None = None) -> DataFrame:
+    """The rows that ``fold`` keeps of the stream, brought up to date by each micro batch, without those that are ``gone``.
 
-    The state is dealt into buckets by the first key, and a batch writes only the buckets that it touches, under its
-    own number. So nothing is kept in the driver: a job that starts again from its checkpoint finds each bucket's
-    last version in the folder, and a batch that is run twice overwrites its own.
+    See ``KeyedState``: a batch reads nothing of the state, and what is stored is merged by levels.
     """
-    spark, bucketed = stream.sparkSession, stream.withColumn("__bucket", F.pmod(F.xxhash64(keys[0]), F.lit(buckets)).cast("int"))
-
-    def current(before: int | None = None) -> DataFrame:
-        rows = spark.read.schema(f"{schema}, version int, __bucket int").parquet(f"{at}/buckets")
-        rows = rows if before is None else rows.where(F.col("version") < before)
-        last = rows.groupBy("__bucket").agg(F.max("version").alias("version"))
-        return rows.join(F.broadcast(last), ["__bucket", "version"], "left_semi").drop("version")
-
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
-
-    def merge(batch: DataFrame, number: int) -> None:
-        touched = batch.select("__bucket").distinct()
-        old = current(number).join(F.broadcast(touched), "__bucket", "left_semi") if number else batch.where(F.lit(False))
-        both = batch.unionByName(old)
-        out = fold(both.drop("__bucket")).withColumn("__bucket", F.pmod(F.xxhash64(keys[0]), F.lit(buckets)).cast("int"))
-        out.write.mode("overwrite").partitionBy("__bucket").parquet(f"{at}/buckets/version={number}")
-
-    upsert_each(bucketed, merge, f"{at}/state")
-    return current().drop("__bucket")
+    state = KeyedState(stream.sparkSession, at, schema, fold, gone)
+    upsert_each(stream, state.apply, f"{at}/state")
+    return state.rows()
 
 
 def page_intake(stream: DataFrame, at: str) -> DataFrame:
     """(round, page_id, status) of the pages of each micro batch so far: created, updated or unchanged.
 
-    ``stream``: page_id, version, digest. The latest version of a page in a batch is compared with the
-    digest stored before, and each batch writes a new version of the stored digests.
+    ``stream``: page_id, version, digest. The latest version of a page in a batch is compared with the digest stored before. Only
+    digests that are new or changed are written, as a run of the stored ones (see ``KeyedState``).
     """
+    spark = stream.sparkSession
+    latest = lambda rows: latest_per_key(rows, ["page_id"], [F.desc("round"), F.desc("version"), F.desc("digest")])
+    state = KeyedState(spark, f"{at}/digests", f"page_id {stream.schema['page_id'].dataType.simpleString()}, version {stream.schema['version'].dataType.simpleString()}, digest string, round long", latest)
 
     def merge(batch: DataFrame, number: int) -> None:
-        new = latest_per_key(batch, ["page_id"], [F.desc("version"), F.desc("digest")]).select("page_id", "digest", F.lit(None).cast("timestamp").alias("lastmod"))
-        stored = batch.sparkSession.read.schema(new.schema).parquet(f"{at}/digests-{number - 1}") if number else new.where(F.lit(False))
-        change_detect(stored, new, "page_id", "lastmod", "digest").write.mode("overwrite").parquet(f"{at}/status/round={number}")
-        stored.join(new, "page_id", "left_anti").unionByName(new).write.mode("overwrite").parquet(f"{at}/digests-{number}")
+        if number in state.batches():
+            return
+        new = materialize(latest_per_key(batch, ["page_id"], [F.desc("version"), F.desc("digest")]).select("page_id", "version", "digest", F.lit(number).cast("long").alias("round")))
+        undated = [F.lit(None).cast("timestamp").alias("lastmod")]
+        told = materialize(change_detect(state.stored(new, ["page_id"]).select("page_id", "digest", *undated), new.select("page_id", "digest", *undated), "page_id", "lastmod", "digest"))
+        told.write.mode("overwrite").parquet(f"{at}/status/round={number}")
+        state.apply(new.join(told.where("status <> 'unchanged'").select("page_id"), "page_id", "left_semi").select(new.columns), number)
+        discard(told)
+        discard(new)
 
     upsert_each(stream, merge, f"{at}/state")
-    return stream.sparkSession.read.parquet(f"{at}/status")
+    return spark.read.parquet(f"{at}/status")

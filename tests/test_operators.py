@@ -14,6 +14,7 @@ from galena.operators import filters, identity, joins, resolution, windows
 from galena.operators.components import components
 from galena.sources import pages, tables
 from galena.streaming import jobs
+from galena.streaming.state import KeyedState
 
 
 def test_upsert_is_idempotent_and_order_free(spark):
@@ -227,9 +228,25 @@ def test_json_ld_is_found_in_any_shape(spark):
 
 
 def test_keyed_state_goes_on_after_a_restart(spark, tmp_path):
-    at, schema = str(tmp_path), "k long, v long"
-    for rows in ([(1, 1), (2, 1)], [(2, 5), (3, 1)], [(1, 0)]):
-        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{at}/in")
+    """Many starts with a batch each: deleted keys stay deleted, runs and the files of the folder stay few, a batch is applied once."""
+    at, schema = str(tmp_path), "k long, v long, dead boolean"
+    want: dict = {}
+
+    def fold(df):
+        return windows.latest_per_key(df, ["k"], [F.desc("v")])
+
+    for n in range(22):
+        rows = [(n % 5, n, n % 4 == 3), (100 + n, n, False)]
+        want |= {k: (v, dead) for k, v, dead in rows}
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{at}/in")
         stream = spark.readStream.schema(schema).parquet(f"{at}/in")
-        state = jobs.keyed_state(stream, ["k"], lambda df: df.groupBy("k").agg(F.max("v").alias("v")), at, buckets=4)
-    assert sorted(map(tuple, state.select("k", "v").collect())) == [(1, 1), (2, 5), (3, 1)]
+        out = jobs.keyed_state(stream, fold, f"{at}/s", gone=F.col("dead"))
+    state = KeyedState(spark, f"{at}/s", schema, fold, F.col("dead"))
+    live = {(k, v) for k, (v, dead) in want.items() if not dead}
+    assert {(r.k, r.v) for r in out.collect()} == {(r.k, r.v) for r in state.rows().collect()} == live
+    runs = state.runs()
+    assert len(runs) <= 6 and sorted(tables.list_names(spark, f"{at}/s/runs")) == sorted(name for _, name in runs)
+    stored = spark.read.schema(schema).parquet(f"{at}/s/runs/{runs[0][1]}")
+    assert runs[0][0] == 2 and stored.where("dead").count() == 0
+    state.apply(spark.createDataFrame([(7, 99, False)], schema), 21)
+    assert state.runs() == runs
