@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from galena.llm.common import flat, join_counted, slices
+from galena.llm.common import cut, flat, join_counted, slices
 
 PART_BYTES = 32 << 10
 #: Tokens on each side of a join in the first window. More than the bytes of any special token.
@@ -200,6 +200,7 @@ def encode(docs: DataFrame, path: str, part_bytes: int = PART_BYTES) -> DataFram
     encoded = pieces.mapInArrow(lambda batches: _encoded(batches, path), "key string, part int, ids binary")
     joined = encoded.groupBy("key").applyInArrow(whole, "key string, ids binary")
     copies = long.groupBy("key").agg(F.count("*").alias("n"))
+    joined = cut(joined)
     return out.unionByName(join_counted(long.select("doc_id", "key"), joined.join(copies, "key"), "key", "n").select("doc_id", "ids"))
 
 
