@@ -7,6 +7,7 @@ UTF-8 bytes at them never splits a code point.
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -55,15 +56,24 @@ def forget(df: DataFrame) -> None:
     at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def bounded_sample(df: DataFrame, rows: int, by: list[str], seed: int) -> DataFrame:
-    """At most ``rows`` rows, the same in each run: those with the smallest hash of ``by``.
+def bounded_sample(df: DataFrame, rows: int, by: list[str], seed: int, kind: str) -> DataFrame:
+    """At most ``rows`` different rows of ``by`` and ``kind``, the same in each run: those with the smallest hash, for each of both kinds.
 
-    A threshold on the hash goes first, so the partitions send about ``rows`` rows in all to be sorted,
-    however many partitions there are.
+    ``kind`` is a boolean. Repeats of a row are one row. A kind takes its share of the rows, but a rare one has up to a quarter of the
+    sample, so a few rows beside very many reach it. A threshold on the hash goes before the sort, so
+    the partitions send little more than the sample, however many there are.
     """
+    distinct = cut(df.select(*by, kind).distinct())
+    count = {bool(r[kind]): r["count"] for r in distinct.groupBy(kind).count().collect()}
+    total = sum(count.values())
+    least = {k: min(n, rows // 4) for k, n in count.items()}
+    quota = {k: max(least[k], min(n, rows * n // max(total, 1), rows - sum(v for o, v in least.items() if o != k))) for k, n in count.items()}
     draw = F.pmod(F.xxhash64(F.lit(seed), *by), F.lit(1 << 30))
-    share = 1.2 * rows / max(df.count(), 1)
-    return df.where(draw <= int(min(share, 1.0) * (1 << 30))).orderBy(draw, *by).limit(rows)
+    parts = []
+    for k, n in sorted(quota.items()):
+        share = 1.0 if count[k] <= 4 * n else 1.2 * n / count[k]
+        parts.append(distinct.where((F.col(kind) == k) & (draw <= int(share * (1 << 30)))).orderBy(draw, *by).limit(n))
+    return functools.reduce(DataFrame.unionByName, parts) if parts else distinct
 
 
 #: Rows of a key from which on it is joined apart, and up to which the list of such keys is broadcast.

@@ -76,8 +76,8 @@ def remainder(doc_id: Column) -> Column:
 def fit(stats: DataFrame, labels: DataFrame, fit_rows: int = 12_000, seed: int = 11) -> Ranking:
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (remainder(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.min("quality").alias("__good"))
     training = stats.join(known, "doc_id")
-    sample = bounded_sample(training, fit_rows, ["doc_id", *COUNTS], seed).select(*COUNTS, "__good").toPandas()
-    good = sample["__good"].to_numpy() > 0
+    sample = bounded_sample(training.withColumn("__is_good", F.col("__good") > 0), fit_rows, ["doc_id", *COUNTS], seed, "__is_good").select(*COUNTS, "__is_good").toPandas()
+    good = sample["__is_good"].to_numpy().astype(bool)
     if not good.any() or good.all():
         k = len(features({c: np.zeros(1) for c in COUNTS})[0])
         return Ranking(np.zeros(k), np.ones(k), np.zeros(k))

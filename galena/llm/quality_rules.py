@@ -119,8 +119,8 @@ def fit(stats: DataFrame, labels: DataFrame, fit_rows: int = 8192, max_good_lost
     good = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("__good"))
     passing = stats.where((F.col("n_words") >= MIN_WORDS) & (100 * F.col("n_repeat_words") <= MAX_REPEAT_PERCENT * F.col("n_words")))
     labelled = passing.join(good, "doc_id")
-    sample = bounded_sample(labelled, fit_rows, ["doc_id", *COUNTS], seed).select(*COUNTS, "__good").toPandas()
-    forest = fit_forest(ratios({c: sample[c].to_numpy() for c in COUNTS}), sample["__good"].to_numpy() > 0, seed=seed)
+    sample = bounded_sample(labelled.withColumn("__is_good", F.col("__good") > 0), fit_rows, ["doc_id", *COUNTS], seed, "__is_good").select(*COUNTS, "__is_good").toPandas()
+    forest = fit_forest(ratios({c: sample[c].to_numpy() for c in COUNTS}), sample["__is_good"].to_numpy().astype(bool), seed=seed)
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
