@@ -73,6 +73,22 @@ def word_items(data: np.ndarray, off: np.ndarray) -> Items:
     return Items(words, prefix_hash(hashes), spaced[index], at[:-1], at[1:] - 1)
 
 
+def anchor_places(grams: np.ndarray, w: int, bits: int = POSITION_BITS) -> np.ndarray:
+    """Where the anchor of each w consecutive grams is: the leftmost of those with the least hash, but for its lowest ``bits``.
+
+    The lowest bits of a hash give way to the place, so that one minimum finds both. Places are counted anew in each stretch of
+    2 ** bits, so as many bits order the grams in texts of any length, and equal windows have equal anchors wherever they are.
+    """
+    stretch = max((1 << bits) - w, 1)
+    out = np.empty(max(len(grams) - w + 1, 0), np.int64)
+    low = np.uint64((1 << bits) - 1)
+    for b in range(0, len(out), stretch):
+        part = grams[b : b + stretch + w - 1]
+        least = sliding_min((part & ~low) | np.arange(len(part), dtype=np.uint64), w)
+        out[b : b + len(least)] = b + (least & low).astype(np.int64)
+    return out
+
+
 @dataclass
 class Search:
     length: int  # of a window, in items
@@ -88,8 +104,7 @@ class Search:
             return none, none, none.astype(np.uint64)
         at = np.arange(n - self.gram + 1)
         grams = span_hash(it.prefix, at, at + self.gram)
-        bits = np.uint64(max(POSITION_BITS, int(n).bit_length()))
-        least = sliding_min((grams >> bits << bits) | at.astype(np.uint64), w)
+        least = anchor_places(grams, w)
         ends = np.repeat(it.off[1:], np.diff(it.off))
         inside = np.flatnonzero(np.arange(len(least)) + self.length <= ends[: len(least)])
         if not len(inside):
@@ -98,7 +113,7 @@ class Search:
         fresh = np.ones(len(inside), bool)
         fresh[1:] = (np.diff(inside) != 1) | (least[1:] != least[:-1])
         first = np.flatnonzero(fresh)
-        return inside[first], np.diff(np.append(first, len(inside))), grams[(least[first] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)]
+        return inside[first], np.diff(np.append(first, len(inside))), grams[least[first]]
 
     def segment_hash(self, it: Items, first: np.ndarray, count: np.ndarray) -> np.ndarray:
         return span_hash(it.prefix, first, first + count + (self.length - 1))
