@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from galena.llm.common import cut
+from galena.operators.components import components
 
 
 def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -29,21 +30,10 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def connected(links: DataFrame, rounds: int = 40) -> DataFrame:
-    """``node`` and ``label`` (smallest node of its component) for links (a, b) of type long.
+def connected(links: DataFrame) -> DataFrame:
+    """``node`` and ``label`` (smallest node of its component) for links (a, b) of type long; nodes that are linked to themselves only are left out.
 
-    Each round takes the smallest label among the neighbours and then the label of the label, so
-    rounds grow with the logarithm of the longest chain. Labels are written to the shared folder
-    after each round; only the number of changes goes to the driver.
+    Alternating stars: hubs and long chains of any size are spread over all tasks, and there is no bound on rounds.
     """
-    both = cut(links.where("a <> b").select("a", "b").union(links.where("a <> b").select("b", "a")).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")))
-    for _ in range(rounds):
-        near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("was"))
-        over = labels.select(F.col("node").alias("at"), F.col("label").alias("over"))
-        step = cut(lower.join(over, lower["label"] == over["at"], "left").select("node", F.least("label", F.coalesce("over", "label")).alias("label"), "was"))
-        labels = step.select("node", "label")
-        if step.where("label <> was").isEmpty():
-            return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    found = components(links.where("a <> b"))
+    return cut(found.select(F.col("id").alias("node"), F.col("cluster").alias("label")))
