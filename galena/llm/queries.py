@@ -25,7 +25,7 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = warc_zip.round_trip(read(spark, sf_dir, "pages"))
+    records = warc_zip.verified(warc_zip.round_trip(read(spark, sf_dir, "pages")))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -310,3 +310,9 @@ def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     # A number given here is kept: rows of paths are too small for adaptive execution to keep them apart.
     tasks = min(max(archives.count(), 1), MAX_TASKS)
     return read_records(index_of(archives.select("path").repartition(tasks), folder), folder)
+
+
+def verified(records: DataFrame) -> DataFrame:
+    """``records``, where a response whose payload isn't the one that its header tells is an error."""
+    wrong = F.raise_error(F.concat(F.lit("the payload of record "), F.col("page_id").cast("string"), F.lit(" does not match its digest")))
+    return records.withColumn("payload_digest", F.when(F.coalesce("payload_matches", F.lit(True)), F.col("payload_digest")).otherwise(wrong.cast("string")))
