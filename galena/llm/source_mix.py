@@ -64,11 +64,12 @@ def with_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: fl
     return ranked.withColumn("target", target).select("__key", "source_size", "target")
 
 
-def mix_sources(docs: DataFrame, size: Column | None = None, order: Column | None = None, seed: int = 17, bucket_rows: int = 1_000) -> DataFrame:
+def mix_sources(docs: DataFrame, size: Column | None = None, order: Column | None = None, seed: int = 17, bucket_rows: int = 1_000, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """All columns of ``docs`` and size, source_size, target, copies. One row for each document.
 
     Without ``size`` (and ``order``, a hash of the row), words are counted once into a narrow table that
-    all the counting reads.
+    all the counting reads. Buckets have ``bucket_rows`` documents, or more where rows / ``max_broadcast`` is more: which of
+    several documents of one size are taken depends on both.
     """
     names = docs.columns
     narrow = size is not None
@@ -89,7 +90,7 @@ def mix_sources(docs: DataFrame, size: Column | None = None, order: Column | Non
     # Buckets of about bucket_rows documents of one source, in the order of (size class, hash). Only
     # classes above that are cut, and there are at most documents / bucket_rows of them to broadcast.
     total = per_source.agg(F.sum("__docs")).first()[0] or 0
-    bucket_rows = max(bucket_rows, total // MAX_BROADCAST)
+    bucket_rows = max(bucket_rows, total // max_broadcast)
     large = sizes.groupBy("__key", "size").agg(F.count("*").alias("__n")).where(F.col("__n") > bucket_rows)
     large = F.broadcast(large.select("__key", "size", F.ceil(F.col("__n") / bucket_rows).alias("__parts")))
 
