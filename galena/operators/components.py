@@ -26,13 +26,13 @@ def _hung(links: DataFrame, low: Column) -> DataFrame:
 
 def large_star(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rows = _hung(materialize(both), F.least(F.min("b"), F.first("a"))).where("b > a")
+    rows = _hung(both, F.least(F.min("b"), F.first("a"))).where("b > a")
     return rows.select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
 
 
 def small_star(links: DataFrame) -> DataFrame:
-    down = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
-    rows = _hung(down, F.min("b"))
+    """``links`` are those of a large star, so b is the smaller end."""
+    rows = _hung(links, F.min("b"))
     hung = rows.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(rows.select("a", F.col("low").alias("b")))
     return hung.where("a <> b").distinct()
 
@@ -45,8 +45,10 @@ def components(edges: DataFrame) -> DataFrame:
     given = materialize(edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL").distinct())
     links, state = materialize(given.where("a <> b")), None
     while True:
-        step = materialize(small_star(large_star(links)))
+        large = materialize(large_star(links))
+        step = materialize(small_star(large))
         discard(links)
+        discard(large)
         links = step
         now = links.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if now == state:

@@ -265,7 +265,7 @@ def cluster_records(members: DataFrame, classes: DataFrame, pairs: DataFrame, gr
 
 
 def group_verdict(clusters: DataFrame, evidence: DataFrame, group: str, id: str) -> DataFrame:
-    """Classification of a whole group, the consistency of its sources, and the safe action.
+    """Classification of a whole group, the consistency of its sources with the reason, and the safe action.
 
     ``evidence``: id and evidence, how well a record's URL supports its reference. A group is kept or split
     only if all its sources are consistent.
@@ -274,6 +274,11 @@ def group_verdict(clusters: DataFrame, evidence: DataFrame, group: str, id: str)
     per = rows.groupBy(group).agg(F.bool_and("accepted").alias("ok"), F.count_distinct("cluster").alias("clusters"), F.count(id).alias("records"), F.count_if(F.col("evidence") == "STRONG_MISMATCH").alias("strong"), F.count_if(F.col("evidence").isin("WEAK", "NONE")).alias("uncertain"))
     verdict = F.when(~F.col("ok"), AMBIGUOUS).when(F.col("clusters") == 1, MATCH).otherwise(DISTINCT)
     consistency = F.when(F.col("strong") > 0, "INCONSISTENT").when(F.col("uncertain") > 0, "UNDETERMINED").otherwise("CONSISTENT")
-    out = per.select(group, "records", "clusters", verdict.alias("verdict"), consistency.alias("consistency"))
+    reason = (
+        F.when(F.col("strong") > 0, F.concat(F.col("strong").cast("string"), F.lit(" SourceRecord(s) have strong URL/reference mismatches.")))
+        .when(F.col("uncertain") > 0, F.concat(F.col("uncertain").cast("string"), F.lit(" SourceRecord(s) have weak or absent URL reference evidence.")))
+        .otherwise("Every SourceRecord has exact or base-compatible URL reference evidence.")
+    )  # Fixed values: the three texts.
+    out = per.select(group, "records", "clusters", verdict.alias("verdict"), consistency.alias("consistency"), reason.alias("reason"))
     safe = F.col("consistency") == "CONSISTENT"
     return out.withColumn("action", F.when(safe & (F.col("verdict") == MATCH), "KEEP_MERGED").when(safe & (F.col("verdict") == DISTINCT), "SPLIT").otherwise("REVIEW"))

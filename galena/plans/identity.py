@@ -160,11 +160,12 @@ def evidence(t: Tables) -> DataFrame:
 _VERDICT = _CLUSTERS + f""", decl AS (SELECT p_partkey AS id, CAST(p_partkey % 9000 + 100 AS VARCHAR) || CASE WHEN p_size % 3 = 0 THEN '-FAM' ELSE '' END AS d, CASE WHEN p_partkey % 89 <> 0 THEN CASE WHEN p_partkey % 97 = 0 THEN '9999' ELSE CAST(p_partkey % 9000 + 100 AS VARCHAR) END || CASE WHEN p_size % 4 = 0 THEN '-2' ELSE '' END END AS c FROM part),
     seen AS (SELECT id, {EVIDENCE} AS evidence FROM (SELECT *, replace(d, '-', '') AS a, replace(c, '-', '') AS b FROM decl)),
     v AS (SELECT grp, bool_and(accepted) AS ok, count(DISTINCT cluster) AS clusters, count(*) AS records, count(*) FILTER (WHERE evidence = 'STRONG_MISMATCH') AS strong, count(*) FILTER (WHERE evidence IN ('WEAK', 'NONE')) AS weak FROM c JOIN seen USING (id) GROUP BY 1),
-    w AS (SELECT grp, records, clusters, CASE WHEN NOT ok THEN 'AMBIGUOUS' WHEN clusters = 1 THEN 'MATCH' ELSE 'DISTINCT' END AS verdict, CASE WHEN strong > 0 THEN 'INCONSISTENT' WHEN weak > 0 THEN 'UNDETERMINED' ELSE 'CONSISTENT' END AS consistency FROM v),
+    w AS (SELECT grp, records, clusters, CASE WHEN NOT ok THEN 'AMBIGUOUS' WHEN clusters = 1 THEN 'MATCH' ELSE 'DISTINCT' END AS verdict, CASE WHEN strong > 0 THEN 'INCONSISTENT' WHEN weak > 0 THEN 'UNDETERMINED' ELSE 'CONSISTENT' END AS consistency,
+        CASE WHEN strong > 0 THEN CAST(strong AS VARCHAR) || ' SourceRecord(s) have strong URL/reference mismatches.' WHEN weak > 0 THEN CAST(weak AS VARCHAR) || ' SourceRecord(s) have weak or absent URL reference evidence.' ELSE 'Every SourceRecord has exact or base-compatible URL reference evidence.' END AS reason FROM v),
     s AS (SELECT *, CASE WHEN consistency = 'CONSISTENT' AND verdict = 'MATCH' THEN 'KEEP_MERGED' WHEN consistency = 'CONSISTENT' AND verdict = 'DISTINCT' THEN 'SPLIT' ELSE 'REVIEW' END AS action FROM w)"""
 
 
-@query("safe_action", _VERDICT + " SELECT grp, records, clusters, verdict, consistency, action FROM s")
+@query("safe_action", _VERDICT + " SELECT grp, records, clusters, verdict, consistency, reason, action FROM s")
 def safe_action(t: Tables) -> DataFrame:
     return ops.group_verdict(cluster_records(t), evidence(t), "grp", "id")
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galena.operators import filters, identity, joins, search_index
+from galena.operators import digest_tree, filters, identity, joins, search_index
 from galena.operators.windows import latest_per_key
 from galena.plans.base import AS_OF, query
 from galena.plans.windows import LATEST_SQL, latest_first
-from galena.sources.tables import append_new
+from galena.sources.tables import append_new, scratch
 from galena.sources.tables import upsert_latest as upsert
 from galena.sources.views import Tables, with_views
 
@@ -269,6 +269,23 @@ def inherit_with_override(t: Tables) -> DataFrame:
     return joins.inherit_with_override(own, inherited, ["key"])
 
 
+_CHANGED = "p_size = 50 AND p_type = 'PROMO'"
+
+
+@query("snapshot_diff_tree", f"""
+    WITH a AS (SELECT p_partkey AS id, p_retailprice AS price, p_name AS name FROM part WHERE NOT (p_size = 49 AND p_type = 'PROMO')), b AS (SELECT p_partkey AS id, CASE WHEN {_CHANGED} THEN p_retailprice + 1 ELSE p_retailprice END AS price, p_name AS name FROM part WHERE NOT (p_size = 48 AND p_type = 'PROMO'))
+    SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' ELSE 'changed' END AS status FROM a FULL JOIN b ON a.id = b.id WHERE a.price IS DISTINCT FROM b.price OR a.name IS DISTINCT FROM b.name""")
+def snapshot_diff_tree(t: Tables) -> DataFrame:
+    """Two stored snapshots of parts of which few rows differ: only leaves whose digests differ are read."""
+    rows = t.part.select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("price"), F.col("p_name").alias("name"), "p_size", "p_type")
+    before = rows.where("NOT (p_size = 49 AND p_type = 'PROMO')")
+    after = rows.where("NOT (p_size = 48 AND p_type = 'PROMO')").withColumn("price", F.when(F.expr(_CHANGED), F.col("price") + 1).otherwise(F.col("price")))
+    at = scratch(t.spark)
+    for name, snapshot in (("before", before), ("after", after)):
+        digest_tree.store(snapshot.select("id", "price", "name"), f"{at}/{name}", "id", ["price", "name"], width=max(16, 1 + t.part.count() // 64))
+    return digest_tree.stored_diff(t.spark, f"{at}/before", f"{at}/after", "id", ["price", "name"])
+
+
 @query("upsert_latest", """
     WITH r AS (SELECT l_suppkey, l_partkey, l_quantity, l_shipdate, l_orderkey, l_linenumber, CASE WHEN l_shipdate >= TIMESTAMP '2000-01-01' THEN 1 ELSE 0 END AS fresh FROM lineitem)
     SELECT l_suppkey, l_partkey, l_quantity, l_orderkey FROM r QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_shipdate DESC NULLS LAST, fresh DESC, l_orderkey DESC, l_linenumber DESC, l_quantity DESC) = 1""")

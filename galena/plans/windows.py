@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from galena.operators import page_index
 from galena.operators import windows as ops
 from galena.plans.base import query
 from galena.sources.views import Tables, with_views
@@ -45,6 +46,15 @@ def distinct_on(t: Tables) -> DataFrame:
     return first.select("o_custkey", "row.*")
 
 
+@query("deep_page", """
+    SELECT l_orderkey, l_linenumber, l_extendedprice, position, total, greatest(1, (total + 35) // 36) AS pages FROM (SELECT *, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS position, count(*) OVER () AS total FROM lineitem)
+    WHERE position > 36 * 149 AND position <= 36 * 150""")
+def deep_page(t: Tables) -> DataFrame:
+    """Page 150 of all lines, through an index of positions."""
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return page_index.build(rows, [F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber")], range_rows=20_000).page(150, 36)
+
+
 @query("page_with_total", """
     SELECT p_partkey, p_name, p_retailprice, (SELECT count(*) FROM part WHERE p_size >= 20) AS total, CAST(greatest(1, ceil((SELECT count(*) FROM part WHERE p_size >= 20) / 36.0)) AS BIGINT) AS pages
     FROM part WHERE p_size >= 20 ORDER BY p_retailprice DESC, p_partkey LIMIT 36 OFFSET 72""")

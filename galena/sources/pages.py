@@ -31,61 +31,79 @@ def meaningful(text: str) -> str | None:
 
 
 class _Page(HTMLParser):
-    """A page as a list of (tag, attributes, text, depth) in order; text has no tag, ``/tag`` is an end."""
+    """A page as a list of (tag, attributes, text) in order; text has no tag, ``/tag`` is an end.
+
+    A stack for each tag finds the end of every element as the page is read: ``ends[k]`` is the place of the end of the element
+    at k, the number of items if it has none, and k itself for elements that hold nothing. So a page is read once, whatever its nesting.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.items: list[tuple[str, dict[str, str], str]] = []
+        self.ends: list[int] = []
+        self.open: dict[str, list[int]] = {}
+
+    def _add(self, tag: str, attributes: dict[str, str], text: str) -> None:
+        self.items.append((tag, attributes, text))
+        self.ends.append(len(self.ends))
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        self.items.append((tag, {k: v or "" for k, v in attrs}, ""))
+        if tag not in VOID:
+            self.open.setdefault(tag, []).append(len(self.items))
+        self._add(tag, {k: v or "" for k, v in attrs}, "")
 
     def handle_endtag(self, tag: str) -> None:
-        self.items.append((f"/{tag}", {}, ""))
+        if self.open.get(tag):
+            self.ends[self.open[tag].pop()] = len(self.items)
+        self._add(f"/{tag}", {}, "")
 
     def handle_data(self, data: str) -> None:
-        self.items.append(("", {}, data))
-
-
-def _inside(items: list, at: int) -> list:
-    """What stands inside the element that begins at ``at``."""
-    tag, depth = items[at][0], 0
-    if tag in VOID:
-        return []
-    for k in range(at, len(items)):
-        depth += (items[k][0] == tag) - (items[k][0] == f"/{tag}")
-        if not depth:
-            return items[at + 1 : k]
-    return items[at + 1 :]
-
-
-def _text(items: list) -> str:
-    return " ".join(" ".join(text for tag, _, text in items if not tag).split())
-
-
-def _until_break(items: list, at: int) -> list:
-    """What follows the element at ``at``, up to the next line break."""
-    start = at + 1 if items[at][0] in VOID else at + len(_inside(items, at)) + 2
-    out, k = [], start
-    while k < len(items) and items[k][0] != "br":
-        if items[k][0] == "a" and items[k][1].get("aria-label") in ("Edit", "Report error") or "counter" in items[k][1].get("class", "").split():
-            k += len(_inside(items, k)) + 2
-            continue
-        if items[k][0].startswith("/") and not any(x[0] == items[k][0][1:] for x in items[start:k]):
-            break  # the end of what is around
-        out.append(items[k])
-        k += 1
-    return out
-
-
-def _linked(items: list, heading: str, path: str) -> list[dict]:
+        self._add("", {}, data)
+
+    def close(self) -> None:
+        super().close()
+        for places in self.open.values():
+            for k in places:
+                self.ends[k] = len(self.items)
+
+    def inside(self, at: int) -> range:
+        """The places inside the element at ``at``."""
+        return range(at + 1, max(self.ends[at], at + 1))
+
+    def text(self, places: range | list[int]) -> str:
+        return " ".join(" ".join(self.items[k][2] for k in places if not self.items[k][0]).split())
+
+    def until_break(self, at: int) -> list[int]:
+        """What follows the element at ``at``, up to the next line break or the end of what is around."""
+        k = at + 1 if self.items[at][0] in VOID else self.ends[at] + 1
+        out, seen = [], set()
+        while k < len(self.items) and self.items[k][0] != "br":
+            tag, attributes, _ = self.items[k]
+            if tag == "a" and attributes.get("aria-label") in ("Edit", "Report error") or "counter" in attributes.get("class", "").split():
+                after = max(self.ends[k], k) + 1
+                seen.update(x[0] for x in self.items[k:after])
+                k = after
+                continue
+            if tag.startswith("/") and tag[1:] not in seen:
+                break
+            seen.add(tag)
+            out.append(k)
+            k += 1
+        return out
+
+
+def _linked(page: _Page, heading: str, path: str) -> list[dict]:
     """Links ``KEY - name`` to ``path`` in the block under a heading."""
-    for k, (tag, _, _) in enumerate(items):
-        if tag == "h4" and _text(_inside(items, k)).upper() == heading:
-            block = next((j for j in range(k + 1, len(items)) if items[j][0] == "div"), None)
-            rows = _inside(items, block) if block is not None else []
-            found = [(re.fullmatch(r"(\S+)\s+-\s+(.+)", " ".join((a.get("title") or _text(_inside(rows, j))).split())), a) for j, (t, a, _) in enumerate(rows) if t == "a" and f"/{path}/" in a.get("href", "")]
-            return [{"key": m[1], "name": m[2], "url": a["href"]} for m, a in found if m]
+    for k, (tag, _, _) in enumerate(page.items):
+        if tag == "h4" and page.text(page.inside(k)).upper() == heading:
+            block = next((j for j in range(k + 1, len(page.items)) if page.items[j][0] == "div"), None)
+            found = []
+            for j in page.inside(block) if block is not None else ():
+                tag, attributes, _ = page.items[j]
+                if tag == "a" and f"/{path}/" in attributes.get("href", ""):
+                    told = re.fullmatch(r"(\S+)\s+-\s+(.+)", " ".join((attributes.get("title") or page.text(page.inside(j))).split()))
+                    found += [{"key": told[1], "name": told[2], "url": attributes["href"]}] if told else []
+            return found
     return []
 
 
@@ -99,16 +117,18 @@ def community_record(html: str, placeholder: str) -> dict:
     page.feed(html)
     page.close()
     items = page.items
-    heading = next((_text(_inside(items, k)) for k, x in enumerate(items) if x[0] == "h1"), "")
+    heading = next((page.text(page.inside(k)) for k, x in enumerate(items) if x[0] == "h1"), "")
     told = re.fullmatch(r"\S+\s+(.+?)\s*-\s*(.*)", heading)
     fields: dict[str, tuple[str | None, list[str]]] = {}
     names: list[dict] = []
     for k, (tag, attributes, _) in enumerate(items):
         if tag == "strong":
-            label = _text(_inside(items, k)).rstrip(":").strip().lower()
-            rest = _until_break(items, k)
-            fields.setdefault(label, (meaningful(_text(rest)), [a["href"] for t, a, _ in rest if t == "a" and a.get("href") and "/editor/" not in a["href"]]))
-        elif tag == "img" and attributes.get("alt") in LOCALES and (name := meaningful(_text(_until_break(items, k)))):
+            label = page.text(page.inside(k)).rstrip(":").strip().lower()
+            if label not in fields:
+                rest = page.until_break(k)
+                links = [items[j][1] for j in rest if items[j][0] == "a"]
+                fields[label] = (meaningful(page.text(rest)), [a["href"] for a in links if a.get("href") and "/editor/" not in a["href"]])
+        elif tag == "img" and attributes.get("alt") in LOCALES and (name := meaningful(page.text(page.until_break(k)))):
             names.append({"locale": LOCALES[attributes["alt"]], "name": name})
     text = lambda label: fields.get(label, (None, []))[0]
 
@@ -124,10 +144,10 @@ def community_record(html: str, placeholder: str) -> dict:
         images[main] = "main"
     for k, (tag, a, _) in enumerate(items):
         if tag == "a" and a.get("rel", "").startswith("lightbox[set]") and a.get("href") not in (None, placeholder):
-            label = " ".join([a.get("title", ""), *(f"{x.get('title', '')} {x.get('alt', '')}" for t, x, _ in _inside(items, k) if t == "img")]).lower()
+            label = " ".join([a.get("title", ""), *(f"{items[j][1].get('title', '')} {items[j][1].get('alt', '')}" for j in page.inside(k) if items[j][0] == "img")]).lower()
             images.setdefault(a["href"], _image_kind(label))
-    notes = [a["href"] for k, (t, a, _) in enumerate(items) if t == "a" and a.get("href") and (re.search(r"\.pdf(?:$|\?)", a["href"], re.I) or re.search("instruction manual|instructions|notice", f"{_text(_inside(items, k))} {a.get('title', '')}".lower()))]
-    tags = [x for k, (t, a, _) in enumerate(items) if "tags" in a.get("class", "").split() for j, (u, _, _) in enumerate(_inside(items, k)) if u == "a" and (x := _text(_inside(_inside(items, k), j)))]
+    notes = [a["href"] for k, (t, a, _) in enumerate(items) if t == "a" and a.get("href") and (re.search(r"\.pdf(?:$|\?)", a["href"], re.I) or re.search("instruction manual|instructions|notice", f"{page.text(page.inside(k))} {a.get('title', '')}".lower()))]
+    tags = [x for k, (_, a, _) in enumerate(items) if "tags" in a.get("class", "").split() for j in page.inside(k) if items[j][0] == "a" and (x := page.text(page.inside(j)))]
     figures = text("figures")
     english = next((n["name"] for n in names if n["locale"] == "en"), None)
     signal = " ".join(x for x in (text("format"), text("exclusive"), *tags) if x)
@@ -144,8 +164,8 @@ def community_record(html: str, placeholder: str) -> dict:
         "tags": tags,
         "promotion": bool(re.search("promotion", signal, re.I)),
         "figure_count": int(figures) if figures and figures.isdigit() else None,
-        "figures": _linked(items, "FIGURES IN THIS SET", "figures"),
-        "parts": _linked(items, "PARTS IN THIS SET", "parts"),
+        "figures": _linked(page, "FIGURES IN THIS SET", "figures"),
+        "parts": _linked(page, "PARTS IN THIS SET", "parts"),
         "images": [{"kind": k, "url": u} for u, k in images.items()],
         "instructions": notes,
     }

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState
 
 from galena.operators.resolution import change_detect
 from galena.operators.windows import latest_per_key
 from galena.sources.tables import discard, materialize
+from galena.streaming.processors import EndedKeys, PriceDrops
 from galena.streaming.state import KeyedState
 
+STORE, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
     """A table's folder or file as a stream, with event time as a timestamp."""
@@ -48,54 +49,28 @@ def sessions(events: DataFrame, gap: str = "2 hours", delay: str = "10 minutes")
 
 
 def price_drops(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Alerts (user_id, event_id, current, previous): a purchase cheaper than the user's one before.
-
-    The state of a user is the last price. Rows of a batch are put in order; a row that is later than
-    the ones of an earlier batch is compared in the order of arrival.
-    """
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        before = state.get[0] if state.exists else None
-        prices = rows["cents"].tolist()
-        previous = [before, *prices[:-1]]
-        state.update((prices[-1],))
-        hit = [p is not None and p > 0 and c < p for c, p in zip(prices, previous, strict=True)]
-        kept = [i for i, h in enumerate(hit) if h]
-        yield pd.DataFrame({"user_id": [key[0]] * len(kept), "event_id": [rows["event_id"].iloc[i] for i in kept], "current": [prices[i] for i in kept], "previous": [previous[i] for i in kept]})
-
+    """Alerts (user_id, event_id, current, previous): a purchase cheaper than the user's one before. See ``PriceDrops``."""
     rows = events.where("event_type = 'purchase'").withWatermark("ts", delay).select("user_id", "event_id", "ts", F.floor(F.col("value") * 100).cast("long").alias("cents"))
-    return rows.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, current long, previous long", "cents long", "append", "NoTimeout")
+    return rows.groupBy("user_id").transformWithStateInPandas(PriceDrops(), "user_id long, event_id long, current long, previous long", "Append", "None")
 
 
 def ended_keys(events: DataFrame, hours: int = 24, delay: str = "10 minutes") -> DataFrame:
-    """(user_id, event_type, event_id, last): the last event of a key once it hasn't been seen for ``hours``.
-
-    The state is the last event; its timer is set in event time and fires as the watermark passes.
-    """
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            event_id, last = state.get
-            state.remove()
-            yield pd.DataFrame({"user_id": [key[0]], "event_type": [key[1]], "event_id": [event_id], "last": [last]})
-            return
-        rows = pd.concat(list(frames)).sort_values(["millis", "event_id"]).iloc[-1]
-        newest = (int(rows["event_id"]), int(rows["millis"]))
-        if state.exists and (state.get[1], state.get[0]) > (newest[1], newest[0]):
-            newest = tuple(state.get)
-        state.update(newest)
-        state.setTimeoutTimestamp(max(newest[1] + hours * 3_600_000, state.getCurrentWatermarkMs() + 1))
-
+    """(user_id, event_type, event_id, last): the last event of a key once it hasn't been seen for ``hours``. See ``EndedKeys``."""
     rows = events.withWatermark("ts", delay).select("user_id", "event_type", "event_id", "ts", F.unix_millis("ts").alias("millis"))
-    return rows.groupBy("user_id", "event_type").applyInPandasWithState(step, "user_id long, event_type string, event_id long, last long", "event_id long, last long", "append", "EventTimeTimeout")
+    return rows.groupBy("user_id", "event_type").transformWithStateInPandas(EndedKeys(hours), "user_id long, event_type string, event_id long, last long", "Append", "EventTime")
 
 
 def run_once(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run what is there through a stream into Parquet, and read it."""
-    query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).option("path", out).trigger(availableNow=True).start()
+    """Run what is there through a stream into Parquet, and read it. State is kept by RocksDB."""
+    spark = stream.sparkSession
+    before = spark.conf.get(STORE)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).option("path", out).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(STORE, before)
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).parquet(out)
 
 
 def upsert_each(stream: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str) -> None:
