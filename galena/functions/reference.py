@@ -45,10 +45,14 @@ def _parsed(r: Column) -> Column:
     )
 
 
+# References that stand for none.
+PLACEHOLDERS = ("^0+(V[0-9]+)?(-[A-Z0-9-]+)?$", "^N/?A(-[A-Z0-9-]+)?$")
+
+
 def placeholder(c: Column) -> Column:
     """Zeros or N/A, perhaps with a version or a suffix, as the whole value; a missing one is a placeholder too."""
     r = F.upper(F.regexp_replace(normalized(c, composed), "\\s+", ""))
-    return F.coalesce(r.rlike("^0+(V[0-9]+)?(-[A-Z0-9-]+)?$") | r.rlike("^N/?A(-[A-Z0-9-]+)?$"), F.lit(True))
+    return F.coalesce(r.rlike(PLACEHOLDERS[0]) | r.rlike(PLACEHOLDERS[1]), F.lit(True))
 
 
 def gtin_valid(c: Column) -> Column:

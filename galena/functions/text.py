@@ -48,6 +48,7 @@ def _found(c: Column, pattern: str, group: int = 0) -> Column:
     return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
 
 
+# Patterns of qualifiers, issues, numbered editions and routes.
 QUALIFIER = "^(.*?)\\s*[(\\[]\\s*([^\\])]+)\\s*[)\\]]\\s*$"
 ISSUE = "(?i)\\b(?:heft|folge|issue|no|nr)\\.?\\s*[0-9]+\\b|\\b[0-9]+/[0-9]{4}\\b"
 NUMBERED = "\\b(?:edition|version|series|part|folge|issue|heft|nr|no) *[0-9]+\\b"

@@ -85,6 +85,18 @@ def member_bitmaps(df: DataFrame, by: list[str], member: str, *more: Column) ->
     return bits.groupBy(*by, "bucket").agg(F.bitmap_construct_agg("__bit").alias("members"), *more)
 
 
+def membership_totals(bitmaps: DataFrame, held: DataFrame, by: str) -> DataFrame:
+    """by, total, missing: how many different members each group has, and how many of them are not held.
+
+    ``bitmaps``: by, bucket, members (any number for each group); ``held``: bucket, held, one row for each bucket.
+    """
+    united = bitmaps.groupBy(by, "bucket").agg(F.bitmap_or_agg("members").alias("members"))
+    both = united.join(held, "bucket", "left").select(by, "bucket", "members", F.explode(F.array("members", "held")).alias("side"))
+    met = both.groupBy(by, "bucket").agg(F.first("members").alias("members"), F.bitmap_and_agg("side").alias("met"), F.count("side").alias("sides"))
+    owned = F.when(F.col("sides") == 2, F.bitmap_count("met")).otherwise(0)
+    return met.groupBy(by).agg(F.sum(F.bitmap_count("members")).alias("total"), F.sum(F.bitmap_count("members") - owned).alias("missing"))
+
+
 def segment_coverage(segments: dict[str, DataFrame], facts: dict[str, DataFrame], id: str) -> DataFrame:
     """For each named segment of ids: its size, and how many have each fact."""
     rows = reduce(DataFrame.unionByName, [df.select(id).distinct().withColumn("segment", F.lit(name)) for name, df in segments.items()])

@@ -95,6 +95,7 @@ def names_diverge() -> Column:
 def compare_evidence(base: Column) -> Column:
     """(relation, reason) of a pair of ``features``; ``base`` is what ``compare_signals`` says of it."""
 
+    # The codes of reasons, here and below.
     def told(relation: str, reason: str) -> Column:
         return F.struct(F.lit(relation).alias("relation"), F.lit(reason).alias("reason"))
 

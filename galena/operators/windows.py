@@ -34,6 +34,14 @@ def price_drop(df: DataFrame, keys: list[str], order_by: list[Column], price: st
     return last.where((F.col("previous") > 0) & (F.col(price) < F.col("previous"))).select(*keys, F.col(price).alias("current"), "previous")
 
 
+def in_given_order(given: DataFrame, facts: DataFrame, id: str, place: str) -> DataFrame:
+    """Facts of the ids that are given, in the order of their places; an id that is given twice comes twice, one without facts not at all.
+
+    The order is the column ``place``, which goes through the join, as rows of a cluster have no other.
+    """
+    return given.select(place, id).join(facts, id).orderBy(place)
+
+
 def page_with_total(df: DataFrame, order_by: list[Column], page: int, size: int) -> DataFrame:
     """One page of rows with the total and the page count. The total is an aggregate, not a window over everything."""
     total = df.agg(F.count("*").alias("total")).withColumn("pages", F.greatest(F.lit(1), F.ceil(F.col("total") / size)).cast("long"))

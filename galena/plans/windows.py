@@ -46,6 +46,25 @@ def distinct_on(t: Tables) -> DataFrame:
     return first.select("o_custkey", "row.*")
 
 
+@query("given_order", """
+    WITH g AS (SELECT o_custkey AS id, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders WHERE o_orderstatus = 'P'), known AS (SELECT c_custkey AS id, c_name, c_nationkey FROM customer WHERE c_acctbal > 0)
+    SELECT place, id, c_name, c_nationkey FROM g JOIN known USING (id)""")
+def given_order(t: Tables) -> DataFrame:
+    """Facts of customers in the order of a list of ids, which repeats some and has some that aren't known."""
+    rank = ops.global_rank(t.orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("id"), "o_totalprice", "o_orderkey"), [F.desc("o_totalprice"), F.asc("o_orderkey")])
+    known = t.customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("id"), "c_name", "c_nationkey")
+    return ops.in_given_order(rank.select("id", F.col("position").alias("place")), known, "id", "place").select("place", "id", "c_name", "c_nationkey")
+
+
+@query("snapshot_projection", """
+    SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN event_type END AS kind, CASE WHEN CAST(json_extract(props, '$.k') AS INT) BETWEEN 10 AND 90 THEN 1900 + CAST(json_extract(props, '$.k') AS INT) END AS year, CASE WHEN value >= 1 THEN CAST(floor(value * 100) AS BIGINT) END AS cents FROM events""")
+def snapshot_projection(t: Tables) -> DataFrame:
+    """What entries of a snapshot tell; a field that isn't told, or out of its range, stays null."""
+    k = F.get_json_object("props", "$.k").try_cast("int")
+    told = {"kind": (F.col("event_type"), F.col("event_type").isin("view", "click")), "year": (1900 + k, k.between(10, 90)), "cents": (F.floor(F.col("value") * 100), F.col("value") >= 1)}
+    return t.events.select("event_id", *[F.when(usable, value).alias(name) for name, (value, usable) in told.items()])
+
+
 @query("deep_page", """
     SELECT l_orderkey, l_linenumber, l_extendedprice, position, total, greatest(1, (total + 35) // 36) AS pages FROM (SELECT *, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS position, count(*) OVER () AS total FROM lineitem)
     WHERE position > 36 * 149 AND position <= 36 * 150""")

@@ -9,7 +9,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from galena.operators import aggregates, classification, digest_tree, edits, page_index, resolution, search_index
+from galena.operators import aggregates, classification, digest_tree, edits, page_index, resolution, search_index, windows
 from galena.sources import identifiers, pages, tables
 from galena.streaming import jobs
 
@@ -187,3 +187,9 @@ def test_malformed_pages():
     record = pages.community_record(html, "")
     assert (record["reference"], record["format"], record["release_year"]) == ("12", "Box & bag more", 1999)
     assert pages.community_record("", "")["tags"] == [] and pages.community_record("</p></div><", "")["name"] is None
+
+
+def test_facts_in_the_order_of_the_ids(spark):
+    given = spark.createDataFrame([(1, "c"), (2, "a"), (3, "c"), (4, "x")], "place int, id string")
+    facts = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "id string, v int")
+    assert [(r.place, r.id, r.v) for r in windows.in_given_order(given, facts, "id", "place").collect()] == [(1, "c", 3), (2, "a", 1), (3, "c", 3)]
