@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from galena.llm import bpe_tree, class_lm, jaccard_join, license_scan, merkle_manifest, pairwise_quality, phrase_automata, prefix_trie, quality_rules, source_mix, suffix_dedup, template_leaks, warc_zip
@@ -58,6 +57,8 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # vocabulary files of the environment, which only this query needs
+
     return bpe_tree.token_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
