@@ -43,16 +43,19 @@ def components(edges: DataFrame) -> DataFrame:
     Ids of any one type that can be ordered; repeated links count once; no links give no rows.
     """
     given = materialize(edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL").distinct())
-    links, state = materialize(given.where("a <> b")), None
+    nodes = given.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    links, state = given.where("a <> b"), None
+    if links.isEmpty():
+        return nodes.select("id", F.col("id").alias("cluster"))
     while True:
         large = materialize(large_star(links))
         step = materialize(small_star(large))
-        discard(links)
         discard(large)
+        if state is not None:
+            discard(links)
         links = step
         now = links.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if now == state:
             break
         state = now
-    nodes = given.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     return nodes.join(links, nodes["id"] == links["a"], "left").select("id", F.coalesce("b", "id").alias("cluster"))
