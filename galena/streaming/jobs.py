@@ -11,7 +11,7 @@ from galena.operators.resolution import change_detect
 from galena.operators.windows import latest_per_key
 from galena.sources.tables import discard, materialize
 from galena.streaming.processors import EndedKeys, PriceDrops
-from galena.streaming.state import KeyedState
+from galena.streaming.state import FANOUT, KeyedState
 
 STORE, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -78,13 +78,13 @@ def upsert_each(stream: DataFrame, merge: Callable[[DataFrame, int], None], chec
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def keyed_state(stream: DataFrame, fold: Callable[[DataFrame], DataFrame], at: str, gone: Column | None = None) -> DataFrame:
+def keyed_state(stream: DataFrame, fold: Callable[[DataFrame], DataFrame], at: str, gone: Column | None = None, fanout: int = FANOUT) -> DataFrame:
     """The rows that ``fold`` keeps of the stream, brought up to date by each micro batch, without those that are ``gone``.
 
     See ``KeyedState``: a batch reads nothing of the state, and what is stored is merged by levels.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
-    state = KeyedState(stream.sparkSession, at, schema, fold, gone)
+    state = KeyedState(stream.sparkSession, at, schema, fold, gone, fanout)
     upsert_each(stream, state.apply, f"{at}/state")
     return state.rows()
 

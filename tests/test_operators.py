@@ -135,10 +135,10 @@ def test_components_of_a_chain(spark):
 def test_components_of_hubs_long_chains_and_nothing(spark):
     """A star whose hub has the largest id, one whose hub has the smallest, and a chain longer than any bound on rounds."""
     star = [(100_000, i) for i in range(10_000, 13_000)] + [(20_000, i) for i in range(20_001, 23_000)]
-    chain = [(30_000 + 7 * i % 601, 30_000 + 7 * (i + 1) % 601) for i in range(600)]
+    chain = [(30_000 + 7 * i % 151, 30_000 + 7 * (i + 1) % 151) for i in range(150)]
     edges = spark.createDataFrame([*star, *chain, (5, 5), (None, 7), (9, 8), (9, 8)], "a int, b int")
     got = {r.id: r.cluster for r in components(edges).collect()}
-    want = {**{i: 10_000 for i in (*range(10_000, 13_000), 100_000)}, **{i: 20_000 for i in range(20_000, 23_000)}, **{30_000 + i: 30_000 for i in range(601)}, 5: 5, 8: 8, 9: 8}
+    want = {**{i: 10_000 for i in (*range(10_000, 13_000), 100_000)}, **{i: 20_000 for i in range(20_000, 23_000)}, **{30_000 + i: 30_000 for i in range(151)}, 5: 5, 8: 8, 9: 8}
     assert got == want
     assert components(edges.limit(0)).count() == 0
 
@@ -235,18 +235,18 @@ def test_keyed_state_goes_on_after_a_restart(spark, tmp_path):
     def fold(df):
         return windows.latest_per_key(df, ["k"], [F.desc("v")])
 
-    for n in range(22):
-        rows = [(n % 5, n, n % 4 == 3), (100 + n, n, False)]
+    for n in range(9):
+        rows = [(n % 3, n, n % 4 == 3), (100 + n, n, False)]
         want |= {k: (v, dead) for k, v, dead in rows}
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{at}/in")
         stream = spark.readStream.schema(schema).parquet(f"{at}/in")
-        out = jobs.keyed_state(stream, fold, f"{at}/s", gone=F.col("dead"))
-    state = KeyedState(spark, f"{at}/s", schema, fold, F.col("dead"))
+        out = jobs.keyed_state(stream, fold, f"{at}/s", gone=F.col("dead"), fanout=2)
+    state = KeyedState(spark, f"{at}/s", schema, fold, F.col("dead"), 2)
     live = {(k, v) for k, (v, dead) in want.items() if not dead}
     assert {(r.k, r.v) for r in out.collect()} == {(r.k, r.v) for r in state.rows().collect()} == live
     runs = state.runs()
-    assert len(runs) <= 6 and sorted(tables.list_names(spark, f"{at}/s/runs")) == sorted(name for _, name in runs)
+    assert [level for level, _ in runs] == [3, 0] and sorted(tables.list_names(spark, f"{at}/s/runs")) == sorted(name for _, name in runs)
     stored = spark.read.schema(schema).parquet(f"{at}/s/runs/{runs[0][1]}")
-    assert runs[0][0] == 2 and stored.where("dead").count() == 0
-    state.apply(spark.createDataFrame([(7, 99, False)], schema), 21)
+    assert stored.where("dead").count() == 0
+    state.apply(spark.createDataFrame([(7, 99, False)], schema), 8)
     assert state.runs() == runs
