@@ -2,14 +2,44 @@
 
 from __future__ import annotations
 
+import os
+
+import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from galena.operators import identity as ops
-from galena.plans import identity
+from galena.plans import QUERIES, identity
 from galena.sources.views import Tables
 
+DATA = "/root/testdata/sf0.01"
+has_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+
+
+@has_data
+@pytest.mark.parametrize(("key", "facts"), [("compare_identity", "signals")])
+def test_every_pair_of_records_can_be_told(spark, key, facts):
+    """Pairs of classes and members give what the SQL says of each single pair of records."""
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW part AS SELECT * FROM '{DATA}/part.parquet'")
+    want = {(a, b): tuple(f) for a, b, *f in c.sql(f'WITH {identity._PAIRS} SELECT "left", "right", {facts} FROM pairs').fetchall()}
+    rows = [r.asDict() for r in QUERIES[key](spark, DATA).collect()]
+    members: dict = {}
+    for r in rows:
+        if r["relation"] == "MEMBER":
+            members.setdefault(r["right"], []).append(r["left"])
+    got: dict = {}
+    for r in rows:
+        if r["relation"] != "MEMBER":
+            left, right = members[r["left"]], members[r["right"]]
+            pairs = {(min(a, b), max(a, b)) for a in left for b in right if a != b}
+            assert len(pairs) == r["pairs"]
+            got |= dict.fromkeys(pairs, (r["relation"], *([r["reason"]] if "reason" in r else [])))
+    assert got == want
+
+
 def test_classes_do_not_grow_with_the_brands_of_a_group(spark, tmp_path):
     """Brands stand in the names by language only, and all records of the group have one English name."""
     n = 1000
