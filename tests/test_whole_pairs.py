@@ -19,7 +19,7 @@ has_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 
 
 @has_data
-@pytest.mark.parametrize(("key", "facts"), [("compare_identity", "signals")])
+@pytest.mark.parametrize(("key", "facts"), [("compare_identity", "signals"), ("compare_records", "relation, reason")])
 def test_every_pair_of_records_can_be_told(spark, key, facts):
     """Pairs of classes and members give what the SQL says of each single pair of records."""
     c = duckdb.connect()
