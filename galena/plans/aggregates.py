@@ -77,12 +77,12 @@ def quality_summary(t: Tables) -> DataFrame:
     , m AS (SELECT p_partkey, n_nationkey AS theme FROM part JOIN nation ON n_nationkey = p_size % 25 UNION SELECT l_partkey, s_nationkey FROM lineitem JOIN supplier ON s_suppkey = l_suppkey)
     SELECT theme, count(*) AS total, count(*) FILTER (WHERE p_partkey NOT IN (SELECT variant_id FROM copies)) AS missing FROM m GROUP BY theme"""))
 def membership_totals(t: Tables) -> DataFrame:
-    """Themes of products and of variants as bitmaps of variants, united by theme, and met with the bitmap of owned ones."""
-    inherited = ops.member_bitmaps(t.part.select((F.col("p_size") % 25).cast("int").alias("theme"), "p_partkey"), ["theme"], "p_partkey")
+    """Themes of products and of variants as bits of each variant, against the variants that are owned."""
+    inherited = t.part.select((F.col("p_size") % 25).cast("int").alias("theme"), "p_partkey").join(t.nation.select(F.col("n_nationkey").alias("theme")), "theme", "left_semi")
     place = t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("theme"))
-    own = ops.member_bitmaps(t.lineitem, ["l_suppkey"], "l_partkey").join(place, "l_suppkey").select("theme", "bucket", "members")
-    held = ops.member_bitmaps(t.copies(), [], "variant_id").select("bucket", F.col("members").alias("held"))
-    return ops.membership_totals(inherited.unionByName(own), held, "theme")
+    own = t.lineitem.select("l_suppkey", F.col("l_partkey").alias("p_partkey")).join(place, "l_suppkey").select("theme", "p_partkey")
+    held = t.copies().select(F.col("variant_id").alias("p_partkey"))
+    return ops.membership_totals(inherited.unionByName(own), held, "theme", "p_partkey")
 
 
 _STATES = "states AS (SELECT variant_id, bool_or(o) AS owned, bool_or(w) AS wanted FROM (SELECT variant_id, TRUE AS o, FALSE AS w FROM copies UNION ALL SELECT variant_id, FALSE, TRUE FROM wishes) GROUP BY 1)"

@@ -11,3 +11,15 @@ def test_masks_tell_the_groups_of_each_member(spark):
     rows = [(g, m) for m in range(40) for g in (0, 63, 64, -1, 1000) if (m + g) % 3]
     masks = aggregates.member_masks(spark.createDataFrame(rows + rows, "g int, m long"), "g", "m")
     assert sorted((r.g, r.m) for r in aggregates.groups_of(masks, "g").collect()) == sorted(rows)
+
+
+def test_membership_totals_hold_a_number_for_each_member(spark):
+    """Members that lie far apart: a bitmap for each bucket took 4 kB for each of these rows."""
+    rows = spark.range(5000).select((F.col("id") % 7).cast("int").alias("g"), (F.col("id") * 1_000_003 - 7).alias("m"))
+    held = rows.where("m % 2 = 0").select("m")
+    got = {r.g: (r.total, r.missing) for r in aggregates.membership_totals(rows.unionByName(rows), held, "g", "m").collect()}
+    want: dict = {}
+    for i in range(5000):
+        total, missing = want.get(i % 7, (0, 0))
+        want[i % 7] = (total + 1, missing + ((i * 1_000_003 - 7) % 2))
+    assert got == want
