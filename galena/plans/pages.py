@@ -138,8 +138,8 @@ def page_listing(t: Tables) -> DataFrame:
     SELECT page_id, reference, CASE WHEN x.reference IS NULL THEN 'missing' WHEN e.reference IS NULL THEN 'unexpected' ELSE 'matched' END AS status, place FROM x FULL JOIN e USING (page_id, reference)""")
 def page_manifest_diff(t: Tables) -> DataFrame:
     """References of each page, in the order that they stand there, against those that its manifest expects."""
-    found = jobs.first_occurrence(F.array_join(F.transform(jobs.listing_rows(F.col("html")), lambda r: r["reference"]), " "), "([0-9]+)")
-    rows = listing_pages(t).select("page_id", F.posexplode(found).alias("at", "o")).select("page_id", F.col("o.value").alias("reference"), (F.col("at") + 1).cast("long").alias("place"))
+    found = F.array_distinct(jobs.listing_references(F.col("html")))
+    rows = listing_pages(t).select("page_id", F.posexplode(found).alias("at", "reference")).select("page_id", "reference", (F.col("at") + 1).cast("long").alias("place"))
     expected = t.lineitem.where("l_linenumber < 6").select(F.col("l_orderkey").alias("page_id"), (70000 + F.col("l_partkey") % 3000).cast("string").alias("reference")).distinct().withColumn("expected", F.lit(True))
     both = rows.join(expected, ["page_id", "reference"], "full_outer")
     return both.select("page_id", "reference", F.when(F.col("place").isNull(), "missing").when(F.col("expected").isNull(), "unexpected").otherwise("matched").alias("status"), "place")

@@ -7,7 +7,7 @@ their tags and are read by a parser, in Arrow batches, one page after the other.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from html.parser import HTMLParser
 
@@ -264,25 +264,39 @@ def official_observation(html: Column) -> Column:
     )
 
 
+_ROW = "(?i)^\\S+\\s+(.+?)\\s+([0-9]{3,8})\\s+(.+)$"
+
+
+def _listing_texts(html: Column) -> Column:
+    """(a, text) of the links to ``/p``. Each is made once and then read by name: an expression in a lambda runs wherever it stands."""
+    anchors = F.regexp_extract_all(html, F.lit("(?is)<a[^>]*href=.[^\"']*/p[^\"']*.[^>]*>.*?</a>"), F.lit(0))
+    return F.transform(anchors, lambda a: F.struct(a.alias("a"), F.trim(F.regexp_replace(F.regexp_replace(a, "<[^>]*>", " "), "\\s+", " ")).alias("text")))
+
+
+def listing_references(html: Column) -> Column:
+    """The references of ``listing_rows`` alone, in order."""
+    return F.filter(F.transform(_listing_texts(html), lambda x: F.regexp_extract(x["text"], _ROW, 2)), lambda r: r != "")
+
+
 def listing_rows(html: Column) -> Column:
     """Offers of an annual listing: links to ``/p``, ``Brand theme reference name [month]``; the last of a reference counts."""
-    anchors = F.regexp_extract_all(html, F.lit("(?is)<a[^>]*href=.[^\"']*/p[^\"']*.[^>]*>.*?</a>"), F.lit(0))
-    text = lambda a: F.trim(F.regexp_replace(F.regexp_replace(a, "<[^>]*>", " "), "\\s+", " "))
-    row = "(?i)^\\S+\\s+(.+?)\\s+([0-9]{3,8})\\s+(.+)$"
 
-    def told(a: Column) -> Column:
-        tail = F.regexp_extract(text(a), row, 3)
-        name = F.regexp_replace(tail, f"(?i)\\s+(?:sortie pr[ée]vue\\s+)?(?:{MONTHS})(?:\\s+20[0-9]{{2}})?.*$", "")
+    def cut(x: Column) -> Column:
+        return F.struct(x["a"].alias("a"), *(F.regexp_extract(x["text"], _ROW, k).alias(c) for k, c in ((1, "theme"), (2, "reference"), (3, "tail"))))
+
+    def told(x: Column) -> Column:
+        name = F.regexp_replace(x["tail"], f"(?i)\\s+(?:sortie pr[ée]vue\\s+)?(?:{MONTHS})(?:\\s+20[0-9]{{2}})?.*$", "")
         name = F.regexp_replace(F.regexp_replace(name, "(?i)\\s+[àa] partir de.*$", ""), "\\s+-[0-9]+%.*$", "")
         return F.struct(
-            F.regexp_extract(text(a), row, 2).alias("reference"),
+            x["reference"].alias("reference"),
             F.trim(name).alias("name"),
-            F.trim(F.regexp_extract(text(a), row, 1)).alias("theme"),
-            F.nullif(F.regexp_extract(tail, f"(?i)({MONTHS})", 1), F.lit("")).alias("month"),
-            F.regexp_extract(a, "href=.([^\"']*)", 1).alias("url"),
+            F.trim(x["theme"]).alias("theme"),
+            F.nullif(F.regexp_extract(x["tail"], f"(?i)({MONTHS})", 1), F.lit("")).alias("month"),
+            F.regexp_extract(x["a"], "href=.([^\"']*)", 1).alias("url"),
         )
 
-    return F.filter(F.transform(anchors, told), lambda r: r["reference"] != "")
+    rows = F.filter(F.transform(_listing_texts(html), lambda x: cut(x)), lambda x: x["reference"] != "")
+    return F.transform(rows, told)
 
 
 def labelled_field(html: Column, label: str) -> Column:
@@ -292,7 +306,15 @@ def labelled_field(html: Column, label: str) -> Column:
     return F.when(~text.rlike("(?i)^(\\(n/a\\)|n/a|none)?$"), text)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once, also where a lambda reads it for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def first_occurrence(html: Column, pattern: str) -> Column:
-    """(value, place) of the first occurrence of each distinct match, in order."""
+    """(value, place) of the first occurrence of each distinct match, in order. Matches are sorted, not searched for each value."""
     found = F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
-    return F.transform(F.array_distinct(found), lambda v: F.struct(v.alias("value"), F.array_position(found, v).alias("place")))
+    placed = F.array_sort(F.transform(found, lambda v, i: F.struct(v.alias("value"), (i + 1).cast("long").alias("place"))))
+    firsts = _once(placed, lambda all_: F.filter(all_, lambda x, i: (i == 0) | (F.get(all_, i - 1)["value"] != x["value"])))
+    ordered = F.array_sort(F.transform(firsts, lambda x: F.struct(x["place"].alias("place"), x["value"].alias("value"))))
+    return F.transform(ordered, lambda x: F.struct(x["value"].alias("value"), x["place"].alias("place")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from galena.operators import aggregates
+from galena.sources import pages
 
 
 def test_masks_tell_the_groups_of_each_member(spark):
@@ -23,3 +24,15 @@ def test_membership_totals_hold_a_number_for_each_member(spark):
         total, missing = want.get(i % 7, (0, 0))
         want[i % 7] = (total + 1, missing + ((i * 1_000_003 - 7) % 2))
     assert got == want
+
+
+def test_each_page_is_read_once(spark):
+    """Links of a page are found once, not again for each of its references; first places by sorting."""
+    links = "".join(f'<a href="/p{i}">Brand Theme {70000 + i % 900} Castle {i}</a>' for i in range(3000))
+    df = spark.createDataFrame([(f"<body>{links}</body>",), ("<p>none",), (None,)], "html string")
+    got = [r.f for r in df.select(pages.listing_references(F.col("html")).alias("f")).collect()]
+    assert got[0] == [str(70000 + i % 900) for i in range(3000)] and got[1] == [] and not got[2]
+    plan = df.select(pages.listing_references(F.col("html")).alias("f"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    firsts = df.limit(1).select(F.explode(pages.first_occurrence(F.col("html"), "Brand Theme ([0-9]+)")).alias("o")).select("o.*").collect()
+    assert [(r.value, r.place) for r in firsts] == [(str(70000 + i), i + 1) for i in range(900)]
