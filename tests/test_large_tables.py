@@ -36,3 +36,11 @@ def test_each_page_is_read_once(spark):
     assert plan.count("regexp_extract_all") == 1
     firsts = df.limit(1).select(F.explode(pages.first_occurrence(F.col("html"), "Brand Theme ([0-9]+)")).alias("o")).select("o.*").collect()
     assert [(r.value, r.place) for r in firsts] == [(str(70000 + i), i + 1) for i in range(900)]
+
+
+def test_a_listing_row_is_read_once(spark):
+    df = spark.createDataFrame([('<a href="/p1">Brand Theme 70001 Castle 1x sortie prévue Août 2026</a><a href="/p2">Brand x</a>',)], "html string")
+    out = df.select(pages.listing_rows(F.col("html")).alias("r"))
+    assert [tuple(x) for x in out.first().r] == [("70001", "Castle 1x", "Theme", "Août", "/p1")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and plan.count("(.+?)") == 3
