@@ -92,7 +92,7 @@ def official_pages(t: Tables) -> DataFrame:
         '<div><span class="title">Package dimensions:</span> 25,5 x ', size, ' x 9.1 cm</div><div><span class="title">Weight:</span> ', size, ",5 kg</div><p>Figures: 2 knights, ", (s % 3 + 1).cast("string"), ' dogs Accessories: 3 swords</p>', F.when(s % 8 == 0, "").otherwise(F.concat(F.lit('<span class="price--list"><b class="value" content="'), size, F.lit('.99"></b></span>'))),
         F.when(s % 9 == 0, '<script type="application/ld+json">{"@type": </script>').otherwise(""), '<script type="application/ld+json">', block, "</script></body></html>",
     ]
-    return t.part.select(F.col("p_partkey").alias("page_id"), F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]).alias("html"))
+    return t.dealt("part", "p_partkey").select(F.col("p_partkey").alias("page_id"), F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]).alias("html"))
 
 
 @query("page_jsonld", "SELECT p_partkey AS page_id, CASE WHEN p_partkey % 13 > 0 THEN CAST(70000 + p_partkey AS VARCHAR) END AS sku, CASE WHEN p_partkey % 13 > 0 THEN p_name END AS name FROM part")
@@ -107,7 +107,8 @@ def page_jsonld(t: Tables) -> DataFrame:
         CASE WHEN has THEN '40' || lpad(k, 11, '0') END AS gtin, 'Home,' || p_type || ',' || CAST(1990 + p_size % 20 AS VARCHAR) AS breadcrumbs, p_size % 10 = 0 AS archived, CASE WHEN has THEN CASE WHEN p_size % 8 = 0 THEN p_size + 0.5 ELSE p_size + 0.99 END END AS list_price, CASE WHEN has THEN p_size + 0.5 END AS current_price, CASE WHEN has THEN 'EUR' END AS currency, CASE WHEN has THEN 'InStock' END AS availability FROM o)
     SELECT * REPLACE (CAST(list_price AS DOUBLE) AS list_price, CAST(current_price AS DOUBLE) AS current_price) FROM r""")
 def page_observation(t: Tables) -> DataFrame:
-    rows = official_pages(t).select("page_id", jobs.official_observation(F.col("html")).alias("o")).select("page_id", "o.*")
+    pages = official_pages(t).withColumn("product", jobs.json_ld_product(F.col("html")))
+    rows = pages.select("page_id", jobs.official_observation(F.col("html"), F.col("product")).alias("o")).select("page_id", "o.*")
     size = F.concat_ws(" x ", *[F.col(f"package_mm.{c}").cast("string") for c in ("width", "depth", "height")])
     return rows.withColumns({"package": size, **{c: F.array_join(c, ",") for c in ("image_kinds", "images", "breadcrumbs")}}).drop("package_mm", "product_mm", "description")
 

@@ -212,9 +212,12 @@ def json_ld_product(html: Column) -> Column:
     return F.get(F.filter(flat, is_product), F.lit(0))
 
 
-def official_observation(html: Column) -> Column:
-    """What an official product page tells: identity, measures, media, and the list price apart from the current offer."""
-    product = json_ld_product(html)
+def official_observation(html: Column, product: Column | None = None) -> Column:
+    """What an official product page tells: identity, measures, media, and the list price apart from the current offer.
+
+    ``product``: a column with ``json_ld_product`` of the page, so that its blocks are parsed once and not for each field.
+    """
+    product = json_ld_product(html) if product is None else product
 
     def field(path: str, kind: str = "string") -> Column:
         return F.try_variant_get(product, path, kind)

@@ -44,3 +44,10 @@ def test_a_listing_row_is_read_once(spark):
     assert [tuple(x) for x in out.first().r] == [("70001", "Castle 1x", "Theme", "Août", "/p1")]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 1 and plan.count("(.+?)") == 3
+
+
+def test_official_pages_are_dealt_out_and_parsed_once(spark):
+    from galena.plans import QUERIES
+
+    plan = QUERIES["page_observation"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and plan.count("ld\\+json.>") == 1
