@@ -171,6 +171,8 @@ def community_record(html: str, placeholder: str) -> dict:
     }
 
 
+#: Records that a task holds as Python objects.
+RECORDS = 500
 _ENTITY = "array<struct<key:string,name:string,url:string>>"
 RECORD_DDL = f"reference string, name string, translations array<struct<locale:string,name:string>>, release_year int, discontinued_year int, theme string, format string, exclusive string, markets array<string>, tags array<string>, promotion boolean, figure_count int, figures {_ENTITY}, parts {_ENTITY}, images array<struct<kind:string,url:string>>, instructions array<string>"
 
@@ -179,7 +181,8 @@ def page_records(pages: DataFrame, placeholder: str = "", html: str = "html", ke
     """The record of each community page, nested; a null page has an empty record."""
 
     def job(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        # A record takes much more room as Python objects than as a row, so few are held at once.
+        for frame in (whole[k : k + RECORDS] for whole in frames for k in range(0, len(whole), RECORDS)):
             rows = [community_record(body or "", placeholder) for body in frame["__html"]]
             out = pd.DataFrame(rows, columns=[c.split(" ")[0] for c in RECORD_DDL.split(", ")], dtype=object)
             out.insert(0, key, frame[key].to_numpy())

@@ -51,3 +51,9 @@ def test_official_pages_are_dealt_out_and_parsed_once(spark):
 
     plan = QUERIES["page_observation"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" in plan and plan.count("ld\\+json.>") == 1
+
+
+def test_few_records_are_held_as_objects(spark, monkeypatch):
+    monkeypatch.setattr(pages, "RECORDS", 3)
+    df = spark.range(20).coalesce(1).select(F.col("id").alias("page_id"), F.concat(F.lit("<h1>Brand 1 - Castle "), F.col("id"), F.lit("</h1>")).alias("html"))
+    assert sorted((r.page_id, r.name) for r in pages.page_records(df).select("page_id", "name").collect()) == [(i, f"Castle {i}") for i in range(20)]
