@@ -190,7 +190,7 @@ def walked(t: Tables) -> DataFrame:
         F.lit('{"ean": '), k, F.lit(', "upc": true, "mpn": " ", "a": {"b": {"c": {"d": {"e": {"EAN-13": "'), code, F.lit('"}}}}}, "items": [{"itemSku": " s  '), k,
         F.lit('"}, {"gtin": ["'), code, F.lit('", ["4008 7897-22164"], {"mpn": "_'), k, F.lit('"}]}], "officialIdentifiers": [{"type": "MPN", "rawValue": "m-'), k, F.lit('"}, {"type": "OTHER", "rawValue": ['), k, F.lit("]}, {}, 7]}"),
     )
-    return identifiers.identifier_walk(t.events.select("event_id", F.parse_json(body).alias("v")), "event_id", "v")
+    return identifiers.identifier_walk(t.dealt("events", "event_id").select("event_id", F.parse_json(body).alias("v")), "event_id", "v")
 
 
 @query("json_identifier_walk", f"WITH {_WALKED} SELECT *, normalized IS NOT NULL AS valid FROM w")
