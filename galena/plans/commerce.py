@@ -90,10 +90,14 @@ _INC = "inc AS (SELECT offer_id, any_value(retailer_id) AS retailer_id, min(item
     FROM prev p FULL JOIN good g ON g.offer_id = p.offer_id UNION ALL SELECT 'observation', offer_id, price_cents, 'appended' FROM good WHERE (offer_id, observed_at) NOT IN (SELECT offer_id, observed_at FROM obs WHERE observed_at < TIMESTAMP '2000-09-01')
     UNION ALL SELECT 'reject', offer_id, price_cents, CASE WHEN retailer_id % 3 > 0 THEN 'outside the scope' WHEN offer_id % 5 < 2 THEN 'unsafe address' WHEN confidence < 0.95 THEN 'low confidence' ELSE 'no price' END FROM inc WHERE offer_id NOT IN (SELECT offer_id FROM good)"""))
 def offer_refresh(t: Tables) -> DataFrame:
-    """Offers, appended observations and rejects of one refresh, as rows of one table."""
-    obs, cut = t.observations(), F.lit("2000-06-01").cast("timestamp_ntz")
-    previous = obs.where(F.col("observed_at") < cut).groupBy("offer_id").agg(F.any_value("retailer_id").alias("retailer_id"), F.min("item_cents").alias("price_cents"))
-    incoming = obs.where(F.col("observed_at") >= cut).groupBy("offer_id").agg(F.any_value("retailer_id").alias("retailer_id"), F.min("item_cents").alias("price_cents"), F.max(1 - F.col("discount")).alias("confidence"), F.max("observed_at").alias("observed_at"))
+    """Offers, appended observations and rejects of one refresh, as rows of one table.
+
+    From a million parts on, offers of two retailers may have one number: the retailer is that of the first row, as the table has them.
+    """
+    obs, cut = t.observations(t.placed("lineitem"), "place"), F.lit("2000-06-01").cast("timestamp_ntz")
+    retailer = F.min_by("retailer_id", "place").alias("retailer_id")
+    previous = obs.where(F.col("observed_at") < cut).groupBy("offer_id").agg(retailer, F.min("item_cents").alias("price_cents"))
+    incoming = obs.where(F.col("observed_at") >= cut).groupBy("offer_id").agg(retailer, F.min("item_cents").alias("price_cents"), F.max(1 - F.col("discount")).alias("confidence"), F.max("observed_at").alias("observed_at"))
     k = F.col("offer_id") % 5
     url = F.concat(F.when(k == 0, "http://shop.example.org/").when(k == 1, "https://evil.example.net/").otherwise("https://shop.example.org/"), F.col("offer_id").cast("string"))
     there = obs.where(F.col("observed_at") < F.lit("2000-09-01").cast("timestamp_ntz")).select("offer_id", "observed_at")

@@ -57,3 +57,23 @@ def test_few_records_are_held_as_objects(spark, monkeypatch):
     monkeypatch.setattr(pages, "RECORDS", 3)
     df = spark.range(20).coalesce(1).select(F.col("id").alias("page_id"), F.concat(F.lit("<h1>Brand 1 - Castle "), F.col("id"), F.lit("</h1>")).alias("html"))
     assert sorted((r.page_id, r.name) for r in pages.page_records(df).select("page_id", "name").collect()) == [(i, f"Castle {i}") for i in range(20)]
+
+
+def test_an_offer_of_two_retailers_has_that_of_its_first_row(spark, tmp_path):
+    """(3, 1000005) and (4, 5) are one offer. The later file is the larger one, which Spark reads first."""
+    import duckdb
+
+    from galena.plans import ORACLES, QUERIES
+
+    c = duckdb.connect()
+    c.sql("SET threads = 1")
+    c.sql(f"COPY (SELECT range AS s_suppkey, 1 AS s_nationkey FROM range(30)) TO '{tmp_path}/supplier.parquet'")
+    (tmp_path / "lineitem.parquet").mkdir()
+    for name, n, lower in (("a", 400, 0), ("b", 4000, 1)):
+        line = f"""SELECT i % 40 // 2 + 3 + CAST(i % 2 <> {lower} AS BIGINT) AS l_suppkey, i % 40 // 2 + CASE WHEN i % 2 <> {lower} THEN 0 ELSE 1000000 END AS l_partkey, i AS l_orderkey, 1 AS l_linenumber, 10.0::DOUBLE AS l_quantity, 100.0::DOUBLE AS l_extendedprice,
+            0.0::DOUBLE AS l_discount, 0.04::DOUBLE AS l_tax, 'N' AS l_returnflag, 'O' AS l_linestatus, TIMESTAMP '2000-05-01' + INTERVAL (i % 3 * 40) DAY AS l_shipdate FROM (SELECT range AS i FROM range({n}))"""
+        c.sql(f"COPY ({line}) TO '{tmp_path}/lineitem.parquet/{name}.parquet'")
+    for t, at in (("supplier", "supplier.parquet"), ("lineitem", "lineitem.parquet/*.parquet")):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{at}'")
+    want = sorted(map(tuple, c.sql(ORACLES["offer_refresh"]).fetchall()))
+    assert sorted(map(tuple, QUERIES["offer_refresh"](spark, str(tmp_path)).collect())) == want
