@@ -36,35 +36,49 @@ class PriceDrops(StatefulProcessor):
 
 
 class EndedKeys(StatefulProcessor):
-    """The last row (event_id, millis) of a key once it hasn't been seen for ``hours``.
+    """The last row (event_id, millis) of each (user_id, event_type) once it hasn't been seen for ``hours``.
 
-    The state is that row and one timer, which moves on as rows come in and fires as the watermark passes it.
+    The keys of this processor are buckets of such keys, so Python is called for each bucket of a batch and not for each key. The state
+    is the last rows of a bucket's keys and one timer at the first of their ends; as it fires, the rows that have ended leave.
     """
 
+    # A column with nulls would reach pandas as floats, so a null user is told by ``nobody``.
+    KEY, LAST = ["user_id", "nobody", "event_type"], ["millis", "event_id"]
+    COLUMNS = [*KEY, "event_id", "millis"]
+
     def __init__(self, hours: int) -> None:
         self.hours = hours
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.newest = handle.getValueState("newest", "event_id long, millis long")
+        self.newest = handle.getListState("newest", "user_id long, nobody boolean, event_type string, event_id long, millis long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        last = pd.concat(list(rows)).sort_values(["millis", "event_id"]).iloc[-1]
-        newest = (int(last["event_id"]), int(last["millis"]))
-        if self.newest.exists():
-            stored = self.newest.get()
-            if (stored[1], stored[0]) > (newest[1], newest[0]):
-                newest = (stored[0], stored[1])
-        self.newest.update(newest)
+    def _stored(self) -> pd.DataFrame:
+        rows = list(self.newest.get()) if self.newest.exists() else []
+        return pd.DataFrame(rows, columns=self.COLUMNS)
+
+    def _store(self, rows: pd.DataFrame, watermark: int) -> None:
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(max(newest[1] + self.hours * 3_600_000, timerValues.getCurrentWatermarkInMs() + 1))
+        if rows.empty:
+            self.newest.clear()
+            return
+        self.newest.put(list(zip(*(rows[c].tolist() for c in self.COLUMNS), strict=True)))
+        self.handle.registerTimer(max(int(rows["millis"].min()) + self.hours * 3_600_000, watermark + 1))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        newest = self._stored()
+        for frame in rows:
+            both = pd.concat([newest, frame[self.COLUMNS]]) if len(newest) else frame[self.COLUMNS]
+            newest = both.sort_values(self.LAST).drop_duplicates(self.KEY, keep="last")
+        self._store(newest, timerValues.getCurrentWatermarkInMs())
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
-        event_id, millis = self.newest.get()
-        self.newest.clear()
-        yield pd.DataFrame({"user_id": [key[0]], "event_type": pd.Series([key[1]], dtype=object), "event_id": [event_id], "last": [millis]})
+        newest, watermark = self._stored(), timerValues.getCurrentWatermarkInMs()
+        ended = newest["millis"] + self.hours * 3_600_000 < watermark
+        self._store(newest[~ended], watermark)
+        yield newest[ended].rename(columns={"millis": "last"})
 
     def close(self) -> None:
         pass

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from galena.operators import aggregates
 from galena.sources import pages
+from galena.streaming import jobs
 
 
 def test_masks_tell_the_groups_of_each_member(spark):
@@ -77,3 +80,24 @@ def test_an_offer_of_two_retailers_has_that_of_its_first_row(spark, tmp_path):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{at}'")
     want = sorted(map(tuple, c.sql(ORACLES["offer_refresh"]).fetchall()))
     assert sorted(map(tuple, QUERIES["offer_refresh"](spark, str(tmp_path)).collect())) == want
+
+
+def test_ended_keys_share_a_bucket(spark, tmp_path, monkeypatch):
+    """Python is called for a bucket of keys, which end one by one; null users and types are keys as well."""
+    monkeypatch.setattr(jobs, "BUCKETS", 2)
+    schema = "user_id long, event_type string, event_id long, ts timestamp"
+    at, hour = datetime.datetime(2024, 1, 1), datetime.timedelta(hours=1)
+    large = (1 << 62) + 1
+    keys = [(u, t) for u in (None, 0, 7, large) for t in ("a", None)]
+    batches = [[(*k, 10 * i + j, at + (i + j % 2) * hour) for i, k in enumerate(keys) for j in range(3)], [(*keys[0], 900, at + 20 * hour), (*keys[7], 901, at + 26 * hour)], [(*keys[1], 902, at + 30 * hour)], [(9, "z", 903, at + 90 * hour)]]
+    ended = []
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = jobs.ended_keys(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), hours=24)
+        ended.append({tuple(r) for r in jobs.run_once(stream, f"{tmp_path}/out", f"{tmp_path}/state").select("user_id", "event_type", "event_id").collect()})
+    assert stream.columns == ["user_id", "event_type", "event_id", "last"]
+    first = {(*keys[i], 10 * i + 1) for i in range(8)}
+    late = {(*keys[0], 900), (*keys[7], 901), (*keys[1], 902)}
+    # The watermark stands at 25 h 50 min after the second batch, at 29 h 50 min after the third and at 89 h 50 min at the end.
+    assert ended[0] == ended[1] == set() and ended[2] == {x for x in first if x[:2] in keys[2:5]}
+    assert ended[3] == {x for x in first if x[:2] in keys[2:7]} | late
