@@ -115,12 +115,17 @@ def page_observation(t: Tables) -> DataFrame:
 
 def listing_pages(t: Tables) -> DataFrame:
     """A listing page for each order, with a link for each of its lines, some of which are no offers."""
-    p, n = F.col("l_partkey"), F.col("l_linenumber")
-    tail = F.when(n % 3 == 0, " sortie prévue Août 2026").when(n % 3 == 1, " à partir de 9 &euro;").otherwise(" -20% -3")
-    text = F.concat(F.lit("<b>Brand</b> Theme "), (n % 4).cast("string"), F.lit("\n "), F.when(n == 4, "?").otherwise((70000 + p % 3000).cast("string")), F.lit(" Castle "), p.cast("string"), F.lit("x"), tail)
-    anchor = F.concat(F.lit('<a class="c" href="'), F.when(n == 6, "/q").otherwise("/p"), p.cast("string"), F.lit('">'), text, F.lit("</a>"))
-    rows = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(n.alias("n"), p.alias("p"), F.col("l_suppkey").alias("s"), anchor.alias("a")))).alias("rows"))
-    return rows.select(F.col("l_orderkey").alias("page_id"), F.concat(F.lit("<html><body>"), F.array_join(F.transform("rows", lambda r: r["a"]), "<br>"), F.lit("</body></html>")).alias("html"))
+
+    def anchor(n: Column, p: Column) -> Column:
+        tail = F.when(n % 3 == 0, " sortie prévue Août 2026").when(n % 3 == 1, " à partir de 9 &euro;").otherwise(" -20% -3")
+        text = F.concat(F.lit("<b>Brand</b> Theme "), (n % 4).cast("string"), F.lit("\n "), F.when(n == 4, "?").otherwise((70000 + p % 3000).cast("string")), F.lit(" Castle "), p.cast("string"), F.lit("x"), tail)
+        return F.concat(F.lit('<a class="c" href="'), F.when(n == 6, "/q").otherwise("/p"), p.cast("string"), F.lit('">'), text, F.lit("</a>"))
+
+    # Numbers of lines are dealt out, and links written where the page is: they are many times as long.
+    lines = t.lineitem.select("l_orderkey", F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s")).repartition("l_orderkey")
+    rows = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("n", "p", "s"))).alias("rows"))
+    links = F.transform("rows", lambda r: anchor(r["n"], r["p"]))
+    return rows.select(F.col("l_orderkey").alias("page_id"), F.concat(F.lit("<html><body>"), F.array_join(links, "<br>"), F.lit("</body></html>")).alias("html"))
 
 
 _LINES = "SELECT l_orderkey AS page_id, CAST(70000 + l_partkey % 3000 AS VARCHAR) AS reference, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS place, l_partkey, l_linenumber FROM lineitem WHERE l_linenumber NOT IN (4, 6)"
@@ -129,9 +134,7 @@ _LINES = "SELECT l_orderkey AS page_id, CAST(70000 + l_partkey % 3000 AS VARCHAR
 @query("page_listing", f"""WITH r AS ({_LINES}) SELECT page_id, reference, 'Castle ' || CAST(l_partkey AS VARCHAR) || 'x' AS name, 'Theme ' || CAST(l_linenumber % 4 AS VARCHAR) AS theme, CASE WHEN l_linenumber % 3 = 0 THEN 'Août' END AS month, '/p' || CAST(l_partkey AS VARCHAR) AS url FROM r QUALIFY row_number() OVER (PARTITION BY page_id, reference ORDER BY place DESC) = 1""")
 def page_listing(t: Tables) -> DataFrame:
     """Rows of each listing; of a reference that stands there twice the last one counts."""
-    rows = listing_pages(t).select("page_id", F.posexplode(jobs.listing_rows(F.col("html"))).alias("place", "r"))
-    last = rows.groupBy("page_id", "r.reference").agg(F.max_by("r", "place").alias("r"))
-    return last.select("page_id", "r.*")
+    return listing_pages(t).select("page_id", F.inline(jobs.last_rows(jobs.listing_rows(F.col("html")), "reference")))
 
 
 @query("page_manifest_diff", f"""

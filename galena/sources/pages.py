@@ -19,7 +19,8 @@ from galena.functions.values import parse_measures
 
 # Languages by the name of their flag, months of listings, words that mean nothing.
 LOCALES = {"English": "en", "Español": "es", "Deutsch": "de", "Français": "fr"}
-MONTHS = "Janvier|F[ée]vrier|Mars|Avril|Mai|Juin|Juillet|Ao[uû]t|Septembre|Octobre|Novembre|D[ée]cembre"
+# Where no month can begin, one look at the letter there tells.
+MONTHS = "(?=[JFMASOND])(?:J(?:anvier|uin|uillet)|F[ée]vrier|M(?:ars|ai)|A(?:vril|o[uû]t)|Septembre|Octobre|Novembre|D[ée]cembre)"
 NOTHING = re.compile("(?:\\(n/a\\)|n/a|none)?", re.I)
 VOID = {"br", "img", "meta", "link", "hr", "input"}
 
@@ -270,12 +271,14 @@ def official_observation(html: Column, product: Column | None = None) -> Column:
     )
 
 
-_ROW = "(?i)^\\S+\\s+(.+?)\\s+([0-9]{3,8})\\s+(.+)$"
+#: A link to ``/p``, up to the first end of a link.
+_LINK = "(?is)<a[^>]*href=.[^\"']*/p[^\"']*.[^>]*>[^<]*+(?:<(?!/a>)[^<]*+)*+</a>"
+_ROW = "^\\S+\\s+(.+?)\\s+([0-9]{3,8})\\s+(.+)$"
 
 
 def _listing_texts(html: Column) -> Column:
     """(a, text) of the links to ``/p``. Each is made once and then read by name: an expression in a lambda runs wherever it stands."""
-    anchors = F.regexp_extract_all(html, F.lit("(?is)<a[^>]*href=.[^\"']*/p[^\"']*.[^>]*>.*?</a>"), F.lit(0))
+    anchors = F.regexp_extract_all(html, F.lit(_LINK), F.lit(0))
     return F.transform(anchors, lambda a: F.struct(a.alias("a"), F.trim(F.regexp_replace(F.regexp_replace(a, "<[^>]*>", " "), "\\s+", " ")).alias("text")))
 
 
@@ -285,26 +288,34 @@ def listing_references(html: Column) -> Column:
 
 
 def listing_rows(html: Column) -> Column:
-    """Offers of an annual listing: links to ``/p``, ``Brand theme reference name [month]``; the last of a reference counts."""
+    """Offers of an annual listing: links to ``/p``, ``Brand theme reference name [month]``, in order."""
 
     def cut(x: Column) -> Column:
-        return F.struct(x["a"].alias("a"), *(F.regexp_extract(x["text"], _ROW, k).alias(c) for k, c in ((1, "theme"), (2, "reference"), (3, "tail"))))
+        url = F.regexp_extract(x["a"], "href=.([^\"']*)", 1).alias("url")
+        return F.struct(url, *(F.regexp_extract(x["text"], _ROW, k).alias(c) for k, c in ((1, "theme"), (2, "reference"), (3, "tail"))))
 
     def told(x: Column) -> Column:
-        name = F.regexp_replace(x["tail"], f"(?i)\\s+(?:sortie pr[ée]vue\\s+)?(?:{MONTHS})(?:\\s+20[0-9]{{2}})?.*$", "")
-        name = F.regexp_replace(F.regexp_replace(name, "(?i)\\s+[àa] partir de.*$", ""), "\\s+-[0-9]+%.*$", "")
-        return F.struct(
-            x["reference"].alias("reference"),
-            F.trim(name).alias("name"),
-            F.trim(x["theme"]).alias("theme"),
-            F.nullif(F.regexp_extract(x["tail"], f"(?i)({MONTHS})", 1), F.lit("")).alias("month"),
-            F.regexp_extract(x["a"], "href=.([^\"']*)", 1).alias("url"),
-        )
-
-    rows = F.filter(F.transform(_listing_texts(html), lambda x: cut(x)), lambda x: x["reference"] != "")
+        # The name ends at the first month, price or discount; in "a partir decembre" the month counts, and "a partir" stays.
+        name = F.regexp_replace(x["tail"], f"(?i)\\s+(?:(?:sortie pr[ée]vue\\s+)?{MONTHS}|[àa] partir de(?!cembre)|-[0-9]+%).*$", "")
+        # Not by nullif(), which reads twice what it is given.
+        month = F.get(F.filter(F.array(F.regexp_extract(x["tail"], f"(?i)({MONTHS})", 1)), lambda m: m != ""), F.lit(0))
+        return F.struct(x["reference"].alias("reference"), F.trim(name).alias("name"), F.trim(x["theme"]).alias("theme"), month.alias("month"), x["url"].alias("url"))
+
+    rows = F.filter(F.transform(_listing_texts(html), cut), lambda x: x["reference"] != "")
     return F.transform(rows, told)
 
 
+def last_rows(rows: Column, key: str) -> Column:
+    """The last row of each ``key`` in an array of rows. Their places are sorted by it, not searched for each of its values."""
+
+    def lasts(all_: Column) -> Column:
+        placed = F.sort_array(F.transform(all_, lambda r, i: F.struct(r[key].alias("key"), i.alias("place"))))
+        ends = _once(placed, lambda p: F.filter(p, lambda x, i: (i == F.size(p) - 1) | ~F.get(p, i + 1)["key"].eqNullSafe(x["key"])))
+        return F.transform(ends, lambda x: F.get(all_, x["place"]))
+
+    return _once(rows, lasts)
+
+
 def labelled_field(html: Column, label: str) -> Column:
     """The text after ``<strong>label:</strong>`` up to the line break, without tags; null if it says nothing."""
     raw = F.regexp_extract(html, f"(?is)<strong>\\s*{label}\\s*:?\\s*</strong>(.*?)<br", 1)

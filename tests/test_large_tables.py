@@ -49,6 +49,24 @@ def test_a_listing_row_is_read_once(spark):
     assert plan.count("regexp_extract_all") == 1 and plan.count("(.+?)") == 3
 
 
+def test_links_of_a_listing_are_written_after_the_shuffle(spark):
+    """Line numbers are shuffled once, not links and then rows again; the months of a row are looked for once for each use."""
+    from galena.plans import QUERIES
+
+    plan = QUERIES["page_listing"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1 and plan.count("Septembre") == 2
+    assert "Castle" not in plan[plan.index("Repartition") :]
+
+
+def test_the_last_row_of_a_reference_counts(spark):
+    tails = ["a mai", "b", "Mairie mai 2026 x", "C a partir decembre", "C à partir de 9 -20%", "C -20% sortie prevue AOUT", "c -5 à Partir de"]
+    links = "".join(f'<A href="/p{i}"><b>Brand</b>\n Theme {70000 + i % 5} {tail}<i></A >\n</i></a>' for i, tail in enumerate(tails))
+    df = spark.createDataFrame([(1, links), (2, "<p>none</p>"), (3, None)], "page_id int, html string")
+    rows = df.select("page_id", F.inline(pages.last_rows(pages.listing_rows(F.col("html")), "reference"))).collect()
+    want = [("70000", "C", "AOUT", "/p5"), ("70001", "c -5", None, "/p6"), ("70002", "Mairie", "Mai", "/p2"), ("70003", "C a partir", "decembre", "/p3"), ("70004", "C", None, "/p4")]
+    assert sorted((r.reference, r.name, r.month, r.url) for r in rows) == want
+
+
 def test_official_pages_are_dealt_out_and_parsed_once(spark):
     from galena.plans import QUERIES
 
