@@ -56,3 +56,29 @@ def test_names_stay_where_they_can_diverge(spark):
     rows = [("one", 1, {"en": "a", "de": "x"}), ("one", 2, {"en": "a", "de": "y"}), ("many", 3, {"en": "a", "de": "x"}), ("many", 4, {"en": "b", "de": "x"}), ("many", 5, {"en": "b"}), ("blank", 6, {"en": "-"}), ("blank", 7, {"en": "-"}), ("none", 8, None)]
     got = {r.id: r.names for r in ops.without_common_names(spark.createDataFrame(rows, "g string, id int, names map<string,string>"), "g").collect()}
     assert got == {i: None if g == "one" else names for g, i, names in rows}
+
+
+@has_data
+@pytest.mark.parametrize("block", [3, 500])
+@pytest.mark.parametrize(("key", "facts"), [("compare_identity", ["signals"])])
+def test_every_pair_of_records_is_a_row(spark, key, facts, block, monkeypatch):
+    """No row stands for several pairs, also where a class is dealt into blocks; every record is named."""
+    monkeypatch.setattr(ops, "PAIR_BLOCK", block, raising=False)
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW part AS SELECT * FROM '{DATA}/part.parquet'")
+    want = c.sql(f'WITH {identity._PAIRS} SELECT grp, "left", "right", {", ".join(facts)} FROM pairs').fetchall()
+    rows = [r.asDict() for r in QUERIES[key](spark, DATA).collect()]
+    told = ["grp", "left", "right", "relation", *facts[1:]]
+    assert sorted(tuple(r[x] for x in told) for r in rows if r["relation"] != "MEMBER") == sorted(want)
+    assert sorted(r["left"] for r in rows if r["relation"] == "MEMBER") == sorted(x for x, in c.sql("SELECT p_partkey FROM part").fetchall())
+
+
+def test_blocks_of_a_class_are_paired_once(spark, monkeypatch):
+    monkeypatch.setattr(ops, "PAIR_BLOCK", 4)
+    monkeypatch.setattr(ops, "TASK_PAIRS", 100)
+    members = spark.range(90).select(F.lit("g").alias("grp"), "id", F.when(F.col("id") < 50, 0).when(F.col("id") < 89, 50).otherwise(89).cast("long").alias("cls"))
+    classes = spark.createDataFrame([("g", 0, 50, 0), ("g", 50, 39, 50), ("g", 89, 1, 89)], "grp string, cls long, n long, first long")
+    pairs = ops.class_pairs(classes, "grp", lambda p: p.withColumn("relation", F.concat_ws("-", "left_cls", "right_cls")))
+    got = sorted((r.left, r.right, r.relation) for r in ops.record_pairs(members, classes, pairs, "grp", "id", ["relation"]).where("relation <> 'MEMBER'").collect())
+    cls = [0] * 50 + [50] * 39 + [89]
+    assert got == sorted((a, b, f"{cls[a]}-{cls[b]}") for b in range(90) for a in range(b))
