@@ -60,7 +60,7 @@ def test_names_stay_where_they_can_diverge(spark):
 
 @has_data
 @pytest.mark.parametrize("block", [3, 500])
-@pytest.mark.parametrize(("key", "facts"), [("compare_identity", ["signals"])])
+@pytest.mark.parametrize(("key", "facts"), [("compare_identity", ["signals"]), ("compare_records", ["relation", "reason"])])
 def test_every_pair_of_records_is_a_row(spark, key, facts, block, monkeypatch):
     """No row stands for several pairs, also where a class is dealt into blocks; every record is named."""
     monkeypatch.setattr(ops, "PAIR_BLOCK", block, raising=False)
