@@ -181,7 +181,7 @@ def oversize_candidate(form: Column, variant: Column, product: Column) -> Column
 def candidate_plan(discovered: DataFrame, community: DataFrame, official: DataFrame, local: DataFrame, markets: list[str]) -> DataFrame:
     """A candidate for each reference that discovery snapshots list, with the evidence for it from all snapshots.
 
-    ``discovered``: ref, order (of snapshots and their entries), announced (year), url; ``community``: ref, announced; ``official``: ref, market,
+    ``discovered``: ref, order (of snapshots and their entries, no two alike), announced (year), url; ``community``: ref, announced; ``official``: ref, market,
     confirmed; ``local``: ref of products that are there. The first entry of a reference speaks for it, the others are counted as passed over. ``sources``
     has a bit for discovery (1), one for the community (2) and one for each market with a confirmation (4, 8, ..). A reference that is there
     already is a candidate only if it is confirmed. Years of the first entry and of all community rows that differ are a conflict.

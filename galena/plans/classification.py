@@ -121,11 +121,14 @@ _MARKETS = ["fr-FR", "de-DE", "en-US"]
     SELECT ref, url, announced, community, official, passed_over, CAST(sources AS INT) AS sources, CASE WHEN imported THEN 'IMPORTED' WHEN official > 0 THEN 'OFFICIAL_CONFIRMED' WHEN len(years) > 1 THEN 'CONFLICTING' WHEN sources > 1 THEN 'CORROBORATED' ELSE 'DISCOVERED' END AS status,
         CASE WHEN NOT imported AND official = 0 AND len(years) > 1 THEN array_to_string(years, ', ') END AS conflict FROM p WHERE NOT imported OR official > 0""")
 def candidate_plan(t: Tables) -> DataFrame:
-    """Two discovery snapshots (lines 1 and 3, then 2), a community one (line 4) and an official one (lines from 5 on), against what is there already."""
-    rows = t.lineitem.select(F.floor(F.col("l_partkey") / 3).alias("ref"), F.col("l_orderkey").alias("place"), F.col("l_linenumber").alias("n"), "l_suppkey", "l_quantity", F.when(F.col("l_tax") > 0.01, F.year("l_shipdate")).alias("announced"))
+    """Two discovery snapshots (lines 1 and 3, then 2), a community one (line 4) and an official one (lines from 5 on), against what is there already.
+
+    Lines may share order and number: the first of them, as the table has them, is the first entry.
+    """
+    rows = t.placed("lineitem").select(F.floor(F.col("l_partkey") / 3).alias("ref"), F.col("l_orderkey").alias("place"), F.col("l_linenumber").alias("n"), F.col("place").alias("row"), "l_suppkey", "l_quantity", F.when(F.col("l_tax") > 0.01, F.year("l_shipdate")).alias("announced"))
     snapshot = F.when(F.col("n").isin(1, 3), 0).otherwise(1)
     url = F.concat(F.lit("https://"), F.concat_ws("/", F.col("snapshot").cast("string"), F.col("place").cast("string"), F.col("n").cast("string")))
-    discovered = rows.where("n <= 3").withColumn("snapshot", snapshot).select("ref", F.struct("snapshot", "place", "n").alias("order"), "announced", url.alias("url"))
+    discovered = rows.where("n <= 3").withColumn("snapshot", snapshot).select("ref", F.struct("snapshot", "place", "n", "row").alias("order"), "announced", url.alias("url"))
     community = rows.where("n = 4").select("ref", "announced")
     market = F.get(F.array(*map(F.lit, _MARKETS)), (F.col("l_suppkey") % 3).cast("int"))
     official = rows.where("n >= 5").select("ref", market.alias("market"), (F.col("l_quantity") > 35).alias("confirmed"))

@@ -100,6 +100,30 @@ def test_an_offer_of_two_retailers_has_that_of_its_first_row(spark, tmp_path):
     assert sorted(map(tuple, QUERIES["offer_refresh"](spark, str(tmp_path)).collect())) == want
 
 
+def test_of_lines_with_one_place_the_first_speaks(spark, tmp_path):
+    """The SQL leaves open which of them does. The later file is the larger one, which Spark reads first."""
+    import duckdb
+
+    from galena.plans import ORACLES, QUERIES
+
+    c = duckdb.connect()
+    c.sql("SET threads = 1")
+    c.sql(f"COPY (SELECT range AS p_partkey, range % 50 AS p_size FROM range(120)) TO '{tmp_path}/part.parquet'")
+    (tmp_path / "lineitem.parquet").mkdir()
+    for name, start, n in (("a", 0, 700), ("b", 700, 7000)):
+        line = f"SELECT hash(i) % 120 AS l_partkey, hash(i + 1) % 3 AS l_orderkey, hash(i + 2) % 7 + 1 AS l_linenumber, i % 9 AS l_suppkey, 36.0::DOUBLE AS l_quantity, hash(i + 3) % 10 / 100 AS l_tax, DATE '1990-01-01' + CAST(hash(i + 4) % 5000 AS INT) AS l_shipdate FROM (SELECT range AS i FROM range({start}, {start + n}))"
+        c.sql(f"COPY (SELECT * REPLACE (CAST(l_partkey AS BIGINT) AS l_partkey, CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(l_linenumber AS INT) AS l_linenumber) FROM ({line})) TO '{tmp_path}/lineitem.parquet/{name}.parquet'")
+    for t, at in (("part", "part.parquet"), ("lineitem", "lineitem.parquet/*.parquet")):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{at}'")
+    lines = c.sql(f"SELECT l_partkey // 3, l_linenumber = 2, l_orderkey, l_linenumber, filename, file_row_number, CASE WHEN l_tax > 0.01 THEN year(l_shipdate) END FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet', filename = true, file_row_number = true) WHERE l_linenumber <= 3 ORDER BY ALL DESC").fetchall()
+    first = {r[0]: r[6] for r in lines}
+    got = {r.ref: r for r in QUERIES["candidate_plan"](spark, str(tmp_path)).collect()}
+    assert {k: r.announced for k, r in got.items()} == {k: first[k] for k in got}
+    kept = "ref, url, community, official, passed_over, sources"
+    want = c.sql(f"SELECT {kept} FROM ({ORACLES['candidate_plan']})").fetchall()
+    assert sorted(tuple(r[x] for x in kept.split(", ")) for r in got.values()) == sorted(want)
+
+
 def test_ended_keys_share_a_bucket(spark, tmp_path, monkeypatch):
     """Python is called for a bucket of keys, which end one by one; null users and types are keys as well."""
     monkeypatch.setattr(jobs, "BUCKETS", 2)
